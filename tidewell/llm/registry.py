@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from tidewell.llm import exact_dedup, line_dedup, sharding, simhash, substring_dedup
+from tidewell.llm import exact_dedup, language_id, line_dedup, media, packing, quality, sentencepiece_codec, sharding, simhash, substring_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_media": media.op2_media,
+    "op3_packing": packing.op3_packing,
+    "op4_language_id": language_id.op4_language_id,
+    "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
     "op6_simhash": simhash.op6_simhash,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_quality": quality.op9_quality,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}

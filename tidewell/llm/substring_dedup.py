@@ -38,6 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.llm.common import documents, drop_written, written
 
@@ -297,34 +298,42 @@ def kept_words(words: list[bytes], starts, window: int) -> list[bytes]:
 
 
 def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, h, n_words, n_removed, kept) of every row; ``h`` is the hash of its text, ``kept`` the words that stay, joined by one space."""
+    """All rows and columns of ``docs``, the text reduced to the words that stay, joined by one space; null stays null.
+
+    Adds ``_n_words`` and ``_n_removed``.
+    """
     gone = removed_words(docs, window, id_col, text_col)
-    rows = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col]).alias("k"), _text(docs, text_col).alias("text"))
-    rows = rows.join(gone, (F.coalesce("id", F.lit(NO_ID)) == gone["d"]) & (rows["k"] == gone["h"]), "left").select("id", "k", "text", "starts")
+    rest = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col])
+    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(docs[text_col]).alias("k"), docs[text_col].cast("binary").alias("text"), rest.alias("rest"))
+    rows = rows.join(gone, (rows["id"] == gone["d"]) & (rows["k"] == gone["h"]), "left").select("rest", "text", "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             out: tuple[list, list, list] = ([], [], [])
             for t, starts in zip(x["text"].to_pylist(), x["starts"], strict=True):
-                words = t.split()
+                words = (t or b"").split()
                 kept = kept_words(words, starts.values.to_numpy(), window) if starts.is_valid else words
-                for column, value in zip(out, (len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8")), strict=True):
+                text = None if t is None else b" ".join(kept).decode("utf-8")
+                for column, value in zip(out, (len(words), len(words) - len(kept), text), strict=True):
                     column.append(value)
             counts = [pa.array(c, pa.int64()) for c in out[:2]]
-            yield pa.record_batch([x["id"], x["k"], *counts, pa.array(out[2], pa.string())], names=["id", "h", "n_words", "n_removed", "kept"])
+            yield pa.record_batch([x["rest"], *counts, pa.array(out[2], pa.string())], names=["rest", "n_words", "n_removed", "kept"])
 
-    return rows.mapInArrow(run, "id long, h long, n_words long, n_removed long, kept string")
+    schema = T.StructType([rows.schema["rest"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    done = rows.mapInArrow(run, schema)
+    columns = [(F.col("kept") if c == text_col else F.col("rest").getField(f"c{k}")).alias(c) for k, c in enumerate(docs.columns)]
+    return done.select(*columns, F.col("n_words").alias("_n_words"), F.col("n_removed").alias("_n_removed"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substring_dedup(documents(spark, sf_dir))
-    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    out = substring_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def brute_force(rows: list[tuple[int, str | None]], window: int = 20) -> dict[int, tuple[int, int, str]]:
     """The same by definition, for tests."""
     first: dict[tuple, tuple] = {}
-    texts = {d: words_of(t) for d, t in rows}
+    texts = {d: (t or "").encode().split() for d, t in rows}
     for d in sorted(texts):
         for i in range(len(texts[d]) - window + 1):
             first.setdefault(tuple(texts[d][i : i + window]), (d, i))
