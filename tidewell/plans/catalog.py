@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tidewell.plans import forecast, intel  # noqa: F401
+from tidewell.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
