@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.plans import forecast, graph, intel  # noqa: F401
+from tidewell.plans import forecast, graph, intel, streams, text  # noqa: F401
 from tidewell.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
