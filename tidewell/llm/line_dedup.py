@@ -34,9 +34,9 @@ RANK_BUCKET = 1 << 16
 
 def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     text = docs[text_col]
-    return docs.where(text.isNotNull()).select(
-        docs[id_col].alias("d"), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n", -1)).alias("i", "line")
-    ).select("d", "h", "i", F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(7), "line").alias("l2"))
+    # hashed below the explode; beside it, the text would be hashed again for every line
+    whole = docs.where(text.isNotNull()).select(docs[id_col].alias("d"), F.xxhash64(text).alias("h"), F.split(text, "\n", -1).alias("lines"))
+    return whole.select("d", "h", F.posexplode("lines").alias("i", "line")).select("d", "h", "i", F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(7), "line").alias("l2"))
 
 
 def _classes(pairs: DataFrame, a: str, b: str, bucket: list) -> DataFrame:
