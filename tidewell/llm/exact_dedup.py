@@ -31,6 +31,7 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
     "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores would each reserve megabytes
     "spark.sql.streaming.stateStore.minDeltasForSnapshot": "50",
 }
 
