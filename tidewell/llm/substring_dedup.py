@@ -29,7 +29,7 @@ A null ``doc_id`` sorts first. Long texts are processed whole, their passages in
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+import itertools
 from collections.abc import Iterator
 
 import ahocorasick
@@ -196,22 +196,21 @@ def passages(docs: DataFrame, window: int, recurring: DataFrame, id_col: str = "
                 if len(words) < window:
                     continue
                 named = anchors(words, window)[0]
-                yes = _in_filter(named, mine, bits)
-                keys, single = named.view(np.int64), np.zeros(len(named), bool)
+                starts = np.nonzero(np.concatenate([[True], named[1:] != named[:-1]]))[0]
+                keys, ends = named[starts].view(np.int64), np.append(starts[1:], len(named))
+                chosen = np.nonzero(_in_filter(named[starts], mine, bits))[0]
+                frequent = np.zeros(len(chosen), bool)
                 if len(hot):
-                    single = hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
-                    if single.any():
-                        own = mixed(_rolling(_word_array(words), window)).view(np.int64)
-                        keys = np.where(single, own, keys)
-                edge = np.ones(len(keys), bool)
-                edge[1:] = (keys[1:] != keys[:-1]) | single[1:]
-                starts = np.nonzero(edge)[0]
-                ends = np.append(starts[1:], len(keys))
-                chosen = yes[starts]
-                for a, s, e in zip(keys[starts][chosen].tolist(), starts[chosen].tolist(), ends[chosen].tolist(), strict=True):
-                    for part in range(s, e, 64):  # a periodic text names one anchor throughout
-                        for column, value in zip(out, (a, d, h, part, b" ".join(words[part : min(e, part + 64) + window - 1])), strict=True):
-                            column.append(value)
+                    frequent = hot[np.minimum(np.searchsorted(hot, keys[chosen]), len(hot) - 1)] == keys[chosen]
+                own = mixed(_rolling(_word_array(words), window)).view(np.int64).tolist() if frequent.any() else []
+                for a, s, e, single in zip(keys[chosen].tolist(), starts[chosen].tolist(), ends[chosen].tolist(), frequent.tolist(), strict=True):
+                    for part in range(s, e, 1 if single else 64):  # a periodic text names one anchor throughout
+                        to = min(e, part + (1 if single else 64)) + window - 1
+                        out[0].append(own[part] if single else a)
+                        out[1].append(d)
+                        out[2].append(h)
+                        out[3].append(part)
+                        out[4].append(b" ".join(words[part:to]))
             kinds = pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()
             yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["anchor", "d", "h", "start", "words"])
 
@@ -219,45 +218,77 @@ def passages(docs: DataFrame, window: int, recurring: DataFrame, id_col: str = "
     return rows.mapInArrow(run, "anchor long, d long, h long, start int, words binary")
 
 
+def _alone(row: tuple, window: int) -> list[tuple] | None:
+    """Hits of the only passage of an anchor; None if a window may come twice inside it."""
+    _, _, d, h, start, n, words = row
+    parts = words.split()
+    if len(set(parts)) <= len(parts) - window:  # two equal windows repeat that many words
+        return None
+    return [(0, len(parts) - window + 1, d, h, start)] if n > 1 else []
+
+
 def _hits(rows: list[tuple], window: int) -> dict[tuple[int, int], list[tuple]]:
-    """For each (anchor, digest) in ``rows``: (place in the passage, first place) of the windows that recur."""
-    numbers: dict[bytes, int] = {}
-    texts = [tuple([numbers.setdefault(w, len(numbers)) for w in words.split()]) for *_, words in rows]
-    first: dict[tuple, list] = {}
-    for words, (_, _, d, h, start, n, _) in zip(texts, rows, strict=True):
-        for j in range(len(words) - window + 1):
-            w, place = words[j : j + window], (d, h, start + j)
-            held = first.get(w)
+    """For each (anchor, digest): runs (place in the passage, number, first place) of windows that recur.
+
+    An automaton is compiled over the recurring windows of anchors with several passages.
+    """
+    out: dict[tuple[int, int], list[tuple]] = {}
+    several: list[tuple] = []
+    for _, group in itertools.groupby(rows, key=lambda r: r[0]):
+        group = list(group)
+        single = _alone(group[0], window) if len(group) == 1 else None
+        if single is None:
+            several += group
+        elif single:
+            out[group[0][:2]] = single
+    first: dict[bytes, list] = {}
+    for _, _, d, h, start, n, words in several:
+        at = [0, *itertools.accumulate(len(w) + 1 for w in words.split())]
+        for j in range(len(at) - window):
+            key = words[at[j] : at[j + window] - 1]
+            held = first.get(key)
             if held is None:
-                first[w] = [place, n]
+                first[key] = [d, h, start + j, n]
             else:
-                held[1] += n
-                held[0] = min(held[0], place)
+                held[3] += n
+                if (d, h, start + j) < (held[0], held[1], held[2]):
+                    held[:3] = d, h, start + j
+    numbers: dict[bytes, int] = {}
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for w, (place, n) in first.items():
+    for key, (d, h, start, n) in first.items():
         if n > 1:
-            automaton.add_word(w, place)
+            automaton.add_word(tuple([numbers.setdefault(w, len(numbers) + 1) for w in key.split()]), (d, h, start))
+    first.clear()
     if not len(automaton):
-        return {}
+        return out
     automaton.make_automaton()
-    out: dict[tuple[int, int], list[tuple]] = defaultdict(list)
-    for words, (anchor, digest, *_) in zip(texts, rows, strict=True):
-        for end, place in automaton.iter(words):
-            out[anchor, digest].append((end - window + 1, *place))
+    number = numbers.get
+    for anchor, digest, *_, words in several:
+        runs: list[list] = []
+        for end, (d, h, start) in automaton.iter(tuple([number(w, 0) for w in words.split()])):
+            at = end - window + 1
+            last = runs[-1] if runs else None
+            if last and last[0] + last[1] == at and last[2:4] == [d, h] and last[4] + last[1] == start:
+                last[1] += 1
+            else:
+                runs.append([at, 1, d, h, start])
+        if runs:
+            out[anchor, digest] = [tuple(r) for r in runs]
     return out
 
 
-HITS = pa.list_(pa.struct([("at", pa.int32()), ("d", pa.int64()), ("h", pa.int64()), ("start", pa.int32())]))
+FIELDS = ("at", "n", "d", "h", "start")
+HITS = pa.list_(pa.struct(list(zip(FIELDS, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True))))
 
 
 def located(found: DataFrame, window: int) -> DataFrame:
-    """(anchor, digest, hits) of distinct passages; hits: where in the passage a recurring window stands and its first place."""
+    """(anchor, digest, hits) of distinct passages; hits: runs of recurring windows in the passage and the first place of each run."""
     rows = found.groupBy("anchor", F.xxhash64("words").alias("digest")).agg(F.min(F.struct("d", "h", "start")).alias("p"), F.count("*").alias("n"), F.first("words").alias("words"))
     rows = rows.select("anchor", "digest", "p.d", "p.h", "p.start", "n", "words").repartition("anchor").sortWithinPartitions("anchor")
 
     def emit(rows: list[tuple]) -> pa.RecordBatch:
         got = _hits(rows, window)
-        hits = [[dict(zip(("at", "d", "h", "start"), y, strict=True)) for y in v] for v in got.values()]
+        hits = [[dict(zip(FIELDS, y, strict=True)) for y in v] for v in got.values()]
         return pa.record_batch([pa.array([a for a, _ in got], pa.int64()), pa.array([x for _, x in got], pa.int64()), pa.array(hits, HITS)], names=["anchor", "digest", "hits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,29 +302,29 @@ def located(found: DataFrame, window: int) -> DataFrame:
         if held:
             yield emit(held)
 
-    return rows.mapInArrow(run, "anchor long, digest long, hits array<struct<at:int,d:long,h:long,start:int>>")
+    return rows.mapInArrow(run, "anchor long, digest long, hits array<struct<at:int,n:int,d:long,h:long,start:int>>")
 
 
 def removed_words(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(d, h, starts): per document, the windows whose words also start earlier."""
+    """(d, h, runs): per document, runs (s, n) of windows whose words also start earlier."""
     if window < PHRASE:
         raise ValueError(f"windows need {PHRASE} words or more")
     recurring = written(anchor_counts(docs, window, text_col), "anchors")
     found = written(passages(docs, window, recurring, id_col, text_col), "passages")
     drop_written(recurring)
-    hits = located(found, window)
+    hits = written(located(found, window), "hits")
     places = found.select("anchor", F.xxhash64("words").alias("digest"), "d", "h", "start")
     both = places.join(hits, ["anchor", "digest"])
     later = F.filter("hits", lambda x: F.struct(x["d"], x["h"], x["start"]) < F.struct("d", "h", F.col("start") + x["at"]))
-    both = both.select("d", "h", F.transform(later, lambda x: F.col("start") + x["at"]).alias("starts")).where(F.size("starts") > 0)
-    return both.groupBy("d", "h").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    both = both.select("d", "h", F.transform(later, lambda x: F.struct((F.col("start") + x["at"]).alias("s"), x["n"].alias("n"))).alias("runs")).where(F.size("runs") > 0)
+    return both.groupBy("d", "h").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
-def kept_words(words: list[bytes], starts, window: int) -> list[bytes]:
+def kept_words(words: list[bytes], starts: np.ndarray, counts: np.ndarray, window: int) -> list[bytes]:
+    """Words outside the runs of ``counts`` windows that begin at ``starts``."""
     edge = np.zeros(len(words) + 1, np.int64)
-    at = np.unique(np.asarray(starts, np.int64))
-    edge[at] += 1
-    np.add.at(edge, at + window, -1)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + (counts + (window - 1)), -1)
     return [w for w, c in zip(words, np.cumsum(edge).tolist(), strict=False) if not c]
 
 
@@ -305,14 +336,15 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     gone = removed_words(docs, window, id_col, text_col)
     rest = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col])
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(docs[text_col]).alias("k"), docs[text_col].cast("binary").alias("text"), rest.alias("rest"))
-    rows = rows.join(gone, (rows["id"] == gone["d"]) & (rows["k"] == gone["h"]), "left").select("rest", "text", "starts")
+    rows = rows.join(gone, (rows["id"] == gone["d"]) & (rows["k"] == gone["h"]), "left").select("rest", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             out: tuple[list, list, list] = ([], [], [])
-            for t, starts in zip(x["text"].to_pylist(), x["starts"], strict=True):
-                words = (t or b"").split()
-                kept = kept_words(words, starts.values.to_numpy(), window) if starts.is_valid else words
+            for t, runs in zip(x["text"].to_pylist(), x["runs"], strict=True):
+                kept = words = (t or b"").split()
+                if runs.is_valid:
+                    kept = kept_words(words, *(runs.values.field(c).to_numpy() for c in "sn"), window)
                 text = None if t is None else b" ".join(kept).decode("utf-8")
                 for column, value in zip(out, (len(words), len(words) - len(kept), text), strict=True):
                     column.append(value)
@@ -340,6 +372,6 @@ def brute_force(rows: list[tuple[int, str | None]], window: int = 20) -> dict[in
     out = {}
     for d, words in texts.items():
         starts = [i for i in range(len(words) - window + 1) if first[tuple(words[i : i + window])] < (d, i)]
-        kept = kept_words(words, starts, window)
+        kept = kept_words(words, np.array(starts, np.int64), np.ones(len(starts), np.int64), window)
         out[d] = len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
     return out
