@@ -44,7 +44,9 @@ def stratified_shards(docs: DataFrame, shards: int = 40, seed: int = 42, stratum
     placed = placed.select("id", "stratum", "size", "text_crc32", "h", (F.col("rn") + F.col("before")).alias("rank"))
     sizes = sizes.withColumnRenamed("stratum", "s")
     placed = placed.join(sizes, placed["stratum"].eqNullSafe(sizes["s"]))
-    placed = placed.withColumn("fraction", (F.col("rank") - 0.5) / F.col("n_stratum"))
+    # each source starts at a place of its own in its first interval, else sources of one size would move in step
+    phase = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit("phase"), "stratum"), 11).cast("double") + 0.5) / 2.0**53
+    placed = placed.withColumn("fraction", (F.col("rank") - phase) / F.col("n_stratum"))
     placed = global_rank(placed, F.floor(F.col("fraction") * n).cast("long"), [F.col("fraction"), F.xxhash64(F.lit(seed), "stratum"), F.col("stratum"), *tie], "g")
     q, r = divmod(total, shards)
     g, head = F.col("g"), r * (q + 1)
