@@ -37,7 +37,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 GAP = "▁"
 UNKNOWN_PENALTY = 10.0
 
-MEMORY, LONGEST = 200_000, 64
+MEMORY, LONGEST = 300_000, 64
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -89,14 +89,30 @@ class Codec:
                 raise ValueError(f"piece {piece!r} spans a break")
             self.automaton.add_word(piece, (len(piece), score, i))
         self.automaton.make_automaton()
+        self.stretches = re.compile(f"\n|{GAP}+[^{GAP}\n]*|[^{GAP}\n]+").findall
+        self.singles = {p for p, _, _ in usable if len(p) == 1}
         self.unknown = next((i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN), 0)
         self.unknown_score = min((s for _, s, _ in usable), default=0.0) - UNKNOWN_PENALTY
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
         self.known: dict[str, tuple[bytes, float]] = {}
+        self.before: dict[str, tuple[bytes, float]] = {}
 
     def viterbi(self, text: str) -> tuple[list[int], float]:
-        """Ids and score of the best segmentation of one stretch; of equal scores the one found first, by the shorter last piece's turn."""
+        """Ids and score of the best segmentation of one stretch; of equal scores the one whose last piece is longest."""
         n = len(text)
+        if self.singles.issuperset(text):  # every letter is a piece, so nothing is unknown
+            best, back = [0.0] + [float("-inf")] * n, [None] * (n + 1)
+            for end, (length, score, piece) in self.automaton.iter(text):
+                end += 1
+                through = best[end - length] + score
+                if through > best[end]:
+                    best[end], back[end] = through, (length, piece)
+            out, at = [], n
+            while at:
+                length, piece = back[at]
+                out.append(piece)
+                at -= length
+            return out[::-1], best[n]
         best, back = [0.0] + [None] * n, [None] * (n + 1)
         done = 0  # positions up to here are final
 
@@ -129,29 +145,22 @@ class Codec:
             at = before
         return out[::-1], best[n]
 
-    def stretch(self, text: str) -> tuple[bytes, float]:
-        got = self.known.get(text)
-        if got is None:
-            ids, score = self.viterbi(text)
-            got = b"".join([i.to_bytes(4, "little") for i in ids]), score
-            if len(text) <= LONGEST:
-                if len(self.known) > MEMORY:
-                    self.known.clear()
-                self.known[text] = got
-        return got
-
     def encode_bytes(self, text: str) -> tuple[bytes, float]:
         """Ids as little-endian unsigned 32-bit bytes, and their score."""
         if not text:
             return b"", 0.0
-        text = (GAP if self.prefix else "") + text.replace(" ", GAP)
-        parts = re.findall(f"\n|{GAP}+[^{GAP}\n]*|[^{GAP}\n]+", text)
-        known = self.known
-        try:
-            got = [known[p] for p in parts]
-        except KeyError:
-            got = [self.stretch(p) for p in parts]
-        return b"".join([g[0] for g in got]), sum([g[1] for g in got])
+        parts = self.stretches((GAP if self.prefix else "") + text.replace(" ", GAP))
+        if len(self.known) > MEMORY:
+            self.known, self.before = {}, self.known
+        known, long = self.known, {}
+        for p in set(parts).difference(known):
+            got = self.before.get(p)
+            if got is None:
+                ids, score = self.viterbi(p)
+                got = struct.pack(f"<{len(ids)}I", *ids), score
+            (known if len(p) <= LONGEST else long)[p] = got
+        found = [known[p] if p in known else long[p] for p in parts] if long else list(map(known.__getitem__, parts))
+        return b"".join([g[0] for g in found]), sum([g[1] for g in found])
 
     def encode(self, text: str) -> list[int]:
         data = self.encode_bytes(text)[0]
@@ -160,8 +169,7 @@ class Codec:
     def decode(self, ids: list[int] | tuple[int, ...]) -> str:
         if not hasattr(self, "surfaces"):
             self.surfaces = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(GAP, " ").encode("utf-8") for p, _, kind in self.pieces]
-        surfaces = self.surfaces
-        text = b"".join([surfaces[i] for i in ids]).decode("utf-8", "replace")
+        text = b"".join(map(self.surfaces.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
