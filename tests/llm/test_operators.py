@@ -320,8 +320,9 @@ def test_simhash_equals_brute_force(spark, odd, empty):
     assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["0", "3", "5", "8", "9", "None"]
 
 
-@pytest.mark.parametrize("bits", [1, 2, 3])
-def test_forest_connects_all_links(bits):
+@pytest.mark.parametrize(("bits", "long"), [(1, 0), (1, 1 << 30), (2, 1 << 30), (5, 1 << 30)])
+def test_forest_connects_all_links(bits, long, monkeypatch):
+    monkeypatch.setattr(simhash, "LONG_LIST", long)
     rng = np.random.default_rng(bits)
     near = np.uint64(1) << rng.integers(0, 12, (700, 3)).astype(np.uint64)
     values = np.unique(np.bitwise_or.reduce(near, axis=1) ^ np.uint64(0xABCDEF0000000000))
@@ -344,7 +345,7 @@ def test_forest_connects_all_links(bits):
         return sorted(map(sorted, groups.values()))
 
     all_links = [(int(a), int(b)) for i, a in enumerate(values) for b in values[i + 1 :] if (int(a) ^ int(b)).bit_count() <= bits]
-    assert len(values) > 128 and len(edges) < len(values) and all((a ^ b).bit_count() <= bits for a, b in edges) and parts(edges) == parts(all_links)
+    assert len(edges) < len(values) and all((a ^ b).bit_count() <= bits for a, b in edges) and parts(edges) == parts(all_links)
 
 
 def test_components(spark):

@@ -8,7 +8,7 @@ each, and tallying pairs over those would be quadratic; the index therefore keys
 ``8 - max_bits`` positions with its bytes. Two fingerprints meet in such a list exactly if their tally of shared
 positional bytes reaches the minimum, so the count filter is applied by the index itself. A list
 has only ``8 * max_bits`` free bits, hence a bounded number of different fingerprints (65,536 at two bits).
-Verification counts differing bits; in a list it looks every member's neighbours up instead of
+Verification counts differing bits; in a list it walks from member to member instead of
 forming pairs and emits a spanning forest of the links, which keeps all connections.
 
 Copies share a fingerprint and are collapsed before the index, so a group of any size is one entry.
@@ -22,6 +22,7 @@ come. A null ``doc_id`` never names a component unless no other member has an id
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,8 @@ UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 FOLD = bytes.maketrans(UPPER, LOWER)
 #: Shingles whose bits are counted at once; bounds memory on long texts.
 BLOCK = 1 << 15
+#: From this length on, a list's neighbours may be looked up instead of compared.
+LONG_LIST = 1 << 12
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -78,13 +81,32 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, id_col: str = "
 
 
 def forest(values: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among ``values`` (distinct, unsigned).
+    """A spanning forest of the links among ``values`` (distinct, unsigned): never more edges than values.
 
-    Small lists are compared outright; larger ones look up each value with every choice of up to
-    ``max_bits`` bits, among those that differ within the list, flipped.
+    A search from value to value compares each reached one with those not yet reached. Where that is
+    dearer, long lists look up each value with every choice of up to ``max_bits`` bits flipped.
     """
     n = len(values)
-    parent = np.arange(n)
+    free = int(np.bitwise_or.reduce(values ^ values[0]))
+    bits = [k for k in range(64) if free >> k & 1]
+    if n > LONG_LIST and sum(math.comb(len(bits), r) for r in range(1, max_bits + 1)) * 16 < n:
+        return _looked_up(np.sort(values), bits, max_bits)
+    edges, left = [], values
+    while len(left):
+        reached, left = [left[0]], left[1:]
+        while reached and len(left):
+            v = reached.pop()
+            near = np.bitwise_count(left ^ v) <= max_bits
+            if near.any():
+                found = left[near]
+                left = left[~near]
+                edges += [(int(v), w) for w in found.tolist()]
+                reached += list(found)
+    return edges
+
+
+def _looked_up(values: np.ndarray, bits: list[int], max_bits: int) -> list[tuple[int, int]]:
+    n, parent, edges = len(values), np.arange(len(values)), []
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -92,28 +114,15 @@ def forest(values: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
             i = parent[i]
         return i
 
-    edges = []
-
-    def link(i: int, j: int) -> None:
-        a, b = find(i), find(j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            edges.append((int(values[i]), int(values[j])))
-
-    if n <= 128:
-        near = np.bitwise_count(values[:, None] ^ values[None, :]) <= max_bits
-        for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
-            link(i, j)
-        return edges
-    values = np.sort(values)
-    free = int(np.bitwise_or.reduce(values ^ values[0]))
-    bits = [k for k in range(64) if free >> k & 1]
     for r in range(1, max_bits + 1):
         for chosen in itertools.combinations(bits, r):
             other = values ^ np.uint64(sum(1 << k for k in chosen))
             at = np.minimum(np.searchsorted(values, other), n - 1)
             for i in np.nonzero((values[at] == other) & (values < other))[0]:
-                link(i, at[i])
+                x, y = find(i), find(at[i])
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    edges.append((int(values[i]), int(values[at[i]])))
     return edges
 
 
