@@ -13,8 +13,8 @@ The rounds run on the class tables, a few thousand numbers. Rows are distributed
 piece's rank in its class comes from bounded hash buckets, and its sequence and offset from a join with the
 intervals of ranks that the rounds gave out.
 
-Tokenizing remembers words: white space always ends a token in this vocabulary, so a text's ids are
-those of its words, one after another. Each new word goes through the tokenizer itself.
+Tokenizing remembers words: in this vocabulary a text's ids are those of its units, one after
+another, and white space always ends a unit. Each new unit goes through the tokenizer itself.
 
 Cases. Null text: empty; an empty text is the one id 0. Repeated rows are packed each. Null ids are
 kept. Texts are tokenized whole. An empty table gives no rows.
@@ -23,10 +23,14 @@ kept. Texts are tokenized whole. An empty table gives no rows.
 from __future__ import annotations
 
 import bisect
+import json
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,14 +38,21 @@ from pyspark.sql.window import Window
 
 from tidewell.llm.common import buckets_for, documents, written
 
-#: Words that a worker remembers, and the longest of them.
-MEMORY, LONGEST = 300_000, 64
-SPACES = {9: " ", 10: " ", 13: " "}
+#: Words that a worker remembers before it starts anew; what it knew before serves once more.
+MEMORY = 300_000
+#: Characters whose words are looked up together.
+AT_ONCE = 1 << 20
 ID_BYTES = 4
 
 
 class WordTokenizer:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes."""
+    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+
+    Texts of plain characters (below U+0250, no control characters, no special token's beginning) are cut into
+    the tokenizer's own units by its own pattern; new units are encoded many at once and told apart
+    by the mark of a word's end. Other texts are cut at spaces. Every unit's ids come from the
+    tokenizer and are remembered.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,24 +60,47 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
-
-    def _fresh(self, words: list[str]) -> dict[str, bytes]:
+        self.before: dict[str, bytes] = {}
+        parts = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"]
+        pattern = next(p["pattern"]["Regex"] for p in parts if p["type"] == "Split")
+        for kind in "LN":  # the classes of plain characters, spelt out for the quicker matcher
+            members = [chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind]
+            pattern = pattern.replace(f"\\p{{{kind}}}", "".join(members))
+        self.units = re.compile(pattern).findall
+        self.unusual = re.compile("[^\t\n\r -~\u00a1-\u012f\u0131-\u024f]|<\\|").search
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _learn(self, words: list[str]) -> None:
         got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return {w: b"".join([i.to_bytes(ID_BYTES, "little") for i in e.ids]) for w, e in zip(words, got, strict=True)}
+        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, got, strict=True))
+
+    def _learn_units(self, units: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode(" ".join(units), add_special_tokens=False).ids, "<u4")
+        data, cuts = ids.tobytes(), ((np.nonzero(self.ends[ids])[0] + 1) * ID_BYTES).tolist()
+        if len(cuts) != len(units):  # some unit came apart
+            self._learn(units)
+        else:
+            self.known.update((u, data[s:e]) for u, s, e in zip(units, [0, *cuts], cuts, strict=False))
+
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > MEMORY:
+            self.known, self.before = {"": b""}, self.known
+        odd = [bool(self.unusual(t)) for t in texts]
+        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if o else self.units(t.lower()) for t, o in zip(texts, odd, strict=True)]
+        for which, learn in ((False, self._learn_units), (True, self._learn)):
+            fresh = set().union(*[w for w, o in zip(words, odd, strict=True) if o == which]).difference(self.known)
+            again = fresh & self.before.keys()
+            self.known.update((w, self.before[w]) for w in again)
+            fresh -= again
+            if fresh:
+                learn(list(fresh))
+        known = self.known.__getitem__
+        return [b"".join(map(known, w)) for w in words]
 
     def ids(self, text: str) -> bytes:
-        words = text.translate(SPACES).split(" ")
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            fresh = self._fresh([w for w in set(words) if w not in known])
-            out = b"".join([known[w] if w in known else fresh[w] for w in words])
-            if len(known) > MEMORY:
-                known.clear()
-                known[""] = b""
-            known.update((w, i) for w, i in fresh.items() if len(w) <= LONGEST)
-            return out
+        return self.ids_of([text])[0]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -84,11 +118,20 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, closing: int = 0,
     end, width = closing.to_bytes(ID_BYTES, "little"), size * ID_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(vocabulary).ids
+        def encode(texts: pa.StringArray) -> Iterator[bytes]:
+            some: list[str] = []
+            for t in texts:
+                some.append(t.as_py() or "")
+                if sum(map(len, some)) >= AT_ONCE or len(some) >= 256:
+                    yield from tokenizer(vocabulary).ids_of(some)
+                    some = []
+            if some:
+                yield from tokenizer(vocabulary).ids_of(some)
+
         for x in batches:
             of, piece, length, crc = [], [], [], []
-            for k, t in enumerate(x["text"].to_pylist()):
-                ids = encode(t or "") + end
+            for k, ids in enumerate(encode(x["text"])):
+                ids += end
                 for p, s in enumerate(range(0, len(ids), width)):
                     part = ids[s : s + width]
                     of.append(k), piece.append(p), length.append(len(part) // ID_BYTES), crc.append(zlib.crc32(part))
