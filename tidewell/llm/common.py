@@ -117,6 +117,19 @@ def ascii_lower(col: Column) -> Column:
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, upper, upper.lower()))
 
 
+def text_hash(col: Column) -> Column:
+    return F.xxhash64(col.cast("string"))
+
+
+def first_rows(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of each group of ``grouped`` (id, h, group) the row of ``docs`` with the smallest id, then text hash ``h``; null ids come last, equal rows stay once."""
+    least = grouped.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("void"), "id", "h")).alias("k"))
+    least = least.select(F.col("k.id").alias("kid"), F.col("k.h").alias("kh")).distinct()
+    rows = pack(docs, id=docs[id_col], h=text_hash(docs[text_col]))
+    kept = rows.join(least, rows["id"].eqNullSafe(least["kid"]) & (rows["h"] == least["kh"]), "left_semi")
+    return kept.dropDuplicates(["id", "h"]).select(*unpacked(docs.columns))
+
+
 @functools.lru_cache(maxsize=1)
 def empty_sha256() -> str:
     return hashlib.sha256(b"").hexdigest()
