@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tidewell.llm import shingle_join
+from tidewell.llm import line_dedup, shingle_join
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -55,3 +55,34 @@ def test_near_equals_brute_force(spark, monkeypatch, seed, sample):
     got = sorted(r["doc_id"] for r in corpus_pipeline.near(spark, documents(spark, rows), "").collect())
     groups = brute_near(rows)
     assert got == sorted(min(d for d, _ in g) for g in groups) and max(map(len, groups)) > 2
+
+
+def brute_lines(texts, min_words, most=3):
+    """Lines inside a window that stood before, of ``most`` lines or with ``min_words`` words."""
+    words = lambda lines: sum(any(c.isalnum() for c in w) for x in lines for w in x.split())
+    seen, out = set(), {}
+    for d in sorted(texts):
+        lines, gone = texts[d].split("\n"), set()
+        for i in range(len(lines)):
+            for m in range(1, min(most, len(lines) - i) + 1):
+                window = tuple(lines[i : i + m])
+                if window not in seen:
+                    seen.add(window)
+                elif m == most or words(window) >= min_words:
+                    gone |= set(range(i, i + m))
+        out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)
+    return out
+
+
+@pytest.mark.parametrize("min_words", [1, 3])
+def test_short_runs_count_by_their_words(spark, min_words):
+    rng = random.Random(min_words)
+    texts = {d: "\n".join(rng.choice(["", "}", "one", "two words", "é ü x", f"own {d}", "-- --", f"u{rng.random()}"]) for _ in range(rng.randrange(1, 9))) for d in range(60)}
+    got = line_dedup.line_dedup(documents(spark, texts.items()), 3, min_words=min_words).collect()
+    assert {r["doc_id"]: (r["text"], r["_n_removed"]) for r in got} == brute_lines(texts, min_words)
+
+
+def test_lines_stage_cuts_short_runs_and_whole_short_copies(spark):
+    rows = [(0, "a passage of one line\nown"), (1, "first\na passage of one line\nlast"), (2, "short\ncopy"), (3, "short\ncopy"), (4, "}\nx1\n\nx2"), (5, "}\nx3\n\nx4")]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, documents(spark, rows), "").collect()}
+    assert got == {0: rows[0][1], 1: "first\nlast", 2: "short\ncopy", 4: rows[4][1], 5: rows[5][1]}

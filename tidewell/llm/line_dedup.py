@@ -10,6 +10,9 @@ occurs once leave the array at once: no longer prefix of theirs can repeat. Doub
 the earliest suffix (smallest document key, then line) is the first copy, all others are later
 copies, and adjoining later copies make up the maximal repeated runs, which are deleted.
 
+With ``min_words``, runs of fewer than ``min_lines`` lines count too if they hold that many words (parts
+between spaces with a letter or digit): every depth is then looked at, and the shorter windows with enough words join in.
+
 Everything is DataFrame code. No task depends on one line's frequency: classes are counted with
 partial aggregation, and ranks are prefix sums over bounded buckets, split by the second rank
 where one first rank is frequent.
@@ -22,7 +25,10 @@ under any name.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,8 +38,28 @@ from tidewell.llm.common import documents, drop_written, prefix_totals, written
 RANK_BUCKET = 1 << 16
 
 
-def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+def _needed(lines: Column, min_lines: int, min_words: int) -> Column:
+    """For every line, how many lines from it on make a run that counts."""
+    counts = F.transform(lines, lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w.rlike(r"[\p{L}\p{N}]"))))
+
+    def need(counts: Column, i: Column) -> Column:
+        total, out = F.lit(0), F.when(F.lit(False), 0)
+        for m in range(1, min_lines):
+            total = total + F.coalesce(F.get(counts, i + (m - 1)), F.lit(0))
+            out = out.when(total >= min_words, m)
+        return out.otherwise(min_lines)
+
+    # the counts stand in an array of one element so that they are worked out once
+    return F.flatten(F.transform(F.array(counts), lambda c: F.transform(c, lambda _, i: need(c, i))))
+
+
+def _lines(docs: DataFrame, text_col: str, id_col: str, min_lines: int = 0, min_words: int | None = None) -> DataFrame:
     text = docs[text_col]
+    if min_words is not None:
+        whole = docs.where(text.isNotNull()).select(docs[id_col].alias("d"), F.xxhash64(text).alias("h"), F.split(text, "\n", -1).alias("lines"))
+        whole = whole.select("d", "h", F.arrays_zip("lines", _needed(F.col("lines"), min_lines, min_words).alias("need")).alias("both"))
+        each = whole.select("d", "h", F.posexplode("both").alias("i", "x")).select("d", "h", "i", "x.lines", "x.need")
+        return each.select("d", "h", "i", F.xxhash64("lines").alias("l1"), F.xxhash64(F.lit(7), "lines").alias("l2"), "need")
     # hashed below the explode; beside it, the text would be hashed again for every line
     whole = docs.where(text.isNotNull()).select(docs[id_col].alias("d"), F.xxhash64(text).alias("h"), F.split(text, "\n", -1).alias("lines"))
     return whole.select("d", "h", F.posexplode("lines").alias("i", "line")).select("d", "h", "i", F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(7), "line").alias("l2"))
@@ -57,48 +83,64 @@ def _shifted(active: DataFrame, by: int) -> DataFrame:
     return active.withColumn("r2", F.max("r").over(w)).where("r2 is not null")
 
 
-def suffix_intervals(docs: DataFrame, min_lines: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Suffixes in intervals of depth ``min_lines``: (d, h, i, r, sz, first), ``first`` being the earliest of the interval."""
+def _intervals(docs: DataFrame, min_lines: int, text_col: str, id_col: str, min_words: int | None) -> Iterator[tuple[int, DataFrame]]:
+    """(depth, suffixes in intervals of that depth); a table is gone once the next is asked for."""
     if min_lines < 1:
         raise ValueError("min_lines must be positive")
-    lines = _lines(docs, text_col, id_col).withColumn("sz", F.lit(0).cast("long"))
+    lines = _lines(docs, text_col, id_col, min_lines, min_words).withColumn("sz", F.lit(0).cast("long"))
     top = F.shiftright("l1", 48)
     classes = _classes(lines, "l1", "l2", [top])
     on = (F.col("l1") == F.col("ca")) & (F.col("l2") == F.col("cb"))
-    kept = ["d", "h", "i", F.col("rank").alias("r"), F.col("n").alias("sz"), "first"]
+    kept = ["d", "h", "i", F.col("rank").alias("r"), F.col("n").alias("sz"), "first", *(["need"] if min_words is not None else [])]
     active, depth = written(lines.drop("sz").join(classes, on).select(*kept), "lines-1"), 1
+    yield depth, active
     while depth < min_lines:
-        step = min(depth, min_lines - depth)
+        step = min(depth, min_lines - depth) if min_words is None else 1
         pairs = _shifted(active.drop("first"), step)
         # the class after a frequent one starts in a later bucket, so splitting the frequent by r2 keeps the order
         bucket = [F.floor(F.col("r") / RANK_BUCKET), F.when(F.col("sz") > RANK_BUCKET, F.floor(F.col("r2") / RANK_BUCKET)).otherwise(0)]
         classes = _classes(pairs, "r", "r2", bucket)
         on = (F.col("r") == F.col("ca")) & (F.col("r2") == F.col("cb"))
-        following, depth = written(pairs.drop("sz").join(classes, on).select("d", "h", "i", F.col("rank").alias("r"), F.col("n").alias("sz"), "first"), f"lines-{depth + step}"), depth + step
+        following, depth = written(pairs.drop("sz").join(classes, on).select(*kept), f"lines-{depth + step}"), depth + step
         drop_written(active)
         active = following
+        yield depth, active
+
+
+def suffix_intervals(docs: DataFrame, min_lines: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Suffixes in intervals of depth ``min_lines``: (d, h, i, r, sz, first), ``first`` being the earliest of the interval."""
+    *_, (_, active) = _intervals(docs, min_lines, text_col, id_col, None)
     return active
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def _later(active: DataFrame) -> DataFrame:
+    return active.where(F.struct("d", "h", "i") > F.col("first"))
+
+
+def repeated_runs(docs: DataFrame, min_lines: int = 3, text_col: str = "text", id_col: str = "doc_id", min_words: int | None = None) -> DataFrame:
     """Maximal runs of later copies: (d, h, start, n_lines), ``d`` the doc_id and ``h`` the hash of its text."""
-    later = suffix_intervals(docs, min_lines, text_col, id_col).where(F.struct("d", "h", "i") > F.col("first")).select("d", "h", "i").distinct()
+    if min_words is None:
+        later = _later(suffix_intervals(docs, min_lines, text_col, id_col)).select("d", "h", "i", F.lit(min_lines).alias("m"))
+    else:
+        found = [written(_later(active).where(F.col("need") <= depth).select("d", "h", "i", F.lit(depth).alias("m")), f"later-{depth}") for depth, active in _intervals(docs, min_lines, text_col, id_col, min_words)]
+        later = functools.reduce(DataFrame.union, found)
     w = Window.partitionBy("d", "h").orderBy("i")
-    fresh = F.coalesce(F.col("i") - F.lag("i").over(w) > min_lines, F.lit(True))
+    later = later.groupBy("d", "h", "i").agg(F.max(F.col("i") + F.col("m")).alias("end"))
+    fresh = F.coalesce(F.col("i") > F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     return (
         later.withColumn("run", F.sum(fresh.cast("long")).over(w))
         .groupBy("d", "h", "run")
-        .agg(F.min("i").alias("start"), (F.max("i") - F.min("i") + min_lines).alias("n_lines"))
+        .agg(F.min("i").alias("start"), (F.max("end") - F.min("i")).alias("n_lines"))
         .drop("run")
     )
 
 
-def line_dedup(docs: DataFrame, min_lines: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """All rows and columns of ``docs``, the text without later copies of runs of ``min_lines`` lines or more.
+def line_dedup(docs: DataFrame, min_lines: int = 3, text_col: str = "text", id_col: str = "doc_id", min_words: int | None = None) -> DataFrame:
+    """All rows and columns of ``docs``, the text without later copies of runs of ``min_lines`` lines or ``min_words`` words or more.
 
     Adds ``_n_lines`` and ``_n_removed``.
     """
-    runs = repeated_runs(docs, min_lines, text_col, id_col)
+    runs = repeated_runs(docs, min_lines, text_col, id_col, min_words)
     removed = runs.groupBy("d", "h").agg(F.flatten(F.collect_list(F.expr("sequence(start, start + n_lines - 1)"))).alias("removed"))
     rest = [c for c in docs.columns if c != text_col]
     whole = docs.select(
