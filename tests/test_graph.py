@@ -124,3 +124,28 @@ def test_feeds(spark):
     assert feeds.earnings(sub, datetime(2024, 3, 1), cursor="2024-01-01").count() == 0
     items = spark.createDataFrame([(1, "t", None, "b", 0, 5, 2, None, None), (2, "u", "http://y", "b", 0, 5, None, True, None)], "id long, title string, url string, by string, time long, score int, descendants int, deleted boolean, dead boolean")
     assert [(x["event_id"], x["comments"]) for x in feeds.hacker_news(items).collect()] == [("hn:1", 2)]
+
+
+def test_betweenness_is_the_same_beyond_the_bound(spark, monkeypatch, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rows = [(1, 2, 1.0), (1, 3, 1.0), (2, 4, 1.0), (3, 4, 1.0), (4, 5, 0.1), (5, 6, 0.5), (4, 6, 0.05), (7, 8, 1.0)]
+    t = spark.createDataFrame(rows, "path_a long, path_b long, weight double")
+    want = {x["path"]: x["betweenness"] for x in g.betweenness(t).collect()}
+    monkeypatch.setattr(g, "DRIVER_EDGES", 3)
+    got = {x["path"]: x["betweenness"] for x in g.betweenness(t).collect()}
+    assert got == pytest.approx(want, abs=2e-9) and want[4] > want[2] > 0
+
+
+def test_betweenness_query_takes_weak_edges(monkeypatch):
+    from tidewell.plans import catalog
+    from tidewell.plans import graph as plans
+
+    class Fake:
+        edges = "all fused edges"
+
+        def __init__(self, spark, sf):
+            pass
+
+    monkeypatch.setattr(plans, "Graph", Fake)
+    monkeypatch.setattr(g, "betweenness", lambda edges: edges)
+    assert catalog.QUERIES["betweenness"](None, "") == "all fused edges"

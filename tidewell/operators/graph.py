@@ -314,7 +314,7 @@ def betweenness(edges: DataFrame, pivots: int = 200, seed: int = 42) -> DataFram
     spark = edges.sparkSession
     rows = edges.select(F.col("path_a").cast("long"), F.col("path_b").cast("long"), F.col("weight").cast("double"))
     if rows.limit(DRIVER_EDGES + 1).count() > DRIVER_EDGES:
-        raise ValueError(f"shortest paths need the whole adjacency in each task: at most {DRIVER_EDGES} edges")
+        return _spread_betweenness(edges, pivots, seed)
     near: dict[int, list[tuple[int, float]]] = defaultdict(list)
     for a, b, w in rows.orderBy("path_a", "path_b").collect():  # size checked
         d = 1 / max(w, 1e-9)
@@ -337,6 +337,39 @@ def betweenness(edges: DataFrame, pivots: int = 200, seed: int = 42) -> DataFram
     return nodes.join(sums, "path", "left").select("path", half_up(F.coalesce("part", F.lit(0.0)) * scale, 9).alias("betweenness"))
 
 
+def _spread_betweenness(edges: DataFrame, pivots: int, seed: int) -> DataFrame:
+    """``betweenness`` with no task holding the adjacency: (source, node) states meet the edges in joins until they stand still."""
+    ends = both_ends(edges.select(F.col("path_a").cast("long"), F.col("path_b").cast("long"), F.col("weight").cast("double")), "path_a", "path_b")
+    ends = ends.select("node", "other", (1 / F.greatest("weight", F.lit(1e-9))).alias("d")).checkpoint()
+    nodes = ends.select(F.col("node").alias("path")).distinct().checkpoint()
+    n = nodes.count()
+    scale = (1 / ((n - 1) * (n - 2)) if n > 2 else 0.0) * (n / min(n, pivots) if n else 0.0)
+    known = nodes.orderBy(F.xxhash64(F.lit(seed), "path"), "path").limit(pivots).select(F.col("path").alias("s"), F.col("path").alias("node"), F.lit(0.0).alias("at")).checkpoint()
+    fresh = known
+    while not fresh.isEmpty():
+        through = fresh.join(ends, "node").groupBy("s", F.col("other").alias("node")).agg(F.min(F.col("at") + F.col("d")).alias("new"))
+        both = known.join(through, ["s", "node"], "full").withColumn("better", F.col("new").isNotNull() & (F.col("at").isNull() | (F.col("new") < F.col("at") - 1e-12))).checkpoint()
+        known = both.select("s", "node", F.when(F.col("better"), F.col("new")).otherwise(F.col("at")).alias("at"))
+        fresh = both.where("better").select("s", "node", F.col("new").alias("at"))
+    after = known.toDF("s", "other", "then")
+    steps = known.join(ends, "node").join(after, ["s", "other"]).where(F.abs(F.col("at") + F.col("d") - F.col("then")) <= 1e-12).select("s", "node", "other").checkpoint()
+
+    def summed(level: DataFrame, moved) -> DataFrame:
+        """The sum of a state and of all it becomes step by step; the steps have no cycle."""
+        total = level
+        while not level.isEmpty():
+            level = moved(level).checkpoint()
+            total = total.union(level).groupBy("s", "node").agg(F.sum("x").alias("x")).checkpoint()
+        return total
+
+    starts = known.where(F.col("at") == 0).select("s", "node", F.lit(1.0).alias("x"))
+    count = summed(starts, lambda level: level.join(steps, ["s", "node"]).groupBy("s", F.col("other").alias("node")).agg(F.sum("x").alias("x")))
+    shares = steps.join(count, ["s", "node"]).join(count.toDF("s", "other", "y"), ["s", "other"]).select("s", "node", "other", (F.col("x") / F.col("y")).alias("share")).checkpoint()
+    back = lambda level: shares.join(level.toDF("s", "other", "z"), ["s", "other"]).groupBy("s", "node").agg(F.sum(F.col("share") * F.col("z")).alias("x"))
+    sums = summed(shares.groupBy("s", "node").agg(F.sum("share").alias("x")), back).where("s <> node").groupBy(F.col("node").alias("path")).agg(F.sum("x").alias("part"))
+    return nodes.join(sums, "path", "left").select("path", half_up(F.coalesce("part", F.lit(0.0)) * scale, 9).alias("betweenness"))
+
+
 def dependencies(graph: dict[int, list[tuple[int, float]]], source: int) -> dict[int, float]:
     """Dependency of every node on shortest paths from ``source``."""
     distance, count, before, order = {source: 0.0}, defaultdict(float, {source: 1.0}), defaultdict(list), []

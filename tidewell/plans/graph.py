@@ -143,7 +143,7 @@ _graph("file_status", None, lambda x: r.file_status(x.files()))
 _graph("focus_graph", None, lambda x: g.focus_graph(x.edges, x.files()))
 _graph("suggestions", None, lambda x: r.suggestions((f := x.files()), (m := g.cluster_metrics(x.clusters, x.edges, f)), r.cluster_edges(x.edges, x.clusters, m), r.velocity(x.commits, x.clusters)))
 _graph("communities", None, lambda x: g.communities(x.edges))
-_graph("betweenness", None, lambda x: g.betweenness(x.edges.where("weight >= 0.2")))
+_graph("betweenness", None, lambda x: g.betweenness(x.edges))
 _graph("drift", None, lambda x: g.drift(x.commits, x.sem, x.dep))
 _graph("drift_trend", None, lambda x: g.drift_trend(g.drift(x.commits, x.sem, x.dep)))
 query("adjusted_rand", f"""WITH b AS (SELECT vec_id % 7 AS l, label AS r FROM embeddings), c AS (SELECT l, r, count(*) AS n FROM b GROUP BY 1, 2), s AS (SELECT sum(n * (n - 1) / 2.0) AS c, sum(n) AS n FROM c),
