@@ -149,3 +149,36 @@ def test_betweenness_query_takes_weak_edges(monkeypatch):
     monkeypatch.setattr(plans, "Graph", Fake)
     monkeypatch.setattr(g, "betweenness", lambda edges: edges)
     assert catalog.QUERIES["betweenness"](None, "") == "all fused edges"
+
+
+@pytest.mark.parametrize("name", ["file_status", "focus_graph", "suggestions"])
+def test_queries_without_sql_take_betweenness(spark, edges, clusters, monkeypatch, name):
+    from tidewell.plans import catalog
+    from tidewell.plans import graph as plans
+
+    commits = spark.createDataFrame([("x", 0, 1), ("y", 1, 2)], "commit_sha string, commit_ts long, path long")
+    made = plans.Graph.__new__(plans.Graph)
+    made.clusters, made.edges, made.sem, made.commits = clusters, edges, edges, commits
+    risk = {x["path"]: (x["betweenness"], x["hubness"]) for x in made.whole_files().collect()}
+    assert risk[1] == (0.0, round(0.5 / 1.5, 6)) and risk[2] == (pytest.approx(2 / 3), 1.0)
+
+    def files(self, between=None):
+        raise LookupError if between is not None else AssertionError("files without betweenness")
+
+    monkeypatch.setattr(plans.Graph, "files", files)
+    monkeypatch.setattr(plans, "Graph", lambda spark, sf: made)
+    with pytest.raises(LookupError):
+        catalog.QUERIES[name](spark, "")
+
+
+def test_sql_of_file_risk_holds_the_same_law(spark, edges, clusters):
+    duckdb = pytest.importorskip("duckdb")
+    between = g.betweenness(edges)
+    commits = spark.createDataFrame([("x", 0, 1)], "commit_sha string, commit_ts long, path long")
+    got = {x["path"]: x["hubness"] for x in g.file_metrics(clusters, edges, edges, commits, between).collect()}
+    db = duckdb.connect()
+    db.execute("CREATE TABLE f (path BIGINT, weighted_degree DOUBLE, betweenness DOUBLE)")
+    degree = {x["path"]: x["weighted_degree"] for x in g.degrees(edges).collect()}
+    db.executemany("INSERT INTO f VALUES (?, ?, ?)", [(x["path"], degree[x["path"]], x["betweenness"]) for x in between.collect()])
+    want = dict(db.execute("SELECT path, round(0.5 * (weighted_degree / max(weighted_degree) OVER ()) + 0.5 * (betweenness / max(betweenness) OVER ()), 6) FROM f").fetchall())
+    assert got == want

@@ -75,6 +75,10 @@ class Graph:
     def files(self, between=None):
         return g.file_metrics(self.clusters, self.edges, self.sem, self.commits, between)
 
+    def whole_files(self):
+        """Files with their betweenness, for queries without SQL; the SQL of the others fixes it at zero."""
+        return self.files(g.betweenness(self.edges)).cache()
+
     def metrics(self):
         return g.cluster_metrics(self.clusters, self.edges, self.files())
 
@@ -139,9 +143,9 @@ _graph("fitness_violations", """, big AS (SELECT * FROM km WHERE size >= 2)
 SELECT 'file_risk' AS category, CAST(path AS VARCHAR) AS entity, 'risk' AS metric, risk AS value, 0.3::DOUBLE AS threshold FROM fm WHERE risk > 0.3 UNION ALL SELECT 'boundary_leakage', CAST(cluster_id AS VARCHAR), 'leakage', leakage, 0.6 FROM big WHERE leakage > 0.6
 UNION ALL SELECT 'cohesion', CAST(cluster_id AS VARCHAR), 'cohesion', cohesion, 0.4 FROM big WHERE cohesion < 0.4 UNION ALL SELECT 'cluster_risk', CAST(cluster_id AS VARCHAR), 'risk_mean', risk_mean, 0.1 FROM big WHERE risk_mean > 0.1
 UNION ALL SELECT 'bus_factor', CAST(cluster_id AS VARCHAR), 'bus_factor', CAST(bus_factor AS DOUBLE), 15 FROM bf SEMI JOIN big USING (cluster_id) WHERE bus_factor < 15""", lambda x: r.fitness((f := x.files()), g.cluster_metrics(x.clusters, x.edges, f), r.bus_factor(r.author_stats(x.commits, x.clusters)), max_file_risk=0.3, max_risk_mean=0.1, min_bus=15))
-_graph("file_status", None, lambda x: r.file_status(x.files()))
-_graph("focus_graph", None, lambda x: g.focus_graph(x.edges, x.files()))
-_graph("suggestions", None, lambda x: r.suggestions((f := x.files()), (m := g.cluster_metrics(x.clusters, x.edges, f)), r.cluster_edges(x.edges, x.clusters, m), r.velocity(x.commits, x.clusters)))
+_graph("file_status", None, lambda x: r.file_status(x.whole_files()))
+_graph("focus_graph", None, lambda x: g.focus_graph(x.edges, x.whole_files()))
+_graph("suggestions", None, lambda x: r.suggestions((f := x.whole_files()), (m := g.cluster_metrics(x.clusters, x.edges, f)), r.cluster_edges(x.edges, x.clusters, m), r.velocity(x.commits, x.clusters)))
 _graph("communities", None, lambda x: g.communities(x.edges))
 _graph("betweenness", None, lambda x: g.betweenness(x.edges))
 _graph("drift", None, lambda x: g.drift(x.commits, x.sem, x.dep))
