@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tidewell.llm import line_dedup, shingle_join
+from tidewell.llm import line_dedup, shingle_join, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -86,3 +86,11 @@ def test_lines_stage_cuts_short_runs_and_whole_short_copies(spark):
     rows = [(0, "a passage of one line\nown"), (1, "first\na passage of one line\nlast"), (2, "short\ncopy"), (3, "short\ncopy"), (4, "}\nx1\n\nx2"), (5, "}\nx3\n\nx4")]
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, documents(spark, rows), "").collect()}
     assert got == {0: rows[0][1], 1: "first\nlast", 2: "short\ncopy", 4: rows[4][1], 5: rows[5][1]}
+
+
+@pytest.mark.parametrize("dedup", [simhash.near_dedup, shingle_join.jaccard_dedup])
+def test_rows_without_id_or_with_one_id_keep_unrelated_texts(spark, dedup):
+    texts = [" ".join(f"{c}{k}" for k in range(40)) for c in "abcde"]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (5, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4])]
+    got = sorted((str(r["doc_id"]), r["text"]) for r in dedup(documents(spark, rows)).collect())
+    assert got == sorted([("None", texts[0]), ("5", texts[1]), ("None", texts[2]), ("7", texts[3]), ("7", texts[4])])

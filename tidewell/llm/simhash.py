@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import documents, written
+from tidewell.llm.common import documents, first_rows, text_hash, written
 from tidewell.llm.components import components
 
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
@@ -68,16 +68,16 @@ def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) of every row; ``fp`` as a signed long."""
+    """(id, fp, h) of every row; ``fp`` as a signed long, ``h`` the hash of the text."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             fps = np.array([fingerprint(t, size, seed) for t in x["text"].to_pylist()], np.uint64).view(np.int64)
-            yield pa.record_batch([x["id"], pa.array(fps)], names=["id", "fp"])
+            yield pa.record_batch([x["id"], pa.array(fps), x["h"]], names=["id", "fp", "h"])
 
     text = F.coalesce(docs[text_col].cast("binary"), F.lit(b""))
-    return docs.select(docs[id_col].alias("id"), text.alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(docs[id_col].alias("id"), text.alias("text"), text_hash(docs[text_col]).alias("h")).mapInArrow(run, f"id {kind}, fp long, h long")
 
 
 def forest(values: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
@@ -146,23 +146,25 @@ def links(fps: DataFrame, max_bits: int) -> DataFrame:
     return lists.mapInArrow(run, "a long, b long").distinct()
 
 
-def simhash_groups(docs: DataFrame, size: int = 3, max_bits: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id) of every row; the component is named by its smallest id."""
+def _named(docs: DataFrame, size: int, max_bits: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, fp, h, group, component_id) of every row: ``group`` is a fingerprint of the component."""
     prints = written(fingerprints(docs, size, seed, id_col, text_col), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
     roots = components(links(distinct.select("fp"), max_bits))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(names, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("id", "fp", "component_id")
+    named = named.join(names, "root").select("fp", F.col("root").alias("group"), "component_id")
+    return prints.join(named, "fp").select("id", "fp", "h", "group", "component_id")
+
+
+def simhash_groups(docs: DataFrame, size: int = 3, max_bits: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, component_id) of every row; the component is named by its smallest id."""
+    return _named(docs, size, max_bits, seed, id_col, text_col).select("id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, size: int = 5, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that stay: of each component the one with the smallest id, rows repeating that id once; all columns kept."""
-    groups = simhash_groups(docs, size, max_bits, id_col=id_col, text_col=text_col)
-    first = groups.select("component_id").distinct()
-    whole = docs.join(first, docs[id_col].eqNullSafe(first["component_id"]), "left_semi")
-    return whole.dropDuplicates([id_col])
+    """Rows of ``docs`` that stay: of each component the one with the smallest id, then text hash, rows repeating it once; all columns kept."""
+    return first_rows(docs, _named(docs, size, max_bits, 42, id_col, text_col), id_col, text_col)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
