@@ -40,7 +40,9 @@ RANK_BUCKET = 1 << 16
 
 def _needed(lines: Column, min_lines: int, min_words: int) -> Column:
     """For every line, how many lines from it on make a run that counts."""
-    counts = F.transform(lines, lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w.rlike(r"[\p{L}\p{N}]"))))
+    # one word is soon seen; more are counted by the first letter or digit of each
+    one, each = r"[\p{L}\p{N}]", r"(?<!\S)[^\s\p{L}\p{N}]*+[\p{L}\p{N}]"
+    counts = F.transform(lines, lambda x: x.rlike(one).cast("int") if min_words == 1 else F.regexp_count(x, F.lit(each)))
 
     def need(counts: Column, i: Column) -> Column:
         total, out = F.lit(0), F.when(F.lit(False), 0)
