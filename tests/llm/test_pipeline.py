@@ -1,11 +1,12 @@
 """The stages of the pipeline against brute-force versions of their own laws."""
 
+import hashlib
 import random
 
 import pytest
 
 import corpus_pipeline
-from tidewell.llm import line_dedup, shingle_join, simhash
+from tidewell.llm import line_dedup, shingle_join, simhash, substring_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -94,3 +95,13 @@ def test_rows_without_id_or_with_one_id_keep_unrelated_texts(spark, dedup):
     rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (5, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4])]
     got = sorted((str(r["doc_id"]), r["text"]) for r in dedup(documents(spark, rows)).collect())
     assert got == sorted([("None", texts[0]), ("5", texts[1]), ("None", texts[2]), ("7", texts[3]), ("7", texts[4])])
+
+
+def test_substrings_and_packed_stages(spark):
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(0, f"a0 a1 {passage} a2"), (1, f"b0 {passage} b1"), (2, "alone")]
+    kept = corpus_pipeline.substrings(spark, documents(spark, rows), "")
+    want = substring_dedup.brute_force(rows)
+    got = {r["doc_id"]: hashlib.sha256(r["text"].encode()).hexdigest() for r in kept.collect()}
+    assert got == {d: w[2] for d, w in want.items()} and want[1][1] == 30
+    assert {r["doc_id"] for r in corpus_pipeline.packed(spark, kept, "").collect()} == {0, 1, 2}
