@@ -424,8 +424,10 @@ def test_exact_dedup(spark, odd, empty, tmp_path):
     got = exact_dedup.exact_dedup(spark, path, files_per_batch=1).collect()  # several batches, state carried over
     assert len(got) == odd.count()
     by = {}
-    for r in got:
+    for r in sorted(got, key=lambda r: not r["kept"]):
         by.setdefault(r["id"], r)
+    groups = Counter(r["text_sha256"] for r in got if r["kept"])
+    assert set(groups.values()) == {1} and len(groups) == len({r["text_sha256"] for r in got})
     assert (by[3]["keep_id"], by[3]["group_size"], by[3]["kept"], by[10]["kept"]) == (10, 4, False, True)
     assert (by[0]["keep_id"], by[0]["group_size"]) == (1, 3) and by[1]["kept"] and by[8]["kept"] and by[6]["kept"] and not by[5]["kept"]
     assert by[None]["kept"] and by[None]["group_size"] == 2 and by[10]["text_sha256"] == hashlib.sha256(b"one two").hexdigest()
@@ -441,10 +443,32 @@ def test_collisions_are_told_apart(spark, odd, tmp_path):
     state = exact_dedup.stream_state(spark, path, docs.schema)
     assert exact_dedup.confirmed(docs, state).count() == 0
     digest = bytes.fromhex(hashlib.sha256(b"a").hexdigest())
-    wrong = state.where(F.col("digest") == digest).withColumn("locator", F.lit("elsewhere"))  # as if the locator held other bytes
+    wrong = state.where(F.col("digest") == digest).withColumn("place", F.lit(1).cast("long"))  # as if the locator held other bytes
     assert exact_dedup.confirmed(docs, wrong).count() == 1
 
 
+def kept_of(spark, tmp_path, rows, schema):
+    path = f"file://{tmp_path}/ties.parquet"
+    spark.createDataFrame(rows, schema).repartition(2).write.parquet(path)
+    return exact_dedup.exact_dedup(spark, path).collect()
+
+
+@pytest.mark.parametrize("often", [1_000, 1])
+def test_exactly_one_row_of_a_group_stays(spark, tmp_path, monkeypatch, often):
+    monkeypatch.setattr(exact_dedup, "OFTEN", often)  # with 1, groups of two are joined as frequent ones
+    got = kept_of(spark, tmp_path, [(7, "X"), (7, "x"), (1, "x"), (None, "y"), (None, "y"), (3, "z"), (3, "z"), (4, "alone")], "doc_id long, text string")
+    groups = {}
+    for r in got:
+        groups.setdefault(r["text_sha256"], []).append(r)
+    assert sorted(len(g) for g in groups.values()) == [1, 2, 2, 3] and all(sum(r["kept"] for r in g) == 1 for g in groups.values())
+    assert all({r["group_size"] for r in g} == {len(g)} and {r["keep_id"] for r in g} == {next(r["id"] for r in g if r["kept"])} for g in groups.values())
+
+
+def test_exact_dedup_takes_ids_of_any_type(spark, tmp_path):
+    got = {r["id"]: (r["keep_id"], r["kept"]) for r in kept_of(spark, tmp_path, [("a", "X"), ("b", "x"), ("c", "y")], "doc_id string, text string")}
+    assert got == {"a": ("b", False), "b": ("b", True), "c": ("c", True)}
+
+
 # 9 quality
 
 

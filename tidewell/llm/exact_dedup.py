@@ -3,17 +3,19 @@
 The documents are read as a stream. Its state, kept by RocksDB on the executors' disks and logged
 in the shared checkpoint folder, holds for each digest of the normalised text (A-Z lower-cased) the
 stable identifier that stays so far (the largest doc_id), how many rows came, and a content locator
-(file and id of the row that stays). State is never dropped, so a copy is found however late it
+(file and place of the row that stays). State is never dropped, so a copy is found however late it
 comes, and a batch that is lost with its executor is replayed from offsets and state log. Arrivals
 are aggregated before the exchange, so a digest that a third of all rows share costs one state row a task.
 
 A hit is a digest with more than one row. Hits are checked on their full bytes: the text at the
-locator is read again and compared with every member's. Should equal digests ever hide different
-bytes, those digests are grouped anew by the bytes themselves.
-
-Cases. A null text counts as empty. Repeated rows are members of their group like any other. A null
-``doc_id`` stays only if no row of the group has an id. Very long texts are only hashed and compared.
-An empty table gives no rows.
+locator is read again and compared with every member's, in partial aggregates, so no task gathers the
+texts of a group. Should equal digests ever hide different bytes, those digests are grouped anew by
+the bytes themselves.
+
+Cases. A null text counts as empty. Exactly one row of a group stays, also where rows share the largest ``doc_id``,
+repeat each other or all have no id: of equal ids the one furthest on by file, then place in the file. A null ``doc_id``
+stays only if no row of the group has an id. Ids may be of any type with an order. Very long texts are
+only hashed and compared. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from tidewell.llm.common import ascii_lower, documents, scratch_path, written
 
 #: Digests of hits up to this number (32 bytes each, so 3.2 MB) are broadcast to filter the texts to check; more are joined by shuffle.
 BROADCAST_DIGESTS = 100_000
+#: Groups of fewer rows are never set apart.
+OFTEN = 1_000
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -40,13 +44,13 @@ def normalised(text: Column) -> Column:
     return ascii_lower(F.coalesce(text, F.lit("")))
 
 
-def locator(id_col: str) -> Column:
-    """Where a text lies: the file, and the row's id in it. Only tables read from files have one."""
-    return F.concat_ws("#", F.col("_metadata.file_path"), F.col(id_col).cast("string")).alias("locator")
+def locator() -> list[Column]:
+    """Where a row lies: its file, and its place in it. Only tables read from Parquet files have one."""
+    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")]
 
 
 def stream_state(spark: SparkSession, path: str, schema, files_per_batch: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Run the stream over all files at ``path`` and return its final state: (digest, keep_id, group_size, locator)."""
+    """Run the stream over all files at ``path`` and return its final state: (digest, keep_id, group_size, file, place)."""
     session = spark.newSession()
     for k, v in ROCKSDB.items():
         session.conf.set(k, v)
@@ -54,8 +58,8 @@ def stream_state(spark: SparkSession, path: str, schema, files_per_batch: int =
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     pattern = f"{path[:-1]}[{path[-1]}]"  # a pattern of this one path: the stream source takes files by pattern only
     source = session.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
-    rows = source.select(F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest"), F.col(id_col).alias("id"), locator(id_col))
-    state = rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"), F.max_by("locator", "id").alias("locator"))
+    rows = source.select(F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest"), F.col(id_col).alias("keep_id"), *locator())
+    state = rows.groupBy("digest").agg(F.max(F.struct("keep_id", "file", "place")).alias("kept"), F.count("*").alias("group_size"))
     out, offsets = scratch_path(spark, "dedup-updates"), scratch_path(spark, "dedup-offsets")
 
     def append(batch: DataFrame, number: int) -> None:
@@ -64,11 +68,13 @@ def stream_state(spark: SparkSession, path: str, schema, files_per_batch: int =
 
     query = state.writeStream.outputMode("update").option("checkpointLocation", offsets).trigger(availableNow=True).foreachBatch(append).start()
     query.awaitTermination()
-    fields = "digest binary, keep_id long, group_size long, locator string, batch int"
+    kind = schema[id_col].dataType.simpleString()
+    fields = f"digest binary, kept struct<keep_id:{kind},file:string,place:long>, group_size long, batch int"
     if not _exists(spark, out):
-        return spark.createDataFrame([], fields).drop("batch")
-    updates = spark.read.schema(fields).option("basePath", out).parquet(out)
-    return updates.groupBy("digest").agg(F.max_by(F.struct("keep_id", "group_size", "locator"), "batch").alias("s")).select("digest", "s.*")
+        updates = spark.createDataFrame([], fields)
+    else:
+        updates = spark.read.schema(fields).option("basePath", out).parquet(out)
+    return updates.groupBy("digest").agg(F.max_by(F.struct("kept", "group_size"), "batch").alias("s")).select("digest", "s.kept.*", "s.group_size")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -76,30 +82,47 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def confirmed(docs: DataFrame, state: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(digest) of hits whose members don't all have the bytes found at the locator."""
-    hits = state.where("group_size > 1").select("digest", F.col("locator").alias("at"))
-    members = docs.select(locator(id_col), normalised(docs[text_col]).alias("bytes")).withColumn("digest", F.unhex(F.sha2("bytes", 256)))
+def _joined(rows: DataFrame, state: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the state of their digest. Digests with more than one in ``BROADCAST_DIGESTS`` of all rows, at most so many, are broadcast, so none of them is gathered in a task."""
+    total = state.agg(F.sum("group_size")).first()[0] or 0
+    often = state.where(F.col("group_size") > max(OFTEN, total // BROADCAST_DIGESTS))
+    if often.isEmpty():
+        return rows.join(state, "digest", how)
+    names = often.select("digest")
+    rest = state.join(F.broadcast(names), "digest", "left_anti")
+    return rows.join(F.broadcast(often), "digest", how).unionByName(rows.join(F.broadcast(names), "digest", "left_anti").join(rest, "digest", how))
+
+
+def confirmed(docs: DataFrame, state: DataFrame, text_col: str = "text") -> DataFrame:
+    """(digest) of hits whose members don't all have the bytes found at the locator.
+
+    Members meet in one aggregate a digest, of which each task passes on three texts at most.
+    """
+    hits = state.where("group_size > 1").select("digest", "group_size", F.col("file").alias("at_file"), F.col("place").alias("at_place"))
+    members = docs.select(*locator(), normalised(docs[text_col]).alias("bytes")).withColumn("digest", F.unhex(F.sha2("bytes", 256)))
     few = hits.count() <= BROADCAST_DIGESTS
-    members = members.join(F.broadcast(hits) if few else hits, "digest")
-    located = members.where(F.col("locator") == F.col("at")).groupBy("digest").agg(F.min("bytes").alias("held"))
-    return members.join(located, "digest", "left").where(~F.col("bytes").eqNullSafe(F.col("held"))).select("digest").distinct()
+    members = members.join(F.broadcast(hits), "digest") if few else _joined(members, hits)
+    held = F.max(F.when((F.col("file") == F.col("at_file")) & (F.col("place") == F.col("at_place")), F.col("bytes")))
+    by = members.groupBy("digest").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high"), held.alias("held"))
+    return by.where(~(F.col("low").eqNullSafe(F.col("held")) & F.col("high").eqNullSafe(F.col("held")))).select("digest")
 
 
 def exact_groups(docs: DataFrame, state: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, keep_id, group_size, kept, text_sha256, locator) of every row."""
+    """(id, keep_id, group_size, kept, text_sha256) of every row; exactly one row of each group is kept."""
     state = written(state, "dedup-state")
-    collided = written(confirmed(docs, state, id_col, text_col), "collided")
-    rows = docs.select(docs[id_col].alias("id"), F.unhex(F.sha2(normalised(docs[text_col]), 256)).alias("digest"))
-    groups = rows.join(state, "digest").select("id", "digest", "keep_id", "group_size", "locator")
+    collided = written(confirmed(docs, state, text_col), "collided")
+    rows = docs.select(docs[id_col].alias("id"), *locator(), F.unhex(F.sha2(normalised(docs[text_col]), 256)).alias("digest"))
+    found = state.withColumnsRenamed({"file": "keep_file", "place": "keep_place"})
+    groups = _joined(rows, found)
     if not collided.isEmpty():
-        texts = docs.select(docs[id_col].alias("id"), normalised(docs[text_col]).alias("bytes")).withColumn("digest", F.unhex(F.sha2("bytes", 256)))
+        texts = docs.select(docs[id_col].alias("id"), *locator(), normalised(docs[text_col]).alias("bytes")).withColumn("digest", F.unhex(F.sha2("bytes", 256)))
         texts = texts.join(collided, "digest", "left_semi")
-        by_bytes = texts.groupBy("digest", "bytes").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-        anew = texts.join(by_bytes, ["digest", "bytes"]).select("id", "digest", "keep_id", "group_size", F.lit(None).cast("string").alias("locator"))
-        groups = groups.join(collided, "digest", "left_anti").select(anew.columns).union(anew)
-    kept = F.coalesce(F.col("id") == F.col("keep_id"), F.col("keep_id").isNull())
-    return groups.select("id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "locator")
+        by_bytes = texts.groupBy("digest", "bytes").agg(F.max(F.struct("id", "file", "place")).alias("k"), F.count("*").alias("group_size"))
+        by_bytes = by_bytes.select("digest", "bytes", "group_size", F.col("k.id").alias("keep_id"), F.col("k.file").alias("keep_file"), F.col("k.place").alias("keep_place"))
+        anew = texts.join(by_bytes, ["digest", "bytes"]).drop("bytes")
+        groups = groups.join(collided, "digest", "left_anti").unionByName(anew)
+    kept = (F.col("file") == F.col("keep_file")) & (F.col("place") == F.col("keep_place"))
+    return groups.select("id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def exact_dedup(spark: SparkSession, path: str, files_per_batch: int = 4096) -> DataFrame:
