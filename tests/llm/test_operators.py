@@ -82,15 +82,17 @@ def test_line_dedup_keeps_columns_and_odd_rows(odd, empty):
 
 
 def test_media_round_trip_and_digests(odd, empty, spark):
-    got = {(r["id"], r["n_bytes"]): r for r in media.media_columns(odd).collect()}
+    stored = media.stored_media(odd)
+    got = {(r["id"], r["n_bytes"]): r for r in media.media_features(stored).collect()}
+    pngs = {(r["id"], r["n_bytes"]): bytes(r["media"]) for r in stored.collect()}
     for d, t in enumerate(ODD):
         data = (t or "").encode()
         payload = data + b"\xff" * (max(576, -(-len(data) // 576) * 576) - len(data))
         r = got[d, len(data)]
         assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
-        assert (r["media_bytes"], r["media_sha256"]) == (len(r["media"]), hashlib.sha256(bytes(r["media"])).hexdigest())
-        assert media.decode_png(bytes(r["media"])).tobytes() == payload
-    assert got[3, 7]["feature"] == got[4, 7]["feature"] and media.media_columns(empty).count() == 0
+        assert (r["media_bytes"], r["media_sha256"]) == (len(pngs[d, len(data)]), hashlib.sha256(pngs[d, len(data)]).hexdigest())
+        assert media.decode_png(pngs[d, len(data)]).tobytes() == payload
+    assert got[3, 7]["feature"] == got[4, 7]["feature"] and media.media_features(media.stored_media(empty)).count() == 0
 
 
 def test_png_filters_and_damage():
@@ -115,6 +117,30 @@ def test_png_filters_and_damage():
         media.decode_png(b"GIF89a")
 
 
+def test_png_rows_take_filters_and_come_back():
+    rng = np.random.default_rng(4)
+    ramp = (np.arange(24)[None, :] * 9 + np.arange(40)[:, None] * 7).astype(np.uint8)
+    for samples in (ramp, np.repeat(ramp[:1], 40, axis=0), rng.integers(0, 256, (40, 24), np.uint8), rng.integers(97, 123, (1, 24), np.uint8)):
+        rows = media.filtered(samples)
+        assert (media.unfilter(rows) == samples).all() and (media.decode_png(media.encode_png(samples)) == samples).all()
+    assert set(media.filtered(ramp)[1:, 0].tolist()) <= {media.FILTER_SUB, media.FILTER_UP} and set(media.filtered(np.repeat(ramp[:1], 40, axis=0))[1:, 0].tolist()) == {media.FILTER_UP}
+
+
+def test_cosine_hash_equals_plain_transform():
+    """Averages and cosine sums by their definitions."""
+    rng = np.random.default_rng(5)
+    for height in (24, 31, 60):
+        x = rng.integers(0, 256, (height, 24)).astype(float)
+        small = np.zeros((24, 24))
+        for i in range(24):
+            low, high = i * height / 24, (i + 1) * height / 24
+            for y in range(height):
+                small[i] += x[y] * max(0.0, min(high, y + 1) - max(low, y)) / (high - low)
+        plain = [[sum(small[y, z] * np.cos(np.pi * (2 * y + 1) * u / 48) * np.cos(np.pi * (2 * z + 1) * v / 48) for y in range(24) for z in range(24)) for v in range(8)] for u in range(8)]
+        bits = [c > np.median(plain) for row in plain for c in row]
+        assert int(media.cosine_hash(x.astype(np.uint8)), 16) == int("".join("01"[int(b)] for b in bits), 2)
+
+
 def test_cosine_hash_moves_little():
     rng = np.random.default_rng(2)
     x = np.kron(rng.integers(0, 200, (6, 6)), np.ones((8, 8))).astype(np.uint8)

@@ -1,13 +1,16 @@
 """Operator 2, media columns: PNG images in binary columns and a low-frequency cosine hash of them.
 
 ``encode_png`` writes 8-bit grey samples as a PNG: signature, IHDR, IDAT with the zlib stream, IEND, each chunk
-with its CRC. ``decode_png`` walks the chunks, tests every checksum (a damaged chunk raises
-``ValueError``), inflates and takes the five row filters back in numpy. ``cosine_hash`` averages
+with its CRC; every row takes the filter (none, Sub or Up) that leaves the smallest sum of differences.
+``decode_png`` walks the chunks, tests every checksum (a damaged chunk raises ``ValueError``), inflates
+and takes all five row filters back in numpy, runs of rows of one kind at once. ``cosine_hash`` averages
 the samples to 24 x 24, takes the two-dimensional cosine transform, and sets a bit for each of the
 8 x 8 lowest frequencies that lies above their median; equal images give equal hashes and slight
 changes flip few bits.
 
-Everything happens inside one row, so there is no exchange; rows flow through in Arrow batches.
+``stored_media`` fills the binary column and ``media_features`` reads it back; the query writes the column to
+a table between the two. Everything happens inside one row, so there is no exchange; rows flow through
+in Arrow batches.
 
 Cases. Null or empty text: the payload is 576 bytes of 255. Repeated rows give equal values. Long texts are
 one tall image. An empty table gives no rows. Other columns are not read.
@@ -23,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import documents
+from tidewell.llm.common import documents, written
 
 # Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -43,13 +47,21 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(data, zlib.crc32(kind)))
 
 
+def filtered(samples: np.ndarray) -> np.ndarray:
+    """Rows (height, 1 + width): the kind of filter, then none, Sub or Up, whichever leaves the smallest sum of differences."""
+    left, above = np.zeros_like(samples), np.zeros_like(samples)
+    left[:, 1:], above[1:] = samples[:, :-1], samples[:-1]
+    choices = samples, samples - left, samples - above  # modulo 256, as the format has it
+    cost = np.stack([np.abs(c.view(np.int8).astype(np.int16)).sum(axis=1) for c in choices])
+    kind = np.argmin(cost, axis=0)  # in the order of FILTER_NONE, FILTER_SUB, FILTER_UP
+    return np.hstack([kind.astype(np.uint8)[:, None], np.choose(kind[:, None], choices)])
+
+
 def encode_png(samples: np.ndarray, level: int = LEVEL) -> bytes:
-    """8-bit grey samples (height, width); rows are stored unfiltered, which suits text."""
+    """8-bit grey samples (height, width)."""
     height, width = samples.shape
-    rows = np.zeros((height, width + 1), np.uint8)
-    rows[:, 1:] = samples
     head = struct.pack(">IIBBBBB", width, height, 8, GREY, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), level)) + _chunk(b"IEND", b"")
+    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(filtered(samples).tobytes(), level)) + _chunk(b"IEND", b"")
 
 
 def chunks(png: bytes) -> Iterator[tuple[bytes, bytes]]:
@@ -71,30 +83,39 @@ def chunks(png: bytes) -> Iterator[tuple[bytes, bytes]]:
     raise ValueError("no end")
 
 
+def _predicted(out: np.ndarray, kinds: np.ndarray, above: np.ndarray) -> None:
+    """Take back rows of the kinds Average and Paeth, in place: a pixel needs its left, upper and corner ones, so all of one diagonal go at once."""
+    height, width = out.shape
+    padded = np.zeros((height + 1, width + 1), np.int16)
+    padded[0, 1:] = above
+    average = (kinds == FILTER_AVERAGE).astype(bool)
+    for s in range(height + width - 1):
+        y = np.arange(max(0, s - width + 1), min(height, s + 1))
+        x = s - y
+        left, up, corner = padded[y + 1, x], padded[y, x + 1], padded[y, x]
+        guess = left + up - corner
+        near = np.stack([np.abs(guess - left), np.abs(guess - up), np.abs(guess - corner)])
+        paeth = np.choose(np.argmin(near, axis=0), (left, up, corner))  # the first of the nearest
+        padded[y + 1, x + 1] = (out[y, x] + np.where(average[y], (left + up) // 2, paeth)) & 255
+    out[:] = padded[1:, 1:]
+
+
 def unfilter(rows: np.ndarray) -> np.ndarray:
     """Samples of filtered rows (height, 1 + width) with one byte a pixel."""
     kinds, out = rows[:, 0], rows[:, 1:].copy()
-    if not kinds.any():
-        return out
-    above = np.zeros(out.shape[1], np.uint8)
-    for y, kind in enumerate(kinds.tolist()):
-        row = out[y]
-        if kind == FILTER_SUB:
-            row[:] = np.cumsum(row, dtype=np.uint8)
-        elif kind == FILTER_UP:
-            row += above
-        elif kind in (FILTER_AVERAGE, FILTER_PAETH):
-            left = corner = 0
-            for x, (raw, up) in enumerate(zip(row.tolist(), above.tolist(), strict=True)):
-                if kind == FILTER_AVERAGE:
-                    guess = (left + up) // 2
-                else:
-                    guess = min((left, up, corner), key=lambda c, e=left + up - corner: abs(e - c))  # the first of the nearest
-                left, corner = (raw + guess) & 255, up
-                row[x] = left
-        elif kind != FILTER_NONE:
-            raise ValueError(f"filter {kind}")
-        above = row
+    if len(kinds) and kinds.max() > FILTER_PAETH:
+        raise ValueError(f"filter {kinds.max()}")
+    group = np.minimum(kinds, FILTER_AVERAGE)  # Average and Paeth are taken back together
+    starts = np.nonzero(np.concatenate([[True], group[1:] != group[:-1]]))[0].tolist() if len(kinds) else []
+    for s, e in zip(starts, [*starts[1:], len(kinds)], strict=True):
+        part, above = out[s:e], out[s - 1] if s else np.zeros(out.shape[1], np.uint8)
+        if group[s] == FILTER_SUB:
+            np.cumsum(part, axis=1, dtype=np.uint8, out=part)
+        elif group[s] == FILTER_UP:
+            part[0] += above
+            np.cumsum(part, axis=0, dtype=np.uint8, out=part)
+        elif group[s] == FILTER_AVERAGE:
+            _predicted(part, kinds[s:e], above)
     return out
 
 
@@ -144,31 +165,43 @@ def to_media(text: bytes) -> bytes:
     return encode_png(np.frombuffer(payload(text), np.uint8).reshape(-1, WIDTH))
 
 
-MEDIA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def media_columns(docs: DataFrame, with_media: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the PNG (binary column ``media``, left out on request), what reading it back gives, and its hash."""
+def stored_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes, media) of every row: ``media`` is a binary column of PNGs."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for text in x["text"].to_pylist():
-                png = to_media(text)
-                samples = decode_png(png)
+            texts = x["text"]
+            media = pa.array((to_media(t.as_py()) for t in texts), pa.binary())
+            yield pa.record_batch([x["id"], pc.binary_length(texts).cast(pa.int64()), media], names=["id", "n_bytes", "media"])
+
+    text = F.coalesce(docs[text_col].cast("binary"), F.lit(b""))
+    return docs.select(docs[id_col].alias("id"), text.alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, media binary")
+
+
+def media_features(stored: DataFrame) -> DataFrame:
+    """(id, n_bytes) with what reading the binary column ``media`` back gives, and the hash of the image."""
+    kind = stored.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        names = [f.split()[0] for f in READ.split(", ")]
+        for x in batches:
+            out: list[list] = [[] for _ in kinds]
+            for png in x["media"]:
+                data = png.as_py()
+                samples = decode_png(data)
                 back = samples.tobytes()
-                values = len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(png), hashlib.sha256(png).hexdigest(), cosine_hash(samples), png
+                values = len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(data), hashlib.sha256(data).hexdigest(), cosine_hash(samples)
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-            n = 8 if with_media else 7
-            names = [f.split()[0] for f in MEDIA.split(", ")] + ["media"]
-            yield pa.record_batch([x["id"], *(pa.array(c, k) for c, k in zip(out[:n], kinds, strict=False))], names=["id", *names[:n]])
+            yield pa.record_batch([x["id"], x["n_bytes"], *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["id", "n_bytes", *names])
 
-    text = F.coalesce(docs[text_col].cast("binary"), F.lit(b""))
-    return docs.select(docs[id_col].alias("id"), text.alias("text")).mapInArrow(run, f"id {kind}, {MEDIA}" + ", media binary" * with_media)
+    return stored.select("id", "n_bytes", "media").mapInArrow(run, f"id {kind}, n_bytes long, {READ}")
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(documents(spark, sf_dir), with_media=False).withColumnRenamed("id", "doc_id")
+    return media_features(written(stored_media(documents(spark, sf_dir)), "media")).withColumnRenamed("id", "doc_id")
