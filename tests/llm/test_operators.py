@@ -152,33 +152,51 @@ def test_cosine_hash_moves_little():
 # 3 packing
 
 
-def test_best_fit_equals_plain_best_fit_decreasing():
-    for seed in range(30):
-        rng = random.Random(seed)
-        size = 50
-        lengths = [rng.randrange(1, size + 1) for _ in range(rng.randrange(0, 120))]
-        given, sequences = packing.best_fit(Counter(lengths), size)
-        gaps = []
-        for n in sorted(lengths, reverse=True):
-            fits = [k for k, g in enumerate(gaps) if g >= n]
+def plain_best_fit(lengths, size):
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        fits = [k for k, g in enumerate(gaps) if g >= n]
+        if fits:
+            gaps[min(fits, key=lambda k: gaps[k])] -= n
+        else:
+            gaps.append(size - n)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_is_as_good_as_plain_best_fit(spark, seed):
+    rng = random.Random(seed)
+    size = 50
+    lengths = [[rng.randrange(1, size + 1) for _ in range(300)], [rng.choice([1, 7, 26, 50]) for _ in range(200)], [1] * 120, [17] * 50 + [16] * 50 + [1]][seed]
+    cut = spark.createDataFrame([(k, 0, n) for k, n in enumerate(lengths)], "id long, piece int, length long")
+    got = packing.pack(cut, size).toPandas().sort_values(["sequence_id", "offset"])
+    assert sorted(got.length) == sorted(lengths) and sorted(got.id) == list(range(len(lengths)))
+    assert (got.groupby("sequence_id").length.cumsum() - got.length == got.offset).all() and got.groupby("sequence_id").length.sum().max() <= size
+    assert got.sequence_id.nunique() <= plain_best_fit(lengths, size) * 1.02 + 1
+
+
+def test_sweep_equals_a_stack(spark):
+    """Places from narrow to wide, each taking the longest piece that fits and is left."""
+    rng = random.Random(11)
+    for _ in range(3):
+        items, gaps = [rng.randrange(10, 20) for _ in range(60)], [rng.randrange(5, 40) for _ in range(35)]
+        rows = spark.createDataFrame([(k, n) for k, n in enumerate(items)], "k long, length long")
+        open_ = spark.createDataFrame([(1000 + k, g) for k, g in enumerate(gaps)], "sequence_id long, gap long")
+        places = packing.offered(open_, min(items), max(items), 10**9)
+        assert sorted((r["gap"], r["width"]) for r in places.collect()) == sorted((g, min(g, max(items))) for g in gaps if g >= min(items) for _ in range(max(1, g // max(items))))
+        left, want = sorted(items), []
+        for g, w in sorted((r["gap"], r["width"]) for r in places.collect()):
+            fits = [n for n in left if n <= w]
             if fits:
-                gaps[min(fits, key=lambda k: gaps[k])] -= n
-            else:
-                gaps.append(size - n)
-        assert sequences == len(gaps)
-        used, ranks = {}, Counter()
-        for n, rank, number, first, offset in given:
-            assert rank == ranks[n]
-            ranks[n] += number
-            for k in range(number):
-                used.setdefault(first + k, []).append((offset, n))
-        assert ranks == Counter(lengths) and set(used) == set(range(sequences))
-        for parts in used.values():
-            at = 0
-            for offset, n in sorted(parts):
-                assert offset == at
-                at += n
-            assert at <= size
+                left.remove(fits[-1])
+                want.append((fits[-1], g))
+        got = [(r["length"], gaps[r["sequence_id"] - 1000]) for r in packing.matched(rows, places, 1).collect() if r["sequence_id"] is not None]
+        assert sorted(got) == sorted(want)
+
+
+def test_few_places_are_offered_for_few_pieces(spark):
+    gaps = spark.range(20_000).select(F.col("id").alias("sequence_id"), F.lit(2000).cast("long").alias("gap"))
+    assert 500 <= packing.offered(gaps, 2, 4, 1000).count() <= 2500
 
 
 def test_packing_matches_tokenizer(odd, empty):
@@ -199,6 +217,19 @@ def test_packing_matches_tokenizer(odd, empty):
     assert packing.pack_documents(empty, packing.default_vocabulary()).count() == 0
 
 
+def test_word_tokenizer_on_all_plain_letters():
+    """Every character below U+0250, in capitals too, alone and among others; random strings of them."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(packing.default_vocabulary())
+    mine = packing.WordTokenizer(packing.default_vocabulary())
+    rng = random.Random(12)
+    letters = [chr(c) for c in range(0x250)]
+    texts = [t for c in letters for t in (c, f"a{c}b {c}", f"{c}1 {c}{c}")] + ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 40))) for _ in range(30_000)]
+    want = own.encode_batch_fast(texts, add_special_tokens=False)
+    assert [t for t, e, g in zip(texts, want, mine.ids_of(texts), strict=True) if np.array(e.ids, "<u4").tobytes() != g] == []
+
+
 def test_word_tokenizer_on_hard_texts():
     from tokenizers import Tokenizer
 

@@ -1,17 +1,18 @@
 """Operator 3, best-fit packing in bulk-synchronous rounds.
 
-Documents are tokenized, closed with id 0, and cut into pieces only where longer than a sequence.
-Pieces and gaps are both range-sorted by length; lengths are integers up to the sequence size, so
-the sorted order is a table of classes (length, count) of at most that many rows however large the
-corpus, and so is the table of gaps. A round takes the longest remaining class of pieces. A
-successor sweep over the sorted gaps gives it the smallest gaps that hold it, then the next larger,
-and opens new sequences for the rest. Conflicts are resolved by rank: the k-th piece of the class
-takes the k-th place that the sweep has found. Gaps are updated and the next round begins.
-That is exactly best-fit decreasing, since pieces of one length are interchangeable.
-
-The rounds run on the class tables, a few thousand numbers. Rows are distributed throughout: a
-piece's rank in its class comes from bounded hash buckets, and its sequence and offset from a join with the
-intervals of ranks that the rounds gave out.
+Documents are tokenized, closed with id 0, and cut into pieces only where longer than a sequence. A
+piece of over half a sequence opens one. The others go in bands of lengths, longest first, each in
+rounds of DataFrame steps over rows:
+
+1. Range-sort. Pieces of the band and places in the gaps of open sequences stand in one order of size.
+2. Sweep. Each place finds the longest piece that fits it and that no narrower place has found (``matched``).
+3. Conflicts among equal sizes are resolved by rank: the depth of a row in the sweep counts its rank.
+4. Gaps are updated, and the round repeats with what is left; once less than ``WORTH`` of the pieces find a
+   place, the rest opens new sequences, as many to each as fit.
+
+No decision is made outside these steps; the driver sees counts a length and how many rows are left. Rows of
+one class are ranked in hash buckets, and rows of one depth are at most a few for each length there can be, so no
+task depends on how often a length comes. Bands and rounds number some thirty, whatever the corpus.
 
 Tokenizing remembers words: in this vocabulary a text's ids are those of its units, one after
 another, and white space always ends a unit. Each new unit goes through the tokenizer itself.
@@ -22,7 +23,8 @@ kept. Texts are tokenized whole. An empty table gives no rows.
 
 from __future__ import annotations
 
-import bisect
+import functools
+import itertools
 import json
 import os
 import re
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,6 +45,8 @@ MEMORY = 300_000
 #: Characters whose words are looked up together.
 AT_ONCE = 1 << 20
 ID_BYTES = 4
+#: A round that places a smaller share of its pieces is the last before new sequences are opened.
+WORTH = 1 / 8
 
 
 class WordTokenizer:
@@ -64,7 +68,8 @@ class WordTokenizer:
         parts = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"]
         pattern = next(p["pattern"]["Regex"] for p in parts if p["type"] == "Split")
         for kind in "LN":  # the classes of plain characters, spelt out for the quicker matcher
-            members = [chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind]
+            plain = {x for c in range(0x250) for x in (chr(c), *chr(c).lower())}  # some of them have small letters further up
+            members = sorted(x for x in plain if unicodedata.category(x)[0] == kind)
             pattern = pattern.replace(f"\\p{{{kind}}}", "".join(members))
         self.units = re.compile(pattern).findall
         self.unusual = re.compile("[^\t\n\r -~\u00a1-\u012f\u0131-\u024f]|<\\|").search
@@ -141,77 +146,115 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, closing: int = 0,
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(counts: dict[int, int], size: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Rounds over classes. Returns (length, first rank, number, first sequence, offset) of each interval given out, and the number of sequences.
+def bands(size: int) -> list[tuple[int, int]]:
+    """(low, high] ranges of lengths, longest first: 1/2, 1/3, 1/4 of a sequence, then each two thirds of the last, below 64 a third."""
+    edges = [size, size // 2, size // 3, size // 4]
+    while edges[-1] > 0:
+        edges.append(edges[-1] * 2 // 3 if edges[-1] >= 64 else edges[-1] // 3)
+    return [(low, high) for high, low in itertools.pairwise(edges) if high > low]
+
+
+def _in_class(rows: DataFrame, by: list[str], buckets: int, key: str) -> DataFrame:
+    """``rows`` with ``rank``, 0-based and gapless in each class ``by``: ranks in buckets of an even hash, moved by the smaller buckets."""
+    rows = rows.withColumn("b", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    per = rows.groupBy(*by, "b").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*by).orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    per = per.select(*by, "b", F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "b").orderBy(*([key, "part"] if "part" in rows.columns else [key])))
+    return rows.withColumn("rn", inside).join(per, [*by, "b"]).withColumn("rank", F.col("rn") - 1 + F.col("before")).drop("b", "rn", "before")
+
+
+def _before(classes: DataFrame, order: list[Column], weight: Column, out: str) -> DataFrame:
+    """The total weight of the classes before each; the table has a few rows for each length there can be."""
+    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return classes.withColumn(out, F.coalesce(F.sum(weight).over(w), F.lit(0)).cast("long"))
+
 
-    Sequences are numbered so that a group of equally filled ones is a range of numbers.
+def offered(gaps: DataFrame, least: int, most: int, number: int) -> DataFrame:
+    """(sequence_id, gap, part, width): places for pieces of ``least`` to ``most`` tokens, about ``number`` at most, in the smallest gaps that have some.
+
+    A gap narrower than ``most`` is one place of its own width, any other as many of width ``most`` as fit.
+    """
+    fit = F.when(F.col("gap") < most, 1).otherwise(F.floor(F.col("gap") / most))
+    open_ = gaps.where(F.col("gap") >= least)
+    classes = open_.groupBy("gap").agg(F.count("*").alias("n")).withColumn("fit", fit)
+    wide = F.col("gap") >= most
+    classes = _before(classes, [F.col("gap")], F.when(wide, F.col("n") * F.col("fit")).otherwise(0), "before")
+    share = F.when(wide, (number - F.col("before")) / (F.col("n") * F.col("fit"))).otherwise(1.0)
+    chosen = classes.select("gap", "fit", share.alias("share")).where("share > 0")
+    even = F.pmod(F.xxhash64(F.lit(7), "sequence_id"), F.lit(1 << 20)) / float(1 << 20)
+    rows = open_.join(F.broadcast(chosen), "gap").where(even <= F.col("share") * 1.01 + 1e-5)  # a row a length
+    part = F.explode(F.sequence(F.lit(1).cast("long"), F.col("fit").cast("long")))
+    return rows.select("sequence_id", "gap", part.alias("part")).withColumn("width", F.least(F.col("gap"), F.lit(most)))
+
+
+def matched(items: DataFrame, places: DataFrame, number: int) -> DataFrame:
+    """``items`` (k, length) with the sequence that each has found, or null.
+
+    The sweep goes over items and places in one range order by size. An item raises the depth by one, a
+    place lowers it; a place takes the item that raised the depth to where it stands: the longest that fits and that
+    no narrower place has taken. The depth of a row is that of its class, plus its rank in the class, so
+    equal sizes are told apart by rank alone; rows of one depth, of which each class has one at most, then pair up side by side.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> ranges (first sequence, number)
-    order: list[int] = []  # the gaps that exist, sorted
-    given, sequences = [], 0
-
-    def leave(gap: int, first: int, number: int) -> None:
-        if gap and number:
-            if gap not in gaps:
-                gaps[gap] = []
-                bisect.insort(order, gap)
-            gaps[gap].append((first, number))
-
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            at = bisect.bisect_left(order, length)
-            if at == len(order):  # no gap holds it: new sequences, each with as many as fit, the last with the rest
-                each = size // length
-                full, rest = divmod(left, each)
-                for number, held in ((full, each), (1, rest)):
-                    if number and held:
-                        for k in range(held):
-                            given.append((length, rank, number, sequences, k * length))
-                            rank += number
-                        leave(size - held * length, sequences, number)
-                        sequences += number
-                break
-            gap = order[at]
-            first, number = gaps[gap].pop()
-            if not gaps[gap]:
-                del gaps[gap]
-                order.pop(at)
-            taken = min(left, number)
-            given.append((length, rank, taken, first, size - gap))
-            leave(gap - length, first, taken)
-            leave(gap, first + taken, number - taken)
-            rank, left = rank + taken, left - taken
-    return given, sequences
+    events = items.select("length", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("gap"), F.col("k").alias("key"), F.lit(0).cast("long").alias("part"))
+    events = events.union(places.select("width", F.lit(1), "gap", "sequence_id", "part"))
+    by = ["length", "kind", "gap"]
+    step = F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))
+    depth = _before(events.groupBy(*by).agg(F.count("*").alias("n")), [F.col(c) for c in by], step, "depth").drop("n")
+    rows = _in_class(events, by, buckets_for(number, least=1, most=4096), "key").join(F.broadcast(depth), by)
+    rows = rows.withColumn("level", F.when(F.col("kind") == 0, F.col("depth") + F.col("rank") + 1).otherwise(F.col("depth") - F.col("rank")))
+    w = Window.partitionBy("level").orderBy(*by)
+    rows = rows.withColumn("taken", F.when(F.lead("kind").over(w) == 1, F.lead("key").over(w)))
+    return rows.where("kind = 0").select(F.col("key").alias("k"), "length", F.col("taken").alias("sequence_id"))
+
+
+def opened(items: DataFrame, each: int, number: int, base: int) -> DataFrame:
+    """``items`` in new sequences of ``each``, neighbours by length together."""
+    depth = _before(items.groupBy("length").agg(F.count("*").alias("n")), [F.desc("length")], F.col("n"), "depth").drop("n")
+    rows = _in_class(items.select("k", "length"), ["length"], buckets_for(number, least=1, most=4096), "k").join(F.broadcast(depth), "length")
+    return rows.select("k", "length", (F.floor((F.col("depth") + F.col("rank")) / each) + base).cast("long").alias("sequence_id"))
+
+
+def _filled(placed: DataFrame, size: int) -> DataFrame:
+    return placed.groupBy("sequence_id").agg((size - F.sum("length")).alias("gap"))
 
 
 def pack(cut: DataFrame, size: int = 2048) -> DataFrame:
     """``cut`` (id, piece, length, ...) with sequence_id and offset."""
-    spark = cut.sparkSession
-    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``size`` rows
-    given, _ = best_fit(counts, size)
-    n = buckets_for(sum(counts.values()), least=4, most=4096)
     fields = cut.columns
-    spread = F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(n))
-    cut = cut.withColumn("_b", spread)
-    per = cut.groupBy("length", "_b").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    per = per.select("length", "_b", F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("length", "_b").orderBy("id", "piece", "ids_crc32"))
-    ranked = cut.withColumn("_rn", inside).join(per, ["length", "_b"]).withColumn("_rank", F.col("_rn") - 1 + F.col("_before"))
-    # one row a length; the intervals of a length lie in an array sorted by first rank, and are few
-    by: dict[int, list] = {}
-    for length, rank, number, first, offset in given:
-        by.setdefault(length, []).append((rank, number, first, offset))
-    table = spark.createDataFrame(list(by.items()), "length long, _given array<struct<rank:long,number:long,first:long,offset:long>>")
-    both = ranked.join(F.broadcast(table), "length")  # bounded by sequence size, not by data
-    hit = F.filter("_given", lambda g: (g["rank"] <= F.col("_rank")) & (F.col("_rank") < g["rank"] + g["number"]))[0]
-    both = both.withColumn("_hit", hit)
-    return both.select(*fields, (F.col("_hit.first") + F.col("_rank") - F.col("_hit.rank")).alias("sequence_id"), F.col("_hit.offset").alias("offset"))
+    rows = written(cut.withColumn("k", F.monotonically_increasing_id()), "pieces")
+    items = rows.select("k", "length")
+    counts = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``size`` rows; says which bands are empty
+    # a piece over half a sequence shares it with no other such piece, so each opens its own
+    done = [items.where(F.col("length") > size // 2).select("k", "length", F.col("k").alias("sequence_id"))]
+    gaps, turn = done[0].select("sequence_id", (size - F.col("length")).alias("gap")).where("gap > 0"), 0
+    for low, high in bands(size)[1:]:
+        left = items.where((F.col("length") > low) & (F.col("length") <= high))
+        inside = {n: c for n, c in counts.items() if low < n <= high}
+        number, least, most = sum(inside.values()), min(inside, default=0), max(inside, default=0)
+        while number:
+            turn += 1
+            found = written(matched(left, offered(gaps, least, most, number), number), f"matched-{turn}")
+            r = found.agg(F.count("sequence_id").alias("got"), F.max(F.when(F.col("sequence_id").isNull(), F.col("length"))).alias("most"), F.min(F.when(F.col("sequence_id").isNull(), F.col("length"))).alias("least")).first()
+            put, left = found.where("sequence_id is not null"), found.where("sequence_id is null").select("k", "length")
+            done.append(put)
+            taken = put.groupBy("sequence_id").agg(F.sum("length").alias("taken"))
+            after = gaps.join(taken, "sequence_id", "left").select("sequence_id", (F.col("gap") - F.coalesce("taken", F.lit(0))).alias("gap"))
+            rest = number - r["got"]
+            if rest and r["got"] < number * WORTH:  # gaps give out: the rest opens sequences
+                new = written(opened(left, size // r["most"], rest, turn << 40), f"opened-{turn}")
+                done.append(new)
+                after, rest = after.unionByName(_filled(new, size)), 0
+            gaps = written(after.where("gap > 0"), f"gaps-{turn}")
+            number, least, most = rest, r["least"], r["most"]
+    placed = functools.reduce(DataFrame.unionByName, done)
+    both = rows.join(placed.select("k", "sequence_id"), "k")
+    offset = F.sum("length").over(Window.partitionBy("sequence_id").orderBy(F.desc("length"), "k").rowsBetween(Window.unboundedPreceding, -1))
+    return both.select(*fields, "sequence_id", F.coalesce(offset, F.lit(0)).cast("long").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return pack(written(pieces(docs, vocabulary, size, id_col=id_col, text_col=text_col), "pieces"), size)
+    return pack(pieces(docs, vocabulary, size, id_col=id_col, text_col=text_col), size)
 
 
 def default_vocabulary() -> str:
