@@ -6,13 +6,13 @@ rounds of DataFrame steps over rows:
 
 1. Range-sort. Pieces of the band and places in the gaps of open sequences stand in one order of size.
 2. Sweep. Each place finds the longest piece that fits it and that no narrower place has found (``matched``).
-3. Conflicts among equal sizes are resolved by rank: the depth of a row in the sweep counts its rank.
+   Every range pairs its own rows; what ranges leave over meets by depth, a prefix sum over ranges (``_across``).
+3. Conflicts among equal sizes are resolved by rank in the order.
 4. Gaps are updated, and the round repeats with what is left; once less than ``WORTH`` of the pieces find a
    place, the rest opens new sequences, as many to each as fit.
 
-No decision is made outside these steps; the driver sees counts a length and how many rows are left. Rows of
-one class are ranked in hash buckets, and rows of one depth are at most a few for each length there can be, so no
-task depends on how often a length comes. Bands and rounds number some thirty, whatever the corpus.
+The driver sees counts a length and a gap, by which it knows empty bands and the end of a band. Ranges split a
+length however often it comes. Bands and rounds number about fifteen, whatever the corpus.
 
 Tokenizing remembers words: in this vocabulary a text's ids are those of its units, one after
 another, and white space always ends a unit. Each new unit goes through the tokenizer itself.
@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,7 +47,8 @@ MEMORY = 300_000
 AT_ONCE = 1 << 20
 ID_BYTES = 4
 #: A round that places a smaller share of its pieces is the last before new sequences are opened.
-WORTH = 1 / 8
+WORTH = 1 / 2
+PIECE, PLACE = 0, 1
 
 
 class WordTokenizer:
@@ -154,69 +156,89 @@ def bands(size: int) -> list[tuple[int, int]]:
     return [(low, high) for high, low in itertools.pairwise(edges) if high > low]
 
 
-def _in_class(rows: DataFrame, by: list[str], buckets: int, key: str) -> DataFrame:
-    """``rows`` with ``rank``, 0-based and gapless in each class ``by``: ranks in buckets of an even hash, moved by the smaller buckets."""
-    rows = rows.withColumn("b", F.pmod(F.xxhash64(key), F.lit(buckets)))
-    per = rows.groupBy(*by, "b").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy(*by).orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
-    per = per.select(*by, "b", F.coalesce(before, F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy(*by, "b").orderBy(*([key, "part"] if "part" in rows.columns else [key])))
-    return rows.withColumn("rn", inside).join(per, [*by, "b"]).withColumn("rank", F.col("rn") - 1 + F.col("before")).drop("b", "rn", "before")
+def _ranged(rows: DataFrame, number: int, *order: Column) -> DataFrame:
+    """``rows`` in one range order: partitions hold ranges of it, each sorted."""
+    n = buckets_for(number, least=1)
+    return (rows.repartition(1) if n == 1 else rows.repartitionByRange(n, *order)).sortWithinPartitions(*order)
 
 
-def _before(classes: DataFrame, order: list[Column], weight: Column, out: str) -> DataFrame:
-    """The total weight of the classes before each; the table has a few rows for each length there can be."""
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return classes.withColumn(out, F.coalesce(F.sum(weight).over(w), F.lit(0)).cast("long"))
+def offered(gaps: DataFrame, least: int, most: int, number: int, wide: int) -> DataFrame:
+    """(sequence_id, gap, part, width): places for pieces of ``least`` to ``most`` tokens in the gaps that have some.
 
-
-def offered(gaps: DataFrame, least: int, most: int, number: int) -> DataFrame:
-    """(sequence_id, gap, part, width): places for pieces of ``least`` to ``most`` tokens, about ``number`` at most, in the smallest gaps that have some.
-
-    A gap narrower than ``most`` is one place of its own width, any other as many of width ``most`` as fit.
+    A gap narrower than ``most`` is one place of its own width. Each of the ``wide`` others offers as many of
+    width ``most`` as fit, but together not many more than there are pieces.
+    """
+    share = -(-2 * number // max(wide, 1))
+    fit = F.when(F.col("gap") < most, 1).otherwise(F.least(F.floor(F.col("gap") / most), F.lit(share)))
+    part = F.explode(F.sequence(F.lit(1).cast("long"), fit.cast("long")))
+    return gaps.where(F.col("gap") >= least).select("sequence_id", "gap", part.alias("part")).withColumn("width", F.least(F.col("gap"), F.lit(most)))
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pair the places and pieces of one range. What is left over are places that only smaller ranges can serve, then pieces for wider ones."""
+    stack: list[tuple] = []
+    out: list[tuple] = []
+    places = 0
+    here = TaskContext.get().partitionId()
+    for x in batches:
+        for length, kind, key in zip(*(x[c].to_pylist() for c in ("length", "kind", "key")), strict=True):
+            if kind == PIECE:
+                stack.append((key, length))
+            elif stack:
+                out.append((*stack.pop(), key, None, None))
+            else:
+                out.append((None, None, key, here, places))
+                places += 1
+    out += [(*piece, None, here, n) for n, piece in enumerate(stack)]
+    kinds = pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()
+    columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+    yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["k", "length", "sequence_id", "range", "nth"])
+
+
+def _across(left: DataFrame) -> DataFrame:
+    """Pair what the ranges have left over: a place goes with the piece that raised the depth to where the place stands.
+
+    The depth before a range is a sum over smaller ranges; at one depth every range has one place and one
+    piece at most, so what meets there is bounded by the number of ranges.
     """
-    fit = F.when(F.col("gap") < most, 1).otherwise(F.floor(F.col("gap") / most))
-    open_ = gaps.where(F.col("gap") >= least)
-    classes = open_.groupBy("gap").agg(F.count("*").alias("n")).withColumn("fit", fit)
-    wide = F.col("gap") >= most
-    classes = _before(classes, [F.col("gap")], F.when(wide, F.col("n") * F.col("fit")).otherwise(0), "before")
-    share = F.when(wide, (number - F.col("before")) / (F.col("n") * F.col("fit"))).otherwise(1.0)
-    chosen = classes.select("gap", "fit", share.alias("share")).where("share > 0")
-    even = F.pmod(F.xxhash64(F.lit(7), "sequence_id"), F.lit(1 << 20)) / float(1 << 20)
-    rows = open_.join(F.broadcast(chosen), "gap").where(even <= F.col("share") * 1.01 + 1e-5)  # a row a length
-    part = F.explode(F.sequence(F.lit(1).cast("long"), F.col("fit").cast("long")))
-    return rows.select("sequence_id", "gap", part.alias("part")).withColumn("width", F.least(F.col("gap"), F.lit(most)))
+    piece = F.col("k").isNotNull()
+    per = left.groupBy("range").agg(F.count_if(~piece).alias("places"), F.count_if(piece).alias("pieces"))
+    w = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("depth", F.coalesce(F.sum(F.col("pieces") - F.col("places")).over(w), F.lit(0)))
+    rows = left.join(F.broadcast(per), "range")  # a row a range
+    level = F.when(piece, F.col("depth") - F.col("places") + F.col("nth") + 1).otherwise(F.col("depth") - F.col("nth"))
+    w = Window.partitionBy("level").orderBy("range", piece)
+    rows = rows.withColumn("level", level).withColumn("taken", F.when(F.lead("k").over(w).isNull(), F.lead("sequence_id").over(w)))
+    return rows.where(piece).select("k", "length", F.col("taken").alias("sequence_id"))
 
 
 def matched(items: DataFrame, places: DataFrame, number: int) -> DataFrame:
     """``items`` (k, length) with the sequence that each has found, or null.
 
-    The sweep goes over items and places in one range order by size. An item raises the depth by one, a
-    place lowers it; a place takes the item that raised the depth to where it stands: the longest that fits and that
-    no narrower place has taken. The depth of a row is that of its class, plus its rank in the class, so
-    equal sizes are told apart by rank alone; rows of one depth, of which each class has one at most, then pair up side by side.
+    The sweep goes over pieces and places in one range order by size. A place takes the longest piece that fits and
+    that no narrower place has taken; equal sizes are told apart by their rank in that order.
     """
-    events = items.select("length", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("gap"), F.col("k").alias("key"), F.lit(0).cast("long").alias("part"))
-    events = events.union(places.select("width", F.lit(1), "gap", "sequence_id", "part"))
-    by = ["length", "kind", "gap"]
-    step = F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))
-    depth = _before(events.groupBy(*by).agg(F.count("*").alias("n")), [F.col(c) for c in by], step, "depth").drop("n")
-    rows = _in_class(events, by, buckets_for(number, least=1, most=4096), "key").join(F.broadcast(depth), by)
-    rows = rows.withColumn("level", F.when(F.col("kind") == 0, F.col("depth") + F.col("rank") + 1).otherwise(F.col("depth") - F.col("rank")))
-    w = Window.partitionBy("level").orderBy(*by)
-    rows = rows.withColumn("taken", F.when(F.lead("kind").over(w) == 1, F.lead("key").over(w)))
-    return rows.where("kind = 0").select(F.col("key").alias("k"), "length", F.col("taken").alias("sequence_id"))
+    events = items.select("length", F.lit(PIECE).alias("kind"), F.lit(0).cast("long").alias("gap"), F.col("k").alias("key"), F.lit(0).cast("long").alias("part"))
+    events = events.union(places.select("width", F.lit(PLACE), "gap", "sequence_id", "part"))
+    order = [F.col(c) for c in ("length", "kind", "gap", "key", "part")]
+    swept = _ranged(events, number, *order).mapInArrow(_sweep, "k long, length long, sequence_id long, range int, nth long")
+    if buckets_for(number, least=1) == 1:
+        return swept.where("k is not null").select("k", "length", "sequence_id")
+    swept = written(swept, "swept")
+    return swept.where("range is null").select("k", "length", "sequence_id").union(_across(swept.where("range is not null")))
 
 
-def opened(items: DataFrame, each: int, number: int, base: int) -> DataFrame:
-    """``items`` in new sequences of ``each``, neighbours by length together."""
-    depth = _before(items.groupBy("length").agg(F.count("*").alias("n")), [F.desc("length")], F.col("n"), "depth").drop("n")
-    rows = _in_class(items.select("k", "length"), ["length"], buckets_for(number, least=1, most=4096), "k").join(F.broadcast(depth), "length")
-    return rows.select("k", "length", (F.floor((F.col("depth") + F.col("rank")) / each) + base).cast("long").alias("sequence_id"))
+def opened(items: DataFrame, each: int, number: int, turn: int) -> DataFrame:
+    """``items`` in new sequences of ``each``, neighbours by length together; the last of a range may hold fewer."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, seen = (turn << 44) + (TaskContext.get().partitionId() << 28), 0
+        for x in batches:
+            ids = base + (seen + np.arange(x.num_rows)) // each
+            seen += x.num_rows
+            yield pa.record_batch([x["k"], x["length"], pa.array(ids, pa.int64())], names=["k", "length", "sequence_id"])
 
-def _filled(placed: DataFrame, size: int) -> DataFrame:
-    return placed.groupBy("sequence_id").agg((size - F.sum("length")).alias("gap"))
+    return _ranged(items.select("k", "length"), number, F.desc("length"), F.col("k")).mapInArrow(run, "k long, length long, sequence_id long")
 
 
 def pack(cut: DataFrame, size: int = 2048) -> DataFrame:
@@ -228,25 +250,29 @@ def pack(cut: DataFrame, size: int = 2048) -> DataFrame:
     # a piece over half a sequence shares it with no other such piece, so each opens its own
     done = [items.where(F.col("length") > size // 2).select("k", "length", F.col("k").alias("sequence_id"))]
     gaps, turn = done[0].select("sequence_id", (size - F.col("length")).alias("gap")).where("gap > 0"), 0
+    widths = {size - n: c for n, c in counts.items() if size // 2 < n < size}
     for low, high in bands(size)[1:]:
         left = items.where((F.col("length") > low) & (F.col("length") <= high))
         inside = {n: c for n, c in counts.items() if low < n <= high}
         number, least, most = sum(inside.values()), min(inside, default=0), max(inside, default=0)
         while number:
             turn += 1
-            found = written(matched(left, offered(gaps, least, most, number), number), f"matched-{turn}")
-            r = found.agg(F.count("sequence_id").alias("got"), F.max(F.when(F.col("sequence_id").isNull(), F.col("length"))).alias("most"), F.min(F.when(F.col("sequence_id").isNull(), F.col("length"))).alias("least")).first()
+            wide = sum(c for g, c in widths.items() if g >= most)
+            found = written(matched(left, offered(gaps, least, most, number, wide), number), f"matched-{turn}")
             put, left = found.where("sequence_id is not null"), found.where("sequence_id is null").select("k", "length")
+            rest = {r["length"]: r["n"] for r in left.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``size`` rows
             done.append(put)
-            taken = put.groupBy("sequence_id").agg(F.sum("length").alias("taken"))
-            after = gaps.join(taken, "sequence_id", "left").select("sequence_id", (F.col("gap") - F.coalesce("taken", F.lit(0))).alias("gap"))
-            rest = number - r["got"]
-            if rest and r["got"] < number * WORTH:  # gaps give out: the rest opens sequences
-                new = written(opened(left, size // r["most"], rest, turn << 40), f"opened-{turn}")
+            changed = [gaps, put.groupBy("sequence_id").agg((-F.sum("length")).alias("gap"))]
+            last = sum(rest.values()) > number * (1 - WORTH)
+            if rest and last:  # gaps give out: the rest opens sequences
+                new = written(opened(left, size // max(rest), sum(rest.values()), turn), f"opened-{turn}")
                 done.append(new)
-                after, rest = after.unionByName(_filled(new, size)), 0
-            gaps = written(after.where("gap > 0"), f"gaps-{turn}")
-            number, least, most = rest, r["least"], r["most"]
+                changed += [new.select("sequence_id", (size - F.col("length")).alias("gap")) if size // max(rest) == 1 else new.groupBy("sequence_id").agg((size - F.sum("length")).alias("gap"))]
+                rest = {}
+            after = functools.reduce(DataFrame.union, changed).groupBy("sequence_id").agg(F.sum("gap").alias("gap")).where("gap > 0")
+            gaps = written(after, f"gaps-{turn}")
+            widths = {r["gap"]: r["n"] for r in gaps.groupBy("gap").agg(F.count("*").alias("n")).collect()}  # at most ``size`` rows
+            number, least, most = sum(rest.values()), min(rest, default=0), max(rest, default=0)
     placed = functools.reduce(DataFrame.unionByName, done)
     both = rows.join(placed.select("k", "sequence_id"), "k")
     offset = F.sum("length").over(Window.partitionBy("sequence_id").orderBy(F.desc("length"), "k").rowsBetween(Window.unboundedPreceding, -1))
