@@ -3,13 +3,16 @@
 The fingerprint of a text has a bit set where over half its word shingles' XXH64 values have it.
 Fingerprints at ``max_bits`` or fewer differing bits differ in at most that many of their eight
 bytes, so a linked pair shares at least ``8 - max_bits`` bytes at their positions: the guaranteed
-minimum count. Posting lists of single (position, byte) entries hold 1/256 of all fingerprints
-each, and tallying pairs over those would be quadratic; the index therefore keys on every set of
-``8 - max_bits`` positions with its bytes. Two fingerprints meet in such a list exactly if their tally of shared
-positional bytes reaches the minimum, so the count filter is applied by the index itself. A list
-has only ``8 * max_bits`` free bits, hence a bounded number of different fingerprints (65,536 at two bits).
-Verification counts differing bits; in a list it walks from member to member instead of
-forming pairs and emits a spanning forest of the links, which keeps all connections.
+minimum. The inverted index leads from bytes at their positions to fingerprints. Posting lists of single
+bytes hold 1/256 of all fingerprints, and pairs tallied over those would grow with the square of the corpus, so
+the index holds intersections of posting lists that no linked pair can miss: the positions are dealt into
+``max_bits + 2`` blocks, of which a linked pair shares two at least, and every two blocks make a list
+(six lists of four bytes at two bits). In a list the shared positional bytes of its members are tallied, those
+that reach the minimum are retained and verified by their differing bits. A list of over ``LONG_LIST`` members is
+split by the bytes it has not yet looked at: a linked pair shares so many of them that it meets again in
+the list of some choice of that size, which leaves ``8 * max_bits`` free bits and hence a bounded list (65,536 at
+two bits). A list is walked from member to member instead of forming pairs and emits a spanning forest of
+the links, which keeps all connections.
 
 Copies share a fingerprint and are collapsed before the index, so a group of any size is one entry.
 Components of linked fingerprints come from star contraction.
@@ -21,6 +24,7 @@ come. A null ``doc_id`` never names a component unless no other member has an id
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -38,7 +42,7 @@ UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 FOLD = bytes.maketrans(UPPER, LOWER)
 #: Shingles whose bits are counted at once; bounds memory on long texts.
 BLOCK = 1 << 15
-#: From this length on, a list's neighbours may be looked up instead of compared.
+#: A longer list is split by further bytes; in one that is still longer, neighbours may be looked up instead of compared.
 LONG_LIST = 1 << 12
 
 
@@ -83,8 +87,9 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, id_col: str = "
 def forest(values: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among ``values`` (distinct, unsigned): never more edges than values.
 
-    A search from value to value compares each reached one with those not yet reached. Where that is
-    dearer, long lists look up each value with every choice of up to ``max_bits`` bits flipped.
+    A search from value to value tallies the bytes that each reached one shares with those not yet reached, and
+    verifies the bits of those with ``8 - max_bits`` or more. Where that is dearer, long lists look up
+    each value with every choice of up to ``max_bits`` bits flipped.
     """
     n = len(values)
     free = int(np.bitwise_or.reduce(values ^ values[0]))
@@ -96,7 +101,9 @@ def forest(values: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
         reached, left = [left[0]], left[1:]
         while reached and len(left):
             v = reached.pop()
-            near = np.bitwise_count(left ^ v) <= max_bits
+            differing = left ^ v
+            near = (differing.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= 8 - max_bits
+            near[near] = np.bitwise_count(differing[near]) <= max_bits
             if near.any():
                 found = left[near]
                 left = left[~near]
@@ -126,15 +133,35 @@ def _looked_up(values: np.ndarray, bits: list[int], max_bits: int) -> list[tuple
     return edges
 
 
+def pairs_of_blocks(max_bits: int) -> list[tuple[int, ...]]:
+    """Sets of byte positions: every two of ``max_bits + 2`` blocks, or single positions where there are more blocks than bytes."""
+    if max_bits + 2 > 8:
+        return [(k,) for k in range(8)]
+    blocks = [tuple(b.tolist()) for b in np.array_split(np.arange(8), max_bits + 2)]
+    return [a + b for a, b in itertools.combinations(blocks, 2)]
+
+
+def _posted(fps: DataFrame, positions: list[tuple[int, ...]], first: int = 0) -> DataFrame:
+    """(positions, shared, fp): each fingerprint in the lists of its bytes at every one of ``positions``."""
+    masks = [sum(0xFF << (8 * p) for p in c) for c in positions]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    entries = fps.select("fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in signed])).alias("positions", "mask"))
+    return entries.select((F.col("positions") + first).alias("positions"), F.col("fp").bitwiseAND(F.col("mask")).alias("shared"), "fp")
+
+
 def links(fps: DataFrame, max_bits: int) -> DataFrame:
     """(a, b): links between distinct fingerprints (column ``fp``) that connect all that lie within ``max_bits``."""
     if not 0 < max_bits < 8:
         raise ValueError("max_bits must be from 1 to 7 for an index of eight bytes")
-    keep = list(itertools.combinations(range(8), 8 - max_bits))
-    masks = [sum(0xFF << (8 * p) for p in c) for c in keep]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    entries = fps.select("fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in signed])).alias("positions", "mask"))
-    entries = entries.select("positions", F.col("fp").bitwiseAND(F.col("mask")).alias("shared"), "fp")
+    entries = written(_posted(fps, pairs_of_blocks(max_bits)), "postings")
+    long = entries.groupBy("positions", "shared").agg(F.count("*").alias("n")).where(F.col("n") > LONG_LIST).drop("n")
+    long = written(long, "long-postings")
+    if not long.isEmpty():
+        split = [_posted(entries.where(F.col("positions") == k).join(long, ["positions", "shared"], "left_semi").select("fp"), [tuple(sorted((*p, *c))) for c in itertools.combinations(sorted(set(range(8)) - set(p)), 8 - max_bits - len(p))], (k + 1) * 1000)
+                 for k, p in enumerate(pairs_of_blocks(max_bits)) if len(p) < 8 - max_bits]
+        whole = [k for k, p in enumerate(pairs_of_blocks(max_bits)) if len(p) >= 8 - max_bits]
+        kept = entries.join(long.where(~F.col("positions").isin(whole)) if whole else long, ["positions", "shared"], "left_anti")
+        entries = functools.reduce(DataFrame.union, split, kept)
     lists = entries.groupBy("positions", "shared").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
