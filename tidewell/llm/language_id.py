@@ -1,14 +1,16 @@
 """Operator 4, hierarchical language identification.
 
 Texts become hashed counts of letter n-grams (bytes, A-Z folded, other ASCII taken as a gap),
-dampened and scaled to length one. A first level of linear support vector machines tells language
-families apart; inside the chosen family one-versus-one machines separate the related languages,
-and most votes win, margins breaking ties. The score is the product of both levels' logistic margins.
+dampened and scaled to length one. A first level of linear support vector machines, one for each language
+family against all others, tells the family; inside the chosen family one-versus-one machines separate the
+related languages, and most votes win, margins breaking ties. The score is the product of both levels'
+logistic margins.
 
-The machines are trained on the driver over at most ``PER_LANGUAGE`` documents of each of at most
-``LANGUAGES`` languages, those whose seeded hash is smallest; this bound is a parameter. What the driver gets
-of them is their features (16 KB each), computed on the executors from whole texts. Prediction is one
-pass without an exchange.
+The machines are trained on the driver over at most ``PER_LANGUAGE`` documents of each language and about
+``TRAINING_ROWS`` in all, those whose seeded hash is smallest; both bounds are parameters, and every language
+that occurs is learned. What the driver gets of them is their features (16 KB each), computed on the executors
+from whole texts. Rows are cut by a quantile of their hash before any exchange, repeated ones count once.
+Prediction is one pass without an exchange.
 
 Cases. Null text, or text without any letter: ``und``, score 0. Rows without a language, or without an id, are not
 learned from, but predicted. With no rows to learn from, all are ``und``; with a single language, all texts
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewell.llm.common import documents
+from tidewell.llm.common import documents, text_hash
 
 # Families of languages by their ISO 639-1 codes. A code not listed is a family of its own.
 FAMILIES = {
@@ -45,7 +47,9 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 
 UND = "und"
 FEATURES = 4096
-PER_LANGUAGE, LANGUAGES = 400, 200
+PER_LANGUAGE, TRAINING_ROWS = 400, 20_000
+#: How many times the rows wanted pass the quantile; and the most languages whose quantiles are broadcast.
+SPARE, BROADCAST_LANGUAGES = 2.0, 100_000
 FOLD = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Letters counted at once; bounds memory on long texts.
 BLOCK = 1 << 20
@@ -117,9 +121,29 @@ class Duels:
         return self.names[best], float(1 / (1 + np.exp(-4 * np.clip(least[best], -20, 20))))
 
 
+@dataclass
+class Rivals:
+    """One machine for each of ``names`` against all others."""
+
+    names: list[str]
+    weights: np.ndarray
+
+    @classmethod
+    def fit(cls, x: np.ndarray, labels: np.ndarray, names: list[str]) -> Rivals:
+        rows = [linear_svm(x, np.where(labels == n, 1.0, -1.0)) for n in names] if len(names) > 1 else []
+        return cls(names, np.array(rows).reshape(len(rows), x.shape[1] + 1))
+
+    def choose(self, x: np.ndarray) -> tuple[str, float]:
+        if len(self.names) == 1:
+            return self.names[0], 1.0
+        margins = self.weights[:, :-1] @ x + self.weights[:, -1]
+        best = int(np.argmax(margins))
+        return self.names[best], float(1 / (1 + np.exp(-4 * np.clip(margins[best], -20, 20))))
+
+
 @dataclass
 class Identifier:
-    families: Duels | None
+    families: Rivals | None
     languages: dict[str, Duels]
 
     @classmethod
@@ -129,7 +153,7 @@ class Identifier:
         family = np.array([FAMILY_OF.get(c, c) for c in labels])
         names = sorted(set(family.tolist()))
         inside = {f: Duels.fit(x[family == f], labels[family == f], sorted(set(labels[family == f].tolist()))) for f in names}
-        return cls(Duels.fit(x, family, names), inside)
+        return cls(Rivals.fit(x, family, names), inside)
 
     def predict(self, text: bytes | None) -> tuple[str, float]:
         if text is None or self.families is None or not has_letter(text):
@@ -140,22 +164,27 @@ class Identifier:
         return language, p * q
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Identifier:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = TRAINING_ROWS, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Identifier:
     """Fit on a bounded sample of the rows that are not held out."""
     own = docs.where(docs[lang_col].isNotNull() & docs[text_col].isNotNull() & docs[id_col].isNotNull() & ~held_out(docs[id_col]))
-    common = [r[0] for r in own.groupBy(own[lang_col].alias("l")).count().orderBy(F.desc("count"), "l").limit(languages).collect()]
-    keyed = own.where(own[lang_col].isin(common)) if common else own
-    keyed = keyed.select(keyed[lang_col].alias("l"), keyed[id_col].alias("id"), F.xxhash64(F.lit(seed), keyed[id_col]).alias("h"))
-    # row_number below a limit is pushed before the exchange, so each task passes on few rows a language
-    first = keyed.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h", "id"))).where(F.col("n") <= per_language).select("id").distinct()
+    own = own.select(own[lang_col].alias("l"), own[id_col].alias("id"), text_hash(own[text_col]).alias("h"), own[text_col].cast("binary").alias("text"))
+    own = own.withColumn("even", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", "h"), 11) / 2.0**53)
+    sizes = own.groupBy("l").agg(F.count("*").alias("n"))
+    languages = sizes.count()
+    each = max(1, min(per_language, most // max(languages, 1)))
+    # the hash is even, so this many times the share leaves enough rows of each language, and few go into the exchange
+    share = sizes.select("l", (SPARE * (each + 50) / F.col("n")).alias("share"))
+    keyed = own.select("l", "id", "h", "even").join(F.broadcast(share) if languages <= BROADCAST_LANGUAGES else share, "l").where(F.col("even") < F.col("share")).select("l", "id", "h", "even").distinct()
+    first = keyed.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("even", "id", "h"))).where(F.col("n") <= each).select("l", "id", "h").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             got = [features(t).tobytes() for t in x["text"].to_pylist()]
             yield pa.record_batch([x["l"], pa.array(got, pa.binary())], names=["l", "x"])
 
-    sample = own.join(F.broadcast(first), own[id_col] == first["id"], "left_semi")  # at most per_language * languages ids
-    rows = sample.select(sample[lang_col].alias("l"), sample[text_col].cast("binary").alias("text")).mapInArrow(run, "l string, x binary").collect()
+    # at most ``most`` keys, or one a language; repeated rows are told apart from none by id and hash of the text, and go before the exchange
+    sample = own.join(F.broadcast(first), ["l", "id", "h"], "left_semi").dropDuplicates(["l", "id", "h"])
+    rows = sample.select("l", "text").mapInArrow(run, "l string, x binary").collect()
     rows.sort(key=lambda r: (r["l"], bytes(r["x"])))
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float32).reshape(len(rows), FEATURES)
     return Identifier.fit(x, np.array([r["l"] for r in rows]))
