@@ -121,7 +121,9 @@ def resampled(docs: DataFrame, labels: DataFrame, keep: float | None = None, see
     if keep is None:
         keep = labels.agg(F.avg(good.cast("double"))).first()[0]
     known = labels.where(good).select(F.col("doc_id").alias("id"), F.xxhash64(F.lit(seed), "doc_id").alias("h")).where("id is not null").distinct()
-    target = known.orderBy("h", "id").limit(TARGET_ROWS).select("id")
+    # the hash is even, so a quantile leaves enough rows for the limit, and few go into the exchange
+    share = min(1.0, 2.0 * (TARGET_ROWS + 50) / max(known.count(), 1))
+    target = known.where(F.shiftrightunsigned("h", 11) / 2.0**53 < share).orderBy("h", "id").limit(TARGET_ROWS).select("id")
     keyed = log_weights(docs, models(docs, target, id_col, text_col), id_col, text_col)
     keyed = written(keyed.withColumn("key", F.col("log_weight") + gumbel("id", "log_weight", seed=seed)), "keys")
     k = keyed.count() if keep is None else round(keep * keyed.count())
