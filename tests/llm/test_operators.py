@@ -261,6 +261,40 @@ def test_language_id(spark, odd, empty):
     assert {r["lang_pred"] for r in language_id.identify(odd, none).collect()} == {"und"} and language_id.identify(empty, none).count() == 0
 
 
+def test_training_bounds_and_many_languages(spark, monkeypatch):
+    """Every language is learned, however many; repeated rows and frequent languages don't crowd the sample."""
+    rng = random.Random(13)
+    langs = [f"x{k:03d}" for k in range(60)]
+    texts = [" ".join(la + rng.choice("abc") for _ in range(12)) for la in langs for _ in range(9)]
+    docs = table(spark, texts + [texts[0]] * 500, ids=[*range(len(texts)), *[0] * 500], langs=[la for la in langs for _ in range(9)] + ["x000"] * 500)
+    seen = {}
+    monkeypatch.setattr(language_id.Identifier, "fit", classmethod(lambda cls, x, labels: seen.update(n=Counter(labels.tolist())) or cls(None, {})))
+    language_id.train(docs, per_language=4, most=180)
+    assert set(seen["n"]) == set(langs) and max(seen["n"].values()) <= 3
+    language_id.train(docs, per_language=4)
+    assert max(seen["n"].values()) == 4
+
+
+def test_machines_decide_as_their_margins_say():
+    """Families by the largest margin, languages by votes: recomputed plainly from the weights."""
+    rng = np.random.default_rng(14)
+    x = rng.random((120, language_id.FEATURES), np.float32)
+    labels = np.array(["en", "de", "nl", "fr", "es", "pl"] * 20)
+    for k, la in enumerate(["en", "de", "nl", "fr", "es", "pl"]):
+        x[labels == la, k * 50 : k * 50 + 50] += 1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = language_id.Identifier.fit(x, labels)
+    for v, la in zip(x, labels, strict=True):
+        family = max(model.families.names, key=lambda f: float(model.families.weights[model.families.names.index(f)] @ np.append(v, 1)))
+        duels = model.languages[family]
+        votes = Counter({n: 0 for n in duels.names})
+        for (a, b), w in zip(duels.pairs, duels.weights, strict=True):
+            votes[duels.names[a if w @ np.append(v, 1) >= 0 else b]] += 1
+        f, p = model.families.choose(v)
+        language, q = model.languages[f].choose(v)
+        assert f == family == language_id.FAMILY_OF[la] and votes[language] == max(votes.values()) and language == la and 0 < p <= 1 and 0 < q <= 1
+
+
 def test_prediction_ignores_lang_and_source(spark):
     docs = table(spark, ["the and of"] * 8 + ["der die und"] * 8, langs=["en"] * 8 + ["de"] * 8)
     model = language_id.train(docs)
@@ -408,6 +442,30 @@ def test_forest_connects_all_links(bits, long, monkeypatch):
     assert len(edges) < len(values) and all((a ^ b).bit_count() <= bits for a, b in edges) and parts(edges) == parts(all_links)
 
 
+@pytest.mark.parametrize(("bits", "long"), [(1, 1 << 30), (2, 1 << 30), (2, 3), (3, 3), (5, 1 << 30), (7, 1 << 30)])
+def test_links_connect_what_brute_force_does(spark, monkeypatch, bits, long):
+    monkeypatch.setattr(simhash, "LONG_LIST", long)  # with 3, most lists are split
+    rng = random.Random(bits)
+    values = {rng.getrandbits(64) for _ in range(30)}
+    for v in list(values):
+        for _ in range(6):
+            values.add(v ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 9))))
+    values = sorted(values)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    got = [(r["a"] & (1 << 64) - 1, r["b"] & (1 << 64) - 1) for r in simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), bits).collect()]
+    assert all((a ^ b).bit_count() <= bits for a, b in got)
+
+    def parts(pairs):
+        root = {v: v for v in values}
+        for a, b in pairs:
+            x, y = root[a], root[b]
+            if x != y:
+                root = {v: y if r == x else r for v, r in root.items()}
+        return {frozenset(v for v in values if root[v] == r) for r in root.values()}
+
+    assert parts(got) == parts([(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if (a ^ b).bit_count() <= bits])
+
+
 def test_components(spark):
     rng = random.Random(8)
     pairs = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(k, k + 1) for k in range(100, 140)]

@@ -21,6 +21,10 @@ from pyspark.sql.window import Window
 from tidewell.llm.common import buckets_for, documents, global_rank, written
 
 
+#: Equal rows above this number, and above one in so many of all rows, are spread; the second bounds how many hashes are broadcast.
+OFTEN, MOST_OFTEN = 1_000, 10_000
+
+
 def stratified_shards(docs: DataFrame, shards: int = 40, seed: int = 42, stratum: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, stratum, size, text_crc32, shard, slot) of every row; slots count from 0 without gaps in each shard."""
     text = F.coalesce(docs[text_col], F.lit(""))
@@ -28,10 +32,13 @@ def stratified_shards(docs: DataFrame, shards: int = 40, seed: int = 42, stratum
         docs[id_col].alias("id"), docs[stratum].alias("stratum"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(F.lit(seed), docs[id_col], F.xxhash64(text)).alias("h"),
     )
-    rows = written(rows, "shard-rows")
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "shard-rows")
+    # rows that repeat each other share their hash; where they are many, their places in the table spread them
+    often = rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > max(OFTEN, rows.count() // MOST_OFTEN)).select("h", F.lit(True).alias("often"))
+    rows = rows.join(F.broadcast(often), "h", "left").withColumn("h", F.when(F.col("often"), F.xxhash64("h", "row")).otherwise(F.col("h"))).drop("often", "row")
     sizes = rows.groupBy("stratum").agg(F.count("*").alias("n_stratum"))
     total = rows.count()
-    n = buckets_for(total)
+    n = buckets_for(total, least=256)
     tie = [F.col("h"), F.col("id"), F.col("text_crc32"), F.col("size")]
     # rank inside the source: bucket by the even hash, offset by the smaller buckets of the same source
     spread = F.floor((F.shiftright("h", 32).cast("double") + 2.0**31) / 2.0**32 * n).cast("long")
