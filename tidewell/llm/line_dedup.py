@@ -5,22 +5,23 @@ Ranks of suffixes grow by prefix doubling: the rank by the first ``2d`` lines fo
 pair (rank by ``d`` lines here, rank by ``d`` lines at ``d`` further on). A rank is the place where
 the class of suffixes with that prefix begins in the suffix array, so classes are exactly the
 intervals of the array whose longest common prefix has that many lines. Suffixes whose prefix
-occurs once leave the array at once: no longer prefix of theirs can repeat. Doubling ends at
-``min_lines``, the depth at which the intervals decide: inside an interval of depth ``min_lines``
-the earliest suffix (smallest document key, then line) is the first copy, all others are later
-copies, and adjoining later copies make up the maximal repeated runs, which are deleted.
+occurs once leave the array at once: no longer prefix of theirs can repeat. Doubling goes on until no
+interval has two members. The deepest interval of a suffix tells how far it repeats: inside an interval of
+``min_lines`` lines or more the earliest suffix (smallest document key, then line) is the first copy, all
+others are later copies of as many lines, and later copies that adjoin in step with one original make up a
+maximal repeated run. The runs are deleted.
 
 With ``min_words``, runs of fewer than ``min_lines`` lines count too if they hold that many words (parts
 between spaces with a letter or digit): every depth is then looked at, and the shorter windows with enough words join in.
 
 Everything is DataFrame code. No task depends on one line's frequency: classes are counted with
-partial aggregation, and ranks are prefix sums over bounded buckets, split by the second rank
+partial aggregation, and ranks are prefix sums over a bounded number of buckets, split by the second rank
 where one first rank is frequent.
 
 Cases. Null text: kept null, no lines. Empty text: one empty line. Rows with the same ``doc_id``
 and text are one document, none a copy of another; the same ``doc_id`` with other text is another
 document, ordered by a hash of the text. A null ``doc_id`` sorts first. Other columns pass through
-under any name.
+under any name, but for those of the counts, which are replaced.
 """
 
 from __future__ import annotations
@@ -32,10 +33,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewell.llm.common import documents, drop_written, prefix_totals, written
+from tidewell.llm.common import documents, prefix_totals, written
 
-#: Suffixes in a bucket of the rank computation.
-RANK_BUCKET = 1 << 16
+#: Suffixes in a bucket of the rank computation, and the most buckets.
+RANK_BUCKET, MOST_BUCKETS = 1 << 16, 1 << 12
 
 
 def _needed(lines: Column, min_lines: int, min_words: int) -> Column:
@@ -68,10 +69,16 @@ def _lines(docs: DataFrame, text_col: str, id_col: str, min_lines: int = 0, min_
 
 
 def _classes(pairs: DataFrame, a: str, b: str, bucket: list) -> DataFrame:
-    """Classes of equal (a, b) with two members or more: their size, rank in the suffix array and first member."""
+    """Classes of equal (a, b) with two members or more: their size, rank in the suffix array and first member.
+
+    Without ``bucket`` one task ranks all, which is for few.
+    """
     found = pairs.groupBy(a, b).agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "i")).alias("first"), F.max("sz").alias("sz")).where("n > 1")
     found = found.select("*", *[x.alias(f"b{k}") for k, x in enumerate(bucket)])
     names = [f"b{k}" for k in range(len(bucket))]
+    if not bucket:
+        inside = F.sum("n").over(Window.orderBy(a, b).rowsBetween(Window.unboundedPreceding, -1))
+        return found.select(F.col(a).alias("ca"), F.col(b).alias("cb"), F.coalesce(inside, F.lit(0)).alias("rank"), "n", "first")
     inside = F.sum("n").over(Window.partitionBy(*names).orderBy(a, b).rowsBetween(Window.unboundedPreceding, -1))
     ranked = found.withColumn("inside", F.coalesce(inside, F.lit(0)))
     return ranked.join(prefix_totals(found, names, F.col("n"), "before"), names).select(
@@ -86,33 +93,28 @@ def _shifted(active: DataFrame, by: int) -> DataFrame:
 
 
 def _intervals(docs: DataFrame, min_lines: int, text_col: str, id_col: str, min_words: int | None) -> Iterator[tuple[int, DataFrame]]:
-    """(depth, suffixes in intervals of that depth); a table is gone once the next is asked for."""
+    """(depth, suffixes in intervals of that depth), until there are none."""
     if min_lines < 1:
         raise ValueError("min_lines must be positive")
-    lines = _lines(docs, text_col, id_col, min_lines, min_words).withColumn("sz", F.lit(0).cast("long"))
+    lines = written(_lines(docs, text_col, id_col, min_lines, min_words).withColumn("sz", F.lit(0).cast("long")), "lines")
     top = F.shiftright("l1", 48)
     classes = _classes(lines, "l1", "l2", [top])
     on = (F.col("l1") == F.col("ca")) & (F.col("l2") == F.col("cb"))
     kept = ["d", "h", "i", F.col("rank").alias("r"), F.col("n").alias("sz"), "first", *(["need"] if min_words is not None else [])]
     active, depth = written(lines.drop("sz").join(classes, on).select(*kept), "lines-1"), 1
-    yield depth, active
-    while depth < min_lines:
-        step = min(depth, min_lines - depth) if min_words is None else 1
+    while True:
+        members, most = active.agg(F.count("*"), F.max("r")).first()
+        if not members:
+            return
+        yield depth, active
+        step = depth if depth >= min_lines else min(depth, min_lines - depth) if min_words is None else 1
         pairs = _shifted(active.drop("first"), step)
         # the class after a frequent one starts in a later bucket, so splitting the frequent by r2 keeps the order
-        bucket = [F.floor(F.col("r") / RANK_BUCKET), F.when(F.col("sz") > RANK_BUCKET, F.floor(F.col("r2") / RANK_BUCKET)).otherwise(0)]
+        width = max(1, (most + 1) // max(16, min(MOST_BUCKETS, members // RANK_BUCKET)))
+        bucket = [] if members <= RANK_BUCKET // 4 else [F.floor(F.col("r") / width), F.when(F.col("sz") > width, F.floor(F.col("r2") / width)).otherwise(0)]
         classes = _classes(pairs, "r", "r2", bucket)
         on = (F.col("r") == F.col("ca")) & (F.col("r2") == F.col("cb"))
-        following, depth = written(pairs.drop("sz").join(classes, on).select(*kept), f"lines-{depth + step}"), depth + step
-        drop_written(active)
-        active = following
-        yield depth, active
-
-
-def suffix_intervals(docs: DataFrame, min_lines: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Suffixes in intervals of depth ``min_lines``: (d, h, i, r, sz, first), ``first`` being the earliest of the interval."""
-    *_, (_, active) = _intervals(docs, min_lines, text_col, id_col, None)
-    return active
+        active, depth = written(pairs.drop("sz").join(classes, on).select(*kept), f"lines-{depth + step}"), depth + step
 
 
 def _later(active: DataFrame) -> DataFrame:
@@ -120,30 +122,42 @@ def _later(active: DataFrame) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = 3, text_col: str = "text", id_col: str = "doc_id", min_words: int | None = None) -> DataFrame:
-    """Maximal runs of later copies: (d, h, start, n_lines), ``d`` the doc_id and ``h`` the hash of its text."""
-    if min_words is None:
-        later = _later(suffix_intervals(docs, min_lines, text_col, id_col)).select("d", "h", "i", F.lit(min_lines).alias("m"))
-    else:
-        found = [written(_later(active).where(F.col("need") <= depth).select("d", "h", "i", F.lit(depth).alias("m")), f"later-{depth}") for depth, active in _intervals(docs, min_lines, text_col, id_col, min_words)]
-        later = functools.reduce(DataFrame.union, found)
-    w = Window.partitionBy("d", "h").orderBy("i")
-    later = later.groupBy("d", "h", "i").agg(F.max(F.col("i") + F.col("m")).alias("end"))
+    """Maximal runs of later copies: (d, h, start, n_lines, of): ``d`` the doc_id, ``h`` the hash of its text, ``of`` where the original starts.
+
+    Runs with different originals may overlap.
+    """
+    found = []
+    for depth, active in _intervals(docs, min_lines, text_col, id_col, min_words):
+        if depth < min_lines and min_words is None:
+            continue
+        counts = _later(active) if depth >= min_lines else _later(active).where(F.col("need") <= depth)
+        found.append(counts.select("d", "h", "i", F.lit(depth).alias("m"), "first"))
+    if not found:
+        fields = docs.select(docs[id_col].alias("d"), F.lit(0).cast("long").alias("h"), F.lit(0).alias("start"), F.lit(0).alias("n_lines"))
+        return fields.withColumn("of", F.struct("d", "h", F.lit(0).alias("i"))).where("false")
+    later = functools.reduce(DataFrame.union, found)
+    # of a suffix in several intervals the deepest counts, with its original; in step are those as far from their originals
+    deepest = later.groupBy("d", "h", "i").agg(F.max_by(F.struct("m", "first"), "m").alias("x")).select("d", "h", "i", "x.m", "x.first")
+    deepest = deepest.withColumns({"end": F.col("i") + F.col("m"), "fd": F.col("first.d"), "fh": F.col("first.h"), "lag": F.col("i") - F.col("first.i")})
+    w = Window.partitionBy("d", "h", "fd", "fh", "lag").orderBy("i")
     fresh = F.coalesce(F.col("i") > F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
-    return (
-        later.withColumn("run", F.sum(fresh.cast("long")).over(w))
-        .groupBy("d", "h", "run")
-        .agg(F.min("i").alias("start"), (F.max("end") - F.min("i")).alias("n_lines"))
-        .drop("run")
-    )
+    runs = deepest.withColumn("run", F.sum(fresh.cast("long")).over(w)).groupBy("d", "h", "fd", "fh", "lag", "run")
+    runs = runs.agg(F.min("i").alias("start"), (F.max("end") - F.min("i")).alias("n_lines"))
+    return runs.select("d", "h", "start", "n_lines", F.struct(F.col("fd").alias("d"), F.col("fh").alias("h"), (F.col("start") - F.col("lag")).alias("i")).alias("of"))
+
+
+def suffix_intervals(docs: DataFrame, depth: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame | None:
+    """Suffixes in intervals of exactly ``depth`` lines: (d, h, i, r, sz, first), ``first`` being the earliest of the interval; None if there are none."""
+    return next((active for d, active in _intervals(docs, depth, text_col, id_col, None) if d == depth), None)
 
 
 def line_dedup(docs: DataFrame, min_lines: int = 3, text_col: str = "text", id_col: str = "doc_id", min_words: int | None = None) -> DataFrame:
     """All rows and columns of ``docs``, the text without later copies of runs of ``min_lines`` lines or ``min_words`` words or more.
 
-    Adds ``_n_lines`` and ``_n_removed``.
+    Adds ``_n_lines`` and ``_n_removed``, in place of columns of these names.
     """
     runs = repeated_runs(docs, min_lines, text_col, id_col, min_words)
-    removed = runs.groupBy("d", "h").agg(F.flatten(F.collect_list(F.expr("sequence(start, start + n_lines - 1)"))).alias("removed"))
+    removed = runs.groupBy("d", "h").agg(F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(start, start + n_lines - 1)")))).alias("removed"))
     rest = [c for c in docs.columns if c != text_col]
     whole = docs.select(
         docs[id_col].alias("_k"), F.xxhash64(docs[text_col]).alias("_h"), F.struct(*[docs[c] for c in rest]).alias("_row"), F.split(docs[text_col], "\n", -1).alias("_lines")
@@ -153,10 +167,9 @@ def line_dedup(docs: DataFrame, min_lines: int = 3, text_col: str = "text", id_c
     count = F.when(F.col("_lines").isNull(), 0).otherwise(count)
     left = F.array_except(F.expr("sequence(0, size(_lines) - 1)"), F.col("removed"))
     text = F.when(F.col("removed").isNull(), F.array_join("_lines", "\n")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    return both.select(
-        *[(text if c == text_col else F.col("_row").getField(c)).alias(c) for c in docs.columns],
-        count.alias("_n_lines"), F.coalesce(F.size("removed"), F.lit(0)).alias("_n_gone"), F.col("removed").isNull().alias("_whole"),
-    ).withColumn("_n_removed", F.when(F.col("_whole"), 0).otherwise(F.col("_n_gone"))).drop("_n_gone", "_whole")
+    gone = F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed"))
+    columns = [(text if c == text_col else F.col("_row").getField(c)).alias(c) for c in docs.columns if c not in ("_n_lines", "_n_removed")]
+    return both.select(*columns, count.alias("_n_lines"), gone.alias("_n_removed"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
