@@ -63,13 +63,25 @@ def test_line_dedup_equals_brute_force(spark, m):
 
 
 def test_line_dedup_of_frequent_lines_over_split_buckets(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "RANK_BUCKET", 4)
+    monkeypatch.setattr(line_dedup, "RANK_BUCKET", 1)
+    monkeypatch.setattr(line_dedup, "MOST_BUCKETS", 100)
     rng = random.Random(0)
     texts = {d: "\n".join(["head"] + [rng.choice("ab") for _ in range(6)]) for d in range(40)}
     got = line_dedup.line_dedup(table(spark, list(texts.values()), list(texts)), 3)
     assert {r["doc_id"]: r["text"] for r in got.collect()} == brute_lines(texts, 3)
 
 
+def test_repeated_runs_are_maximal_and_name_their_original(spark):
+    long = [f"l{k}" for k in range(40)]
+    texts = {0: [*long, "x"], 1: ["a", "b", "c", "d"], 2: ["y", *long[5:30], "a", "b", "c", "z"], 3: [*long, "x"], 4: ["u", "v"]}
+    docs = table(spark, ["\n".join(t) for t in texts.values()], list(texts)).withColumns({"_n_lines": F.lit("own"), "_lines": F.lit("own")})
+    got = sorted((r["d"], r["start"], r["n_lines"], r["of"]["d"], r["of"]["i"]) for r in line_dedup.repeated_runs(docs, 3).collect())
+    assert got == [(2, 1, 25, 0, 5), (2, 26, 3, 1, 0), (3, 0, 41, 0, 0)]
+    out = line_dedup.line_dedup(docs, 3)
+    assert out.columns.count("_n_lines") == 1 and {r["doc_id"]: (r["_n_lines"], r["_n_removed"], r["_lines"]) for r in out.collect()}[2] == (30, 28, "own")
+    assert line_dedup.suffix_intervals(docs, 25).count() > 0 and line_dedup.suffix_intervals(docs, 60) is None
+
+
 def test_line_dedup_keeps_columns_and_odd_rows(odd, empty):
     got = line_dedup.line_dedup(odd, 1)
     assert got.columns == [*odd.columns, "_n_lines", "_n_removed"] and got.count() == odd.count()
@@ -506,11 +518,20 @@ def test_substring_dedup_equals_brute_force(spark):
 
 def test_substring_dedup_splits_frequent_anchors(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "FREQUENT", 2)
-    monkeypatch.setattr(substring_dedup, "MOST_FREQUENT", 1 << 40)
     monkeypatch.setattr(substring_dedup, "CHUNK", 10)
     check_substrings(spark, make_texts(2))
 
 
+def test_substring_dedup_takes_ids_of_any_type_and_clashing_names(spark):
+    passage = " ".join(f"p{k}" for k in range(25))
+    docs = spark.createDataFrame([("b", f"x {passage}", 1, 2), ("a", f"{passage} y", 3, 4), (None, "short", 5, 6)], "doc_id string, text string, _n_words int, runs int")
+    got = substring_dedup.substring_dedup(docs)
+    assert got.columns == ["doc_id", "text", "runs", "_n_words", "_n_removed"]
+    twice = substring_dedup.substring_dedup(docs.unionAll(docs)).where("_n_removed > 0").collect()
+    assert [r["doc_id"] for r in twice] == ["b", "b"]
+    assert {r["doc_id"]: (r["text"], r["_n_removed"], r["runs"]) for r in got.collect()} == {"a": (f"{passage} y", 0, 4), "b": ("x", 25, 2), None: ("short", 0, 6)}
+
+
 def test_substring_dedup_odd_rows(odd, empty):
     got = substring_dedup.substring_dedup(odd)
     assert got.columns == [*odd.columns, "_n_words", "_n_removed"] and got.count() == odd.count()

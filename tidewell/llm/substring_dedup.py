@@ -5,21 +5,19 @@ also starts earlier (smaller doc_id, or the same document further up).
 
 1. Confirm. Each window names an anchor: the smallest hash among its phrases of ``PHRASE`` words
    (winnowing). Equal windows name equal anchors, so a window can only recur if its anchor does.
-   Anchors of all documents are counted; those seen at two places or more recur.
-2. Compile. Around recurring anchors the passages are cut out: the words of all windows that name
-   the anchor. Equal passages are counted once with their first place. Passages are sharded by
-   anchor, and every shard compiles the windows of its passages that recur into an Aho-Corasick automaton
-   over word numbers, whose payload is the window's first place.
-3. Stream. The passages that stand for all documents run through the automaton of their shard; every
-   hit reports where the same words first stand. A document's places are joined to the hits of
-   their passages, and those that lie later than the first place are cut.
-
-No task needs all places of one passage: equal passages meet in partial aggregates, and places are
-joined to hits by shuffle. What a shard holds at once is bounded by ``CHUNK`` passages, cut between
-anchors; windows of a frequent anchor go singly by their own hash. Broadcast are a Bloom filter of at
-most ``MAX_FILTER_BITS`` bits over recurring anchors, which spares the shuffle most passages
-that can't recur, and the frequent anchors, at most ``MOST_FREQUENT``. What it lets through in error is alone with its anchor and
-has no hits.
+   Anchors of all documents are counted; those seen at two places or more recur. Around them the passages are cut
+   out of every document: the words of all windows that name the anchor. Passages are sharded by anchor, and a shard
+   confirms which windows recur by their rolling hashes.
+2. Compile. Every shard compiles the words of its recurring windows into an Aho-Corasick automaton over word numbers.
+3. Stream. The passages of all documents stream through the automaton of their shard, in the order of documents,
+   and it locates every occurrence, word for word. The first of a window stays; words of the others are cut.
+
+What a shard holds at once is bounded by ``CHUNK`` passages, cut between anchors, since an anchor of
+more than ``FREQUENT`` places is not sharded: its windows go singly under 128 bits of their own hash, meet in partial
+aggregates for their first place, and are joined to it by shuffle, which splits skewed partitions.
+Broadcast are two Bloom filters of at most ``MAX_FILTER_BITS`` bits each, over recurring and over frequent anchors.
+The first spares the shuffle most passages that can't recur; what it lets through in error is alone with its anchor.
+What the second takes for frequent in error goes by its own hash, which is as right.
 
 Cases. Null text: no words. Fewer words than a window: nothing to remove. Words are compared byte by byte.
 Rows with the same ``doc_id`` and the same text are one document; with other text they are ordered by a hash of the text.
@@ -46,10 +44,8 @@ from tidewell.llm.common import documents, drop_written, written
 PHRASE = 6
 #: Passages that a shard compiles at once.
 CHUNK = 20_000
-#: An anchor with more places, or with more than one in so many of all places, is split by window; the second bounds their list.
-FREQUENT, MOST_FREQUENT = 2_000, 50_000
-#: Stands for a null doc_id.
-NO_ID = -(1 << 63)
+#: An anchor with as many places is split by window.
+FREQUENT = 2_000
 #: Size of the broadcast filter: 16 bits an anchor, never more than 32 MB.
 MAX_FILTER_BITS = 1 << 28
 #: Words whose hashes a worker remembers.
@@ -175,23 +171,24 @@ def _in_filter(values: np.ndarray, held: np.ndarray, bits: int) -> np.ndarray:
     return yes
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(docs[id_col].alias("d"), F.xxhash64(docs[text_col]).alias("h"), _text(docs, text_col).alias("text"))
+
+
 def passages(docs: DataFrame, window: int, recurring: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(anchor, d, h, start, words): the words of each run of windows that name one anchor which may recur.
+    """(anchor, d, h, start, words, check): the words of each run of windows that name one anchor which may recur.
 
-    The windows of a frequent anchor go singly, under their own hash in place of the anchor: its
-    passages may be as many as the documents, while equal windows still meet.
+    The windows of a frequent anchor go singly: ``anchor`` and ``check`` are two hashes of theirs, and ``words`` is null.
     """
-    held, bits = bloom(recurring)
-    total = recurring.agg(F.sum("n")).first()[0] or 0
-    frequent = [r[0] for r in recurring.where(F.col("n") >= max(FREQUENT, total // MOST_FREQUENT)).select("anchor").collect()]
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((held.tobytes(), np.sort(np.array(frequent, np.int64)).tobytes()))
+    filters = bloom(recurring), bloom(recurring.where(F.col("n") >= FREQUENT))
+    kind = docs.schema[id_col].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast([(held.tobytes(), bits) for held, bits in filters])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine, hot = np.frombuffer(shared.value[0], np.uint8), np.frombuffer(shared.value[1], np.int64)
+        (mine, bits), (hot, hot_bits) = ((np.frombuffer(held, np.uint8), bits) for held, bits in shared.value)
         for x in batches:
-            out: list[list] = [[], [], [], [], []]
-            for d, h, t in zip(x["d"].to_pylist(), x["h"].to_pylist(), x["text"].to_pylist(), strict=True):
+            out: list[list] = [[] for _ in range(5)]
+            for row, t in enumerate(x["text"].to_pylist()):
                 words = t.split()
                 if len(words) < window:
                     continue
@@ -199,110 +196,115 @@ def passages(docs: DataFrame, window: int, recurring: DataFrame, id_col: str = "
                 starts = np.nonzero(np.concatenate([[True], named[1:] != named[:-1]]))[0]
                 keys, ends = named[starts].view(np.int64), np.append(starts[1:], len(named))
                 chosen = np.nonzero(_in_filter(named[starts], mine, bits))[0]
-                frequent = np.zeros(len(chosen), bool)
-                if len(hot):
-                    frequent = hot[np.minimum(np.searchsorted(hot, keys[chosen]), len(hot) - 1)] == keys[chosen]
-                own = mixed(_rolling(_word_array(words), window)).view(np.int64).tolist() if frequent.any() else []
+                frequent = _in_filter(named[starts[chosen]], hot, hot_bits)
+                if frequent.any():
+                    own = _rolling(_word_array(words), window)
+                    own, check = mixed(own).view(np.int64), mixed(own * BASE ^ _rolling(mixed(_word_array(words)), window)).view(np.int64)
                 for a, s, e, single in zip(keys[chosen].tolist(), starts[chosen].tolist(), ends[chosen].tolist(), frequent.tolist(), strict=True):
-                    for part in range(s, e, 1 if single else 64):  # a periodic text names one anchor throughout
-                        to = min(e, part + (1 if single else 64)) + window - 1
-                        out[0].append(own[part] if single else a)
-                        out[1].append(d)
-                        out[2].append(h)
-                        out[3].append(part)
-                        out[4].append(b" ".join(words[part:to]))
-            kinds = pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["anchor", "d", "h", "start", "words"])
-
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(docs[text_col]).alias("h"), _text(docs, text_col).alias("text"))
-    return rows.mapInArrow(run, "anchor long, d long, h long, start int, words binary")
-
-
-def _alone(row: tuple, window: int) -> list[tuple] | None:
-    """Hits of the only passage of an anchor; None if a window may come twice inside it."""
-    _, _, d, h, start, n, words = row
-    parts = words.split()
-    if len(set(parts)) <= len(parts) - window:  # two equal windows repeat that many words
-        return None
-    return [(0, len(parts) - window + 1, d, h, start)] if n > 1 else []
-
-
-def _hits(rows: list[tuple], window: int) -> dict[tuple[int, int], list[tuple]]:
-    """For each (anchor, digest): runs (place in the passage, number, first place) of windows that recur.
-
-    An automaton is compiled over the recurring windows of anchors with several passages.
-    """
-    out: dict[tuple[int, int], list[tuple]] = {}
-    several: list[tuple] = []
-    for _, group in itertools.groupby(rows, key=lambda r: r[0]):
-        group = list(group)
-        single = _alone(group[0], window) if len(group) == 1 else None
-        if single is None:
+                    if single:
+                        n = e - s
+                        for column, values in zip(out, (own[s:e].tolist(), [row] * n, range(s, e), [None] * n, check[s:e].tolist()), strict=True):
+                            column.extend(values)
+                        continue
+                    for part in range(s, e, 64):  # a periodic text names one anchor throughout
+                        to = min(e, part + 64) + window - 1
+                        for column, value in zip(out, (a, row, part, b" ".join(words[part:to]), 0), strict=True):
+                            column.append(value)
+            of = pa.array(out[1], pa.int64())
+            columns = [pa.array(out[0], pa.int64()), x["d"].take(of), x["h"].take(of), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.int64())]
+            yield pa.record_batch(columns, names=["anchor", "d", "h", "start", "words", "check"])
+
+    return _keyed(docs, id_col, text_col).mapInArrow(run, f"anchor long, d {kind}, h long, start int, words binary, check long")
+
+
+def _place(d, h: int, start: int) -> tuple:
+    return (0, 0, h, start) if d is None else (1, d, h, start)
+
+
+def _located(rows: list[tuple], window: int) -> list[tuple]:
+    """(row, s, n): runs of windows of passages (anchor, d, h, start, words) that also start earlier. ``s`` counts from the document's start."""
+    several: list[tuple[int, list[bytes]]] = []
+    for _, group in itertools.groupby(enumerate(rows), key=lambda r: r[1][0]):
+        group = [(k, r[4].split()) for k, r in group]
+        # a passage alone with its anchor matters only if a window comes twice in it, which repeats that many words
+        if len(group) > 1 or len(set(group[0][1])) <= len(group[0][1]) - window:
             several += group
-        elif single:
-            out[group[0][:2]] = single
-    first: dict[bytes, list] = {}
-    for _, _, d, h, start, n, words in several:
-        at = [0, *itertools.accumulate(len(w) + 1 for w in words.split())]
-        for j in range(len(at) - window):
-            key = words[at[j] : at[j + window] - 1]
-            held = first.get(key)
-            if held is None:
-                first[key] = [d, h, start + j, n]
-            else:
-                held[3] += n
-                if (d, h, start + j) < (held[0], held[1], held[2]):
-                    held[:3] = d, h, start + j
+    if not several:
+        return []
+    # confirm: windows whose hash comes twice
+    hashes = [_rolling(_word_array(words), window) for _, words in several]
+    values, counts = np.unique(np.concatenate(hashes), return_counts=True)
+    twice = values[counts > 1]
+    if not len(twice):
+        return []
+    # compile: the words of each such window
     numbers: dict[bytes, int] = {}
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for key, (d, h, start, n) in first.items():
-        if n > 1:
-            automaton.add_word(tuple([numbers.setdefault(w, len(numbers) + 1) for w in key.split()]), (d, h, start))
-    first.clear()
-    if not len(automaton):
-        return out
+    compiled: set[int] = set()
+    streams = []
+    for (k, words), own in zip(several, hashes, strict=True):
+        at = np.minimum(np.searchsorted(twice, own), len(twice) - 1)
+        marked = np.nonzero(twice[at] == own)[0]
+        if len(marked):
+            streams.append((k, words))
+        for j in marked.tolist():
+            key = tuple([numbers.setdefault(w, len(numbers) + 1) for w in words[j : j + window]])
+            if int(own[j]) not in compiled or not automaton.exists(key):
+                compiled.add(int(own[j]))
+                automaton.add_word(key, len(automaton))
     automaton.make_automaton()
-    number = numbers.get
-    for anchor, digest, *_, words in several:
-        runs: list[list] = []
-        for end, (d, h, start) in automaton.iter(tuple([number(w, 0) for w in words.split()])):
+    # stream: every occurrence, in the order of documents
+    number, first, out = numbers.get, {}, []
+    for k, words in sorted(streams, key=lambda r: _place(*rows[r[0]][1:4])):
+        (d, h, start), n, last = rows[k][1:4], 0, -1
+        for end, pattern in automaton.iter(tuple([number(w, 0) for w in words])):
             at = end - window + 1
-            last = runs[-1] if runs else None
-            if last and last[0] + last[1] == at and last[2:4] == [d, h] and last[4] + last[1] == start:
-                last[1] += 1
+            if first.setdefault(pattern, (d, h, start + at)) == (d, h, start + at):
+                continue
+            if n and last + 1 == at:
+                n += 1
             else:
-                runs.append([at, 1, d, h, start])
-        if runs:
-            out[anchor, digest] = [tuple(r) for r in runs]
+                if n:
+                    out.append((k, start + last - n + 1, n))
+                n = 1
+            last = at
+        if n:
+            out.append((k, start + last - n + 1, n))
     return out
 
 
-FIELDS = ("at", "n", "d", "h", "start")
-HITS = pa.list_(pa.struct(list(zip(FIELDS, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True))))
-
-
 def located(found: DataFrame, window: int) -> DataFrame:
-    """(anchor, digest, hits) of distinct passages; hits: runs of recurring windows in the passage and the first place of each run."""
-    rows = found.groupBy("anchor", F.xxhash64("words").alias("digest")).agg(F.min(F.struct("d", "h", "start")).alias("p"), F.count("*").alias("n"), F.first("words").alias("words"))
-    rows = rows.select("anchor", "digest", "p.d", "p.h", "p.start", "n", "words").repartition("anchor").sortWithinPartitions("anchor")
-
-    def emit(rows: list[tuple]) -> pa.RecordBatch:
-        got = _hits(rows, window)
-        hits = [[dict(zip(FIELDS, y, strict=True)) for y in v] for v in got.values()]
-        return pa.record_batch([pa.array([a for a, _ in got], pa.int64()), pa.array([x for _, x in got], pa.int64()), pa.array(hits, HITS)], names=["anchor", "digest", "hits"])
+    """(d, h, s, n): runs of windows in the sharded passages that also start earlier."""
+    kind = found.schema["d"].dataType.simpleString()
+    rows = found.where("words is not null").select("anchor", "d", "h", "start", "words").repartition("anchor").sortWithinPartitions("anchor")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+
+        def emit() -> pa.RecordBatch:
+            got = _located(held, window)
+            d = pa.array([held[k][1] for k, _, _ in got], ids)
+            return pa.record_batch([d, pa.array([held[k][2] for k, _, _ in got], pa.int64()), pa.array([s for _, s, _ in got], pa.int32()), pa.array([n for _, _, n in got], pa.int32())], names=["d", "h", "s", "n"])
+
         for x in batches:
-            for row in zip(*(x[c].to_pylist() for c in ("anchor", "digest", "d", "h", "start", "n", "words")), strict=True):
+            ids = x["d"].type
+            for row in zip(*(x[c].to_pylist() for c in ("anchor", "d", "h", "start", "words")), strict=True):
                 if len(held) >= CHUNK and row[0] != held[-1][0]:
-                    yield emit(held)
+                    yield emit()
                     held = []
                 held.append(row)
         if held:
-            yield emit(held)
+            yield emit()
+
+    return rows.mapInArrow(run, f"d {kind}, h long, s int, n int")
+
 
-    return rows.mapInArrow(run, "anchor long, digest long, hits array<struct<at:int,n:int,d:long,h:long,start:int>>")
+def single_windows(found: DataFrame) -> DataFrame:
+    """(d, h, s, n): windows of frequent anchors that also start earlier. A window met once goes in the first, partial aggregate."""
+    rows = found.where("words is null").select("anchor", "check", "d", "h", "start")
+    first = rows.groupBy("anchor", "check").agg(F.min(F.struct("d", "h", "start")).alias("first"), F.count("*").alias("times")).where("times > 1")
+    both = rows.join(first, ["anchor", "check"])
+    return both.where(F.struct("d", "h", "start") > F.col("first")).select("d", "h", F.col("start").alias("s"), F.lit(1).alias("n"))
 
 
 def removed_words(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -312,12 +314,9 @@ def removed_words(docs: DataFrame, window: int = 20, id_col: str = "doc_id", tex
     recurring = written(anchor_counts(docs, window, text_col), "anchors")
     found = written(passages(docs, window, recurring, id_col, text_col), "passages")
     drop_written(recurring)
-    hits = written(located(found, window), "hits")
-    places = found.select("anchor", F.xxhash64("words").alias("digest"), "d", "h", "start")
-    both = places.join(hits, ["anchor", "digest"])
-    later = F.filter("hits", lambda x: F.struct(x["d"], x["h"], x["start"]) < F.struct("d", "h", F.col("start") + x["at"]))
-    both = both.select("d", "h", F.transform(later, lambda x: F.struct((F.col("start") + x["at"]).alias("s"), x["n"].alias("n"))).alias("runs")).where(F.size("runs") > 0)
-    return both.groupBy("d", "h").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    runs = written(located(found, window).union(single_windows(found)), "runs")
+    drop_written(found)
+    return runs.distinct().groupBy("d", "h").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
 
 
 def kept_words(words: list[bytes], starts: np.ndarray, counts: np.ndarray, window: int) -> list[bytes]:
@@ -331,12 +330,12 @@ def kept_words(words: list[bytes], starts: np.ndarray, counts: np.ndarray, windo
 def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, the text reduced to the words that stay, joined by one space; null stays null.
 
-    Adds ``_n_words`` and ``_n_removed``.
+    Adds ``_n_words`` and ``_n_removed``, in place of columns of these names.
     """
     gone = removed_words(docs, window, id_col, text_col)
     rest = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col])
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(docs[text_col]).alias("k"), docs[text_col].cast("binary").alias("text"), rest.alias("rest"))
-    rows = rows.join(gone, (rows["id"] == gone["d"]) & (rows["k"] == gone["h"]), "left").select("rest", "text", "runs")
+    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("k"), docs[text_col].cast("binary").alias("text"), rest.alias("rest"))
+    rows = rows.join(gone, rows["id"].eqNullSafe(gone["d"]) & (rows["k"] == gone["h"]), "left").select("rest", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -353,7 +352,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
 
     schema = T.StructType([rows.schema["rest"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     done = rows.mapInArrow(run, schema)
-    columns = [(F.col("kept") if c == text_col else F.col("rest").getField(f"c{k}")).alias(c) for k, c in enumerate(docs.columns)]
+    columns = [(F.col("kept") if c == text_col else F.col("rest").getField(f"c{k}")).alias(c) for k, c in enumerate(docs.columns) if c not in ("_n_words", "_n_removed")]
     return done.select(*columns, F.col("n_words").alias("_n_words"), F.col("n_removed").alias("_n_removed"))
 
 
