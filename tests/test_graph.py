@@ -110,6 +110,37 @@ def test_commit_log_and_imports(spark):
     assert js() == {"./n": "w/n/index.ts", "../q": None} and js(collapse_parents=True)["../q"] == "q.js"
 
 
+def test_inventory_excludes_and_names_unknown_languages(spark):
+    paths = ["a.py", "stub.pyi", "node_modules/x.js", "lib/y.min.js", "m.mjs", "notes.md", "Makefile"]
+    files = spark.createDataFrame([(p, b"x") for p in paths], "path string, content binary")
+    got = {x["path"]: x["language"] for x in repository.inventory(files, exclude_prefixes=["node_modules/"], exclude_suffixes=[".min.js"]).collect()}
+    assert got == {"a.py": "python", "stub.pyi": "python", "m.mjs": "javascript", "notes.md": "unknown", "Makefile": "unknown"}
+    assert {x["path"] for x in repository.inventory(files, extensions=[".py", ".mjs"]).collect()} == {"a.py", "m.mjs"}
+
+
+def test_import_forms(spark):
+    text = """import a from "./a"
+import { b,
+  c } from './b'
+export * from './e'
+import './bare'
+const r = require("./r"), d = await import('./d')
+const s = "from nowhere"; importer('./no')
+"""
+    got = spark.createDataFrame([(text,)], "t string").select(repository.script_specifiers(F.col("t")).alias("s")).first()["s"]
+    assert sorted(got) == ["./a", "./b", "./bare", "./d", "./e", "./r"]
+    assert repository._python_imports("p/q.py", "from .... import x\nfrom ...y import z") == [("x", "....x", 1), ("y", "...y", 1)]
+
+
+def test_focus_graph_takes_risk_into_account(spark):
+    edges = spark.createDataFrame([(0, k, 0.1 * k) for k in range(1, 8)] + [(8, 9, 0.01)], "path_a long, path_b long, weight double")
+    files = spark.createDataFrame([(k, 1.0 if k == 9 else 0.0) for k in range(10)], "path long, risk double")
+    pairs = lambda **k: sorted((x["path_a"], x["path_b"]) for x in g.focus_graph(edges, files, **k).collect())
+    assert pairs() == [(0, k) for k in range(1, 8)] + [(8, 9)]
+    assert pairs(most=1) == [(0, 7)] and pairs(nodes=3) == [(0, 7)]  # 9 stays by risk, but 8 doesn't, and so their edge goes
+    assert pairs(nodes=1) == [(0, 7)]  # no edge would be left
+
+
 def test_feeds(spark):
     from datetime import datetime
 

@@ -214,3 +214,51 @@ def test_main_text():
     text, flags = main_text(f"<html><head><title>t</title></head><body>{body}</body></html>")
     assert text.startswith("Words & more.") and "menu" not in text and "link" not in text and flags == ["extracted"]
     assert main_text("<p>short</p>") == (None, []) and main_text(None) == (None, ["fetch_failed"])
+
+
+def test_upsert_folds_arrivals_and_merge_keeps_creation(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    from tidewell.streaming import ingest
+
+    schema = "event_id string, content string, canonical_url string, content_flags string, score long, comments long, fetched_at timestamp"
+    rng, t0 = random.Random(1), datetime(2024, 1, 1)
+    rows = [(f"e{rng.randrange(12)}", rng.choice([None, "c"]) and f"c{k}", rng.choice([None, "u"]) and f"u{k}", rng.choice([None, None, "f"]) and f"f{k}", rng.randrange(5), rng.randrange(3), t0 + timedelta(minutes=k)) for k in range(90)]
+    want = {}
+    for e, c, u, f, s, n, at in rows:
+        x = want.setdefault(e, dict(content=c, canonical_url=u, content_flags=f, score=s, comments=n, created_at=at, fetched_at=at))
+        if (x["content"] is None and c) or (x["canonical_url"] is None and u) or (x["content_flags"] is None and f) or s > x["score"] or n > x["comments"]:
+            x.update(content=x["content"] or c, canonical_url=x["canonical_url"] or u, content_flags=x["content_flags"] or f, score=max(s, x["score"]), comments=max(n, x["comments"]), fetched_at=at)
+    plain = lambda df: {r["event_id"]: {k: v for k, v in r.asDict().items() if k != "event_id"} for r in df.collect()}
+    assert plain(ingest.upsert(spark.createDataFrame(rows, schema))) == want
+    state = ingest.upsert(spark.createDataFrame(rows[:40], schema))
+    assert plain(ingest.merge(state, spark.createDataFrame(rows[40:], schema))) == want
+
+
+def test_cursors_round_trip_and_refuse_others(spark):
+    from tidewell.functions import cursor
+    from tidewell.operators.relational import with_next
+
+    keys = {"fts_rank": -1.5, "event_id": "é/1"}
+    text = cursor.encode("search", keys)
+    assert cursor.decode(text, "search") == keys and not set(text) & set("+/=")
+    for bad, command in ((text, "events"), ("%%%", "search"), ("W10", "search"), (cursor.encode("search", {})[:-4], "search")):
+        with pytest.raises(cursor.InvalidCursor):
+            cursor.decode(bad, command)
+    df = spark.range(5)
+    rows, after = with_next(df, [F.col("id")], 2, "list", ["id"])
+    assert [r["id"] for r in rows] == [0, 1] and cursor.decode(after, "list") == {"id": 1}
+    assert with_next(df, [F.col("id")], 5, "list", ["id"])[1] is None
+
+
+def test_search_within_a_column(spark, tmp_path):
+    from tidewell.operators.search import build_index, search
+
+    docs = spark.createDataFrame([(1, "foo story", "plain"), (2, "a", "title foo said so"), (3, "bar", "foo")], "doc_id long, title string, content string")
+    index = build_index(docs, ["title", "content"], f"file://{tmp_path}/ix")
+    ids = lambda q, **k: sorted(r["doc_id"] for r in search(index, q, columns=["title", "content"], **k).collect())
+    assert ids("title:foo") == [1] and ids("content : foo") == [2, 3] and ids('content:"title foo"') == [2] and ids("foo NOT title:bar") == [1, 2]
+    assert ids("foo", among=docs.where("doc_id > 1")) == [2, 3]
+    with pytest.raises(ValueError):
+        search(index, "body:foo", columns=["title"])

@@ -154,11 +154,11 @@ def evaluate(reviewed: DataFrame, least: int = 30) -> DataFrame:
     return by.select("topic", "samples", half_up(p, 3).alias("precision"), half_up(r, 3).alias("recall"), half_up(ratio(2 * p * r, p + r), 3).alias("f1"), "false_positives", "false_negatives")
 
 
-def label_losses(reviewed: DataFrame, topics: int) -> DataFrame:
-    """One row: Hamming loss and how often too many labels are given."""
+def label_losses(reviewed: DataFrame, topics: int, many: int = 4) -> DataFrame:
+    """One row: Hamming loss and how often ``many`` labels or more are given, rightly or not."""
     differ = F.size(F.array_except("machine", "human")) + F.size(F.array_except("human", "machine"))
-    many = F.size("machine") >= 4
-    return reviewed.agg(half_up(F.sum(differ) / (F.count("*") * F.lit(float(topics))), 6).alias("hamming_loss"), F.count_if(many).alias("over_classified"), F.count_if(many & (F.size("human") <= 3)).alias("falsely_over_classified"))
+    over = F.size("machine") >= many
+    return reviewed.agg(half_up(F.sum(differ) / (F.count("*") * F.lit(float(topics))), 6).alias("hamming_loss"), F.count_if(over).alias("over_classified"), F.count_if(over & (F.size("human") < many)).alias("falsely_over_classified"))
 
 
 def confusion_pairs(reviewed: DataFrame, most: int = 20) -> DataFrame:

@@ -32,9 +32,12 @@ def _scaled(raw: DataFrame, out: str) -> DataFrame:
 def cochange_edges(commits: DataFrame, cap: int = 50, half_life: float = 180.0, tau: float = 0.10, k: int = 10) -> DataFrame:
     """Pairs of paths changed in one commit. Commits over ``cap`` paths go before pairs are made, which bounds the pairs of a commit."""
     last = commits.agg(F.max("commit_ts").alias("last"))
-    by = commits.groupBy("commit_sha", "commit_ts").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    # counted before they are collected, so that a commit over the cap never makes a row
+    m = F.count("*").over(Window.partitionBy("commit_sha", "commit_ts"))
+    rows = commits.select("commit_sha", "commit_ts", "path").distinct().withColumn("m", m).where(F.col("m").between(2, cap))
+    by = rows.groupBy("commit_sha", "commit_ts").agg(F.array_sort(F.collect_list("path")).alias("paths"))
     m = F.size("paths")
-    by = by.where((m >= 2) & (m <= cap)).crossJoin(F.broadcast(last))
+    by = by.crossJoin(F.broadcast(last))
     share = F.pow(F.lit(2.0), -F.greatest(F.lit(0.0), (F.col("last") - F.col("commit_ts")) / float(DAY)) / half_life) / (m - 1)
     one = by.select(share.alias("share"), "paths", F.posexplode("paths").alias("i", "path_a"))
     pairs = one.select("share", "path_a", F.explode(F.expr("slice(paths, i + 2, size(paths))")).alias("path_b"))
@@ -433,11 +436,23 @@ def graph_summary(edges: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def focus_graph(edges: DataFrame, files: DataFrame, per_node: int = 4, risky: int = 20, per_risky: int = 2, most: int = 220, nodes: int = 120) -> DataFrame:
-    """The strongest edges of every node, more of the riskiest, for a small picture."""
-    ends = both_ends(edges.select("path_a", "path_b", "weight"), "path_a", "path_b")
-    ends = ends.withColumn("rn", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("weight"), "other")))
-    top = files.orderBy(F.desc("risk"), "path").limit(risky).select(F.col("path").alias("node"))
-    chosen = ends.where(F.col("rn") <= per_node).unionByName(ends.where(F.col("rn") <= per_node + per_risky).join(F.broadcast(top), "node", "left_semi"))
-    chosen = chosen.select(F.least("node", "other").alias("path_a"), F.greatest("node", "other").alias("path_b"), "weight").distinct().orderBy(F.desc("weight"), "path_a", "path_b").limit(most)
-    strong = degrees(chosen).orderBy(F.desc("weighted_degree"), "path").limit(nodes).select("path")
-    return chosen.join(strong.withColumnRenamed("path", "path_a"), "path_a", "left_semi").join(strong.withColumnRenamed("path", "path_b"), "path_b", "left_semi").select("path_a", "path_b", "weight")
+    """The edges of highest priority for a small picture: some of every node and of the riskiest. Priority is the weight and a tenth of both ends' risk.
+
+    Where the picture has too many nodes, those of the highest risk, then weighted degree, stay; if that leaves no edge, the first one does.
+    """
+    risk = files.select(F.col("path"), F.coalesce("risk", F.lit(0.0)).alias("risk"))
+    rows = edges.select("path_a", "path_b", "weight")
+    for end in ("path_a", "path_b"):
+        rows = rows.join(risk.toDF(end, f"{end}_risk"), end, "left")
+    rows = rows.select("path_a", "path_b", "weight", half_up(F.col("weight") + 0.10 * F.coalesce("path_a_risk", F.lit(0.0)) + 0.10 * F.coalesce("path_b_risk", F.lit(0.0)), 9).alias("priority"))
+    order = [F.desc("priority"), F.least("node", "other"), F.greatest("node", "other")]
+    ends = both_ends(rows, "path_a", "path_b").withColumn("rn", F.row_number().over(Window.partitionBy("node").orderBy(*order))).where(F.col("rn") <= max(per_node, per_risky))
+    top = risk.orderBy(F.desc("risk"), "path").limit(risky).select(F.col("path").alias("node"), F.lit(True).alias("top"))
+    ends = ends.join(F.broadcast(top), "node", "left").where((F.col("rn") <= per_node) | (F.col("top") & (F.col("rn") <= per_risky)))  # ``risky`` rows
+    chosen = ends.select(F.least("node", "other").alias("path_a"), F.greatest("node", "other").alias("path_b"), "weight", "priority").distinct()
+    chosen = chosen.orderBy(F.desc("priority"), "path_a", "path_b").limit(most).withColumn("n", F.row_number().over(Window.orderBy(F.desc("priority"), "path_a", "path_b")))
+    ranked = degrees(chosen).join(risk, "path", "left").orderBy(F.desc(F.coalesce("risk", F.lit(0.0))), F.desc("weighted_degree"), "path").limit(nodes)
+    kept = ranked.select(F.col("path").alias("k"), F.lit(True).alias("in"))
+    both = chosen.join(kept.toDF("path_a", "a"), "path_a", "left").join(kept.toDF("path_b", "b"), "path_b", "left").withColumn("both", F.coalesce(F.col("a") & F.col("b"), F.lit(False)))
+    any_ = F.max("both").over(Window.partitionBy())  # at most ``most`` rows
+    return both.withColumn("any", any_).where(F.col("both") | (~F.col("any") & (F.col("n") == 1))).select("path_a", "path_b", "weight")

@@ -75,14 +75,14 @@ def health_of(ev: DataFrame) -> DataFrame:
     return ev.groupBy("source").agg(F.max("fetched_at").alias("last_success_at")).withColumn("last_error", F.when(F.col("source") == "s3", F.lit("timeout")))
 
 
-def stats(ev: DataFrame, et: DataFrame, as_of: datetime) -> DataFrame:
-    """One row of totals and quality shares with their alert levels."""
+def stats(ev: DataFrame, et: DataFrame, as_of: datetime, many: int = 4) -> DataFrame:
+    """One row of totals and quality shares with their alert levels; events with ``many`` topics or more count as multi-topic."""
     at = F.col("fetched_at")
     per = et.groupBy("event_id").agg(F.count("*").alias("topics"))
     joined = ev.join(per, "event_id", "left")
     row = joined.agg(
         F.count("*").alias("total_events"), F.count_if(at >= _since(as_of, days=1)).alias("events_24h"), F.count_if(at >= _since(as_of, days=7)).alias("events_7d"),
-        F.count_distinct("source").alias("sources"), F.count_if(F.col("topics").isNull()).alias("_none"), F.count_if(F.col("topics") >= 2).alias("_many"),
+        F.count_distinct("source").alias("sources"), F.count_if(F.col("topics").isNull()).alias("_none"), F.count_if(F.col("topics") >= many).alias("_many"),
     )
     active = et.agg(F.count_distinct("topic").alias("active_topics"))
     best = top_source(ev).select(F.col("source").alias("top_source"), F.col("events").alias("_top"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewell.functions import cursor
 from tidewell.functions.scalar import moment
 
 
@@ -22,7 +23,7 @@ def capped_scan(df: DataFrame, group: list[str], order: list[Column], per_group:
 
 
 def keyset_page(df: DataFrame, first: str, second: str, after: tuple | None, limit: int, descending: bool = True) -> DataFrame:
-    """A page in (first, second desc) order that begins behind the row ``after``; one row more than ``limit`` tells that there is another."""
+    """A page of ``limit`` rows in (first, second desc) order that begins behind the row ``after``; see ``with_next`` for whether there is another."""
     a, b = F.col(first), F.col(second)
     if after is not None:
         x, y = (moment(v) if isinstance(v, datetime) else F.lit(v) for v in after)
@@ -30,6 +31,15 @@ def keyset_page(df: DataFrame, first: str, second: str, after: tuple | None, lim
     return df.orderBy(a.desc() if descending else a.asc(), b.desc()).limit(max(1, min(limit, 100)))
 
 
+def with_next(df: DataFrame, order: list[Column], limit: int, command: str, keys: list[str]) -> tuple[list[Row], str | None]:
+    """The first ``limit`` rows and the cursor of the page behind them, None at the end. One row more is read to tell."""
+    rows = df.orderBy(*order).limit(limit + 1).collect()  # a page
+    if len(rows) <= limit:
+        return rows, None
+    last = rows[limit - 1]
+    return rows[:limit], cursor.encode(command, {k: last[k].isoformat() if isinstance(last[k], datetime) else last[k] for k in keys})
+
+
 def band_join(left: DataFrame, right: DataFrame, day: str, within: int, condition: Column) -> DataFrame:
     """Rows with ``0 < right.day - left.day <= within``: an equi-join on each lag instead of a nested loop. Aliases: a, b."""
     shifted = left.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(within)))).withColumn("to_day", F.date_add(day, F.col("lag")))

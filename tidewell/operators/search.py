@@ -35,14 +35,16 @@ def build_index(docs: DataFrame, columns: list[str], path: str, key: str = "doc_
 class Atom:
     words: tuple[str, ...]
     prefix: bool = False
+    column: int | None = None
 
 
 class Query:
-    """Words are ANDed; OR, NOT, parentheses, "phrases" and prefixes* as in FTS5."""
+    """Words are ANDed; OR, NOT, parentheses, "phrases", prefixes* and ``column:word`` as in FTS5."""
 
-    def __init__(self, text: str) -> None:
+    def __init__(self, text: str, columns: list[str] | None = None) -> None:
         self.atoms: list[Atom] = []
-        self._left = re.findall(r'"[^"]*"\*?|\(|\)|[^\s()"]+', text)
+        self._columns = columns or []
+        self._left = re.findall(r'\w+\s*:\s*(?=["\w])|"[^"]*"\*?|\(|\)|[^\s()":]+(?:-[^\s()":]+)*', text)
         if not self._left:
             raise ValueError("empty query")
         self.tree = self._either()
@@ -75,11 +77,17 @@ class Query:
                 raise ValueError("no closing parenthesis")
             self._left.pop(0)
             return inner
+        column = None
+        if word.rstrip().endswith(":"):
+            name = word.rstrip().rstrip(":").rstrip()
+            if name not in self._columns or not self._left:
+                raise ValueError(f"no such column: {name}")
+            column, word = self._columns.index(name), self._left.pop(0)
         plain = word.lower().translate(str.maketrans(ACCENTED, PLAIN))
         words = tuple(w for w in re.split(r"[^\w-]+", plain) if w)
         if not words:
             raise ValueError(f"nothing to look for in {word!r}")
-        self.atoms.append(Atom(words, word.endswith("*")))
+        self.atoms.append(Atom(words, word.endswith("*"), column))
         return ("atom", len(self.atoms) - 1)
 
     def holds(self, node=None) -> Column:
@@ -96,6 +104,9 @@ class Query:
 
 def _hits(index: DataFrame, atom: Atom) -> DataFrame:
     """(doc_id, dl, tf) of documents with the atom."""
+    if atom.column is not None:  # columns lie 2^26 positions apart
+        inside = F.filter("positions", lambda p: F.shiftright(p, 26) == atom.column)
+        index = index.withColumn("positions", inside).withColumn("tf", F.size("positions").cast("long")).where("tf > 0")
     match = lambda w, last: F.col("term").startswith(w) if atom.prefix and last else F.col("term") == w
     if len(atom.words) == 1:
         return index.where(match(atom.words[0], True)).groupBy("doc_id", "dl").agg(F.sum("tf").alias("tf"))
@@ -109,9 +120,13 @@ def _hits(index: DataFrame, atom: Atom) -> DataFrame:
     return whole.groupBy("doc_id", "dl").agg(F.count("*").alias("tf"))
 
 
-def search(index: DataFrame, text: str, limit: int | None = 20, after: tuple | None = None) -> DataFrame:
-    """(doc_id, rank) by rank, smaller first, then newer document."""
-    query = Query(text)
+def search(index: DataFrame, text: str, limit: int | None = 20, after: tuple | None = None, columns: list[str] | None = None, among: DataFrame | None = None) -> DataFrame:
+    """(doc_id, rank) by rank, smaller first, then newer document.
+
+    ``columns`` names the indexed columns for ``column:word``; ``among`` (doc_id) holds the documents that may be
+    found, as filters by source, topic or time leave them. Ranks are those of the whole index.
+    """
+    query = Query(text, columns)
     stats = index.groupBy("doc_id").agg(F.max("dl").alias("dl")).agg(F.count("*").alias("total"), F.avg("dl").alias("avgdl"))
     rows = None
     for k, atom in enumerate(query.atoms):
@@ -124,6 +139,8 @@ def search(index: DataFrame, text: str, limit: int | None = 20, after: tuple | N
     rows = rows.join(F.broadcast(df), "atom").crossJoin(F.broadcast(stats)).withColumn("s", score)  # a row an atom; one row
     by = rows.groupBy("doc_id").agg(F.sum("s").alias("s"), *[F.max(F.when(F.col("atom") == k, tf)).alias(f"a{k}") for k in range(len(query.atoms))])
     found = by.where(query.holds()).select("doc_id", (-F.floor(F.col("s") * 1e6 + 0.5) / 1e6).alias("rank"))
+    if among is not None:
+        found = found.join(among.select("doc_id").distinct(), "doc_id", "left_semi")
     if after is not None:
         found = found.where((F.col("rank") > after[0]) | ((F.col("rank") == after[0]) & (F.col("doc_id") < after[1])))
     found = found.orderBy("rank", F.desc("doc_id"))

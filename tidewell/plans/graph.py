@@ -21,7 +21,8 @@ pr AS (SELECT a.path AS path_a, b.path AS path_b, {half_up("sum(pow(2.0, -greate
 pp AS (SELECT CASE WHEN quantile_cont(raw, 0.95) > 0 THEN quantile_cont(raw, 0.95) ELSE max(raw) END AS p FROM pr),
 pw AS (SELECT path_a, path_b, raw, {half_up('least(1.0, raw / p)', 6)} AS w_co FROM pr, pp),
 pn AS (SELECT node, path_a, path_b, row_number() OVER (PARTITION BY node ORDER BY w_co DESC, path_a, path_b) AS rn FROM (SELECT path_a AS node, * FROM pw UNION ALL SELECT path_b, * FROM pw)),
-co AS (SELECT path_a, path_b, {half_up('raw', 6)} AS w_co_raw, w_co FROM pw WHERE w_co >= 0.10 OR (path_a, path_b) IN (SELECT (path_a, path_b) FROM pn WHERE rn <= 10))
+pk AS (SELECT DISTINCT path_a, path_b, 1 AS near FROM pn WHERE rn <= 10),
+co AS (SELECT path_a, path_b, {half_up('raw', 6)} AS w_co_raw, w_co FROM pw LEFT JOIN pk USING (path_a, path_b) WHERE w_co >= 0.10 OR near = 1)
 """
 
 

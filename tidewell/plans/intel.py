@@ -102,7 +102,7 @@ def sources_health(spark, sf):
 
 @query("stats_overview", EV + f""", per AS (SELECT event_id, count(*) AS k FROM et GROUP BY event_id), top AS (SELECT source, count(*) AS c FROM ev GROUP BY source ORDER BY c DESC, source LIMIT 1),
 b AS (SELECT count(*) AS total_events, count(*) FILTER (WHERE fetched_at >= t - INTERVAL 1 DAY) AS events_24h, count(*) FILTER (WHERE fetched_at >= t - INTERVAL 7 DAY) AS events_7d,
- count(DISTINCT source) AS sources, count(*) FILTER (WHERE k IS NULL) / CAST(count(*) AS DOUBLE) AS none, count(*) FILTER (WHERE k >= 2) / CAST(count(*) AS DOUBLE) AS many FROM ev LEFT JOIN per USING (event_id), now)
+ count(DISTINCT source) AS sources, count(*) FILTER (WHERE k IS NULL) / CAST(count(*) AS DOUBLE) AS none, count(*) FILTER (WHERE k >= 4) / CAST(count(*) AS DOUBLE) AS many FROM ev LEFT JOIN per USING (event_id), now)
 SELECT total_events, events_24h, events_7d, sources, (SELECT count(DISTINCT topic) FROM et) AS active_topics, {half_up('none', 4)} AS unclassified_share, {half_up('many', 4)} AS multi_topic_share,
  source AS top_source, {half_up('c / CAST(total_events AS DOUBLE)', 4)} AS top_source_share, CASE WHEN none > .5 THEN 'critical' WHEN none > .2 THEN 'warning' ELSE 'ok' END AS unclassified_level,
  CASE WHEN c / CAST(total_events AS DOUBLE) > .6 THEN 'critical' WHEN c / CAST(total_events AS DOUBLE) > .3 THEN 'warning' ELSE 'ok' END AS concentration_level FROM b, top""")

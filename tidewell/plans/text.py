@@ -64,6 +64,18 @@ def fts_boolean(spark, sf):
     return search(_index(spark, sf), "(token OR worth*) NOT und")
 
 
+TITLE = DOCS + f""", bag AS (SELECT doc_id, {ftok('title')} AS tt, list_concat({ftok('title')}, {ftok('content')}) AS ts FROM d), st AS (SELECT count(*) AS n_docs, avg(len(ts)) AS avgdl FROM bag WHERE len(ts) > 0),
+h AS (SELECT doc_id, len(ts) AS dl, len(list_filter(tt, lambda t: t = 'the')) AS tf FROM bag), n AS (SELECT count(*) AS n FROM h WHERE tf > 0)
+SELECT doc_id, -floor(greatest(1e-6, ln((n_docs - n + 0.5) / (n + 0.5))) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) * 1e6 + 0.5) / 1e6 AS rank FROM h JOIN documents USING (doc_id), st, n WHERE tf > 0 AND source = 'src1' ORDER BY rank, doc_id DESC LIMIT 20"""
+
+
+@query("fts_column_filter", TITLE)
+def fts_column_filter(spark, sf):
+    """A word of one column, in documents of one source."""
+    among = src.table(spark, sf, "documents").where("source = 'src1'")
+    return search(_index(spark, sf), "title:the", columns=["title", "content"], among=among)
+
+
 @query("fts_phrase")
 def fts_phrase(spark, sf):
     return search(_index(spark, sf), '"the and attion"')
@@ -188,9 +200,9 @@ def label_eval(spark, sf):
     return cf.evaluate(_reviewed(spark, sf))
 
 
-@query("label_losses", REVIEWED + f", l AS (SELECT len(list_filter(machine, lambda x: NOT list_contains(human, x))) + len(list_filter(human, lambda x: NOT list_contains(machine, x))) AS k FROM rv) SELECT {half_up('sum(k) / (count(*) * 2.0)', 6)} AS hamming_loss, CAST(0 AS BIGINT) AS over_classified, CAST(0 AS BIGINT) AS falsely_over_classified FROM l")
+@query("label_losses", REVIEWED + f", l AS (SELECT len(list_filter(machine, lambda x: NOT list_contains(human, x))) + len(list_filter(human, lambda x: NOT list_contains(machine, x))) AS k, len(machine) AS nm, len(human) AS nh FROM rv) SELECT {half_up('sum(k) / (count(*) * 2.0)', 6)} AS hamming_loss, count(*) FILTER (WHERE nm >= 1) AS over_classified, count(*) FILTER (WHERE nm >= 1 AND nh < 1) AS falsely_over_classified FROM l")
 def label_losses(spark, sf):
-    return cf.label_losses(_reviewed(spark, sf), 2)
+    return cf.label_losses(_reviewed(spark, sf), 2, many=1)
 
 
 @query("confusion_pairs", REVIEWED + """, f AS (SELECT unnest(list_filter(machine, lambda x: NOT list_contains(human, x))) AS predicted, coalesce(human[1], 'none') AS actual, 'fp' AS direction FROM rv UNION ALL SELECT coalesce(machine[1], 'none'), unnest(list_filter(human, lambda x: NOT list_contains(machine, x))), 'fn' FROM rv)

@@ -8,9 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-EVENT = ("event_id", "source", "feed", "url", "title", "published_at")
-
-
 def _tag(body: Column, name: str) -> Column:
     text = F.regexp_extract(body, rf"(?s)<{name}(?:\s[^>]*)?>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</{name}>", 1)
     return F.when(text != "", text)
@@ -45,10 +42,10 @@ def filings(dumps: DataFrame, forms: list[str] | None = None) -> DataFrame:
     x = F.col("x")
     rows = dumps.select("feed", F.explode(F.regexp_extract_all("body", F.lit(r"(?s)<entry[\s>].*?</entry>"), 0)).alias("x"))
     title = F.coalesce(_tag(x, "title"), F.lit(""))
-    form = F.when(title.rlike(r"^\S+\s*-"), F.regexp_extract(title, r"^(\S+)\s*-", 1)).otherwise(F.split(title, r"\s")[0])
+    # the feed's titles are: form, dash, company, number of ten digits in brackets, role of the filer in brackets
+    part = lambda k: F.regexp_extract(title, r"^(\S[^ ]*)(?: +- +(.*?) +\((\d{10})\))?", k)
     rows = rows.select(
-        "feed", F.regexp_extract(x, r"(\d{10}-\d{2}-\d{6})", 1).alias("accession"), form.alias("form"), F.regexp_extract(title, r"\((\d{10})\)", 1).alias("cik"),
-        F.trim(F.regexp_extract(title, r"^\S+\s*-\s*(.+?)\s*\(\d{10}\)", 1)).alias("company"), F.try_to_timestamp(_tag(x, "updated")).alias("published_at"), title.alias("title"),
+        "feed", F.regexp_extract(x, r"(\d{10}-\d{2}-\d{6})", 1).alias("accession"), part(1).alias("form"), part(3).alias("cik"), part(2).alias("company"), F.try_to_timestamp(_tag(x, "updated")).alias("published_at"), title.alias("title"),
     ).where("accession <> ''")
     if forms:
         rows = rows.where(F.col("form").isin(forms))

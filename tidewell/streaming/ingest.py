@@ -20,7 +20,11 @@ from tidewell.functions.scalar import moment
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``; a temporary one where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewell-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidewell-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -54,15 +58,26 @@ def collected(stream: DataFrame, keys: list[str] | None = None, mode: str = "app
 def upsert(arrivals: DataFrame) -> DataFrame:
     """State of each event after all its arrivals: first known content, address and flags; best score and comments; created when first seen; fetched when something last improved.
 
-    A grouping, so it serves a batch as well as a stream in update mode.
+    An arrival improves an event if it brings a content, address or flags where there were none, or a higher score or more
+    comments; so the last improvement is the latest of the times at which each reached what it is now. That makes the
+    state plain aggregates, which serve a batch as well as a stream in update mode, in any order of arrival. A column
+    ``created_at`` of the arrivals, where there is one, marks rows that are states already, with ``fetched_at`` theirs.
     """
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("fetched_at"))).alias(c)
-    return arrivals.groupBy("event_id").agg(first("content"), first("canonical_url"), F.max("score").alias("score"), F.max("comments").alias("comments"), F.min("fetched_at").alias("created_at"), F.max("fetched_at").alias("fetched_at"))
+    at = F.col("fetched_at")
+    known = F.coalesce("created_at", at) if "created_at" in arrivals.columns else at
+    firsts, bests = ("content", "canonical_url", "content_flags"), ("score", "comments")
+    rows = arrivals.withColumns({"_at": known, "_was": F.when(known < at, at)})
+    reached = [F.min(F.when(F.col(c).isNotNull(), F.col("_at"))).alias(f"_{c}") for c in firsts]
+    best = [F.max(F.when(F.col(c).isNotNull(), F.struct(c, (-F.unix_micros(F.col("_at").cast("timestamp"))).alias("t"), "_at"))).alias(f"_{c}") for c in bests]
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))).alias(c) for c in firsts]
+    by = rows.groupBy("event_id").agg(*first, *reached, *best, F.min("_at").alias("created_at"), F.max("_was").alias("_was"))
+    fetched = F.greatest("created_at", "_was", *[f"_{c}" for c in firsts], *[F.col(f"_{c}._at") for c in bests])
+    return by.select("event_id", *firsts, *[F.col(f"_{c}.{c}").alias(c) for c in bests], "created_at", fetched.alias("fetched_at"))
 
 
 def merge(current: DataFrame, arrived: DataFrame) -> DataFrame:
     """Table after a batch: a full-key grouping over both, since files have no MERGE."""
-    return upsert(current.drop("created_at").unionByName(arrived.select([c for c in current.columns if c != "created_at"])))
+    return upsert(current.unionByName(arrived.withColumn("created_at", F.lit(None).cast(current.schema["created_at"].dataType))))
 
 
 def first_topics(known: DataFrame, arrived: DataFrame) -> DataFrame:
