@@ -50,6 +50,15 @@ def test_louvain_beats_singletons():
     assert len(set(label.values())) == 6 and all(len({label[c * 4 + i] for i in range(4)}) == 1 for c in range(6))
 
 
+def test_communities_are_alike_on_both_sides_of_the_bound(spark, monkeypatch):
+    ring = [(c * 4 + i, c * 4 + j, 1.0) for c in range(6) for i in range(4) for j in range(i)] + [(c * 4, (c * 4 + 4) % 24, 0.1) for c in range(6)]
+    edges = spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in ring], "path_a long, path_b long, weight double")
+    found = lambda: {x["path"]: x["cluster_id"] for x in g.communities(edges).collect()}
+    on_driver = found()
+    monkeypatch.setattr(g, "DRIVER_EDGES", 1)
+    assert found() == on_driver and len(set(on_driver.values())) == 6
+
+
 def test_volatility_of_even_changes_is_zero(spark):
     commits = spark.createDataFrame([(k, k * 30 * g.DAY + 1, "p") for k in range(6)] + [(9, 6 * 30 * g.DAY, "q")], "commit_sha long, commit_ts long, path string")
     got = {x["path"]: x["variance"] for x in g.volatility(commits).collect()}

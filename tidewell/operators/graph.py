@@ -14,11 +14,12 @@ from pyspark.sql.window import Window
 
 from tidewell.functions.scalar import half_up, ratio
 from tidewell.operators.relational import average_rank, both_ends
+from tidewell.streaming.ingest import shared_folder
 
 DAY = 86_400
 #: Largest matrix or adjacency that is broadcast; beyond it blocks are joined.
 BROADCAST_BYTES = 64 << 20
-#: Most edges that the driver's community search takes; beyond, labels propagate in DataFrames.
+#: Most edges that the driver's community and path searches take; beyond, they run in DataFrame steps.
 DRIVER_EDGES = 2_000_000
 
 
@@ -242,12 +243,12 @@ def adjusted_rand(left: DataFrame, right: DataFrame) -> DataFrame:
 def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(path, cluster_id): clusters numbered by size, then first member.
 
-    Up to ``DRIVER_EDGES`` edges a deterministic Louvain search runs on the driver; beyond, weighted
-    labels propagate in DataFrames.
+    Louvain at every size: up to ``DRIVER_EDGES`` edges node by node on the driver, beyond in rounds of DataFrame
+    steps with the same gain and resolution. Both end where no move gains; ties may fall differently.
     """
     spark = edges.sparkSession
     if edges.limit(DRIVER_EDGES + 1).count() > DRIVER_EDGES:
-        labels = propagated(edges)
+        labels = spread_louvain(edges, resolution)
     else:
         rows = edges.select(F.col("path_a").cast("long"), F.col("path_b").cast("long"), "weight").orderBy("path_a", "path_b").collect()  # size checked
         labels = spark.createDataFrame([(int(p), int(c)) for p, c in louvain([tuple(r) for r in rows], resolution).items()], "path long, label long")
@@ -302,14 +303,58 @@ def louvain(edges: list[tuple[int, int, float]], resolution: float = 1.0) -> dic
         graph = [(a, b, w) for (a, b), w in sorted(merged.items())]
 
 
-def propagated(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """Weighted label propagation; ties go to the smaller label. Lineage is cut every round."""
-    ends = both_ends(edges.select("path_a", "path_b", "weight"), "path_a", "path_b").cache()
-    labels = ends.select(F.col("node").alias("path")).distinct().withColumn("label", F.col("path").cast("long"))
-    for _ in range(rounds):
-        seen = ends.join(labels, ends["other"] == labels["path"]).groupBy("node", "label").agg(F.sum("weight").alias("w"))
-        labels = seen.groupBy(F.col("node").alias("path")).agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("label")).checkpoint()
-    return labels
+def _cut(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, which cuts its lineage and survives lost executors."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_louvain(edges: DataFrame, resolution: float = 1.0, patience: int = 4) -> DataFrame:
+    """(path, label): Louvain with its moves in rounds of DataFrame steps, for graphs that no driver holds.
+
+    In a round half of the nodes, dealt by a hash, move to the neighbouring community of the largest gain, all at once. A
+    level ends once ``patience`` rounds bring no growth of modularity; its best labels become the nodes of the
+    next, until a level brings none.
+    """
+    a, b = F.least("path_a", "path_b").cast("long"), F.greatest("path_a", "path_b").cast("long")
+    graph = _cut(edges.groupBy(a.alias("a"), b.alias("b")).agg(F.sum("weight").alias("w")), "louvain-graph")
+    own = _cut(both_ends(graph, "a", "b").select(F.col("node").alias("path"), F.col("node").alias("label")).distinct(), "louvain-own")
+    m2 = 2.0 * (graph.agg(F.sum("w")).first()[0] or 0.0)
+    while m2:
+        ends = both_ends(graph.where("a <> b"), "a", "b")
+        loops = graph.where("a = b").select(F.col("a").alias("node"), (2 * F.col("w")).alias("w"))
+        degree = ends.select("node", "w").union(loops).groupBy("node").agg(F.sum("w").alias("k"))
+        labels = _cut(degree.select("node", "k", F.col("node").alias("label")), "louvain-labels")
+        best, highest, idle, turn = labels, _spread_modularity(graph, labels, m2, resolution), 0, 0
+        first = highest
+        while idle < patience:
+            total = labels.groupBy("label").agg(F.sum("k").alias("t"))
+            near = ends.join(labels.select(F.col("node").alias("other"), "label"), "other").select("node", "label", "w").union(labels.select("node", "label", F.lit(0.0)))
+            near = near.groupBy("node", "label").agg(F.sum("w").alias("w")).join(total, "label").join(labels.select("node", "k", F.col("label").alias("here")), "node")
+            rest = F.col("t") - F.when(F.col("label") == F.col("here"), F.col("k")).otherwise(0.0)
+            near = near.withColumn("gain", F.round(F.col("w") - resolution * F.col("k") * rest / m2, 12))
+            to = near.groupBy("node", "k", "here").agg(F.min(F.struct((-F.col("gain")).alias("g"), "label")).alias("to"), F.max(F.when(F.col("label") == F.col("here"), F.col("gain"))).alias("stay"))
+            may = F.pmod(F.xxhash64("node", F.lit(turn // 2)) + turn, F.lit(2)) == 0
+            labels = _cut(to.select("node", "k", F.when(may & (-F.col("to.g") > F.col("stay")), F.col("to.label")).otherwise(F.col("here")).alias("label")), "louvain-labels")
+            value = _spread_modularity(graph, labels, m2, resolution)
+            idle, turn = idle + 1, turn + 1
+            if value > highest + 1e-9:
+                best, highest, idle = labels, value, 0
+        if highest <= first + 1e-9:
+            break
+        label = best.select("node", "label")
+        own = _cut(own.join(label.toDF("old", "new"), own["label"] == F.col("old")).select("path", F.col("new").alias("label")), "louvain-own")
+        x, y = F.least("la", "lb"), F.greatest("la", "lb")
+        graph = _cut(graph.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").groupBy(x.alias("a"), y.alias("b")).agg(F.sum("w").alias("w")), "louvain-graph")
+    return own
+
+
+def _spread_modularity(graph: DataFrame, labels: DataFrame, m2: float, resolution: float) -> float:
+    label = labels.select("node", "label")
+    inner = graph.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").where("la = lb").agg(F.sum("w")).first()[0] or 0.0
+    spread = labels.groupBy("label").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0] or 0.0
+    return 2 * inner / m2 - resolution * spread / m2**2
 
 
 def betweenness(edges: DataFrame, pivots: int = 200, seed: int = 42) -> DataFrame:
@@ -343,31 +388,31 @@ def betweenness(edges: DataFrame, pivots: int = 200, seed: int = 42) -> DataFram
 def _spread_betweenness(edges: DataFrame, pivots: int, seed: int) -> DataFrame:
     """``betweenness`` with no task holding the adjacency: (source, node) states meet the edges in joins until they stand still."""
     ends = both_ends(edges.select(F.col("path_a").cast("long"), F.col("path_b").cast("long"), F.col("weight").cast("double")), "path_a", "path_b")
-    ends = ends.select("node", "other", (1 / F.greatest("weight", F.lit(1e-9))).alias("d")).checkpoint()
-    nodes = ends.select(F.col("node").alias("path")).distinct().checkpoint()
+    ends = _cut(ends.select("node", "other", (1 / F.greatest("weight", F.lit(1e-9))).alias("d")), "ends")
+    nodes = _cut(ends.select(F.col("node").alias("path")).distinct(), "nodes")
     n = nodes.count()
     scale = (1 / ((n - 1) * (n - 2)) if n > 2 else 0.0) * (n / min(n, pivots) if n else 0.0)
-    known = nodes.orderBy(F.xxhash64(F.lit(seed), "path"), "path").limit(pivots).select(F.col("path").alias("s"), F.col("path").alias("node"), F.lit(0.0).alias("at")).checkpoint()
+    known = _cut(nodes.orderBy(F.xxhash64(F.lit(seed), "path"), "path").limit(pivots).select(F.col("path").alias("s"), F.col("path").alias("node"), F.lit(0.0).alias("at")), "known")
     fresh = known
     while not fresh.isEmpty():
         through = fresh.join(ends, "node").groupBy("s", F.col("other").alias("node")).agg(F.min(F.col("at") + F.col("d")).alias("new"))
-        both = known.join(through, ["s", "node"], "full").withColumn("better", F.col("new").isNotNull() & (F.col("at").isNull() | (F.col("new") < F.col("at") - 1e-12))).checkpoint()
+        both = _cut(known.join(through, ["s", "node"], "full").withColumn("better", F.col("new").isNotNull() & (F.col("at").isNull() | (F.col("new") < F.col("at") - 1e-12))), "both")
         known = both.select("s", "node", F.when(F.col("better"), F.col("new")).otherwise(F.col("at")).alias("at"))
         fresh = both.where("better").select("s", "node", F.col("new").alias("at"))
     after = known.toDF("s", "other", "then")
-    steps = known.join(ends, "node").join(after, ["s", "other"]).where(F.abs(F.col("at") + F.col("d") - F.col("then")) <= 1e-12).select("s", "node", "other").checkpoint()
+    steps = _cut(known.join(ends, "node").join(after, ["s", "other"]).where(F.abs(F.col("at") + F.col("d") - F.col("then")) <= 1e-12).select("s", "node", "other"), "steps")
 
     def summed(level: DataFrame, moved) -> DataFrame:
         """The sum of a state and of all it becomes step by step; the steps have no cycle."""
         total = level
         while not level.isEmpty():
-            level = moved(level).checkpoint()
-            total = total.union(level).groupBy("s", "node").agg(F.sum("x").alias("x")).checkpoint()
+            level = _cut(moved(level), "level")
+            total = _cut(total.union(level).groupBy("s", "node").agg(F.sum("x").alias("x")), "total")
         return total
 
     starts = known.where(F.col("at") == 0).select("s", "node", F.lit(1.0).alias("x"))
     count = summed(starts, lambda level: level.join(steps, ["s", "node"]).groupBy("s", F.col("other").alias("node")).agg(F.sum("x").alias("x")))
-    shares = steps.join(count, ["s", "node"]).join(count.toDF("s", "other", "y"), ["s", "other"]).select("s", "node", "other", (F.col("x") / F.col("y")).alias("share")).checkpoint()
+    shares = _cut(steps.join(count, ["s", "node"]).join(count.toDF("s", "other", "y"), ["s", "other"]).select("s", "node", "other", (F.col("x") / F.col("y")).alias("share")), "shares")
     back = lambda level: shares.join(level.toDF("s", "other", "z"), ["s", "other"]).groupBy("s", "node").agg(F.sum(F.col("share") * F.col("z")).alias("x"))
     sums = summed(shares.groupBy("s", "node").agg(F.sum("share").alias("x")), back).where("s <> node").groupBy(F.col("node").alias("path")).agg(F.sum("x").alias("part"))
     return nodes.join(sums, "path", "left").select("path", half_up(F.coalesce("part", F.lit(0.0)) * scale, 9).alias("betweenness"))
