@@ -79,7 +79,6 @@ def test_repeated_runs_are_maximal_and_name_their_original(spark):
     assert got == [(2, 1, 25, 0, 5), (2, 26, 3, 1, 0), (3, 0, 41, 0, 0)]
     out = line_dedup.line_dedup(docs, 3)
     assert out.columns.count("_n_lines") == 1 and {r["doc_id"]: (r["_n_lines"], r["_n_removed"], r["_lines"]) for r in out.collect()}[2] == (30, 28, "own")
-    assert line_dedup.suffix_intervals(docs, 25).count() > 0 and line_dedup.suffix_intervals(docs, 60) is None
 
 
 def test_line_dedup_keeps_columns_and_odd_rows(odd, empty):

@@ -146,11 +146,6 @@ def repeated_runs(docs: DataFrame, min_lines: int = 3, text_col: str = "text", i
     return runs.select("d", "h", "start", "n_lines", F.struct(F.col("fd").alias("d"), F.col("fh").alias("h"), (F.col("start") - F.col("lag")).alias("i")).alias("of"))
 
 
-def suffix_intervals(docs: DataFrame, depth: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame | None:
-    """Suffixes in intervals of exactly ``depth`` lines: (d, h, i, r, sz, first), ``first`` being the earliest of the interval; None if there are none."""
-    return next((active for d, active in _intervals(docs, depth, text_col, id_col, None) if d == depth), None)
-
-
 def line_dedup(docs: DataFrame, min_lines: int = 3, text_col: str = "text", id_col: str = "doc_id", min_words: int | None = None) -> DataFrame:
     """All rows and columns of ``docs``, the text without later copies of runs of ``min_lines`` lines or ``min_words`` words or more.
 
