@@ -11,10 +11,12 @@ also starts earlier (smaller doc_id, or the same document further up).
 2. Compile. Every shard compiles the words of its recurring windows into an Aho-Corasick automaton over word numbers.
 3. Stream. The passages of all documents stream through the automaton of their shard, in the order of documents,
    and it locates every occurrence, word for word. The first of a window stays; words of the others are cut.
+   Passages that repeat an earlier one byte by byte are later copies throughout and need no second pass.
 
 What a shard holds at once is bounded by ``CHUNK`` passages, cut between anchors, since an anchor of
-more than ``FREQUENT`` places is not sharded: its windows go singly under 128 bits of their own hash, meet in partial
-aggregates for their first place, and are joined to it by shuffle, which splits skewed partitions.
+more than ``FREQUENT`` places is not sharded: its passages, then the windows of those that differ, go under 128 bits of
+their own hash, meet in partial aggregates for their first place, and are joined to it by shuffle, which splits
+skewed partitions.
 Broadcast are two Bloom filters of at most ``MAX_FILTER_BITS`` bits each, over recurring and over frequent anchors.
 The first spares the shuffle most passages that can't recur; what it lets through in error is alone with its anchor.
 What the second takes for frequent in error goes by its own hash, which is as right.
@@ -44,7 +46,7 @@ from tidewell.llm.common import documents, drop_written, written
 PHRASE = 6
 #: Passages that a shard compiles at once.
 CHUNK = 20_000
-#: An anchor with as many places is split by window.
+#: An anchor with as many places is not sharded.
 FREQUENT = 2_000
 #: Size of the broadcast filter: 16 bits an anchor, never more than 32 MB.
 MAX_FILTER_BITS = 1 << 28
@@ -176,9 +178,9 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def passages(docs: DataFrame, window: int, recurring: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(anchor, d, h, start, words, check): the words of each run of windows that name one anchor which may recur.
+    """(anchor, d, h, start, n, words, check, windows): the words of each run of ``n`` windows that name one anchor which may recur.
 
-    The windows of a frequent anchor go singly: ``anchor`` and ``check`` are two hashes of theirs, and ``words`` is null.
+    Of a frequent anchor ``words`` is null: ``anchor`` and ``check`` are a hash of the passage, ``windows`` holds the hashes of its windows.
     """
     filters = bloom(recurring), bloom(recurring.where(F.col("n") >= FREQUENT))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -187,7 +189,7 @@ def passages(docs: DataFrame, window: int, recurring: DataFrame, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (mine, bits), (hot, hot_bits) = ((np.frombuffer(held, np.uint8), bits) for held, bits in shared.value)
         for x in batches:
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(7)]
             for row, t in enumerate(x["text"].to_pylist()):
                 words = t.split()
                 if len(words) < window:
@@ -198,23 +200,24 @@ def passages(docs: DataFrame, window: int, recurring: DataFrame, id_col: str = "
                 chosen = np.nonzero(_in_filter(named[starts], mine, bits))[0]
                 frequent = _in_filter(named[starts[chosen]], hot, hot_bits)
                 if frequent.any():
-                    own = _rolling(_word_array(words), window)
-                    own, check = mixed(own).view(np.int64), mixed(own * BASE ^ _rolling(mixed(_word_array(words)), window)).view(np.int64)
-                for a, s, e, single in zip(keys[chosen].tolist(), starts[chosen].tolist(), ends[chosen].tolist(), frequent.tolist(), strict=True):
-                    if single:
-                        n = e - s
-                        for column, values in zip(out, (own[s:e].tolist(), [row] * n, range(s, e), [None] * n, check[s:e].tolist()), strict=True):
-                            column.extend(values)
-                        continue
+                    hashes = _word_array(words)
+                    own = np.stack([mixed(_rolling(hashes, window)), mixed(_rolling(mixed(hashes), window))], axis=1)
+                for a, s, e, often in zip(keys[chosen].tolist(), starts[chosen].tolist(), ends[chosen].tolist(), frequent.tolist(), strict=True):
                     for part in range(s, e, 64):  # a periodic text names one anchor throughout
-                        to = min(e, part + 64) + window - 1
-                        for column, value in zip(out, (a, row, part, b" ".join(words[part:to]), 0), strict=True):
+                        end = min(e, part + 64)
+                        text = b" ".join(words[part : end + window - 1])
+                        if often:
+                            low, high = np.frombuffer(xxhash.xxh3_128_digest(text), np.int64).tolist()
+                            values = low, row, part, end - part, None, high, own[part:end].tobytes()
+                        else:
+                            values = a, row, part, end - part, text, 0, None
+                        for column, value in zip(out, values, strict=True):
                             column.append(value)
             of = pa.array(out[1], pa.int64())
-            columns = [pa.array(out[0], pa.int64()), x["d"].take(of), x["h"].take(of), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.int64())]
-            yield pa.record_batch(columns, names=["anchor", "d", "h", "start", "words", "check"])
+            columns = [pa.array(out[0], pa.int64()), x["d"].take(of), x["h"].take(of), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary()), pa.array(out[5], pa.int64()), pa.array(out[6], pa.binary())]
+            yield pa.record_batch(columns, names=["anchor", "d", "h", "start", "n", "words", "check", "windows"])
 
-    return _keyed(docs, id_col, text_col).mapInArrow(run, f"anchor long, d {kind}, h long, start int, words binary, check long")
+    return _keyed(docs, id_col, text_col).mapInArrow(run, f"anchor long, d {kind}, h long, start int, n int, words binary, check long, windows binary")
 
 
 def _place(d, h: int, start: int) -> tuple:
@@ -224,19 +227,26 @@ def _place(d, h: int, start: int) -> tuple:
 def _located(rows: list[tuple], window: int) -> list[tuple]:
     """(row, s, n): runs of windows of passages (anchor, d, h, start, words) that also start earlier. ``s`` counts from the document's start."""
     several: list[tuple[int, list[bytes]]] = []
-    for _, group in itertools.groupby(enumerate(rows), key=lambda r: r[1][0]):
-        group = [(k, r[4].split()) for k, r in group]
+    out: list[tuple] = []
+    for _, group in itertools.groupby(sorted(range(len(rows)), key=lambda k: (rows[k][0], *_place(*rows[k][1:4]))), key=lambda k: rows[k][0]):
+        # where the very same words stood before, all windows of the passage did
+        found: dict[bytes, int] = {}
+        for k in group:
+            earlier = found.setdefault(rows[k][4], k)
+            if rows[earlier][1:4] != rows[k][1:4]:
+                out.append((k, rows[k][3], rows[k][4].count(b" ") + 2 - window))
+        parts = [(k, w.split()) for w, k in found.items()]
         # a passage alone with its anchor matters only if a window comes twice in it, which repeats that many words
-        if len(group) > 1 or len(set(group[0][1])) <= len(group[0][1]) - window:
-            several += group
+        if len(parts) > 1 or len(set(parts[0][1])) <= len(parts[0][1]) - window:
+            several += parts
     if not several:
-        return []
+        return out
     # confirm: windows whose hash comes twice
     hashes = [_rolling(_word_array(words), window) for _, words in several]
     values, counts = np.unique(np.concatenate(hashes), return_counts=True)
     twice = values[counts > 1]
     if not len(twice):
-        return []
+        return out
     # compile: the words of each such window
     numbers: dict[bytes, int] = {}
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
@@ -254,7 +264,7 @@ def _located(rows: list[tuple], window: int) -> list[tuple]:
                 automaton.add_word(key, len(automaton))
     automaton.make_automaton()
     # stream: every occurrence, in the order of documents
-    number, first, out = numbers.get, {}, []
+    number, first = numbers.get, {}
     for k, words in sorted(streams, key=lambda r: _place(*rows[r[0]][1:4])):
         (d, h, start), n, last = rows[k][1:4], 0, -1
         for end, pattern in automaton.iter(tuple([number(w, 0) for w in words])):
@@ -299,12 +309,22 @@ def located(found: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(run, f"d {kind}, h long, s int, n int")
 
 
-def single_windows(found: DataFrame) -> DataFrame:
-    """(d, h, s, n): windows of frequent anchors that also start earlier. A window met once goes in the first, partial aggregate."""
-    rows = found.where("words is null").select("anchor", "check", "d", "h", "start")
-    first = rows.groupBy("anchor", "check").agg(F.min(F.struct("d", "h", "start")).alias("first"), F.count("*").alias("times")).where("times > 1")
-    both = rows.join(first, ["anchor", "check"])
-    return both.where(F.struct("d", "h", "start") > F.col("first")).select("d", "h", F.col("start").alias("s"), F.lit(1).alias("n"))
+def frequent_runs(found: DataFrame, window: int) -> DataFrame:
+    """(d, h, s, n): runs of windows that also start earlier, of frequent anchors.
+
+    Equal passages meet in partial aggregates for their first place, and the others are joined to it, one row a
+    passage. The windows of the first ones then meet in the same way, for passages that differ but share windows.
+    """
+    rows = found.where("words is null").select("anchor", "check", "d", "h", "start", "n", "windows")
+    first = rows.groupBy("anchor", "check").agg(F.min(F.struct("d", "h", "start", "windows")).alias("first"), F.count("*").alias("times"))
+    first = written(first, "frequent")
+    known = first.where("times > 1").select("anchor", "check", F.struct("first.d", "first.h", "first.start").alias("place"))
+    copies = rows.drop("windows").join(known, ["anchor", "check"]).where(F.struct("d", "h", "start") > F.col("place")).select("d", "h", F.col("start").alias("s"), "n")
+    cut = F.posexplode(F.transform(F.sequence(F.lit(0), (F.octet_length("first.windows") / 16 - 1).cast("int")), lambda i: F.substring(F.col("first.windows"), i * 16 + 1, F.lit(16))))
+    each = first.select("first.d", "first.h", "first.start", cut.alias("at", "key")).select("key", "d", "h", (F.col("start") + F.col("at")).alias("s"))
+    least = each.groupBy("key").agg(F.min(F.struct("d", "h", "s")).alias("place"), F.count("*").alias("times")).where("times > 1")
+    later = each.join(least, "key").where(F.struct("d", "h", "s") > F.col("place")).select("d", "h", "s", F.lit(1).alias("n"))
+    return copies.union(later)
 
 
 def removed_words(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,7 +334,7 @@ def removed_words(docs: DataFrame, window: int = 20, id_col: str = "doc_id", tex
     recurring = written(anchor_counts(docs, window, text_col), "anchors")
     found = written(passages(docs, window, recurring, id_col, text_col), "passages")
     drop_written(recurring)
-    runs = written(located(found, window).union(single_windows(found)), "runs")
+    runs = written(located(found, window).union(frequent_runs(found, window)), "runs")
     drop_written(found)
     return runs.distinct().groupBy("d", "h").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
 
