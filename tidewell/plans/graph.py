@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.operators import graph as g
+from tidewell.operators import profiles as pf
 from tidewell.operators import repo as r
 from tidewell.plans.registry import half_up, query
 from tidewell.sources import adapters as src
@@ -137,9 +138,10 @@ _graph("recent_changes", "SELECT cluster_id, count(*) FILTER (WHERE last - commi
 _graph("list_commits", "SELECT commit_sha, path, max(commit_ts) AS commit_ts, min(status) AS status, coalesce(min(cluster_id), -1) AS cluster_id FROM cm LEFT JOIN cl USING (path), lst WHERE commit_ts >= last - 30 * 86400 GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 50", lambda x: r.list_commits(x.commits, x.clusters))
 _graph("hot_files", "SELECT path, count(DISTINCT commit_sha) AS commits, any_value(cluster_id) AS cluster_id, any_value(risk) AS risk FROM cm LEFT JOIN fm USING (path), lst WHERE commit_ts >= last - 90 * 86400 GROUP BY path ORDER BY commits DESC, path LIMIT 20", lambda x: r.hot_files(x.commits, x.files()))
 _graph("risks", "SELECT * FROM fm WHERE risk >= 0.1 ORDER BY risk DESC, path LIMIT 20", lambda x: r.risks(x.files(), 0.1))
-_graph("cluster_edges", f""", eb AS (SELECT c AS cluster_id, oc AS neighbour, {half_up('sum(weight)', 6)} AS weight, count(*) AS edges FROM ec WHERE c <> oc GROUP BY 1, 2),
+CLUSTER_EDGES = f""", eb AS (SELECT c AS cluster_id, oc AS neighbour, {half_up('sum(weight)', 6)} AS weight, count(*) AS edges FROM ec WHERE c <> oc GROUP BY 1, 2),
 et AS (SELECT c AS cluster_id, oc AS neighbour, string_agg(node || '-' || other, ',' ORDER BY rn) AS top_pairs FROM (SELECT *, row_number() OVER (PARTITION BY c, oc ORDER BY weight DESC, node, other) AS rn FROM ec WHERE c <> oc) WHERE rn <= 3 GROUP BY 1, 2)
-SELECT cluster_id, neighbour, weight, edges, {half_up('weight / external_weight', 4)} AS leakage_share, top_pairs FROM eb JOIN et USING (cluster_id, neighbour) JOIN km USING (cluster_id)""", lambda x: r.cluster_edges(x.edges, x.clusters, x.metrics()))
+SELECT cluster_id, neighbour, weight, edges, {half_up('weight / external_weight', 4)} AS leakage_share, top_pairs FROM eb JOIN et USING (cluster_id, neighbour) JOIN km USING (cluster_id)"""
+_graph("cluster_edges", CLUSTER_EDGES, lambda x: r.cluster_edges(x.edges, x.clusters, x.metrics()))
 _graph("fitness_violations", """, big AS (SELECT * FROM km WHERE size >= 2)
 SELECT 'file_risk' AS category, CAST(path AS VARCHAR) AS entity, 'risk' AS metric, risk AS value, 0.3::DOUBLE AS threshold FROM fm WHERE risk > 0.3 UNION ALL SELECT 'boundary_leakage', CAST(cluster_id AS VARCHAR), 'leakage', leakage, 0.6 FROM big WHERE leakage > 0.6
 UNION ALL SELECT 'cohesion', CAST(cluster_id AS VARCHAR), 'cohesion', cohesion, 0.4 FROM big WHERE cohesion < 0.4 UNION ALL SELECT 'cluster_risk', CAST(cluster_id AS VARCHAR), 'risk_mean', risk_mean, 0.1 FROM big WHERE risk_mean > 0.1
@@ -155,3 +157,38 @@ query("adjusted_rand", f"""WITH b AS (SELECT vec_id % 7 AS l, label AS r FROM em
 a AS (SELECT sum(n * (n - 1) / 2.0) AS a FROM (SELECT sum(n) AS n FROM c GROUP BY l)), d AS (SELECT sum(n * (n - 1) / 2.0) AS b FROM (SELECT sum(n) AS n FROM c GROUP BY r))
 SELECT {half_up('(c - a * b / (n * (n - 1) / 2.0)) / ((a + b) / 2 - a * b / (n * (n - 1) / 2.0))', 6)} AS ari FROM s, a, d""")(
     lambda spark, sf: g.adjusted_rand((v := src.vectors(spark, sf)).select("path", (F.col("path") % 7).alias("cluster_id")), v.select("path", F.col("label").alias("cluster_id"))))
+
+
+RECENT = "SELECT cluster_id, count(*) FILTER (WHERE last - commit_ts <= 2592000) AS recent_file_changes_30d, count(*) FILTER (WHERE last - commit_ts <= 7776000) AS recent_file_changes_90d FROM cm JOIN cl USING (path), lst GROUP BY 1"
+_graph("show_clusters", f""", rc AS ({RECENT}) SELECT cluster_id, size, cohesion, leakage, conductance, internal_weight, external_weight, external_inbound_weight, risk_mean, risk_max,
+ coalesce(recent_file_changes_30d, 0) AS recent_file_changes_30d, coalesce(recent_file_changes_90d, 0) AS recent_file_changes_90d FROM km LEFT JOIN rc USING (cluster_id) WHERE size >= 2""", lambda x: pf.show_clusters(x.metrics(), r.recent_changes(x.commits, x.clusters)))
+ACTIVE = """, mx AS (SELECT max(commit_ts) AS m FROM cm JOIN cl USING (path)), ta AS (SELECT cluster_id, count(*) AS file_change_count FROM cm JOIN cl USING (path), mx WHERE commit_ts >= m - 30 * 86400 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3)"""
+_graph("top_active_clusters", ACTIVE + " SELECT * FROM ta", lambda x: pf.top_active(x.commits, x.clusters))
+_graph("cluster_edges_top_active", ACTIVE + CLUSTER_EDGES + " SEMI JOIN ta USING (cluster_id)", lambda x: r.cluster_edges(x.edges, x.clusters, x.metrics()).join(F.broadcast(pf.top_active(x.commits, x.clusters)), "cluster_id", "left_semi"))  # three rows
+_graph("boundary_profiles", f""", lk AS (SELECT cluster_id, leakage FROM km ORDER BY leakage DESC, cluster_id LIMIT 5), bx AS (SELECT c AS cluster_id, leakage, oc AS neighbour, node, other, weight FROM ec JOIN lk ON c = cluster_id WHERE c <> oc),
+bw AS (SELECT cluster_id, leakage, neighbour, {half_up('sum(weight)', 3)} AS weight FROM bx GROUP BY 1, 2, 3), bp AS (SELECT *, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY weight DESC, neighbour) AS INTEGER) AS place FROM bw),
+be AS (SELECT cluster_id, neighbour, string_agg(node || '-' || other, ',' ORDER BY rn) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id, neighbour ORDER BY least(node, other), greatest(node, other)) AS rn FROM bx) WHERE rn <= 3 GROUP BY 1, 2)
+SELECT cluster_id, leakage, neighbour, weight, place, examples FROM bp JOIN be USING (cluster_id, neighbour) WHERE place <= 3""", lambda x: pf.boundary_profiles(x.edges, x.clusters, x.metrics()))
+_graph("file_risk_with_betweenness", None, lambda x: x.whole_files())
+
+LABELS = f"""WITH pt AS (SELECT CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INTEGER) AS cluster_id, lower(p_type) || '/' || split_part(p_name, ' ', 1) || '/v' || (p_size % 3) AS prefix, lower(split_part(p_name, ' ', 2)) AS stem, CAST({{w}} AS DOUBLE) AS w, p_partkey FROM part),
+tt AS (SELECT cluster_id, count(*) AS n, sum(w) AS total FROM pt GROUP BY 1),
+px AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY w DESC, prefix) AS rn FROM (SELECT cluster_id, prefix, sum(w) AS w FROM pt GROUP BY 1, 2)), pr AS (SELECT cluster_id, string_agg(prefix, ' + ' ORDER BY rn) AS structural FROM px WHERE rn <= 2 GROUP BY 1),
+sx AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY w DESC, stem) AS rn FROM (SELECT cluster_id, stem, sum(w) AS w FROM pt WHERE length(stem) > 1 AND stem NOT IN ('core', 'app', 'main', 'index') GROUP BY 1, 2)),
+lb AS (SELECT cluster_id, n, structural, a.stem AS s1, b.stem AS s2, a.w / total AS share, (a.w + b.w) / total AS both_, CASE WHEN n > 100 THEN .15 WHEN n > 30 THEN .25 ELSE .4 END AS least_ FROM tt JOIN pr USING (cluster_id) LEFT JOIN sx a USING (cluster_id) LEFT JOIN sx b USING (cluster_id) WHERE a.rn = 1 AND b.rn = 2),
+lc AS (SELECT cluster_id, CASE WHEN n > 100 THEN 70 ELSE 50 END AS longest, CASE WHEN share > least_ AND NOT (n > 100 AND share < .25) THEN s1 || ' (' || structural || ')' WHEN both_ > least_ THEN s1 || '/' || s2 || ' (' || structural || ')' ELSE structural END AS label FROM lb)
+SELECT cluster_id, CASE WHEN length(label) > longest THEN substr(label, 1, longest - 3) || '...' ELSE label END AS label FROM lc"""
+
+
+def _labels(weight: str | None):
+    def run(spark, sf):
+        p = src.table(spark, sf, "part")
+        folder = F.concat_ws("/", F.lit("src"), F.lower("p_type"), F.split_part("p_name", F.lit(" "), F.lit(1)), F.concat(F.lit("v"), F.col("p_size") % 3))
+        name = F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit("-"), F.col("p_partkey"), F.lit(".service.ts"))
+        return pf.cluster_labels(p.select(F.regexp_extract("p_brand", r"(\d+)", 1).cast("int").alias("cluster_id"), F.concat_ws("/", folder, name).alias("path"), "p_size"), weight)
+
+    return run
+
+
+query("cluster_labels", LABELS.format(w="1"))(_labels(None))
+query("cluster_labels_weighted", LABELS.format(w="p_size"))(_labels("p_size"))
