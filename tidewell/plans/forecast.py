@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from tidewell.operators import forecast as fc
-from tidewell.operators import intel
+from tidewell.operators import intel, outlook
 from tidewell.plans.registry import EV, half_up, query
 from tidewell.sources import adapters as src
 
@@ -59,8 +59,8 @@ LIFE = VOLS + RULE + _posterior_sql()
 class Inputs:
     """What the forecast queries share."""
 
-    def __init__(self, spark, sf, back: int = 0) -> None:
-        self.te = src.topic_events(spark, sf)
+    def __init__(self, spark, sf, back: int = 0, topics: int = 10) -> None:
+        self.te = src.topic_events(spark, sf, topics)
         self.now = src.latest(self.te) - timedelta(days=back)
         if back:
             self.te = self.te.where(F.col("fetched_at") <= fc.moment(self.now))
@@ -290,3 +290,68 @@ def audit_flags(spark, sf):
     cross = found.where(F.split_part("from_topic", F.lit("."), F.lit(1)) != F.split_part("to_topic", F.lit("."), F.lit(1))).groupBy(F.col("from_topic").alias("topic")).agg(F.count("*").alias("cross_domain"))
     weights = fc.learned_weights(_outcomes(spark, sf), least=2).select("topic", "weight")
     return intel.audit_flags(intel.audit_volume(x.te, x.now), intel.audit_overlap(src.event_topics(spark, sf)), weights, cross)
+
+
+#: With twenty topics of a kind many are too small for a spike on most days, so tiers differ and scenarios have rows.
+FINE = 20
+
+
+def fine(sql: str) -> str:
+    return sql.replace("% 10 AS VARCHAR", f"% {FINE} AS VARCHAR")
+
+
+@query("chain_tiers_fine", fine(CHAINS) + "SELECT from_topic, to_topic, confidence_tier FROM tr")
+def chain_tiers_fine(spark, sf):
+    x = Inputs(spark, sf, topics=FINE)
+    return fc.tiers(x.chains(), x.counts).select("from_topic", "to_topic", "confidence_tier")
+
+
+@query("scenarios_fine", fine(SCEN) + "SELECT * FROM scen")
+def scenarios_fine(spark, sf):
+    return Inputs(spark, sf, topics=FINE).scenarios()
+
+
+@query("change_points_summary", fine(EV + daily_sql() + CUSUM).replace("WITH ev", "WITH RECURSIVE ev", 1) + "SELECT topic, days_ago FROM cus")
+def change_points_summary(spark, sf):
+    x = Inputs(spark, sf, topics=FINE)
+    return fc.cusum(x.daily, x.now).select("topic", "days_ago")
+
+
+@query("scenario_evidence", fine(SCEN) + """, tn AS (SELECT event_id, count(*) AS topic_count FROM te GROUP BY 1), wn AS (SELECT te.topic, event_id, title, CAST(row_number() OVER (PARTITION BY te.topic ORDER BY te.score DESC, coalesce(published_at, fetched_at) DESC, event_id) AS INTEGER) AS rn
+ FROM te JOIN scen ON scen.topic = te.topic, now WHERE coalesce(published_at, fetched_at) >= t - INTERVAL 30 DAY)
+SELECT topic, rn, title, topic_count, CASE WHEN topic_count <= 4 THEN 'high' ELSE 'medium' END AS relevance FROM wn JOIN tn USING (event_id) WHERE rn <= 5 AND trim(title) <> ''""")
+def scenario_evidence(spark, sf):
+    x = Inputs(spark, sf, topics=FINE)
+    return outlook.evidence(x.te, x.scenarios(), fc.moment(x.now - timedelta(days=30)))
+
+
+def _sections(spark, sf):
+    x = Inputs(spark, sf, topics=FINE)
+    return outlook.sections(x.te, x.daily, x.volumes, x.counts, x.now)
+
+
+def _outlook_sql(lifecycles: int, chains: int, scenarios: int, entropy: int, where: tuple[str, str] = ("", "")) -> str:
+    one, two = where
+    return fine(SCEN + RULE + _posterior_sql()) + f"""(SELECT 'lifecycles' AS section, topic AS topics FROM life {one} ORDER BY topic LIMIT {lifecycles}) UNION ALL
+(SELECT 'chains', from_topic || '>' || to_topic FROM ch {two} ORDER BY lift DESC, support DESC, from_topic, to_topic LIMIT {chains}) UNION ALL
+(SELECT 'scenarios', topic FROM scen {one} ORDER BY score DESC, topic LIMIT {scenarios}) UNION ALL (SELECT 'entropy', topic FROM eq {one} ORDER BY topic LIMIT {entropy})"""
+
+
+SHOWN = ["lifecycles", "chains", "scenarios", "entropy"]
+
+
+@query("outlook_compact", _outlook_sql(15, 15, 10, 15))
+def outlook_compact(spark, sf):
+    return outlook.listed(outlook.outlook(_sections(spark, sf), "compact", only=SHOWN))
+
+
+@query("outlook_topics", _outlook_sql(10**9, 10**9, 10**9, 10**9, ("WHERE topic IN ('click.t3', 'view.t7')", "WHERE from_topic IN ('click.t3', 'view.t7') OR to_topic IN ('click.t3', 'view.t7')")))
+def outlook_topics(spark, sf):
+    return outlook.listed(outlook.outlook(_sections(spark, sf), topics=["click.t3", "view.t7"], only=SHOWN))
+
+
+@query("outlook_summary", fine(SCEN) + """SELECT 'ranked_chains' AS section, from_topic || '>' || to_topic AS topics FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY from_topic ORDER BY cross_domain DESC, score DESC, to_topic) AS rn FROM (
+ SELECT from_topic, to_topic, """ + half_up("support * source_diversity * lift * confidence * (1 + greatest(0.0, CASE WHEN abs(a1) >= .1 THEN a1 ELSE a7 END)) / (1 + 3 * greatest(0.0, trigger_base_rate - .5))", 2) + """ AS score, split_part(from_topic, '.', 1) <> split_part(to_topic, '.', 1) AS cross_domain
+ FROM ch JOIN vols ON topic = from_topic WHERE active)) WHERE rn <= 3 ORDER BY cross_domain DESC, score DESC, from_topic, to_topic LIMIT 50) ORDER BY cross_domain DESC, score DESC, from_topic, to_topic LIMIT (SELECT CASE WHEN count(*) < 3 THEN 10 ELSE 5 END FROM scen)""")
+def outlook_summary(spark, sf):
+    return outlook.listed(outlook.outlook(_sections(spark, sf), "summary", only=["ranked_chains"]))

@@ -12,14 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _topic(number: str):
-    return F.concat(F.col("event_type"), F.lit(".t"), (F.col(number) % 10).cast("string"))
+def _topic(number: str, topics: int = 10):
+    return F.concat(F.col("event_type"), F.lit(".t"), (F.col(number) % topics).cast("string"))
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, topics: int = 10) -> DataFrame:
+    """Events under ``topics`` topics of each kind."""
     n = F.col("event_id")
     return table(spark, sf_dir, "events").select(
-        n.cast("string").alias("event_id"), n.alias("n"), _topic("user_id").alias("topic"),
+        n.cast("string").alias("event_id"), n.alias("n"), _topic("user_id", topics).alias("topic"),
         F.concat(F.lit("s"), (F.col("user_id") % 4).cast("string")).alias("source"), F.col("ts").alias("fetched_at"),
         F.when(n % 10 != 0, F.col("ts") - F.make_dt_interval(F.lit(0), (n % 5).cast("int"))).alias("published_at"),
         F.when(n % 3 == 0, F.concat(F.lit("u"), F.floor(n / 6).cast("string"))).alias("canonical_url"),
@@ -33,10 +34,10 @@ def event_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select(F.col("event_id").cast("string").alias("event_id"), F.explode(both).alias("topic"))
 
 
-def topic_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def topic_events(spark: SparkSession, sf_dir: str, topics: int = 10) -> DataFrame:
     """Events joined with their topics, made in the same projection: both come from one row, so no join is needed."""
-    ev = events(spark, sf_dir)
-    second = F.concat(F.split_part(F.col("topic"), F.lit("."), F.lit(1)), F.lit(".t"), (F.col("n") % 10).cast("string"))
+    ev = events(spark, sf_dir, topics)
+    second = F.concat(F.split_part(F.col("topic"), F.lit("."), F.lit(1)), F.lit(".t"), (F.col("n") % topics).cast("string"))
     both = F.when(F.col("n") % 4 == 0, F.array_distinct(F.array(F.col("topic"), second))).otherwise(F.array(F.col("topic")))
     return ev.withColumn("topic", F.explode(both))
 
