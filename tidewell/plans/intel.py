@@ -6,7 +6,8 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from tidewell.operators import intel
+from tidewell.functions import jsons
+from tidewell.operators import briefing, intel
 from tidewell.plans.registry import EV, half_up, query
 from tidewell.sources import adapters as src
 
@@ -167,3 +168,23 @@ def audit_overlap(spark, sf):
 @query("audit_domains", EV + VOLUME + "SELECT split_part(topic, '.', 1) AS domain, count(*) AS topics, CAST(sum(recent + mid + old) AS BIGINT) AS events FROM vol GROUP BY 1")
 def audit_domains(spark, sf):
     return intel.domain_rollup(_volume(src.topic_events(spark, sf)))
+
+
+@query("event_detail", EV + "SELECT ev.event_id, title, source, score, canonical_url, (SELECT string_agg(topic, ',' ORDER BY topic) FROM et WHERE et.event_id = '44') AS topics FROM ev WHERE event_id = '44'")
+def event_detail(spark, sf):
+    rows = briefing.event(src.events(spark, sf), src.event_topics(spark, sf), "44")
+    return rows.select("event_id", "title", "source", "score", "canonical_url", F.array_join("topics", ",").alias("topics"))
+
+
+@query("pack", _trends_sql(6) + """SELECT topic, trending.score AS score, volume, acceleration, CAST(rn AS INTEGER) AS rn, event_id, title, title AS snippet FROM trending JOIN (
+  SELECT te.topic, event_id, title, row_number() OVER (PARTITION BY te.topic ORDER BY te.score DESC, fetched_at DESC, event_id) AS rn FROM te, now WHERE fetched_at >= t - INTERVAL 6 HOUR) USING (topic) WHERE rn <= 5""")
+def pack(spark, sf):
+    te = src.topic_events(spark, sf)
+    return briefing.pack(te, src.latest(te))
+
+
+@query("json_columns", """SELECT turn, count(*) FILTER (WHERE json_valid(text)) AS valid, count(*) AS total FROM (SELECT turn, CASE WHEN turn % 2 = 0 THEN '["' || role || '"]' ELSE role || '{' END AS text FROM conversations) GROUP BY 1""")
+def json_columns(spark, sf):
+    text = F.when(F.col("turn") % 2 == 0, F.concat(F.lit('["'), "role", F.lit('"]'))).otherwise(F.concat("role", F.lit("{")))
+    rows = src.table(spark, sf, "conversations").select("turn", text.alias("text"))
+    return rows.groupBy("turn").agg(F.count_if(jsons.is_json(F.col("text"))).alias("valid"), F.count("*").alias("total"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewell.functions import scalar
 from tidewell.functions import text as tx
 from tidewell.operators import classify as cf
-from tidewell.operators import journal
+from tidewell.operators import journal, training
 from tidewell.operators.search import build_index, search, snippet
 from tidewell.plans.registry import half_up, query
 from tidewell.sources import adapters as src
@@ -211,12 +212,83 @@ def confusion_pairs(spark, sf):
     return cf.confusion_pairs(_reviewed(spark, sf))
 
 
+def _held_out(spark, sf):
+    """Scores of labelled documents that the model of their topic has not seen."""
+    lb = _labels(spark, sf)
+    split = training.rare_first_split(lb.select("doc", F.coalesce("label", F.lit("none")).alias("label")))
+    rows = lb.groupBy("doc").agg(F.collect_set("label").alias("topics")).join(split, "doc").join(src.table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), tx.tokens(F.col("text")).alias("tokens")), "doc")
+    return training.train_topic(rows, "quality")[0]
+
+
 @query("lr_predictions")
 def lr_predictions(spark, sf):
+    return _held_out(spark, sf).select("doc", "label", (F.col("score") >= 0).cast("int").alias("prediction"))
+
+
+@query("lr_calibrated")
+def lr_calibrated(spark, sf):
+    scored = _held_out(spark, sf)
+    return scored.select("doc", "label", scalar.half_up(training.calibrated(F.col("score"), *training.platt(scored)), 3).alias("probability"))
+
+
+@query("training_plan", "WITH lb AS (SELECT 'quality' AS topic, doc_id FROM labels WHERE quality = 1 UNION ALL SELECT 'toxic', doc_id FROM labels WHERE toxic = 1) SELECT topic, count(DISTINCT doc_id) AS positives, CASE WHEN count(DISTINCT doc_id) >= 20 THEN 'model' ELSE 'bm25_fallback' END AS method FROM lb GROUP BY 1")
+def training_plan(spark, sf):
+    return training.plan_training(_labels(spark, sf), least_labelled=1)
+
+
+def _training_events(spark, sf):
+    """Labelled documents as events of a training set; those whose length is a multiple of four wait for review."""
     rows = src.table(spark, sf, "labels").join(src.table(spark, sf, "documents"), "doc_id")
-    rows = rows.select(F.col("doc_id").alias("doc"), tx.tokens(F.col("text")).alias("tokens"), F.col("quality").alias("label"))
-    model, hashed = cf.logistic_regression(rows, "label")
-    return model.transform(hashed.withColumn("label", F.col("label").cast("double"))).select("doc", "label", F.col("prediction").cast("int").alias("prediction"))
+    human = F.array_compact(F.array(F.when(F.col("quality") == 1, "quality"), F.when(F.col("toxic") == 1, "toxic")))
+    waits = F.col("n_chars") % 4 == 0
+    at = F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))
+    return rows.select(F.col("doc_id").alias("id"), F.concat(F.lit("d"), "doc_id").alias("event_id"), F.substring("text", 1, 60).alias("title"), F.when(~waits, human).alias("human_topics"), F.when(~waits, at).alias("reviewed_at"))
+
+
+TRAINING = "WITH tr AS (SELECT doc_id AS id, 'd' || doc_id AS event_id, substr(text, 1, 60) AS title, n_chars % 4 <> 0 AS done, quality, toxic FROM labels JOIN documents USING (doc_id)) "
+
+
+@query("review_next", TRAINING + "SELECT id, event_id, title FROM tr WHERE NOT done ORDER BY id LIMIT 25")
+def review_next(spark, sf):
+    return training.next_unreviewed(_training_events(spark, sf), 25).select("id", "event_id", "title")
+
+
+@query("review_progress", TRAINING + f"SELECT count(*) AS total, count(*) FILTER (WHERE done) AS reviewed, count(*) FILTER (WHERE NOT done) AS remaining, {half_up('count(*) FILTER (WHERE done) / CAST(count(*) AS DOUBLE)', 3)} AS pct_complete FROM tr")
+def review_progress(spark, sf):
+    return training.progress(_training_events(spark, sf))
+
+
+@query("review_coverage", TRAINING + "SELECT topic, count(*) AS count, count(*) >= 30 AS sufficient FROM (SELECT 'quality' AS topic FROM tr WHERE done AND quality = 1 UNION ALL SELECT 'toxic' FROM tr WHERE done AND toxic = 1) GROUP BY 1")
+def review_coverage(spark, sf):
+    return training.coverage(_training_events(spark, sf))
+
+
+#: A model of two topics over the vocabulary, its weights a rule of length and first letter.
+MODEL = VOCAB + f""", mf AS (SELECT doc_id AS doc, term, count(*) AS tf FROM (SELECT doc_id, unnest({toks('content')}) AS term FROM d) GROUP BY ALL), w AS (SELECT doc, term, (1 + ln(tf)) * (ln(((SELECT count(*) FROM d) + 1) / CAST(df + 1 AS DOUBLE)) + 1) AS w FROM mf JOIN vo USING (term)),
+tv AS (SELECT doc, term, {half_up('w / sqrt(sum(w * w) OVER (PARTITION BY doc))', 6)} AS weight FROM w), mw AS (SELECT 'text.english' AS topic, term, (length(term) % 5 - 2) * 2.0::DOUBLE AS w FROM vo UNION ALL SELECT 'text.german', term, (ascii(term) % 3 - 1) * 3.0::DOUBLE FROM vo),
+mb AS (SELECT * FROM (VALUES ('text.english', 0.25::DOUBLE, 0.5::DOUBLE), ('text.german', -0.5::DOUBLE, 0.0::DOUBLE)) v(topic, bias, threshold)),
+lg AS (SELECT doc, mb.topic, {half_up('sum(weight * w) + max(bias)', 6)} AS logit, max(threshold) AS threshold FROM tv JOIN mw USING (term) JOIN mb USING (topic) GROUP BY 1, 2)"""
+
+
+@query("model_logits", MODEL + " SELECT doc, topic, logit FROM lg WHERE logit >= threshold")
+def model_logits(spark, sf):
+    return _logits(spark, sf).where("logit >= threshold").select("doc", "topic", "logit")
+
+
+def _logits(spark, sf):
+    docs = _docs(spark, sf)
+    terms = cf.vocabulary(docs, F.col("content"), 200)
+    rule = F.array(F.struct(F.lit("text.english").alias("topic"), ((F.length("term") % 5 - 2) * 2.0).alias("w")), F.struct(F.lit("text.german").alias("topic"), ((F.ascii("term") % 3 - 1) * 3.0).alias("w")))
+    weights = terms.select("term", F.explode(rule).alias("r")).select("r.topic", "term", "r.w")
+    bias = spark.createDataFrame([("text.english", 0.25, 0.5), ("text.german", -0.5, 0.0)], "topic string, bias double, threshold double")
+    return training.logits(cf.tfidf(docs, terms, F.col("content")), weights, bias)
+
+
+@query("classify_with_model", BM25 + MODEL.removeprefix(DOCS) + f""", al AS (SELECT doc, topic, {half_up('1 / (1 + exp(-logit))', 3)} AS confidence, 'model' AS path FROM lg WHERE logit >= threshold UNION ALL SELECT doc, topic, confidence, 'keywords' FROM bs WHERE score >= 10 AND topic NOT IN ('text.english', 'text.german'))
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc ORDER BY confidence DESC, topic) AS INTEGER) AS rn FROM al) WHERE rn <= 5""")
+def classify_with_model(spark, sf):
+    found = _logits(spark, sf)
+    return training.with_model(found, _scores(spark, sf), spark.createDataFrame([("text.english",), ("text.german",)], "topic string")).select("doc", "topic", "confidence", "path", "rn")
 
 
 @query("training_sample")
