@@ -168,7 +168,8 @@ def line_dedup(docs: DataFrame, min_lines: int = 3, text_col: str = "text", id_c
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    """Runs of any length that hold a word, and runs of three lines without one."""
+    out = line_dedup(documents(spark, sf_dir).select("doc_id", "text"), min_words=1)
     return out.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -177,12 +178,18 @@ WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM documents WHERE text IS NOT NULL
 ), windows AS (
-  SELECT doc_id, i, line, lead(line, 1) OVER w AS l1, lead(line, 2) OVER w AS l2 FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)
-), firsts AS (
-  SELECT *, row_number() OVER (PARTITION BY line, l1, l2 ORDER BY doc_id, i) AS nth FROM windows
+  SELECT doc_id, i, line, lead(line, 1) OVER w AS l1, lead(line, 2) OVER w AS l2, regexp_matches(line, '[\\p{L}\\p{N}]') AS word
+  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), places AS (
+  SELECT *, lead(word, 1) OVER (PARTITION BY doc_id ORDER BY i) AS word1, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS n1,
+    row_number() OVER (PARTITION BY line, l1 ORDER BY doc_id, i) AS n2, row_number() OVER (PARTITION BY line, l1, l2 ORDER BY doc_id, i) AS n3
+  FROM windows
+), spans AS (
+  SELECT doc_id, i, line, CASE WHEN n3 > 1 AND l2 IS NOT NULL THEN 3 WHEN n2 > 1 AND l1 IS NOT NULL AND (word OR word1) THEN 2 WHEN n1 > 1 AND word THEN 1 ELSE 0 END AS span
+  FROM places
 ), marked AS (
-  SELECT doc_id, i, line, max(CASE WHEN nth > 1 AND l2 IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS gone
-  FROM firsts
+  SELECT doc_id, i, line, CASE WHEN max(i + span) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) > i THEN 1 ELSE 0 END AS gone
+  FROM spans
 )
 SELECT d.doc_id, count(m.i) AS n_lines, CAST(coalesce(sum(gone), 0) AS BIGINT) AS n_removed,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE gone = 0), '')) AS kept_sha256
