@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewell.functions.scalar import half_up, moment, ratio
 from tidewell.functions.text import tokens
@@ -65,8 +66,8 @@ def rare_first_split(labels: DataFrame, share: float = 0.2, seed: int = 42) -> D
     h = F.xxhash64(F.lit(seed), "doc")
     rows = own.withColumn("h", h).withColumn("bucket", F.shiftrightunsigned("h", 52).cast("int"))
     counts = rows.groupBy("label", "bucket").agg(F.count("*").alias("k"))
-    below = counts.alias("x").join(counts.alias("y"), (F.col("x.label") == F.col("y.label")) & (F.col("y.bucket") <= F.col("x.bucket")))
-    below = below.groupBy(F.col("x.label").alias("label"), F.col("x.bucket").alias("bucket"), F.col("x.k").alias("k")).agg((F.sum("y.k") - F.first("x.k")).alias("before"))
+    w = Window.partitionBy("label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most 4096 buckets a label
+    below = counts.select("label", "bucket", F.coalesce(F.sum("k").over(w), F.lit(0)).alias("before"))
     target = counts.groupBy("label").agg(F.ceil(F.sum("k") * share).alias("target"))
     ranked = top_n_per_group(rows.select("doc", "label", "bucket", "h"), ["label", "bucket"], [F.asc("h"), F.asc("doc")], 2**31 - 1)
     return ranked.join(below, ["label", "bucket"]).join(target, "label").select("doc", (F.col("before") + F.col("rn") <= F.col("target")).alias("held_out"))
