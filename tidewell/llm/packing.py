@@ -229,12 +229,15 @@ def matched(items: DataFrame, places: DataFrame, number: int) -> DataFrame:
 
 
 def opened(items: DataFrame, each: int, number: int, turn: int) -> DataFrame:
-    """``items`` in new sequences of ``each``, neighbours by length together; the last of a range may hold fewer."""
+    """``items`` in new sequences of ``each``, neighbours by length together; the last of a range may hold fewer.
+
+    Their ids are negative, those that ``pack`` gives to long pieces are not: the two can't meet, however many partitions there are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, seen = (turn << 44) + (TaskContext.get().partitionId() << 28), 0
         for x in batches:
-            ids = base + (seen + np.arange(x.num_rows)) // each
+            ids = -1 - (base + (seen + np.arange(x.num_rows)) // each)
             seen += x.num_rows
             yield pa.record_batch([x["k"], x["length"], pa.array(ids, pa.int64())], names=["k", "length", "sequence_id"])
 
