@@ -81,6 +81,29 @@ def test_repeated_runs_are_maximal_and_name_their_original(spark):
     assert out.columns.count("_n_lines") == 1 and {r["doc_id"]: (r["_n_lines"], r["_n_removed"], r["_lines"]) for r in out.collect()}[2] == (30, 28, "own")
 
 
+def test_line_dedup_of_equal_lines_and_equal_rows_stays_linear(spark):
+    """A text of equal lines is one run, not one for every lag; rows that repeat each other are looked at once."""
+    for texts in ({0: ["x"] * 200 + ["end"]}, {0: ["a", "b", "c"] * 60, 1: ["a", "b", "c"] * 90}, {0: ["x"] * 90, 1: ["y"] + ["x"] * 70 + ["z"]}):
+        docs = table(spark, ["\n".join(t) for t in texts.values()], list(texts))
+        runs = line_dedup.repeated_runs(docs, 3).collect()
+        assert len(runs) <= 9 * 3 * len(texts)  # doublings times the longest period
+        assert {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs, 3).collect()} == brute_lines({d: "\n".join(t) for d, t in texts.items()}, 3)
+    docs = table(spark, ["\n".join(["same"] * 30_000)])
+    assert [(r["_n_lines"], r["_n_removed"], r["text"]) for r in line_dedup.line_dedup(docs, 3, min_words=1).collect()] == [(30_000, 29_999, "same")]
+    one = table(spark, ["\n".join(f"l{k}" for k in range(40))], [None])
+    rows = one.crossJoin(spark.range(3000)).drop("id").unionByName(table(spark, ["l3\nl4\nl5"], [7]).drop("id"))
+    lines = line_dedup._lines(rows, "text", "doc_id")
+    assert lines.count() == 43
+    out = line_dedup.line_dedup(rows, 3).groupBy("doc_id", "text", "_n_removed").count().collect()
+    assert sorted((r["doc_id"] or 0, r["_n_removed"], r["count"]) for r in out) == [(0, 0, 3000), (7, 3, 1)]
+
+
+def test_line_dedup_joins_many_repeated_keys(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", 0)
+    docs = table(spark, ["a\nb", "a\nb", "c", None], [1, 1, 2, 3])
+    assert sorted((r["d"], r["i"]) for r in line_dedup._lines(docs, "text", "doc_id").collect()) == [(1, 0), (1, 1), (2, 0)]
+
+
 def test_line_dedup_keeps_columns_and_odd_rows(odd, empty):
     got = line_dedup.line_dedup(odd, 1)
     assert got.columns == [*odd.columns, "_n_lines", "_n_removed"] and got.count() == odd.count()
@@ -187,6 +210,13 @@ def test_packing_is_as_good_as_plain_best_fit(spark, monkeypatch, seed, ranges):
     assert got.sequence_id.nunique() <= plain_best_fit(lengths, size) * 1.02 + 1
 
 
+def test_no_sequence_is_overfull_beyond_2048_partitions(spark):
+    """Ids of long pieces hold their partition's number, ids of opened sequences their round's: they must not meet."""
+    cut = spark.range(4120, numPartitions=2060).select("id", F.lit(0).alias("piece"), F.when(F.col("id") % 2 == 0, 11).otherwise(6).cast("long").alias("length"))
+    sums = packing.pack(cut, 16).groupBy("sequence_id").agg(F.sum("length").alias("n")).toPandas()
+    assert sums.n.max() <= 16 and sums.n.sum() == 2060 * 17 and len(sums) == 2060 + 1030
+
+
 @pytest.mark.parametrize("ranges", [1, 6])
 def test_sweep_equals_a_stack(spark, monkeypatch, ranges):
     """Places from narrow to wide, each taking the longest piece that fits and is left."""

@@ -21,7 +21,10 @@ where one first rank is frequent.
 Cases. Null text: kept null, no lines. Empty text: one empty line. Rows with the same ``doc_id``
 and text are one document, none a copy of another; the same ``doc_id`` with other text is another
 document, ordered by a hash of the text. A null ``doc_id`` sorts first. Other columns pass through
-under any name, but for those of the counts, which are replaced.
+under any name, but for those of the counts, which are replaced. Rows that repeat each other are looked at once,
+however many there are. A text of n lines makes n rows in each doubling, also if all its lines are equal, and its
+rows meet in one task, which sorts them on disk where they outgrow memory; what is removed of it is an array of
+at most n numbers.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ from tidewell.llm.common import documents, prefix_totals, written
 
 #: Suffixes in a bucket of the rank computation, and the most buckets.
 RANK_BUCKET, MOST_BUCKETS = 1 << 16, 1 << 12
+#: So many keys of rows that repeat each other are broadcast; more are joined.
+BROADCAST_KEYS = 100_000
 
 
 def _needed(lines: Column, min_lines: int, min_words: int) -> Column:
@@ -56,15 +61,28 @@ def _needed(lines: Column, min_lines: int, min_words: int) -> Column:
     return F.flatten(F.transform(F.array(counts), lambda c: F.transform(c, lambda _, i: need(c, i))))
 
 
-def _lines(docs: DataFrame, text_col: str, id_col: str, min_lines: int = 0, min_words: int | None = None) -> DataFrame:
+def _once(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """(d, h, text): each pair of id and text once. Only rows of keys that occur more than once are shuffled, and those after a partial aggregate."""
     text = docs[text_col]
+    rows = docs.where(text.isNotNull()).select(docs[id_col].alias("d"), F.xxhash64(text).alias("h"), text.alias("text"))
+    often = written(rows.groupBy("d", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("d").alias("od"), F.col("h").alias("oh")), "repeated")
+    n = often.count()
+    if not n:
+        return rows
+    keys = F.broadcast(often) if n <= BROADCAST_KEYS else often
+    on = rows["d"].eqNullSafe(keys["od"]) & (rows["h"] == keys["oh"])
+    return rows.join(keys, on, "left_anti").union(rows.join(keys, on, "left_semi").dropDuplicates(["d", "h"]))
+
+
+def _lines(docs: DataFrame, text_col: str, id_col: str, min_lines: int = 0, min_words: int | None = None) -> DataFrame:
+    once = _once(docs, text_col, id_col)
     if min_words is not None:
-        whole = docs.where(text.isNotNull()).select(docs[id_col].alias("d"), F.xxhash64(text).alias("h"), F.split(text, "\n", -1).alias("lines"))
+        whole = once.select("d", "h", F.split("text", "\n", -1).alias("lines"))
         whole = whole.select("d", "h", F.arrays_zip("lines", _needed(F.col("lines"), min_lines, min_words).alias("need")).alias("both"))
         each = whole.select("d", "h", F.posexplode("both").alias("i", "x")).select("d", "h", "i", "x.lines", "x.need")
         return each.select("d", "h", "i", F.xxhash64("lines").alias("l1"), F.xxhash64(F.lit(7), "lines").alias("l2"), "need")
     # hashed below the explode; beside it, the text would be hashed again for every line
-    whole = docs.where(text.isNotNull()).select(docs[id_col].alias("d"), F.xxhash64(text).alias("h"), F.split(text, "\n", -1).alias("lines"))
+    whole = once.select("d", "h", F.split("text", "\n", -1).alias("lines"))
     return whole.select("d", "h", F.posexplode("lines").alias("i", "line")).select("d", "h", "i", F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(7), "line").alias("l2"))
 
 
@@ -124,7 +142,9 @@ def _later(active: DataFrame) -> DataFrame:
 def repeated_runs(docs: DataFrame, min_lines: int = 3, text_col: str = "text", id_col: str = "doc_id", min_words: int | None = None) -> DataFrame:
     """Maximal runs of later copies: (d, h, start, n_lines, of): ``d`` the doc_id, ``h`` the hash of its text, ``of`` where the original starts.
 
-    Runs with different originals may overlap.
+    Runs with different originals may overlap. Where a passage repeats with a period shorter than itself (blank
+    lines, tables), each line's original is the period before, so that the passage is one run and not one for every
+    line of it; shorter intervals at its end add a run for each line of the period and doubling.
     """
     found = []
     for depth, active in _intervals(docs, min_lines, text_col, id_col, min_words):
@@ -138,7 +158,12 @@ def repeated_runs(docs: DataFrame, min_lines: int = 3, text_col: str = "text", i
     later = functools.reduce(DataFrame.union, found)
     # of a suffix in several intervals the deepest counts, with its original; in step are those as far from their originals
     deepest = later.groupBy("d", "h", "i").agg(F.max_by(F.struct("m", "first"), "m").alias("x")).select("d", "h", "i", "x.m", "x.first")
-    deepest = deepest.withColumns({"end": F.col("i") + F.col("m"), "fd": F.col("first.d"), "fh": F.col("first.h"), "lag": F.col("i") - F.col("first.i")})
+    # a document's rows come together once for both windows
+    before = F.lag("i").over(Window.partitionBy("d", "h", "m", "first").orderBy("i"))
+    deepest = deepest.repartition("d", "h").withColumn("back", F.col("i") - before)
+    periodic = F.coalesce(F.col("back") <= F.col("m"), F.lit(False))
+    own = {"end": F.col("i") + F.col("m"), "lag": F.when(periodic, F.col("back")).otherwise(F.col("i") - F.col("first.i"))}
+    deepest = deepest.withColumns(own | {f"f{k}": F.when(periodic, F.col(k)).otherwise(F.col(f"first.{k}")) for k in "dh"})
     w = Window.partitionBy("d", "h", "fd", "fh", "lag").orderBy("i")
     fresh = F.coalesce(F.col("i") > F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     runs = deepest.withColumn("run", F.sum(fresh.cast("long")).over(w)).groupBy("d", "h", "fd", "fh", "lag", "run")
@@ -146,13 +171,21 @@ def repeated_runs(docs: DataFrame, min_lines: int = 3, text_col: str = "text", i
     return runs.select("d", "h", "start", "n_lines", F.struct(F.col("fd").alias("d"), F.col("fh").alias("h"), (F.col("start") - F.col("lag")).alias("i")).alias("of"))
 
 
+def _disjoint(runs: DataFrame) -> DataFrame:
+    """(d, h, start, end) of the lines that some run covers: no line in two of them, so all together are as many as the lines of the text."""
+    w = Window.partitionBy("d", "h").orderBy("start", "end")
+    ends = runs.select("d", "h", "start", (F.col("start") + F.col("n_lines")).alias("end"))
+    fresh = F.coalesce(F.col("start") > F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    return ends.withColumn("island", F.sum(fresh.cast("long")).over(w)).groupBy("d", "h", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+
+
 def line_dedup(docs: DataFrame, min_lines: int = 3, text_col: str = "text", id_col: str = "doc_id", min_words: int | None = None) -> DataFrame:
     """All rows and columns of ``docs``, the text without later copies of runs of ``min_lines`` lines or ``min_words`` words or more.
 
     Adds ``_n_lines`` and ``_n_removed``, in place of columns of these names.
     """
-    runs = repeated_runs(docs, min_lines, text_col, id_col, min_words)
-    removed = runs.groupBy("d", "h").agg(F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(start, start + n_lines - 1)")))).alias("removed"))
+    runs = _disjoint(repeated_runs(docs, min_lines, text_col, id_col, min_words))
+    removed = runs.groupBy("d", "h").agg(F.flatten(F.collect_list(F.expr("sequence(start, end - 1)"))).alias("removed"))
     rest = [c for c in docs.columns if c != text_col]
     whole = docs.select(
         docs[id_col].alias("_k"), F.xxhash64(docs[text_col]).alias("_h"), F.struct(*[docs[c] for c in rest]).alias("_row"), F.split(docs[text_col], "\n", -1).alias("_lines")
