@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.llm import exact_dedup, language_id, line_dedup, media, packing, quality, sentencepiece_codec, sharding, simhash, substring_dedup
+from tidewell.llm import decontamination, exact_dedup, language_id, line_dedup, media, merkle, packing, quality, sentencepiece_codec, sharding, simhash, substring_dedup, whitening
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_quality": quality.op9_quality,
     "op10_sharding": sharding.op10_sharding,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_decontamination": decontamination.op12_decontamination,
+    "op13_merkle": merkle.op13_merkle,
 }
-ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op12_decontamination": decontamination.ORACLE}
