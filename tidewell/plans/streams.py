@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from tidewell.plans.registry import query
 from tidewell.streaming import ingest
+from tidewell.streaming.store import EventStore
 
 
 def _stream(spark, sf):
@@ -37,18 +40,53 @@ def stream_dedup(spark, sf):
     return ingest.collected(ingest.deduplicated(twice, "40 days").select("event_id")).groupBy("event_id").agg(F.count("*").alias("kept"))
 
 
-@query("stream_upsert_state", """WITH a AS (SELECT CAST(event_id // 3 AS VARCHAR) AS id, event_id, CASE WHEN event_id % 2 = 0 THEN 'c' || event_id END AS content, CASE WHEN event_id % 3 = 1 THEN 'u' || event_id END AS canonical_url, CASE WHEN event_id % 5 = 2 THEN 'f' || event_id END AS content_flags, CAST(floor(value) AS BIGINT) AS score, user_id AS comments, ts FROM events),
+UPSERTED = """WITH a AS (SELECT CAST(event_id // 3 AS VARCHAR) AS id, event_id, CASE WHEN event_id % 2 = 0 THEN 'c' || event_id END AS content, CASE WHEN event_id % 3 = 1 THEN 'u' || event_id END AS canonical_url, CASE WHEN event_id % 5 = 2 THEN 'f' || event_id END AS content_flags, CAST(floor(value) AS BIGINT) AS score, user_id AS comments, ts FROM events),
 b AS (SELECT *, count(*) OVER p AS k, count(content) OVER p AS c, count(canonical_url) OVER p AS u, count(content_flags) OVER p AS f, max(score) OVER p AS s, max(comments) OVER p AS m FROM a WINDOW p AS (PARTITION BY id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-w AS (SELECT *, coalesce(k, 0) = 0 OR (c = 0 AND content IS NOT NULL) OR (u = 0 AND canonical_url IS NOT NULL) OR (f = 0 AND content_flags IS NOT NULL) OR score > s OR comments > m AS better FROM b)
-SELECT id AS event_id, min_by(content, ts) FILTER (WHERE content IS NOT NULL) AS content, min_by(canonical_url, ts) FILTER (WHERE canonical_url IS NOT NULL) AS canonical_url, min_by(content_flags, ts) FILTER (WHERE content_flags IS NOT NULL) AS content_flags, max(score) AS score, max(comments) AS comments, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS created_at, strftime(max(ts) FILTER (WHERE better), '%Y-%m-%d %H:%M:%S') AS fetched_at FROM w GROUP BY id""")
+w AS (SELECT *, coalesce(k, 0) = 0 OR (c = 0 AND content IS NOT NULL) OR (u = 0 AND canonical_url IS NOT NULL) OR (f = 0 AND content_flags IS NOT NULL) OR score > s OR comments > m AS better FROM b),
+st AS (SELECT id AS event_id, min_by(content, ts) FILTER (WHERE content IS NOT NULL) AS content, min_by(canonical_url, ts) FILTER (WHERE canonical_url IS NOT NULL) AS canonical_url, min_by(content_flags, ts) FILTER (WHERE content_flags IS NOT NULL) AS content_flags, max(score) AS score, max(comments) AS comments, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS created_at, strftime(max(ts) FILTER (WHERE better), '%Y-%m-%d %H:%M:%S') AS fetched_at FROM w GROUP BY id)"""
+
+
+@query("stream_upsert_state", UPSERTED + " SELECT * FROM st")
 def stream_upsert_state(spark, sf):
     """Three arrivals make an event."""
-    n = F.col("event_id")
-    arrivals = _stream(spark, sf).select(F.floor(n / 3).cast("string").alias("event_id"), F.when(n % 2 == 0, F.concat(F.lit("c"), n.cast("string"))).alias("content"), F.when(n % 3 == 1, F.concat(F.lit("u"), n.cast("string"))).alias("canonical_url"), F.when(n % 5 == 2, F.concat(F.lit("f"), n.cast("string"))).alias("content_flags"), F.floor("value").cast("long").alias("score"), F.col("user_id").alias("comments"), F.col("at").alias("fetched_at"))
-    rows = ingest.collected(ingest.upsert(arrivals), ["event_id"], "update")
+    rows = ingest.collected(ingest.upsert(_arrivals(spark, sf)), ["event_id"], "update")
+    return _shown(rows)
+
+
+def _shown(rows):
     return rows.select("event_id", "content", "canonical_url", "content_flags", "score", "comments", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("created_at", "fetched_at")])
 
 
+def _arrivals(spark, sf):
+    n = F.col("event_id")
+    return _stream(spark, sf).select(F.floor(n / 3).cast("string").alias("event_id"), F.when(n % 2 == 0, F.concat(F.lit("c"), n.cast("string"))).alias("content"), F.when(n % 3 == 1, F.concat(F.lit("u"), n.cast("string"))).alias("canonical_url"), F.when(n % 5 == 2, F.concat(F.lit("f"), n.cast("string"))).alias("content_flags"), F.floor("value").cast("long").alias("score"), F.col("user_id").alias("comments"), F.col("at").alias("fetched_at"))
+
+
+def _stored(spark, sf):
+    """The events' arrivals through a stream into a store, topics by the last digit of their ids."""
+    store = EventStore(spark, ingest.shared_folder(spark, "store"))
+
+    def topics(events):
+        return events.select("event_id", F.concat(F.lit("t."), F.coalesce(F.substring("event_id", -1, 1), F.lit(""))).alias("topic"), F.lit(0.5).alias("confidence"))
+
+    ingest.run_durably(_arrivals(spark, sf), store.sink(classify=topics), ingest.shared_folder(spark, "stream-offsets"))
+    return store
+
+
+@query("store_events", UPSERTED + " SELECT * FROM st")
+def store_events(spark, sf):
+    """What the store says of each event after its arrivals were appended in batches."""
+    return _shown(_stored(spark, sf).events())
+
+
+@query("store_retained", UPSERTED + " SELECT 't.' || right(event_id, 1) AS topic, count(*) AS events, sum(score) AS score FROM st WHERE fetched_at >= '2024-01-16 00:00:00' GROUP BY 1")
+def store_retained(spark, sf):
+    """Events by topic after those last fetched over 15 days ago went, with their topics."""
+    store = _stored(spark, sf)
+    store.retain(datetime(2024, 1, 31), days=15)
+    return store.topics().join(store.events(), "event_id").groupBy("topic").agg(F.count("*").alias("events"), F.sum("score").alias("score"))
+
+
 @query("stream_sessions")
 def stream_sessions(spark, sf):
     return ingest.collected(ingest.sessions(_stream(spark, sf)))

@@ -46,6 +46,16 @@ def run_once(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame,
     return None if each else out
 
 
+def run_durably(stream: DataFrame, put: Callable[[DataFrame, int], None], offsets: str, every: str | None = None) -> None:
+    """Go on from where the query with these offsets stood, to the end of what there is, or ``every`` so often without end.
+
+    ``put`` may get a batch twice, with one number, if an earlier run ended between its write and the engine's commit.
+    """
+    writer = stream.writeStream.option("checkpointLocation", offsets).foreachBatch(put)
+    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    writer.start().awaitTermination()
+
+
 def collected(stream: DataFrame, keys: list[str] | None = None, mode: str = "append") -> DataFrame:
     """What a stream has emitted; with ``keys``, the last emission of each key."""
     spark, schema = stream.sparkSession, stream.schema
