@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,7 +17,30 @@ INJECTION_EXACT = (r"\bHuman:\s", r"\bAssistant:\s")
 CONTROL = r"[\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}\x{7f}-\x{9f}]"
 ZERO_WIDTH = r"[\x{200b}-\x{200f}\x{feff}\x{2060}-\x{2064}\x{206a}-\x{206f}]"
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ref", "source", "via")
-ACCENTED, PLAIN = "àáâãäåèéêëìíîïòóôõöùúûüýÿñç", "aaaaaaeeeeiiiiooooouuuuyync"
+
+
+def _folds() -> tuple[str, str]:
+    """Letters whose canonical decomposition is one letter with marks, and that letter; after them all marks, for which nothing stands. Hangul syllables come apart into letters, so they stay."""
+    letters, marks = {}, []
+    for c in map(chr, range(0x80, 0x110000)):
+        kind = unicodedata.category(c)
+        if kind == "Mn":
+            marks.append(c)
+        elif kind[0] == "L":
+            bare = [x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn"]
+            if len(bare) == 1 and bare[0] != c:
+                letters[c] = bare[0]
+    return "".join([*letters, *marks]), "".join(letters.values())
+
+
+#: For ``translate``: what stands for nothing in PLAIN is taken out.
+ACCENTED, PLAIN = _folds()
+_FOLD = str.maketrans(ACCENTED[: len(PLAIN)], PLAIN, ACCENTED[len(PLAIN) :])
+
+
+def folded(word: str) -> str:
+    """As the index has it, on the driver."""
+    return word.lower().translate(_FOLD)
 
 
 def tokens(text: Column) -> Column:
@@ -25,7 +50,7 @@ def tokens(text: Column) -> Column:
 
 
 def search_tokens(text: Column) -> Column:
-    """Tokens of the full-text index: letters, digits, hyphen and underscore; accents taken off."""
+    """Tokens of the full-text index: letters, digits, hyphen and underscore; marks taken off all letters."""
     return F.filter(F.split(F.translate(F.lower(text), ACCENTED, PLAIN), r"[^\p{L}\p{N}_-]+"), lambda t: t != "")
 
 

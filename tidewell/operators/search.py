@@ -8,26 +8,33 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.text import ACCENTED, PLAIN, search_tokens
+from tidewell.functions.text import ACCENTED, PLAIN, folded, search_tokens
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Tasks that a term's postings may lie in, and bytes of a row group of them.
+SHARES, ROW_GROUP = 16, 1 << 20
 
 
 def postings(docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataFrame:
-    """(term, doc_id, tf, positions, dl): one row a term and document. Columns lie far apart, so phrases don't cross them."""
+    """(term, doc_id, tf, positions, dl): one row a term and document, sorted by term in each task. Columns lie far apart, so phrases don't cross them.
+
+    Tokens meet once, by term and a share of the documents, so that a frequent term lies in as many tasks.
+    """
     def numbered(column: str, base: int) -> Column:
         return F.transform(search_tokens(F.coalesce(column, F.lit(""))), lambda t, i: F.struct(t.alias("term"), (i + base).alias("at")))
 
     all_ = F.concat(*[numbered(c, n << 26) for n, c in enumerate(columns)])
     # the length is settled below the explode; beside it, it would be worked out again for every token
-    rows = docs.select(F.col(key).alias("doc_id"), all_.alias("ts")).select("doc_id", "ts", F.size("ts").alias("dl")).select("doc_id", "dl", F.explode("ts").alias("t"))
-    return rows.groupBy("doc_id", F.col("t.term").alias("term")).agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("t.at")).alias("positions"), F.max("dl").alias("dl"))
+    rows = docs.select(F.col(key).alias("doc_id"), all_.alias("ts")).select("doc_id", "ts", F.size("ts").alias("dl"), F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)).alias("share"))
+    rows = rows.select("doc_id", "dl", "share", F.inline("ts")).repartition("term", "share")
+    each = rows.groupBy("term", "share", "doc_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"), F.max("dl").alias("dl"))
+    return each.sortWithinPartitions("term", "doc_id").select("doc_id", "term", "tf", "positions", "dl")
 
 
 def build_index(docs: DataFrame, columns: list[str], path: str, key: str = "doc_id") -> DataFrame:
     """Write the postings, sorted by term so that a search reads few row groups, and return them."""
     rows = postings(docs, columns, key)
-    rows.repartition("term").sortWithinPartitions("term").write.parquet(path)
+    rows.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
@@ -83,8 +90,7 @@ class Query:
             if name not in self._columns or not self._left:
                 raise ValueError(f"no such column: {name}")
             column, word = self._columns.index(name), self._left.pop(0)
-        plain = word.lower().translate(str.maketrans(ACCENTED, PLAIN))
-        words = tuple(w for w in re.split(r"[^\w-]+", plain) if w)
+        words = tuple(w for w in re.split(r"[^\w-]+", folded(word)) if w)
         if not words:
             raise ValueError(f"nothing to look for in {word!r}")
         self.atoms.append(Atom(words, word.endswith("*"), column))
@@ -120,14 +126,16 @@ def _hits(index: DataFrame, atom: Atom) -> DataFrame:
     return whole.groupBy("doc_id", "dl").agg(F.count("*").alias("tf"))
 
 
-def search(index: DataFrame, text: str, limit: int | None = 20, after: tuple | None = None, columns: list[str] | None = None, among: DataFrame | None = None) -> DataFrame:
+def search(index: DataFrame, text: str, limit: int | None = 20, after: tuple | None = None, columns: list[str] | None = None, among: DataFrame | None = None, stats: tuple[int, float] | None = None) -> DataFrame:
     """(doc_id, rank) by rank, smaller first, then newer document.
 
     ``columns`` names the indexed columns for ``column:word``; ``among`` (doc_id) holds the documents that may be
-    found, as filters by source, topic or time leave them. Ranks are those of the whole index.
+    found, as filters by source, topic or time leave them. Ranks are those of the whole index. ``stats``, the number of its
+    documents and their mean length, spare the reading of all postings (``textindex.TextIndex`` knows them).
     """
     query = Query(text, columns)
-    stats = index.groupBy("doc_id").agg(F.max("dl").alias("dl")).agg(F.count("*").alias("total"), F.avg("dl").alias("avgdl"))
+    known = None if stats is None else index.sparkSession.createDataFrame([stats], "total long, avgdl double")
+    stats = index.groupBy("doc_id").agg(F.max("dl").alias("dl")).agg(F.count("*").alias("total"), F.avg("dl").alias("avgdl")) if known is None else known
     rows = None
     for k, atom in enumerate(query.atoms):
         one = _hits(index, atom).withColumn("atom", F.lit(k))

@@ -8,7 +8,8 @@ from tidewell.functions import scalar
 from tidewell.functions import text as tx
 from tidewell.operators import classify as cf
 from tidewell.operators import journal, training
-from tidewell.operators.search import build_index, search, snippet
+from tidewell.operators.search import snippet
+from tidewell.operators.textindex import TextIndex
 from tidewell.plans.registry import half_up, query
 from tidewell.sources import adapters as src
 from tidewell.streaming.ingest import shared_folder
@@ -51,18 +52,27 @@ def _docs(spark, sf):
     return src.table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"), F.col("text").alias("content"))
 
 
-def _index(spark, sf):
-    return build_index(_docs(spark, sf), ["title", "content"], shared_folder(spark, "postings"))
+_indexes: dict[tuple[str, str], TextIndex] = {}
+
+
+def _index(spark, sf) -> TextIndex:
+    """The index of the documents, built once an application and searched by each query."""
+    at = spark.sparkContext.applicationId, sf
+    if at not in _indexes:
+        index, docs = TextIndex(spark, shared_folder(spark, "text-index"), ["title", "content"]), _docs(spark, sf)
+        index.add(docs)
+        _indexes[at] = index
+    return _indexes[at]
 
 
 @query("fts_search", _search_sql(["term = 'thanea'", "term = 'eriner'"], "a0 IS NOT NULL AND a1 IS NOT NULL"))
 def fts_search(spark, sf):
-    return search(_index(spark, sf), "thanea Eriner")
+    return _index(spark, sf).search("thanea Eriner")
 
 
 @query("fts_boolean", _search_sql(["term = 'token'", "starts_with(term, 'worth')", "term = 'und'"], "(a0 IS NOT NULL OR a1 IS NOT NULL) AND NOT a2 IS NOT NULL"))
 def fts_boolean(spark, sf):
-    return search(_index(spark, sf), "(token OR worth*) NOT und")
+    return _index(spark, sf).search("(token OR worth*) NOT und")
 
 
 TITLE = DOCS + f""", bag AS (SELECT doc_id, {ftok('title')} AS tt, list_concat({ftok('title')}, {ftok('content')}) AS ts FROM d), st AS (SELECT count(*) AS n_docs, avg(len(ts)) AS avgdl FROM bag WHERE len(ts) > 0),
@@ -74,24 +84,24 @@ SELECT doc_id, -floor(greatest(1e-6, ln((n_docs - n + 0.5) / (n + 0.5))) * tf *
 def fts_column_filter(spark, sf):
     """A word of one column, in documents of one source."""
     among = src.table(spark, sf, "documents").where("source = 'src1'")
-    return search(_index(spark, sf), "title:the", columns=["title", "content"], among=among)
+    return _index(spark, sf).search("title:the", among=among)
 
 
 @query("fts_phrase")
 def fts_phrase(spark, sf):
-    return search(_index(spark, sf), '"the and attion"')
+    return _index(spark, sf).search('"the and attion"')
 
 
 @query("fts_page_2", _search_sql(["term = 'of'"], "a0 IS NOT NULL", 20) + " OFFSET 20")
 def fts_page_2(spark, sf):
     index = _index(spark, sf)
-    last = search(index, "of").collect()[-1]  # one page
-    return search(index, "of", after=(last["rank"], last["doc_id"]))
+    last = index.search("of").collect()[-1]  # one page
+    return index.search("of", after=(last["rank"], last["doc_id"]))
 
 
 @query("fts_snippets")
 def fts_snippets(spark, sf):
-    found = search(_index(spark, sf), "thanea Eriner")
+    found = _index(spark, sf).search("thanea Eriner")
     docs = _docs(spark, sf).join(F.broadcast(found), "doc_id")  # one page
     return docs.select("doc_id", "rank", snippet(F.col("content"), ["thanea", "eriner"]).alias("snippet"))
 
