@@ -1,8 +1,13 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from tidewell.operators import communities
 from tidewell.operators import graph as g
+from tidewell.operators import relational
 from tidewell.operators import repo as r
+from tidewell.operators.communities import leiden
 from tidewell.sources import feeds, repository
 
 EDGES = [(1, 2, 1.0), (3, 4, 1.0), (2, 3, 0.5)]
@@ -44,19 +49,94 @@ def test_communities_and_betweenness(spark, edges, clusters):
     assert b[1] == b[4] == 0 and abs(b[2] - 2 / 3) < 1e-9 and b[2] == b[3]
 
 
-def test_louvain_beats_singletons():
-    ring = [(c * 4 + i, c * 4 + j, 1.0) for c in range(6) for i in range(4) for j in range(i)] + [(c * 4, (c * 4 + 4) % 24, 0.1) for c in range(6)]
-    label = g.louvain(ring)
-    assert len(set(label.values())) == 6 and all(len({label[c * 4 + i] for i in range(4)}) == 1 for c in range(6))
-
-
-def test_communities_are_alike_on_both_sides_of_the_bound(spark, monkeypatch):
-    ring = [(c * 4 + i, c * 4 + j, 1.0) for c in range(6) for i in range(4) for j in range(i)] + [(c * 4, (c * 4 + 4) % 24, 0.1) for c in range(6)]
-    edges = spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in ring], "path_a long, path_b long, weight double")
-    found = lambda: {x["path"]: x["cluster_id"] for x in g.communities(edges).collect()}
-    on_driver = found()
-    monkeypatch.setattr(g, "DRIVER_EDGES", 1)
-    assert found() == on_driver and len(set(on_driver.values())) == 6
+def cliques(count=6, size=4, bridge=0.1):
+    ring = [(c * size + i, c * size + j, 1.0) for c in range(count) for i in range(size) for j in range(i)] + [(c * size, (c * size + size) % (count * size), bridge) for c in range(count)]
+    return [(min(a, b), max(a, b), w) for a, b, w in ring]
+
+
+def quality(edges, label, resolution=1.0):
+    m2, degree, inside = 2 * sum(w for *_, w in edges), {}, 0.0
+    for a, b, w in edges:
+        inside += 2 * w * (label[a] == label[b])
+        for v in (a, b):
+            degree[label[v]] = degree.get(label[v], 0.0) + w
+    return inside / m2 - resolution * sum(d * d for d in degree.values()) / m2**2
+
+
+def is_connected(edges, members):
+    seen, open_ = set(), [min(members)]
+    while open_:
+        v = open_.pop()
+        if v not in seen:
+            seen.add(v)
+            open_ += [b if a == v else a for a, b, _ in edges if v in (a, b) and {a, b} <= members]
+    return seen == members
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_leiden_finds_cliques_whatever_the_partitions(spark, parts):
+    rows = cliques()
+    edges = spark.createDataFrame(rows, "path_a long, path_b long, weight double").repartition(parts)
+    found = {x["path"]: x["cluster_id"] for x in g.communities(edges).collect()}
+    assert found == {v: v // 4 for v in range(24)}
+    bridged = g.communities(edges, start=spark.createDataFrame([(v, 0) for v in range(24)], "path long, cluster_id int"))
+    assert {x["path"]: x["cluster_id"] for x in bridged.collect()}.keys() == found.keys()
+
+
+def test_leiden_communities_are_connected_and_good(spark):
+    rng = random.Random(5)
+    group = {v: rng.randrange(5) for v in range(60)}
+    rows = [(a, b, rng.choice([0.5, 1.0])) for a in range(60) for b in range(a + 1, 60) if rng.random() < (0.4 if group[a] == group[b] else 0.03)]
+    edges = spark.createDataFrame(rows, "path_a long, path_b long, weight double")
+    found = {x["path"]: x["cluster_id"] for x in g.communities(edges).collect()}
+    again = {x["path"]: x["cluster_id"] for x in g.communities(edges.repartition(6)).collect()}
+    assert found == again and quality(rows, found) >= quality(rows, group) - 0.01
+    for c in set(found.values()):
+        assert is_connected(rows, {v for v, x in found.items() if x == c})
+
+
+@pytest.mark.parametrize("bound", [0, 6])
+def test_steps_and_arrays_give_the_same_communities(spark, monkeypatch, bound):
+    """No level on arrays, and all but the first."""
+    rng = random.Random(2)
+    rows = cliques(3, 3, 0.4) + [(a, b, 0.25) for a, b in ((0, 4), (1, 7), (10, 11), (2, 10))] + [(5, 5, 0.5)]
+    edges = spark.createDataFrame(rng.sample(rows, len(rows)), "path_a long, path_b long, weight double")
+    want = {tuple(r) for r in leiden(edges).collect()}
+    monkeypatch.setattr(communities, "ARRAY_EDGES", bound)
+    assert {tuple(r) for r in leiden(edges).collect()} == want and len({c for _, c in want}) == 4
+
+
+def test_communities_that_hang_together_only_through_others_are_split(spark):
+    """A start that joins two far cliques: no move gains, and no community may stay in pieces."""
+    rows = cliques(2, 4, 0.0001)[:12]
+    edges = spark.createDataFrame(rows, "path_a long, path_b long, weight double")
+    start = spark.createDataFrame([(v, 0) for v in range(8)], "path long, cluster_id int")
+    found = {x["path"]: x["cluster_id"] for x in g.communities(edges, start=start).collect()}
+    assert found == {v: v // 4 for v in range(8)}
+    assert g.communities(edges.where("false")).count() == 0
+
+
+def test_percentile_by_counting(spark, monkeypatch):
+    monkeypatch.setattr(relational, "FEW", 5)
+    monkeypatch.setattr(relational, "RANGES", 7)
+    rng = random.Random(3)
+    for values in ([rng.random() ** 9 for _ in range(400)], [rng.choice([0.0, 1.0, 1e-300, 2.5]) for _ in range(200)], [7.0] * 50, [1.0], [1e300, -1e300, 0.0, 3.0] * 9, [None, 2.0, 4.0]):
+        t = spark.createDataFrame([(v,) for v in values], "raw double")
+        for share in (0.0, 0.5, 0.95, 1.0):
+            assert relational.exact_percentile(t, "raw", share) == t.agg(F.percentile("raw", share)).first()[0]
+    assert relational.exact_percentile(t.where("false"), "raw", 0.5) is None
+
+
+def test_windows_from_one_pass_equal_each_computed_anew(spark):
+    rng = random.Random(8)
+    commits = spark.createDataFrame([(c, 1_700_000_000 + c * 5 * g.DAY, p) for c in range(40) for p in rng.sample(range(12), rng.randrange(1, 6))], "commit_sha long, commit_ts long, path long")
+    first, last = 1_700_000_000, 1_700_000_000 + 39 * 5 * g.DAY
+    ends = g.drift_windows(first, last)
+    for end, one in zip(ends, g.cochange_windows(commits, ends, k=2), strict=True):
+        want = {tuple(r) for r in g.cochange_edges(commits.where(F.col("commit_ts") <= end), k=2).collect()}
+        assert {tuple(r) for r in one.collect()} == want and want
+    rows = g.drift(commits, *[spark.createDataFrame([], f"path_a long, path_b long, {w} double") for w in ("w_sem", "w_dep")]).collect()
+    assert [r.window_end_ts for r in rows] == ends and rows[0].ari_prev == 1.0
 
 
 def test_volatility_of_even_changes_is_zero(spark):

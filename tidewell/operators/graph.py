@@ -13,36 +13,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewell.functions.scalar import half_up, ratio
-from tidewell.operators.relational import average_rank, both_ends
-from tidewell.streaming.ingest import shared_folder
+from tidewell.operators.communities import leiden
+from tidewell.operators.relational import average_rank, both_ends, cut, exact_percentile, global_number
 
 DAY = 86_400
 #: Largest matrix or adjacency that is broadcast; beyond it blocks are joined.
 BROADCAST_BYTES = 64 << 20
-#: Most edges that the driver's community and path searches take; beyond, they run in DataFrame steps.
+#: Most edges that a task's path search takes; beyond, it runs in DataFrame steps.
 DRIVER_EDGES = 2_000_000
 
 
 def _scaled(raw: DataFrame, out: str) -> DataFrame:
     """``raw`` over its 95th percentile (over its maximum where that is zero), at most one."""
-    p = raw.agg(F.percentile("raw", 0.95).alias("_p"), F.max("raw").alias("_m"))
-    top = F.when(F.col("_p") > 0, F.col("_p")).otherwise(F.col("_m"))
-    return raw.crossJoin(F.broadcast(p)).withColumn(out, half_up(F.least(F.lit(1.0), ratio(F.col("raw"), top)), 6)).drop("_p", "_m")
+    raw = cut(raw, "raw")  # read once for each round of counting
+    top = exact_percentile(raw, "raw", 0.95) or raw.agg(F.max("raw")).first()[0]
+    return raw.withColumn(out, half_up(F.least(F.lit(1.0), ratio(F.col("raw"), F.lit(top))), 6))
 
 
-def cochange_edges(commits: DataFrame, cap: int = 50, half_life: float = 180.0, tau: float = 0.10, k: int = 10) -> DataFrame:
-    """Pairs of paths changed in one commit. Commits over ``cap`` paths go before pairs are made, which bounds the pairs of a commit."""
-    last = commits.agg(F.max("commit_ts").alias("last"))
+def _pairs(commits: DataFrame, cap: int) -> DataFrame:
+    """(path_a, path_b, commit_ts, m) of paths changed in one commit of ``m``. Commits over ``cap`` paths go before pairs are made, which bounds the pairs of a commit."""
     # counted before they are collected, so that a commit over the cap never makes a row
     m = F.count("*").over(Window.partitionBy("commit_sha", "commit_ts"))
     rows = commits.select("commit_sha", "commit_ts", "path").distinct().withColumn("m", m).where(F.col("m").between(2, cap))
     by = rows.groupBy("commit_sha", "commit_ts").agg(F.array_sort(F.collect_list("path")).alias("paths"))
-    m = F.size("paths")
-    by = by.crossJoin(F.broadcast(last))
-    share = F.pow(F.lit(2.0), -F.greatest(F.lit(0.0), (F.col("last") - F.col("commit_ts")) / float(DAY)) / half_life) / (m - 1)
-    one = by.select(share.alias("share"), "paths", F.posexplode("paths").alias("i", "path_a"))
-    pairs = one.select("share", "path_a", F.explode(F.expr("slice(paths, i + 2, size(paths))")).alias("path_b"))
-    raw = pairs.groupBy("path_a", "path_b").agg(half_up(F.sum("share"), 9).alias("raw"))
+    one = by.select("commit_ts", F.size("paths").alias("m"), "paths", F.posexplode("paths").alias("i", "path_a"))
+    return one.select("path_a", "commit_ts", "m", F.explode(F.expr("slice(paths, i + 2, size(paths))")).alias("path_b"))
+
+
+def _near_or_strong(raw: DataFrame, tau: float, k: int) -> DataFrame:
+    """Scaled weights of pairs, those of ``tau`` or more and the ``k`` best of either end."""
     rows = _scaled(raw, "w_co")
     ends = both_ends(rows.select("path_a", "path_b", "w_co"), "path_a", "path_b")
     near = ends.withColumn("rn", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("w_co"), F.least("node", "other"), F.greatest("node", "other")))).where(F.col("rn") <= k)
@@ -51,6 +50,35 @@ def cochange_edges(commits: DataFrame, cap: int = 50, half_life: float = 180.0,
     return kept.select("path_a", "path_b", half_up(F.col("raw"), 6).alias("w_co_raw"), "w_co")
 
 
+def _halved(age: Column, half_life: float) -> Column:
+    return F.pow(F.lit(2.0), -age / float(DAY) / half_life)
+
+
+def cochange_edges(commits: DataFrame, cap: int = 50, half_life: float = 180.0, tau: float = 0.10, k: int = 10) -> DataFrame:
+    """Pairs of paths changed in one commit, weighted by its size and age."""
+    last = commits.agg(F.max("commit_ts").alias("last"))
+    age = F.greatest(F.lit(0), F.col("last") - F.col("commit_ts"))
+    pairs = _pairs(commits, cap).crossJoin(F.broadcast(last))  # one row
+    return _near_or_strong(pairs.groupBy("path_a", "path_b").agg(half_up(F.sum(_halved(age, half_life) / (F.col("m") - 1)), 9).alias("raw")), tau, k)
+
+
+def cochange_windows(commits: DataFrame, ends: list[int], cap: int = 50, half_life: float = 180.0, tau: float = 0.10, k: int = 10) -> list[DataFrame]:
+    """``cochange_edges`` of the commits up to each of ``ends``, from one pass over the pairs.
+
+    Each pair has a sum for each end, all of ages at one time; at another time every age is longer or shorter by
+    the same, so a sum is carried there by one factor.
+    """
+    lasts = commits.agg(F.max("commit_ts").alias("l"), *[F.max(F.when(F.col("commit_ts") <= e, F.col("commit_ts"))).alias(f"l{n}") for n, e in enumerate(ends)]).first()
+    share = _halved(F.lit(lasts["l"]) - F.col("commit_ts"), half_life) / (F.col("m") - 1)
+    sums = _pairs(commits, cap).groupBy("path_a", "path_b").agg(*[F.sum(F.when(F.col("commit_ts") <= e, share)).alias(f"s{n}") for n, e in enumerate(ends)])
+    sums, out = cut(sums, "pair-sums"), []
+    for n, _ in enumerate(ends):
+        later = 2.0 ** ((lasts["l"] - (lasts[f"l{n}"] if lasts[f"l{n}"] is not None else lasts["l"])) / DAY / half_life)
+        raw = sums.where(F.col(f"s{n}").isNotNull()).select("path_a", "path_b", half_up(F.col(f"s{n}") * later, 9).alias("raw"))
+        out.append(_near_or_strong(raw, tau, k))
+    return out
+
+
 def ignored_commits(commits: DataFrame, cap: int = 50) -> DataFrame:
     by = commits.groupBy("commit_sha").agg(F.count_distinct("path").alias("m"))
     return by.agg(F.count_if(F.col("m") > cap).alias("ignored_commits"))
@@ -180,11 +208,6 @@ def volatility(commits: DataFrame, days: int = 30, windows: int = 6) -> DataFram
     return by.select("path", half_up(F.col("q") / float(windows) - F.pow(F.col("s") / float(windows), F.lit(2.0)), 6).alias("variance"))
 
 
-def _maxed(c: str) -> Column:
-    top = F.max(c).over(Window.partitionBy())
-    return F.when(top > 0, F.col(c) / top).otherwise(0.0)
-
-
 def file_metrics(clusters: DataFrame, edges: DataFrame, sem: DataFrame, commits: DataFrame, between: DataFrame | None = None) -> DataFrame:
     """Degree, hubness, volatility and risk of every path of ``clusters``."""
     rows = clusters.select("path", "cluster_id").join(degrees(edges), "path", "left").join(xnbr(sem, clusters), "path", "left").join(volatility(commits), "path", "left")
@@ -240,121 +263,12 @@ def adjusted_rand(left: DataFrame, right: DataFrame) -> DataFrame:
     return row.select(half_up(value, 6).alias("ari"))
 
 
-def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """(path, cluster_id): clusters numbered by size, then first member.
-
-    Louvain at every size: up to ``DRIVER_EDGES`` edges node by node on the driver, beyond in rounds of DataFrame
-    steps with the same gain and resolution. Both end where no move gains; ties may fall differently.
-    """
-    spark = edges.sparkSession
-    if edges.limit(DRIVER_EDGES + 1).count() > DRIVER_EDGES:
-        labels = spread_louvain(edges, resolution)
-    else:
-        rows = edges.select(F.col("path_a").cast("long"), F.col("path_b").cast("long"), "weight").orderBy("path_a", "path_b").collect()  # size checked
-        labels = spark.createDataFrame([(int(p), int(c)) for p, c in louvain([tuple(r) for r in rows], resolution).items()], "path long, label long")
+def communities(edges: DataFrame, resolution: float = 1.0, start: DataFrame | None = None) -> DataFrame:
+    """(path, cluster_id): Leiden's communities, each connected, numbered by size, then first member. ``start`` (path, cluster_id) are communities to begin with."""
+    labels = leiden(edges, resolution, None if start is None else start.select("path", F.col("cluster_id").alias("label")))
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"), F.min("path").alias("first"))
-    order = sizes.withColumn("cluster_id", F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1)
-    return labels.join(order, "label").select("path", "cluster_id")
-
-
-def louvain(edges: list[tuple[int, int, float]], resolution: float = 1.0) -> dict[int, int]:
-    """Deterministic Louvain: nodes move in sorted order while modularity grows, then communities become nodes."""
-    own: dict[int, int] = {}
-    for a, b, _ in edges:
-        own[a], own[b] = a, b
-    graph = edges
-    while True:
-        near: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
-        loops: dict[int, float] = defaultdict(float)
-        for a, b, w in graph:
-            if a == b:
-                loops[a] += w
-            else:
-                near[a][b] += w
-                near[b][a] += w
-        nodes = sorted(set(near) | set(loops))
-        degree = {v: sum(near[v].values()) + 2 * loops[v] for v in nodes}
-        m2 = sum(degree.values())
-        label, total, moved = {v: v for v in nodes}, dict(degree), False
-        while m2:
-            again = False
-            for v in nodes:
-                links: dict[int, float] = defaultdict(float)
-                for u, w in near[v].items():
-                    links[label[u]] += w
-                here = label[v]
-                total[here] -= degree[v]
-                gain = lambda c, links=links, v=v: links.get(c, 0.0) - resolution * degree[v] * total[c] / m2
-                best = min(links, key=lambda c: (-round(gain(c), 12), c), default=here)
-                if gain(best) <= gain(here) + 1e-12:
-                    best = here
-                total[best] += degree[v]
-                if best != here:
-                    label[v], again, moved = best, True, True
-            if not again:
-                break
-        if not moved:
-            return own
-        own = {p: label[c] for p, c in own.items()}
-        merged: dict[tuple[int, int], float] = defaultdict(float)
-        for a, b, w in graph:
-            x, y = sorted((label[a], label[b]))
-            merged[x, y] += w
-        graph = [(a, b, w) for (a, b), w in sorted(merged.items())]
-
-
-def _cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, which cuts its lineage and survives lost executors."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread_louvain(edges: DataFrame, resolution: float = 1.0, patience: int = 4) -> DataFrame:
-    """(path, label): Louvain with its moves in rounds of DataFrame steps, for graphs that no driver holds.
-
-    In a round half of the nodes, dealt by a hash, move to the neighbouring community of the largest gain, all at once. A
-    level ends once ``patience`` rounds bring no growth of modularity; its best labels become the nodes of the
-    next, until a level brings none.
-    """
-    a, b = F.least("path_a", "path_b").cast("long"), F.greatest("path_a", "path_b").cast("long")
-    graph = _cut(edges.groupBy(a.alias("a"), b.alias("b")).agg(F.sum("weight").alias("w")), "louvain-graph")
-    own = _cut(both_ends(graph, "a", "b").select(F.col("node").alias("path"), F.col("node").alias("label")).distinct(), "louvain-own")
-    m2 = 2.0 * (graph.agg(F.sum("w")).first()[0] or 0.0)
-    while m2:
-        ends = both_ends(graph.where("a <> b"), "a", "b")
-        loops = graph.where("a = b").select(F.col("a").alias("node"), (2 * F.col("w")).alias("w"))
-        degree = ends.select("node", "w").union(loops).groupBy("node").agg(F.sum("w").alias("k"))
-        labels = _cut(degree.select("node", "k", F.col("node").alias("label")), "louvain-labels")
-        best, highest, idle, turn = labels, _spread_modularity(graph, labels, m2, resolution), 0, 0
-        first = highest
-        while idle < patience:
-            total = labels.groupBy("label").agg(F.sum("k").alias("t"))
-            near = ends.join(labels.select(F.col("node").alias("other"), "label"), "other").select("node", "label", "w").union(labels.select("node", "label", F.lit(0.0)))
-            near = near.groupBy("node", "label").agg(F.sum("w").alias("w")).join(total, "label").join(labels.select("node", "k", F.col("label").alias("here")), "node")
-            rest = F.col("t") - F.when(F.col("label") == F.col("here"), F.col("k")).otherwise(0.0)
-            near = near.withColumn("gain", F.round(F.col("w") - resolution * F.col("k") * rest / m2, 12))
-            to = near.groupBy("node", "k", "here").agg(F.min(F.struct((-F.col("gain")).alias("g"), "label")).alias("to"), F.max(F.when(F.col("label") == F.col("here"), F.col("gain"))).alias("stay"))
-            may = F.pmod(F.xxhash64("node", F.lit(turn // 2)) + turn, F.lit(2)) == 0
-            labels = _cut(to.select("node", "k", F.when(may & (-F.col("to.g") > F.col("stay")), F.col("to.label")).otherwise(F.col("here")).alias("label")), "louvain-labels")
-            value = _spread_modularity(graph, labels, m2, resolution)
-            idle, turn = idle + 1, turn + 1
-            if value > highest + 1e-9:
-                best, highest, idle = labels, value, 0
-        if highest <= first + 1e-9:
-            break
-        label = best.select("node", "label")
-        own = _cut(own.join(label.toDF("old", "new"), own["label"] == F.col("old")).select("path", F.col("new").alias("label")), "louvain-own")
-        x, y = F.least("la", "lb"), F.greatest("la", "lb")
-        graph = _cut(graph.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").groupBy(x.alias("a"), y.alias("b")).agg(F.sum("w").alias("w")), "louvain-graph")
-    return own
-
-
-def _spread_modularity(graph: DataFrame, labels: DataFrame, m2: float, resolution: float) -> float:
-    label = labels.select("node", "label")
-    inner = graph.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").where("la = lb").agg(F.sum("w")).first()[0] or 0.0
-    spread = labels.groupBy("label").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0] or 0.0
-    return 2 * inner / m2 - resolution * spread / m2**2
+    order = global_number(sizes, [F.desc("n"), F.asc("first")], "cluster_id")
+    return labels.join(order.select("label", "cluster_id"), "label").select("path", "cluster_id")
 
 
 def betweenness(edges: DataFrame, pivots: int = 200, seed: int = 42) -> DataFrame:
@@ -388,31 +302,31 @@ def betweenness(edges: DataFrame, pivots: int = 200, seed: int = 42) -> DataFram
 def _spread_betweenness(edges: DataFrame, pivots: int, seed: int) -> DataFrame:
     """``betweenness`` with no task holding the adjacency: (source, node) states meet the edges in joins until they stand still."""
     ends = both_ends(edges.select(F.col("path_a").cast("long"), F.col("path_b").cast("long"), F.col("weight").cast("double")), "path_a", "path_b")
-    ends = _cut(ends.select("node", "other", (1 / F.greatest("weight", F.lit(1e-9))).alias("d")), "ends")
-    nodes = _cut(ends.select(F.col("node").alias("path")).distinct(), "nodes")
+    ends = cut(ends.select("node", "other", (1 / F.greatest("weight", F.lit(1e-9))).alias("d")), "ends")
+    nodes = cut(ends.select(F.col("node").alias("path")).distinct(), "nodes")
     n = nodes.count()
     scale = (1 / ((n - 1) * (n - 2)) if n > 2 else 0.0) * (n / min(n, pivots) if n else 0.0)
-    known = _cut(nodes.orderBy(F.xxhash64(F.lit(seed), "path"), "path").limit(pivots).select(F.col("path").alias("s"), F.col("path").alias("node"), F.lit(0.0).alias("at")), "known")
+    known = cut(nodes.orderBy(F.xxhash64(F.lit(seed), "path"), "path").limit(pivots).select(F.col("path").alias("s"), F.col("path").alias("node"), F.lit(0.0).alias("at")), "known")
     fresh = known
     while not fresh.isEmpty():
         through = fresh.join(ends, "node").groupBy("s", F.col("other").alias("node")).agg(F.min(F.col("at") + F.col("d")).alias("new"))
-        both = _cut(known.join(through, ["s", "node"], "full").withColumn("better", F.col("new").isNotNull() & (F.col("at").isNull() | (F.col("new") < F.col("at") - 1e-12))), "both")
+        both = cut(known.join(through, ["s", "node"], "full").withColumn("better", F.col("new").isNotNull() & (F.col("at").isNull() | (F.col("new") < F.col("at") - 1e-12))), "both")
         known = both.select("s", "node", F.when(F.col("better"), F.col("new")).otherwise(F.col("at")).alias("at"))
         fresh = both.where("better").select("s", "node", F.col("new").alias("at"))
     after = known.toDF("s", "other", "then")
-    steps = _cut(known.join(ends, "node").join(after, ["s", "other"]).where(F.abs(F.col("at") + F.col("d") - F.col("then")) <= 1e-12).select("s", "node", "other"), "steps")
+    steps = cut(known.join(ends, "node").join(after, ["s", "other"]).where(F.abs(F.col("at") + F.col("d") - F.col("then")) <= 1e-12).select("s", "node", "other"), "steps")
 
     def summed(level: DataFrame, moved) -> DataFrame:
         """The sum of a state and of all it becomes step by step; the steps have no cycle."""
         total = level
         while not level.isEmpty():
-            level = _cut(moved(level), "level")
-            total = _cut(total.union(level).groupBy("s", "node").agg(F.sum("x").alias("x")), "total")
+            level = cut(moved(level), "level")
+            total = cut(total.union(level).groupBy("s", "node").agg(F.sum("x").alias("x")), "total")
         return total
 
     starts = known.where(F.col("at") == 0).select("s", "node", F.lit(1.0).alias("x"))
     count = summed(starts, lambda level: level.join(steps, ["s", "node"]).groupBy("s", F.col("other").alias("node")).agg(F.sum("x").alias("x")))
-    shares = _cut(steps.join(count, ["s", "node"]).join(count.toDF("s", "other", "y"), ["s", "other"]).select("s", "node", "other", (F.col("x") / F.col("y")).alias("share")), "shares")
+    shares = cut(steps.join(count, ["s", "node"]).join(count.toDF("s", "other", "y"), ["s", "other"]).select("s", "node", "other", (F.col("x") / F.col("y")).alias("share")), "shares")
     back = lambda level: shares.join(level.toDF("s", "other", "z"), ["s", "other"]).groupBy("s", "node").agg(F.sum(F.col("share") * F.col("z")).alias("x"))
     sums = summed(shares.groupBy("s", "node").agg(F.sum("share").alias("x")), back).where("s <> node").groupBy(F.col("node").alias("path")).agg(F.sum("x").alias("part"))
     return nodes.join(sums, "path", "left").select("path", half_up(F.coalesce("part", F.lit(0.0)) * scale, 9).alias("betweenness"))
@@ -456,13 +370,15 @@ def drift_windows(first: int, last: int, days: int = 30, count: int = 6) -> list
 def drift(commits: DataFrame, sem: DataFrame, dep: DataFrame, days: int = 30, count: int = 6) -> DataFrame:
     """Clusters, modularity and agreement with the window before, over a few window ends."""
     first, last = commits.agg(F.min("commit_ts"), F.max("commit_ts")).first()
-    spark, before, out = commits.sparkSession, None, []
-    for end in drift_windows(first, last, days, count):
-        edges = fused_edges(sem, cochange_edges(commits.where(F.col("commit_ts") <= end)), dep).cache()
-        now = communities(edges).cache()
+    if first is None:
+        return commits.sparkSession.createDataFrame([], "window_end_ts long, cluster_count long, modularity double, ari_prev double")
+    spark, before, out, ends = commits.sparkSession, None, [], drift_windows(first, last, days, count)
+    sem, dep = cut(sem, "semantic"), cut(dep, "dependency")
+    for end, co in zip(ends, cochange_windows(commits, ends), strict=True):  # a few windows, a row each
+        edges = cut(fused_edges(sem, co, dep), "fused")
+        now = cut(communities(edges), "communities")
         ari = 1.0 if before is None else adjusted_rand(before, now).first()[0]
         out.append((end, now.select("cluster_id").distinct().count(), modularity(edges, now).first()[0], ari))
-        edges.unpersist()
         before = now
     return spark.createDataFrame(out, "window_end_ts long, cluster_count long, modularity double, ari_prev double")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Row
@@ -10,6 +11,7 @@ from pyspark.sql.window import Window
 
 from tidewell.functions import cursor
 from tidewell.functions.scalar import moment
+from tidewell.streaming.ingest import shared_folder
 
 
 def top_n_per_group(df: DataFrame, group: list[str], order: list[Column], n: int, rank: str = "rn") -> DataFrame:
@@ -66,3 +68,61 @@ def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
 def upper_median(df: DataFrame, value: str) -> Column:
     """Aggregate: element floor(n / 2) of the sorted values."""
     return F.element_at(F.array_sort(F.collect_list(value)), (F.floor(F.count(value) / 2) + 1).cast("int"))
+
+
+#: Ranges that a round of counting splits the values into, and rows that the driver sorts at the end.
+RANGES, FEW = 1024, 4096
+
+
+def _at_rank(values: DataFrame, rank: int, low: float, high: float, rows: int) -> float:
+    """The value of a 0-based rank: count in equal ranges, go on in the range that holds it."""
+    v, below = F.col("v"), 0
+    while rows > FEW and low < high:
+        part = F.least(F.lit(RANGES - 1), F.floor((v - low) / ((high - low) / RANGES)))
+        counts = values.where(v.between(low, high)).groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        for r in counts.orderBy("part").collect():  # a row a range
+            if below + r["n"] > rank:
+                low, high, rows = r["low"], r["high"], r["n"]
+                break
+            below += r["n"]
+    if low == high:
+        return low
+    left = values.where(v.between(low, high)).groupBy("v").agg(F.count("*").alias("n")).orderBy("v").collect()  # at most ``FEW`` rows
+    for r in left:
+        below += r["n"]
+        if below > rank:
+            return r["v"]
+    raise AssertionError("the values changed while they were counted")
+
+
+def exact_percentile(df: DataFrame, column: str, share: float) -> float | None:
+    """The percentile with linear interpolation, as ``percentile`` has it, by counts alone: no task holds or sorts the values. Nulls don't count; None without values."""
+    values = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    n, low, high = values.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    at = share * (n - 1)
+    first = math.floor(at)
+    one = _at_rank(values, first, low, high, n)
+    if at == first:
+        return one
+    upto, after = values.agg(F.count_if(F.col("v") <= one), F.min(F.when(F.col("v") > one, F.col("v")))).first()
+    two = one if upto > first + 1 else after
+    return (first + 1 - at) * one + (at - first) * two
+
+
+def global_number(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """``df`` with a 0-based number in a total order; rows are sorted in ranges, and only a row a range meets in one window."""
+    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged = cut(ranged, "numbered")
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return ranged.join(F.broadcast(before), "_part").withColumn(out, (own + F.col("_before")).cast("int")).drop("_part", "_before")  # a row a range
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, which cuts its lineage and survives lost executors."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

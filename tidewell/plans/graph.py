@@ -17,10 +17,10 @@ lst AS (SELECT max(commit_ts) AS last FROM cm)
 
 
 def co_sql(cap: int = 50) -> str:
-    return f""", cp AS (SELECT DISTINCT commit_sha, commit_ts, path FROM cm), cz AS (SELECT commit_sha, commit_ts, count(*) AS m FROM cp GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND {cap}),
-pr AS (SELECT a.path AS path_a, b.path AS path_b, {half_up("sum(pow(2.0, -greatest(0.0, (last - a.commit_ts) / 86400.0) / 180.0) / (m - 1))", 9)} AS raw FROM cp a JOIN cp b ON a.commit_sha = b.commit_sha AND a.commit_ts = b.commit_ts AND a.path < b.path JOIN cz ON cz.commit_sha = a.commit_sha AND cz.commit_ts = a.commit_ts, lst GROUP BY 1, 2),
+    return f""", cp AS MATERIALIZED (SELECT DISTINCT commit_sha, commit_ts, path FROM cm), cz AS (SELECT commit_sha, commit_ts, count(*) AS m FROM cp GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND {cap}),
+pr AS MATERIALIZED (SELECT a.path AS path_a, b.path AS path_b, {half_up("sum(pow(2.0, -greatest(0.0, (last - a.commit_ts) / 86400.0) / 180.0) / (m - 1))", 9)} AS raw FROM cp a JOIN cp b ON a.commit_sha = b.commit_sha AND a.commit_ts = b.commit_ts AND a.path < b.path JOIN cz ON cz.commit_sha = a.commit_sha AND cz.commit_ts = a.commit_ts, lst GROUP BY 1, 2),
 pp AS (SELECT CASE WHEN quantile_cont(raw, 0.95) > 0 THEN quantile_cont(raw, 0.95) ELSE max(raw) END AS p FROM pr),
-pw AS (SELECT path_a, path_b, raw, {half_up('least(1.0, raw / p)', 6)} AS w_co FROM pr, pp),
+pw AS MATERIALIZED (SELECT path_a, path_b, raw, {half_up('least(1.0, raw / p)', 6)} AS w_co FROM pr, pp),
 pn AS (SELECT node, path_a, path_b, row_number() OVER (PARTITION BY node ORDER BY w_co DESC, path_a, path_b) AS rn FROM (SELECT path_a AS node, * FROM pw UNION ALL SELECT path_b, * FROM pw)),
 pk AS (SELECT DISTINCT path_a, path_b, 1 AS near FROM pn WHERE rn <= 10),
 co AS (SELECT path_a, path_b, {half_up('raw', 6)} AS w_co_raw, w_co FROM pw LEFT JOIN pk USING (path_a, path_b) WHERE w_co >= 0.10 OR near = 1)
