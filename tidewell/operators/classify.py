@@ -39,34 +39,60 @@ def keyword_table(spark: SparkSession, taxonomy: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, "topic string, term string, idf double, priority double, negative array<string>, context array<string>")
 
 
-def term_frequencies(docs: DataFrame, text: Column, key: str = "doc_id") -> DataFrame:
-    """(doc, term, tf, dl)."""
-    rows = docs.select(F.col(key).alias("doc"), tokens(text).alias("ts"))
-    return rows.select("doc", "ts", F.size("ts").alias("dl")).select("doc", "dl", F.explode("ts").alias("term")).groupBy("doc", "term", "dl").agg(F.count("*").alias("tf"))
-
-
 def _bm25(tf: Column, dl: Column, idf: Column) -> Column:
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / AVERAGE_LENGTH))
 
 
+def guard_words(keywords: DataFrame) -> DataFrame:
+    """(topic, negative, context) of a keyword table."""
+    return keywords.groupBy("topic").agg(F.first("negative").alias("negative"), F.first("context").alias("context"))
+
+
+def suppressed(ts: Column, words: DataFrame) -> Column:
+    """The topics whose negative words are among ``ts``, or whose required context isn't. ``words`` is configuration: a row a topic, read by the driver."""
+    out = []
+    for r in words.where((F.size("negative") > 0) | (F.size("context") > 0)).orderBy("topic").collect():
+        negative, context = (F.arrays_overlap(ts, F.array(*[F.lit(w) for w in r[c]])) if r[c] else None for c in ("negative", "context"))
+        bad = negative if context is None else ~context if negative is None else negative | ~context
+        out.append(F.when(F.coalesce(bad, F.lit(True)), r["topic"]))
+    return F.array_compact(F.array(*out)) if out else F.expr("cast(array() as array<string>)")
+
+
 def bm25_topics(docs: DataFrame, keywords: DataFrame, title: str = "title", content: str = "content", key: str = "doc_id") -> DataFrame:
-    """(doc, topic, score, confidence) of every topic a document has a keyword of; negative words and missing context suppress."""
+    """(doc, topic, score, confidence, matched) of every topic a document has a keyword of; negative words and missing context suppress.
+
+    Texts are cut into tokens once, and only tokens that are keywords are ever shuffled.
+    """
     text = F.substring(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(content, F.lit(""))), 1, 3000)
-    body = term_frequencies(docs, text, key).withColumn("boost", F.lit(1.0))
-    head = term_frequencies(docs, F.substring(F.coalesce(title, F.lit("")), 1, 200), key).withColumn("boost", F.lit(TITLE_BOOST))
-    hits = body.unionByName(head).join(F.broadcast(keywords), "term")  # the taxonomy's keywords: configuration
-    scores = hits.groupBy("doc", "topic").agg(F.sum(F.col("boost") * _bm25(F.col("tf"), F.col("dl"), F.col("idf"))).alias("raw"), F.max("priority").alias("priority"))
-    words = keywords.groupBy("topic").agg(F.first("negative").alias("negative"), F.first("context").alias("context"))
-    bag = docs.select(F.col(key).alias("doc"), tokens(text).alias("ts"))
-    rows = scores.join(F.broadcast(words), "topic").join(bag, "doc")
-    rows = rows.where(~F.arrays_overlap("ts", "negative") & ((F.size("context") == 0) | F.arrays_overlap("ts", "context")))
+    bags = docs.select(F.col(key).alias("doc"), tokens(text).alias("ts"), tokens(F.substring(F.coalesce(title, F.lit("")), 1, 200)).alias("hs"))
+
+    def part(ts: str, boost: float) -> Column:
+        return F.transform(ts, lambda t: F.struct(t.alias("term"), F.lit(boost).alias("boost")))
+
+    # lengths and guards are settled below the explode; inside it they would be worked out again for every token
+    off = suppressed(F.col("ts"), guard_words(keywords)).alias("off")
+    rows = bags.select("doc", off, F.size("ts").alias("long"), F.size("hs").alias("short"), F.concat(part("ts", 1.0), part("hs", TITLE_BOOST)).alias("xs"))
+    hits = rows.select("doc", "off", "long", "short", F.inline("xs")).join(F.broadcast(keywords), "term").where(~F.array_contains("off", F.col("topic")))  # the taxonomy's keywords: configuration
+    hits = hits.withColumn("dl", F.when(F.col("boost") == TITLE_BOOST, F.col("short")).otherwise(F.col("long")))
+    by = hits.groupBy("doc", "topic", "term", "boost", "dl", "idf", "priority").agg(F.count("*").alias("tf"))
+    scores = by.groupBy("doc", "topic").agg(F.sum(F.col("boost") * _bm25(F.col("tf"), F.col("dl"), F.col("idf"))).alias("raw"), F.max("priority").alias("priority"))
     score = F.col("raw") * (F.col("priority") / 50)
     sure = 1 / (1 + F.exp(-(score - MIDPOINT) / TEMPERATURE))
-    return rows.select("doc", "topic", half_up(score, 6).alias("score"), half_up(F.least(F.greatest(sure, F.lit(1e-6)), F.lit(1 - 1e-6)), 3).alias("confidence"))
+    rows = scores.select("doc", "topic", half_up(score, 6).alias("score"), half_up(F.least(F.greatest(sure, F.lit(1e-6)), F.lit(1 - 1e-6)), 3).alias("confidence"))
+    return rows.withColumn("matched", F.col("score") >= THRESHOLDS[0])
 
 
-def classify(scores: DataFrame, most: int = 5) -> DataFrame:
-    """Topics of each document: each next one has a higher threshold, and the first failure ends the list."""
+def weighted(scores: DataFrame, weights: DataFrame) -> DataFrame:
+    """Scores and confidences times the topic's learned weight (topic, weight), one where it has none; ``matched`` is as before."""
+    rows = scores.join(F.broadcast(weights.select("topic", "weight")), "topic", "left")  # a row a topic
+    w = F.coalesce("weight", F.lit(1.0))
+    return rows.withColumns({"score": half_up(F.col("score") * w, 6), "confidence": half_up(F.least(F.lit(1.0), F.col("confidence") * w), 3)}).select(*scores.columns)
+
+
+def classify(scores: DataFrame, most: int = 5, weights: DataFrame | None = None) -> DataFrame:
+    """Topics of each document among those that match: each next one has a higher threshold, and the first failure ends the list."""
+    scores = scores.where(F.col("matched") if "matched" in scores.columns else F.col("score") >= THRESHOLDS[0])
+    scores = scores if weights is None else weighted(scores, weights)
     rn = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("score"), "topic"))
     need = F.element_at(F.array(*[F.lit(t) for t in THRESHOLDS]), F.col("rn"))
     rows = scores.withColumn("rn", rn).where(F.col("rn") <= min(most, len(THRESHOLDS))).withColumn("fails", F.col("score") < need)
@@ -109,10 +135,15 @@ def chi_squared(docs: DataFrame, labels: DataFrame, text: Column, most: int = 50
     return best.select("term", half_up(F.col("chi2"), 6).alias("chi2")).orderBy(F.desc("chi2"), "term").limit(most)
 
 
-def tfidf(docs: DataFrame, terms: DataFrame, text: Column, key: str = "doc_id") -> DataFrame:
-    """(doc, term, weight): dampened frequency times rarity, rows scaled to length one. ``terms`` has (term, df)."""
-    total = docs.agg(F.count("*").alias("N"))
-    rows = term_frequencies(docs, text, key).join(F.broadcast(terms), "term").crossJoin(F.broadcast(total))  # a vocabulary has a size limit
+def tfidf(docs: DataFrame, terms: DataFrame, text: Column, key: str = "doc_id", total: int | None = None) -> DataFrame:
+    """(doc, term, weight): dampened frequency times rarity, rows scaled to length one. ``terms`` has (term, df); ``total``, if given, is the number of documents that df was counted over, else these here.
+
+    Only tokens of the vocabulary are shuffled.
+    """
+    n = docs.agg(F.count("*").alias("N"))
+    known = docs.select(F.col(key).alias("doc"), F.explode(tokens(text)).alias("term")).join(F.broadcast(terms), "term")  # a vocabulary has a size limit
+    rows = known.groupBy("doc", "term", "df").agg(F.count("*").alias("tf"))
+    rows = rows.crossJoin(F.broadcast(n)) if total is None else rows.withColumn("N", F.lit(total))
     w = (1 + F.log("tf")) * (F.log((F.col("N") + 1) / (F.col("df") + 1)) + 1)
     rows = rows.select("doc", "term", w.alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
@@ -170,11 +201,3 @@ def confusion_pairs(reviewed: DataFrame, most: int = 20) -> DataFrame:
 def training_sample(events: DataFrame, k: int, seed: int = 42, key: str = "event_id") -> DataFrame:
     """A uniform sample of ``k`` rows that depends on ids and seed only."""
     return events.orderBy(F.xxhash64(F.lit(seed), key), key).limit(k)
-
-
-def stratified_split(labels: DataFrame, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """(doc, held_out): of each label's documents the share with the smallest hashes."""
-    w = Window.partitionBy("label")
-    n = F.count("*").over(w)
-    rn = F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "doc"), "doc"))
-    return labels.withColumn("held", rn <= F.ceil(n * share)).groupBy("doc").agg(F.max("held").alias("held_out"))

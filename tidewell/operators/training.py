@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 from datetime import datetime
+from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,10 +15,13 @@ from pyspark.sql.window import Window
 from tidewell.functions.scalar import half_up, moment, ratio
 from tidewell.functions.text import tokens
 from tidewell.operators import classify as cf
-from tidewell.operators.relational import top_n_per_group
+from tidewell.operators.relational import cut, top_n_per_group
 
 #: Fixed values of training and review.
 LEAST_LABELLED, LEAST_POSITIVE, SUFFICIENT, MOST_TOPICS, KEYWORD_MINIMUM = 500, 20, 30, 5, 10.0
+RATE, DECAY, SHRINK, EPOCHS, SEED = 0.5, 0.95, 0.001, 30, 123
+#: Labelled documents that a topic is trained on at most.
+MOST_LABELLED = 50_000
 
 
 class Refused(ValueError):
@@ -73,23 +79,21 @@ def rare_first_split(labels: DataFrame, share: float = 0.2, seed: int = 42) -> D
     return ranked.join(below, ["label", "bucket"]).join(target, "label").select("doc", (F.col("before") + F.col("rn") <= F.col("target")).alias("held_out"))
 
 
-def logits(vectors: DataFrame, weights: DataFrame, bias: DataFrame) -> DataFrame:
-    """(doc, topic, logit) of every topic that has a model: ``vectors`` (doc, term, weight), ``weights`` (topic, term, w), ``bias`` (topic, bias, threshold).
+def logits(docs: DataFrame, vectors: DataFrame, weights: DataFrame, bias: DataFrame) -> DataFrame:
+    """(doc, topic, logit, threshold) of every document (doc) and topic that has a model: ``vectors`` (doc, term, weight), ``weights`` (topic, term, w), ``bias`` (topic, bias, threshold).
 
     Both model tables are bounded by the vocabulary times the taxonomy. A document without any known term has the bias.
     """
     hits = vectors.join(F.broadcast(weights), "term").groupBy("doc", "topic").agg(F.sum(F.col("weight") * F.col("w")).alias("dot"))
-    every = vectors.select("doc").distinct().crossJoin(F.broadcast(bias))  # a row a topic of the taxonomy
+    every = docs.select("doc").distinct().crossJoin(F.broadcast(bias))  # a row a topic of the taxonomy
     rows = every.join(hits, ["doc", "topic"], "left")
     return rows.select("doc", "topic", half_up(F.coalesce("dot", F.lit(0.0)) + F.col("bias"), 6).alias("logit"), "threshold")
 
 
 def guarded(scores: DataFrame, docs: DataFrame, text: Column, words: DataFrame, key: str = "doc_id") -> DataFrame:
     """``scores`` without topics whose negative words occur or whose required context doesn't. ``words`` is (topic, negative, context)."""
-    bag = docs.select(F.col(key).alias("doc"), tokens(text).alias("_ts"))
-    rows = scores.join(F.broadcast(words), "topic").join(bag, "doc")
-    ok = ~F.arrays_overlap("_ts", "negative") & ((F.size("context") == 0) | F.arrays_overlap("_ts", "context"))
-    return rows.where(F.coalesce(ok, F.lit(False))).select(*scores.columns)
+    off = docs.select(F.col(key).alias("doc"), cf.suppressed(tokens(text), words).alias("_off"))
+    return scores.join(off, "doc").where(~F.array_contains("_off", F.col("topic"))).select(*scores.columns)
 
 
 def with_model(model_scores: DataFrame, keyword_scores: DataFrame, modelled: DataFrame, most: int = 5) -> DataFrame:
@@ -163,9 +167,9 @@ def plan_training(labels: DataFrame, least_labelled: int = LEAST_LABELLED, least
 
 
 def train_topic(features: DataFrame, topic: str) -> tuple[DataFrame, object]:
-    """A model of one topic and the scores of held-out documents, which it has not seen: (doc, label, score).
+    """A model of one topic over hashed terms and the scores of held-out documents, which it has not seen: (doc, label, score).
 
-    ``features`` is (doc, tokens, topics, held_out).
+    ``features`` is (doc, tokens, topics, held_out). ``train_topics`` trains all topics over a vocabulary.
     """
     from pyspark.ml.functions import vector_to_array
 
@@ -177,6 +181,147 @@ def train_topic(features: DataFrame, topic: str) -> tuple[DataFrame, object]:
     return model.transform(unseen).select("doc", "label", vector_to_array("rawPrediction")[1].alias("score")), model
 
 
+def descend(starts: np.ndarray, index: np.ndarray, value: np.ndarray, label: np.ndarray, terms: int) -> tuple[np.ndarray, float]:
+    """Weights and bias of one topic by stochastic gradient descent over rows (``starts`` into ``index`` and ``value``).
+
+    The order of an epoch is drawn anew from the seed. Classes weigh alike; only the weights of a row's terms shrink with it. Without
+    examples of both classes everything is zero.
+    """
+    n, positive = len(label), int(label.sum())
+    weights, bias, rate = np.zeros(terms), 0.0, RATE
+    if positive in (0, n):
+        return weights, bias
+    share = {1: n / (2 * positive), 0: n / (2 * (n - positive))}
+    draw = np.random.Generator(np.random.PCG64(SEED))
+    for _ in range(EPOCHS):
+        for k in draw.permutation(n):
+            at, x = index[starts[k] : starts[k + 1]], value[starts[k] : starts[k + 1]]
+            w = weights[at]
+            z = min(max(bias + float(w @ x), -500.0), 500.0)
+            step = (1 / (1 + math.exp(-z)) - label[k]) * share[int(label[k])]
+            w = w - rate * (step * x + SHRINK * w)
+            weights[at] = np.where(np.abs(w) > 1e-10, w, 0.0)
+            bias -= rate * step
+        rate *= DECAY
+    return weights, bias
+
+
+def train_topics(vectors: DataFrame, labels: DataFrame, topics: list[str], terms: DataFrame, most: int = MOST_LABELLED) -> tuple[DataFrame, DataFrame]:
+    """``weights`` (topic, term, w) and ``biases`` (topic, bias) of all ``topics``, each trained in a task of its own in one job.
+
+    ``vectors`` (doc, term, weight) and ``labels`` (doc, label; null where a document has none) are those of the training
+    documents; ``terms`` (term) is the vocabulary. A topic's task holds all of them, so they are bounded: of more than
+    ``most`` documents those with the smallest hashes of their ids are taken. Rows stand in the order of their ids before any order
+    is drawn, so the result depends on neither partitions nor runs.
+    """
+    spark = vectors.sparkSession
+    names = sorted(r["term"] for r in terms.select("term").distinct().collect())  # a vocabulary has a size limit
+    place = spark.createDataFrame(list(enumerate(names)), "i int, term string")
+    docs = labels.select("doc").distinct()
+    docs = docs.orderBy(F.xxhash64(F.lit(SEED), "doc"), "doc").limit(most)
+    mine = labels.where("label is not null").groupBy("doc").agg(F.collect_set("label").alias("own"))
+    rows = docs.join(vectors.join(F.broadcast(place), "term").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("i", "weight"))).alias("x")), "doc", "left").join(mine, "doc", "left")
+    rows = rows.select("doc", F.coalesce(F.col("x.i"), F.expr("cast(array() as array<int>)")).alias("i"), F.coalesce(F.col("x.weight"), F.expr("cast(array() as array<double>)")).alias("v"), F.coalesce("own", F.expr("cast(array() as array<string>)")).alias("own"))
+    each = rows.select("doc", "i", "v", "own", F.explode(F.array(*[F.lit(t) for t in topics])).alias("topic")).select("topic", "doc", "i", "v", F.array_contains("own", F.col("topic")).cast("int").alias("label"))
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("doc", kind="stable")
+        sizes = frame["i"].map(len).to_numpy()
+        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(int)
+        index = np.concatenate([np.asarray(x, int) for x in frame["i"]] or [[]]).astype(int)
+        value = np.concatenate([np.asarray(x, float) for x in frame["v"]] or [[]])
+        w, bias = descend(starts, index, value, frame["label"].to_numpy(), len(names))
+        used = np.nonzero(w)[0]
+        return pd.DataFrame([[frame["topic"].iloc[0], used.tolist(), w[used].tolist(), float(bias)]], columns=["topic", "i", "w", "bias"])
+
+    found = cut(each.groupBy("topic").applyInPandas(fit, "topic string, i array<int>, w array<double>, bias double"), "models")
+    weights = found.select("topic", F.inline(F.arrays_zip("i", "w"))).join(F.broadcast(place), "i").select("topic", "term", "w")
+    return weights, found.select("topic", "bias")
+
+
+def validated(scores: DataFrame, labels: DataFrame, keyword_scores: DataFrame) -> DataFrame:
+    """(topic, threshold, val_precision, val_recall, val_f1, bm25_val_f1, blend_alpha) on held-out documents.
+
+    ``scores`` (doc, topic, logit) has every held-out document and topic, ``labels`` (doc, label) what people said,
+    ``keyword_scores`` (doc, topic, score) those of keywords, which predict from ten on. A topic without a usable threshold has zero, at which it is measured.
+    """
+    truth = labels.where("label is not null").select("doc", F.col("label").alias("topic")).distinct().withColumn("label", F.lit(1))
+    said = keyword_scores.where(F.col("score") >= KEYWORD_MINIMUM).select("doc", "topic").distinct().withColumn("said", F.lit(True))
+    rows = scores.select("doc", "topic", F.col("logit").alias("score")).join(truth, ["doc", "topic"], "left").join(said, ["doc", "topic"], "left")
+    rows = rows.withColumns({"label": F.coalesce("label", F.lit(0)), "said": F.coalesce("said", F.lit(False))})
+    best = cf.best_threshold(rows.select("topic", "score", "label")).select("topic", F.col("threshold").alias("_t"))
+    rows = rows.join(F.broadcast(best), "topic", "left").withColumn("threshold", F.coalesce("_t", F.lit(0.0)))  # a row a topic
+    yes, positive = F.col("score") >= F.col("threshold"), F.col("label") == 1
+    counts = {"tp": yes & positive, "fp": yes & ~positive, "fn": ~yes & positive, "btp": F.col("said") & positive, "bfp": F.col("said") & ~positive, "bfn": ~F.col("said") & positive}
+    by = rows.groupBy("topic").agg(F.max("threshold").alias("threshold"), *[F.count_if(c).alias(k) for k, c in counts.items()])
+    f1 = lambda tp, fp, fn: ratio(2 * F.col(tp), 2 * F.col(tp) + F.col(fp) + F.col(fn))
+    return by.select(
+        "topic", "threshold", half_up(ratio(F.col("tp"), F.col("tp") + F.col("fp")), 3).alias("val_precision"), half_up(ratio(F.col("tp"), F.col("tp") + F.col("fn")), 3).alias("val_recall"),
+        half_up(f1("tp", "fp", "fn"), 3).alias("val_f1"), half_up(f1("btp", "bfp", "bfn"), 3).alias("bm25_val_f1"), blend_alpha(f1("tp", "fp", "fn"), f1("btp", "bfp", "bfn")).alias("blend_alpha"),
+    )
+
+
+def overall(models: DataFrame) -> DataFrame:
+    """One row: precision and recall averaged over topics that have a model, and the F1 of these two averages."""
+    rows = models.where("method = 'logistic'").agg(F.avg("val_precision").alias("p"), F.avg("val_recall").alias("r")).select(F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("r", F.lit(0.0)).alias("r"))
+    return rows.select(half_up(F.col("p"), 3).alias("precision"), half_up(F.col("r"), 3).alias("recall"), half_up(ratio(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), 3).alias("f1"))
+
+
+class Model(NamedTuple):
+    """``table``: a row a topic. ``weights`` (topic, term, w) and ``terms`` (term, df) are those of topics with a model."""
+
+    table: DataFrame
+    weights: DataFrame
+    terms: DataFrame
+
+
+def train_classifier(
+    docs: DataFrame, labels: DataFrame, keywords: DataFrame, key: str = "doc_id", title: str = "title", content: str = "content", most_terms: int = 5000, least_labelled: int = LEAST_LABELLED, least_positive: int = LEAST_POSITIVE
+) -> Model:
+    """Train, choose thresholds and measure all topics of ``keywords`` on labelled documents.
+
+    ``labels`` is (doc, label), with a row without label for a document that has none. A fifth of the documents, rare topics first, is held out; vocabulary,
+    rarity and weights come from the others, thresholds and figures from the held-out. Topics of too few examples keep to keywords.
+    """
+    labels = cut(labels.join(docs.select(F.col(key).alias("doc")), "doc", "left_semi").select("doc", "label").distinct(), "labels")
+    n = labels.select("doc").distinct().count()
+    if n < least_labelled:
+        raise Refused(f"{n} labelled documents, at least {least_labelled} are needed")
+    split = cut(rare_first_split(labels.select("doc", F.coalesce("label", F.lit("")).alias("label"))), "split")
+    text = F.substring(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(content, F.lit(""))), 1, 3000)
+    own = docs.select(F.col(key).alias("doc_id"), F.col(title).alias("title"), F.col(content).alias("content"), text.alias("text")).join(split.withColumnRenamed("doc", "doc_id"), "doc_id")
+    seen, held = own.where("not held_out"), own.where("held_out")
+    trained = labels.join(split.where("not held_out").select("doc"), "doc", "left_semi")
+    chosen = cf.chi_squared(seen, trained, F.col("text"), most_terms)
+    terms = cut(cf.document_frequency(seen, F.col("text")).join(chosen, "term", "left_semi"), "terms")
+    total = seen.count()
+    topics = keywords.select("topic").distinct()
+    counts = trained.where("label is not null").groupBy(F.col("label").alias("topic")).agg(F.count_distinct("doc").alias("examples"))
+    plan = topics.join(counts, "topic", "left").select("topic", F.coalesce("examples", F.lit(0).cast("long")).alias("examples"))
+    enough = [r["topic"] for r in plan.where(F.col("examples") >= least_positive).orderBy("topic").collect()]  # topics of the taxonomy
+    spark = docs.sparkSession
+    figures = "topic string, bias double, threshold double, val_precision double, val_recall double, val_f1 double, bm25_val_f1 double, blend_alpha double"
+    weights, measured = spark.createDataFrame([], "topic string, term string, w double"), spark.createDataFrame([], figures)
+    if enough:
+        weights, biases = train_topics(cf.tfidf(seen, terms, F.col("text"), total=total), trained, enough, terms)
+        zero = biases.withColumn("threshold", F.lit(0.0))
+        scores = logits(held.select(F.col("doc_id").alias("doc")), cf.tfidf(held, terms, F.col("text"), total=total), weights, zero)
+        unseen = labels.join(split.where("held_out").select("doc"), "doc", "left_semi")
+        measured = biases.join(validated(scores, unseen, cf.bm25_topics(held, keywords)), "topic")
+    table = plan.join(measured, "topic", "left").withColumn("method", F.when(F.col("bias").isNotNull(), "logistic").otherwise("bm25_fallback"))
+    return Model(cut(table, "models"), cut(weights, "weights"), terms)
+
+
+def classify_by(model: Model, docs: DataFrame, keywords: DataFrame, total: int, weights: DataFrame | None = None, most: int = 5) -> DataFrame:
+    """Topics of ``docs`` (doc_id, title, content) by the models and, where a topic has none, by keywords; guards hold on both paths. ``total``: documents the rarities were counted over."""
+    text = F.substring(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))), 1, 3000)
+    bias = model.table.where("method = 'logistic'").select("topic", "bias", "threshold")
+    scores = logits(docs.select(F.col("doc_id").alias("doc")), cf.tfidf(docs, model.terms, text, total=total), model.weights, bias)
+    keyword = cf.bm25_topics(docs, keywords)
+    keyword = keyword.where("matched") if weights is None else cf.weighted(keyword.where("matched"), weights)
+    return with_model(guarded(scores, docs, text, cf.guard_words(keywords)), keyword, bias, most)
+
+
 def reclassified(event_topics: DataFrame, found: DataFrame, scope: DataFrame) -> DataFrame:
     """Topics of events after those of ``scope`` (event_id) were classified anew as ``found``: the old ones of the scope go, all others stay."""
     kept = event_topics.join(scope.select("event_id").distinct(), "event_id", "left_anti")

@@ -140,7 +140,7 @@ def _scores(spark, sf):
     return cf.bm25_topics(_docs(spark, sf), cf.keyword_table(spark, TAXONOMY))
 
 
-@query("bm25_topic_scores", BM25 + " SELECT * FROM bs")
+@query("bm25_topic_scores", BM25 + " SELECT *, score >= 10 AS matched FROM bs")
 def bm25_topic_scores(spark, sf):
     return _scores(spark, sf)
 
@@ -151,6 +151,14 @@ def classify_bm25(spark, sf):
     return cf.classify(_scores(spark, sf))
 
 
+@query("classify_weighted", BM25 + f""", lw AS (SELECT * FROM (VALUES ('text.french', 1.5::DOUBLE), ('text.english', 0.8::DOUBLE)) v(topic, weight)), ws AS (SELECT doc, topic, {half_up('score * coalesce(weight, 1.0)', 6)} AS score, {half_up('least(1.0, confidence * coalesce(weight, 1.0))', 3)} AS confidence FROM bs LEFT JOIN lw USING (topic) WHERE score >= 10),
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc ORDER BY score DESC, topic) AS INTEGER) AS rn FROM ws), fl AS (SELECT *, min(CASE WHEN score < [10.0, 14.0, 18.0, 22.0, 26.0][rn] THEN rn END) OVER (PARTITION BY doc) AS stop FROM rk WHERE rn <= 5)
+SELECT doc, topic, rn, score, confidence FROM fl WHERE stop IS NULL OR rn < stop""")
+def classify_weighted(spark, sf):
+    """With weights that were learned for two topics."""
+    return cf.classify(_scores(spark, sf), weights=spark.createDataFrame([("text.french", 1.5), ("text.english", 0.8)], "topic string, weight double"))
+
+
 VOCAB = DOCS + f""", tk AS (SELECT DISTINCT doc_id, unnest({toks('content')}) AS term FROM d), vo AS (SELECT term, count(*) AS df FROM tk GROUP BY term ORDER BY df DESC, term LIMIT 200)"""
 
 
@@ -237,8 +245,10 @@ def lr_predictions(spark, sf):
 
 @query("lr_calibrated")
 def lr_calibrated(spark, sf):
-    scored = _held_out(spark, sf)
-    return scored.select("doc", "label", scalar.half_up(training.calibrated(F.col("score"), *training.platt(scored)), 3).alias("probability"))
+    """The calibration is fitted on one half of the held-out documents and applied to the other."""
+    rows = _held_out(spark, sf).withColumn("half", F.pmod(F.xxhash64("doc"), F.lit(2))).cache()
+    scored, fitted = rows.where("half = 0"), rows.where("half = 1")
+    return scored.select("doc", "label", scalar.half_up(training.calibrated(F.col("score"), *training.platt(fitted)), 3).alias("probability"))
 
 
 @query("training_plan", "WITH lb AS (SELECT 'quality' AS topic, doc_id FROM labels WHERE quality = 1 UNION ALL SELECT 'toxic', doc_id FROM labels WHERE toxic = 1) SELECT topic, count(DISTINCT doc_id) AS positives, CASE WHEN count(DISTINCT doc_id) >= 20 THEN 'model' ELSE 'bm25_fallback' END AS method FROM lb GROUP BY 1")
@@ -273,11 +283,12 @@ def review_coverage(spark, sf):
     return training.coverage(_training_events(spark, sf))
 
 
-#: A model of two topics over the vocabulary, its weights a rule of length and first letter.
+#: A model of two topics over the vocabulary, its weights a rule of length and first letter. Documents without any of its terms have the bias.
 MODEL = VOCAB + f""", mf AS (SELECT doc_id AS doc, term, count(*) AS tf FROM (SELECT doc_id, unnest({toks('content')}) AS term FROM d) GROUP BY ALL), w AS (SELECT doc, term, (1 + ln(tf)) * (ln(((SELECT count(*) FROM d) + 1) / CAST(df + 1 AS DOUBLE)) + 1) AS w FROM mf JOIN vo USING (term)),
-tv AS (SELECT doc, term, {half_up('w / sqrt(sum(w * w) OVER (PARTITION BY doc))', 6)} AS weight FROM w), mw AS (SELECT 'text.english' AS topic, term, (length(term) % 5 - 2) * 2.0::DOUBLE AS w FROM vo UNION ALL SELECT 'text.german', term, (ascii(term) % 3 - 1) * 3.0::DOUBLE FROM vo),
-mb AS (SELECT * FROM (VALUES ('text.english', 0.25::DOUBLE, 0.5::DOUBLE), ('text.german', -0.5::DOUBLE, 0.0::DOUBLE)) v(topic, bias, threshold)),
-lg AS (SELECT doc, mb.topic, {half_up('sum(weight * w) + max(bias)', 6)} AS logit, max(threshold) AS threshold FROM tv JOIN mw USING (term) JOIN mb USING (topic) GROUP BY 1, 2)"""
+tv AS (SELECT doc, term, {half_up('w / sqrt(sum(w * w) OVER (PARTITION BY doc))', 6)} AS weight FROM w), mw AS (SELECT 'text.romance' AS topic, term, (length(term) % 5 - 2) * 2.0::DOUBLE AS w FROM vo UNION ALL SELECT 'junk.secret', term, (ascii(term) % 3 - 1) * 3.0::DOUBLE FROM vo),
+mb AS (SELECT * FROM (VALUES ('text.romance', 0.75::DOUBLE, 0.5::DOUBLE), ('junk.secret', -0.5::DOUBLE, 0.0::DOUBLE)) v(topic, bias, threshold)),
+lh AS (SELECT doc, topic, sum(weight * w) AS dot FROM tv JOIN mw USING (term) GROUP BY 1, 2),
+lg AS (SELECT doc_id AS doc, mb.topic, {half_up('coalesce(dot, 0.0) + bias', 6)} AS logit, threshold FROM d CROSS JOIN mb LEFT JOIN lh ON lh.doc = doc_id AND lh.topic = mb.topic)"""
 
 
 @query("model_logits", MODEL + " SELECT doc, topic, logit FROM lg WHERE logit >= threshold")
@@ -288,17 +299,50 @@ def model_logits(spark, sf):
 def _logits(spark, sf):
     docs = _docs(spark, sf)
     terms = cf.vocabulary(docs, F.col("content"), 200)
-    rule = F.array(F.struct(F.lit("text.english").alias("topic"), ((F.length("term") % 5 - 2) * 2.0).alias("w")), F.struct(F.lit("text.german").alias("topic"), ((F.ascii("term") % 3 - 1) * 3.0).alias("w")))
+    rule = F.array(F.struct(F.lit("text.romance").alias("topic"), ((F.length("term") % 5 - 2) * 2.0).alias("w")), F.struct(F.lit("junk.secret").alias("topic"), ((F.ascii("term") % 3 - 1) * 3.0).alias("w")))
     weights = terms.select("term", F.explode(rule).alias("r")).select("r.topic", "term", "r.w")
-    bias = spark.createDataFrame([("text.english", 0.25, 0.5), ("text.german", -0.5, 0.0)], "topic string, bias double, threshold double")
-    return training.logits(cf.tfidf(docs, terms, F.col("content")), weights, bias)
+    bias = spark.createDataFrame([("text.romance", 0.75, 0.5), ("junk.secret", -0.5, 0.0)], "topic string, bias double, threshold double")
+    return training.logits(docs.select(F.col("doc_id").alias("doc")), cf.tfidf(docs, terms, F.col("content")), weights, bias)
 
 
-@query("classify_with_model", BM25 + MODEL.removeprefix(DOCS) + f""", al AS (SELECT doc, topic, {half_up('1 / (1 + exp(-logit))', 3)} AS confidence, 'model' AS path FROM lg WHERE logit >= threshold UNION ALL SELECT doc, topic, confidence, 'keywords' FROM bs WHERE score >= 10 AND topic NOT IN ('text.english', 'text.german'))
+GUARDS = ", gw AS (SELECT topic, any_value(neg) AS neg, any_value(ctx) AS ctx FROM kw GROUP BY 1)"
+
+
+@query("classify_with_model", BM25 + MODEL.removeprefix(DOCS) + GUARDS + f""", al AS (SELECT doc, topic, {half_up('1 / (1 + exp(-logit))', 3)} AS confidence, 'model' AS path FROM lg JOIN gw USING (topic) JOIN tb ON doc_id = doc WHERE logit >= threshold AND NOT list_has_any(ts, neg) AND (len(ctx) = 0 OR list_has_any(ts, ctx)) UNION ALL SELECT doc, topic, confidence, 'keywords' FROM bs WHERE score >= 10 AND topic NOT IN ('text.romance', 'junk.secret'))
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc ORDER BY confidence DESC, topic) AS INTEGER) AS rn FROM al) WHERE rn <= 5""")
 def classify_with_model(spark, sf):
-    found = _logits(spark, sf)
-    return training.with_model(found, _scores(spark, sf), spark.createDataFrame([("text.english",), ("text.german",)], "topic string")).select("doc", "topic", "confidence", "path", "rn")
+    """Both topics with a model have guard words."""
+    docs, keywords = _docs(spark, sf), cf.keyword_table(spark, TAXONOMY)
+    text = F.substring(F.concat_ws(" ", "title", "content"), 1, 3000)
+    found = training.guarded(_logits(spark, sf), docs, text, cf.guard_words(keywords))
+    return training.with_model(found, cf.bm25_topics(docs, keywords), spark.createDataFrame([("text.romance",), ("junk.secret",)], "topic string")).select("doc", "topic", "confidence", "path", "rn")
+
+
+METRICS = BM25 + MODEL.removeprefix(DOCS) + f""", tr AS (SELECT doc_id AS doc, 'text.romance' AS topic FROM documents WHERE lang IN ('fr', 'es') UNION ALL SELECT doc_id, 'junk.secret' FROM labels WHERE toxic = 1),
+sc AS (SELECT lg.doc, lg.topic, logit AS score, CASE WHEN tr.doc IS NULL THEN 0 ELSE 1 END AS label, coalesce(bs.score >= 10, false) AS said FROM lg LEFT JOIN tr ON tr.doc = lg.doc AND tr.topic = lg.topic LEFT JOIN bs ON bs.doc = lg.doc AND bs.topic = lg.topic),
+g AS (SELECT topic, score, sum(label) AS p, count(*) AS n FROM sc GROUP BY 1, 2), c AS (SELECT topic, score, sum(p) OVER v AS tp, sum(n) OVER v AS seen, sum(p) OVER (PARTITION BY topic) AS pos FROM g WINDOW v AS (PARTITION BY topic ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT topic, score, tp / CAST(seen AS DOUBLE) AS pr, tp / CAST(pos AS DOUBLE) AS re FROM c), q AS (SELECT *, {half_up('CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0.0 END', 9)} AS f1 FROM f),
+th AS (SELECT topic, score AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY f1 DESC, score DESC) AS rn FROM q WHERE pr >= 0.1 AND f1 > 0) WHERE rn = 1),
+ev AS (SELECT sc.topic, coalesce(threshold, 0.0) AS threshold, count(*) FILTER (WHERE score >= coalesce(threshold, 0.0) AND label = 1) AS tp, count(*) FILTER (WHERE score >= coalesce(threshold, 0.0) AND label = 0) AS fp, count(*) FILTER (WHERE score < coalesce(threshold, 0.0) AND label = 1) AS fn,
+ count(*) FILTER (WHERE said AND label = 1) AS btp, count(*) FILTER (WHERE said AND label = 0) AS bfp, count(*) FILTER (WHERE NOT said AND label = 1) AS bfn FROM sc LEFT JOIN th USING (topic) GROUP BY 1, 2),
+mm AS (SELECT topic, threshold, CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0.0 END AS pr, CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) ELSE 0.0 END AS re, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / CAST(2 * tp + fp + fn AS DOUBLE) ELSE 0.0 END AS f1, CASE WHEN 2 * btp + bfp + bfn > 0 THEN 2 * btp / CAST(2 * btp + bfp + bfn AS DOUBLE) ELSE 0.0 END AS bf FROM ev)
+SELECT topic, threshold, {half_up('pr', 3)} AS val_precision, {half_up('re', 3)} AS val_recall, {half_up('f1', 3)} AS val_f1, {half_up('bf', 3)} AS bm25_val_f1, {half_up('least(0.5, greatest(0.05, f1 / (bf + f1 + 0.01)))', 3)} AS blend_alpha FROM mm"""
+
+
+@query("model_metrics", METRICS)
+def model_metrics(spark, sf):
+    """Thresholds and figures of the model of two topics, against the languages and the toxic labels."""
+    romance = src.table(spark, sf, "documents").where("lang in ('fr', 'es')").select(F.col("doc_id").alias("doc"), F.lit("text.romance").alias("label"))
+    secret = src.table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("doc"), F.lit("junk.secret").alias("label"))
+    return training.validated(_logits(spark, sf), romance.union(secret), _scores(spark, sf))
+
+
+@query("trained_models")
+def trained_models(spark, sf):
+    """All topics trained on the languages of the documents: what each model reaches on documents it hasn't seen."""
+    lang = F.create_map(*[F.lit(x) for pair in (("en", "text.english"), ("de", "text.german"), ("fr", "text.french"), ("es", "text.spanish")) for x in pair])
+    labels = src.table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), lang[F.col("lang")].alias("label"))
+    return training.train_classifier(_docs(spark, sf), labels, cf.keyword_table(spark, TAXONOMY), least_labelled=1).table
 
 
 @query("training_sample")
@@ -308,7 +352,7 @@ def training_sample(spark, sf):
 
 @query("stratified_split")
 def stratified_split(spark, sf):
-    return cf.stratified_split(_labels(spark, sf).where("label is not null"))
+    return training.rare_first_split(_labels(spark, sf).where("label is not null"))
 
 
 @query("sanitize_text", """WITH c AS (SELECT doc_id, coalesce(text, '') AS g, regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\\x{00}-\\x{08}\\x{0b}\\x{0c}\\x{0e}-\\x{1f}\\x{7f}-\\x{9f}]', '', 'g'), '[\\x{200b}-\\x{200f}\\x{feff}\\x{2060}-\\x{2064}\\x{206a}-\\x{206f}]', '', 'g'), '[\\r\\n]+', ' ', 'g'), ' {2,}', ' ', 'g')), '<', '&lt;', 'g'), '>', '&gt;', 'g') AS t FROM documents)
