@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.operators import graph as g
 from tidewell.operators import profiles as pf
 from tidewell.operators import repo as r
+from tidewell.operators.relational import cut
 from tidewell.plans.registry import half_up, query
 from tidewell.sources import adapters as src
 
@@ -66,23 +70,56 @@ ve AS (SELECT *, {half_up('added / CAST(greatest(changes, 1) AS DOUBLE)', 4)} AS
 """
 
 
+_tables: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Graph:
+    """The tables of a snapshot. Edges are made when a query first needs them and stored once an application, so each later query reads them."""
+
     def __init__(self, spark, sf) -> None:
+        self.spark, self.sf = spark, sf
         self.commits, self.clusters = src.commits(spark, sf), src.clusters(spark, sf)
-        self.imports, self.vectors = src.imports(spark, sf), src.vectors(spark, sf)
-        self.sem = g.semantic_edges(self.vectors)
-        self.co, self.dep = g.cochange_edges(self.commits), g.dependency_edges(self.imports)
-        self.edges = g.fused_edges(self.sem, self.co, self.dep)
+
+    def _stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        at = self.spark.sparkContext.applicationId, self.sf, name
+        if at not in _tables:
+            _tables[at] = cut(make(), name)
+        return _tables[at]
+
+    @property
+    def sem(self):
+        return self._stored("semantic", lambda: g.semantic_edges(src.vectors(self.spark, self.sf)))
+
+    @property
+    def dep(self):
+        return self._stored("dependency", lambda: g.dependency_edges(src.imports(self.spark, self.sf)))
+
+    @property
+    def co(self):
+        return self._stored("cochange", lambda: g.cochange_edges(self.commits))
+
+    @property
+    def edges(self):
+        return self._stored("fused", lambda: g.fused_edges(self.sem, self.co, self.dep))
+
+    @property
+    def between(self):
+        return self._stored("betweenness", lambda: g.betweenness(self.edges))
+
+    @property
+    def given(self):
+        """A betweenness that SQL can have too."""
+        return self.clusters.select("path", ((F.col("path") % 7) / 70.0).alias("betweenness"))
 
     def files(self, between=None):
         return g.file_metrics(self.clusters, self.edges, self.sem, self.commits, between)
 
     def whole_files(self):
-        """Files with their betweenness, for queries without SQL; the SQL of the others fixes it at zero."""
-        return self.files(g.betweenness(self.edges)).cache()
+        """Files with their betweenness, for queries without SQL; the SQL of the others fixes it at zero or by a rule."""
+        return self.files(self.between)
 
-    def metrics(self):
-        return g.cluster_metrics(self.clusters, self.edges, self.files())
+    def metrics(self, between=None):
+        return g.cluster_metrics(self.clusters, self.edges, self.files(between))
 
 
 @query("cochange_edges", BASE + co_sql() + "SELECT * FROM co")
@@ -171,6 +208,33 @@ be AS (SELECT cluster_id, neighbour, string_agg(node || '-' || other, ',' ORDER
 SELECT cluster_id, leakage, neighbour, weight, place, examples FROM bp JOIN be USING (cluster_id, neighbour) WHERE place <= 3""", lambda x: pf.boundary_profiles(x.edges, x.clusters, x.metrics()))
 _graph("file_risk_with_betweenness", None, lambda x: x.whole_files())
 
+#: The same with a betweenness by a rule in place of zero.
+GIVEN = FUSED.replace("0.0::DOUBLE AS betweenness", "(path % 7) / 70.0 AS betweenness")
+GIVEN = GIVEN.replace(half_up("0.5 * (weighted_degree / max(weighted_degree) OVER ())", 6), half_up("0.5 * (weighted_degree / max(weighted_degree) OVER ()) + 0.5 * (betweenness / max(betweenness) OVER ())", 6))
+SPLIT = """, lb AS (SELECT * FROM km WHERE leakage >= 0.2), nb AS (SELECT c AS cluster_id, oc AS neighbour, floor(sum(weight) * 1000000.0 + 0.5) / 1000000.0 AS weight FROM ec WHERE c <> oc GROUP BY 1, 2),
+tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY weight DESC, neighbour) AS rn FROM nb SEMI JOIN lb USING (cluster_id)) WHERE rn = 1), hb AS (SELECT neighbour, count(*) AS n FROM tp GROUP BY 1 HAVING count(*) >= 2),
+sg AS (SELECT 'High' AS priority, 'Separate the hub cluster ' || neighbour AS title, n || ' leaky clusters lean on it most' AS reason FROM hb
+UNION ALL SELECT CASE WHEN leakage >= 0.4 THEN 'High' ELSE 'Medium' END, 'Tighten the boundary of cluster ' || cluster_id, 'leakage ' || leakage FROM lb
+UNION ALL SELECT CASE WHEN xnbr >= 0.5 THEN 'Medium' ELSE 'Low' END, 'Review the place of path ' || path, 'neighbours elsewhere ' || xnbr FROM fm WHERE xnbr >= 0.35
+UNION ALL SELECT 'Medium', 'Split the hub path ' || path, 'hubness ' || hubness FROM fm WHERE hubness >= 0.45
+UNION ALL SELECT 'Medium', 'Watch the growth of cluster ' || cluster_id, 'acceleration ' || acceleration FROM ve WHERE acceleration >= 1.5 AND growth >= 0.3
+UNION ALL SELECT 'Low', 'Review what cluster ' || cluster_id || ' has added', added || ' additions' FROM ve WHERE added >= 20
+UNION ALL SELECT 'Low', 'Check whether cluster ' || cluster_id || ' is finished', 'acceleration ' || acceleration FROM ve WHERE acceleration <= 0.5 AND growth < 0.1),
+so AS (SELECT *, CASE priority WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 ELSE 2 END AS k FROM sg)
+SELECT priority, title, reason FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY k, reason) AS rn FROM so) WHERE rn = 1 ORDER BY k, title LIMIT 20"""
+
+
+def _given(name: str, sql: str, f):
+    query(name, GIVEN + sql)(lambda spark, sf: f(Graph(spark, sf)))
+
+
+_given("file_risk_given_betweenness", "SELECT * FROM fm", lambda x: x.files(x.given))
+_given("cluster_metrics_given_betweenness", "SELECT * FROM km", lambda x: x.metrics(x.given))
+_given("risks_given_betweenness", "SELECT * FROM fm WHERE risk >= 0.1 ORDER BY risk DESC, path LIMIT 20", lambda x: r.risks(x.files(x.given), 0.1))
+_given("file_status_given_betweenness", """SELECT path, risk, CASE WHEN risk > 0.8 THEN 'critical' WHEN risk > 0.5 THEN 'attention' ELSE 'ok' END AS status,
+ CASE WHEN 0.2 * volatility >= 0.5 * xnbr AND 0.2 * volatility >= 0.3 * hubness THEN 'volatile' WHEN 0.3 * hubness >= 0.5 * xnbr AND 0.3 * hubness >= 0.2 * volatility THEN 'hub' ELSE 'cross-cluster neighbours' END AS reason FROM fm""", lambda x: r.file_status(x.files(x.given)))
+_given("suggestions_given_betweenness", SPLIT, lambda x: r.suggestions((f := x.files(x.given)), (m := g.cluster_metrics(x.clusters, x.edges, f)), r.cluster_edges(x.edges, x.clusters, m), r.velocity(x.commits, x.clusters)))
+
 LABELS = f"""WITH pt AS (SELECT CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INTEGER) AS cluster_id, lower(p_type) || '/' || split_part(p_name, ' ', 1) || '/v' || (p_size % 3) AS prefix, lower(split_part(p_name, ' ', 2)) AS stem, CAST({{w}} AS DOUBLE) AS w, p_partkey FROM part),
 tt AS (SELECT cluster_id, count(*) AS n, sum(w) AS total FROM pt GROUP BY 1),
 px AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY w DESC, prefix) AS rn FROM (SELECT cluster_id, prefix, sum(w) AS w FROM pt GROUP BY 1, 2)), pr AS (SELECT cluster_id, string_agg(prefix, ' + ' ORDER BY rn) AS structural FROM px WHERE rn <= 2 GROUP BY 1),
