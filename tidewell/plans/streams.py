@@ -87,6 +87,10 @@ def store_retained(spark, sf):
     return store.topics().join(store.events(), "event_id").groupBy("topic").agg(F.count("*").alias("events"), F.sum("score").alias("score"))
 
 
-@query("stream_sessions")
+@query("stream_sessions", """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e), g AS (SELECT user_id, min(ts) AS a, max(ts) AS b, count(*) AS events FROM s GROUP BY user_id, n)
+SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS session_start, events FROM g WHERE b + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
 def stream_sessions(spark, sf):
-    return ingest.collected(ingest.sessions(_stream(spark, sf)))
+    """Sessions that the watermark has closed: those that ended a day before the last event."""
+    rows = ingest.collected(ingest.sessions(_stream(spark, sf)))
+    return rows.withColumn("session_start", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss"))

@@ -87,7 +87,12 @@ def fts_column_filter(spark, sf):
     return _index(spark, sf).search("title:the", among=among)
 
 
-@query("fts_phrase")
+PHRASE = DOCS + f""", bag AS (SELECT doc_id, {ftok('title')} AS tt, {ftok('content')} AS cc FROM d), st AS (SELECT count(*) AS n_docs, avg(len(tt) + len(cc)) AS avgdl FROM bag WHERE len(tt) + len(cc) > 0),
+h AS (SELECT doc_id, len(tt) + len(cc) AS dl, len(list_filter(range(1, len(tt) - 1), lambda i: tt[i] = 'the' AND tt[i + 1] = 'and' AND tt[i + 2] = 'attion')) + len(list_filter(range(1, len(cc) - 1), lambda i: cc[i] = 'the' AND cc[i + 1] = 'and' AND cc[i + 2] = 'attion')) AS tf FROM bag), n AS (SELECT count(*) AS n FROM h WHERE tf > 0)
+SELECT doc_id, -floor(greatest(1e-6, ln((n_docs - n + 0.5) / (n + 0.5))) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) * 1e6 + 0.5) / 1e6 AS rank FROM h, st, n WHERE tf > 0 ORDER BY rank, doc_id DESC LIMIT 20"""
+
+
+@query("fts_phrase", PHRASE)
 def fts_phrase(spark, sf):
     return _index(spark, sf).search('"the and attion"')
 
@@ -397,6 +402,6 @@ def journal_by_tag(spark, sf):
     return journal.page(_journal(spark, sf), tag="assistant").select("entry_id", "context", "decision", "created_at")
 
 
-@query("journal_search")
+@query("journal_search", _search_sql(["term = 'assistant'", "term = 'the'"], "a0 IS NOT NULL AND a1 IS NOT NULL").replace(DOCS, "WITH d AS (SELECT conv_id || '-' || turn AS doc_id, text AS title, role AS content FROM conversations)").replace("SELECT doc_id, -floor(s", "SELECT doc_id AS entry_id, -floor(s").replace("ORDER BY rank, doc_id", "ORDER BY rank, entry_id"))
 def journal_search(spark, sf):
     return journal.search_entries(_journal(spark, sf), shared_folder(spark, "journal"), "assistant the").withColumnRenamed("doc_id", "entry_id")
