@@ -70,6 +70,15 @@ def test_outlook_modes(spark):
     assert counts(outlook.outlook(sections(spark, 2), "summary")) == {"lifecycles": 15, "ranked_chains": 10, "scenarios": 2, "dynamics": 10, "change_points_summary": 25}
 
 
+def test_outlook_keeps_the_quality_of_the_data_and_warns(spark):
+    row = lambda n: outlook.Section(spark.createDataFrame([(n, 12.5)], "events_analyzed long, unclassified_pct double"), (), ())
+    every = sections(spark, 6) | {"data_quality": row(9)}
+    for chosen in (outlook.outlook(every, "summary"), outlook.outlook(every, topics=["t00"], only=["scenarios"])):
+        assert [tuple(r) for r in chosen["data_quality"].rows.collect()] == [(9, 12.5)] and "scenarios" in chosen
+    assert "data_quality" not in {r["section"] for r in outlook.listed({k: s for k, s in every.items() if k in ("scenarios", "data_quality")}).collect()}
+    assert outlook.warnings(every, 30, 90) == [] and len(outlook.warnings({"data_quality": row(0)}, 30, 9)) == 2 and outlook.warnings({}, 30, 30) == []
+
+
 def test_outlook_topics_and_sections(spark):
     every = sections(spark, 6)
     assert counts(outlook.outlook(every, topics=["t00", "t03"])) == {"lifecycles": 2, "ranked_chains": 19, "scenarios": 2, "dynamics": 4, "change_points_summary": 2}

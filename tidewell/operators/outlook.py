@@ -51,14 +51,18 @@ def dynamics(loops: DataFrame, late: DataFrame, growing: DataFrame, damped: Data
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-def sections(te: DataFrame, daily: DataFrame, volumes: DataFrame, counts: DataFrame, as_of: datetime) -> dict[str, Section]:
-    """Every section of the forecast. The tables are given once and shared; nothing runs before a section is read."""
+def sections(te: DataFrame, daily: DataFrame, volumes: DataFrame, counts: DataFrame, as_of: datetime, events: DataFrame | None = None, topics: DataFrame | None = None) -> dict[str, Section]:
+    """Every section of the forecast. The tables are given once and shared; nothing runs before a section is read.
+
+    With ``events`` and their ``topics`` (event_id, topic) there is also the section on the quality of the data.
+    """
     life, scales, evenness, changes = fc.lifecycles(volumes), fc.multiscale(volumes), fc.entropy(daily), fc.cusum(daily, as_of)
     found = fc.tiers(fc.chains(daily, te, volumes, as_of), counts)
     down, up = F.desc, F.asc
     moves = dynamics(fc.reinforcing_loops(found), fc.delays(found), fc.accumulations(life, scales, evenness, fc.fresh_topics(te, as_of)), fc.dampening(life, changes))
     pair = ("from_topic", "to_topic")
-    return {
+    quality = {} if events is None or topics is None else {"data_quality": Section(fc.data_quality(events, topics, as_of), (), ())}
+    return quality | {
         "lifecycles": Section(life, (up("topic"),), ("topic",)),
         "chains": Section(found, (down("lift"), down("support"), up("from_topic"), up("to_topic")), pair),
         "ranked_chains": Section(fc.ranked_chains(found, volumes), (down("cross_domain"), down("score"), up("from_topic"), up("to_topic")), pair),
@@ -68,6 +72,7 @@ def sections(te: DataFrame, daily: DataFrame, volumes: DataFrame, counts: DataFr
         "entropy": Section(evenness, (up("topic"),), ("topic",)),
         "dynamics": Section(moves, (up("place"), up("topic"), up("other")), ("topic", "other"), "type"),
         "change_points_summary": Section(changes, (up("days_ago"), up("topic")), ("topic",)),
+        "context": Section(fc.context_titles(te, daily.select("topic").distinct(), changes, as_of), (up("topic"),), ("topic",)),
     }
 
 
@@ -76,26 +81,41 @@ def outlook(every: dict[str, Section], mode: str = "full", topics: list[str] | N
 
     Topics are filtered after everything is computed, so scores stay those of the whole. A summary with fewer than
     three scenarios takes the compact limits for lifecycles, ranked chains and dynamics. An unknown section is an error.
+    The section on the quality of the data stays whole, whatever is asked for.
     """
     unknown = sorted(set(only or ()) - set(every))
     if unknown:
         raise ValueError(f"unknown sections: {', '.join(unknown)}; valid: {', '.join(every)}")
-    found = {k: s.about(topics) for k, s in every.items()} if topics else dict(every)
+    found = {k: s.about(topics) if s.topics else s for k, s in every.items()} if topics else dict(every)
     limits = dict({"full": {}, "compact": COMPACT, "summary": SUMMARY}[mode])
     if mode == "summary" and found["scenarios"].rows.limit(THIN).count() < THIN:
         limits |= {k: COMPACT[k] for k in ("lifecycles", "ranked_chains", "dynamics")}
-    return {k: s.cut(limits[k]) if k in limits else s for k, s in found.items() if limits.get(k, 1) > 0 and (not only or k in only)}
+    return {k: s.cut(limits[k]) if k in limits else s for k, s in found.items() if limits.get(k, 1) > 0 and (not only or k in only or not s.topics)}
 
 
 def listed(chosen: dict[str, Section]) -> DataFrame:
     """One table (section, topics) of what every chosen section is about."""
     out = None
     for name, s in chosen.items():
+        if not s.topics:
+            continue
         rows = s.rows.select(F.lit(name).alias("section"), F.concat_ws(">", *s.topics).alias("topics"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def warnings(every: dict[str, Section], days: int, span_days: int, least_events: int = 1) -> list[str]:
+    """What a reader should know before the figures: a window longer than the data, or a window without events."""
+    out = []
+    if days > span_days:
+        out.append(f"the window of {days} days is longer than the {span_days} days of data")
+    quality = every.get("data_quality")
+    row = quality.rows.first() if quality else None
+    if quality and (row is None or row["events_analyzed"] < least_events):
+        out.append("there are no events in the window")
+    return out
+
+
 def evidence(te: DataFrame, targets: DataFrame, start: Column, n: int = 5) -> DataFrame:
     """The ``n`` best events of each target topic since ``start``; an event that has many topics says less of each."""
     inside = te.join(F.broadcast(targets.select("topic").distinct()), "topic", "left_semi").where(event_time() >= start)  # one row a topic of the taxonomy

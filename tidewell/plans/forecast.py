@@ -235,18 +235,31 @@ def freshness_gate(spark, sf):
     return fc.fresh_topics(x.te, x.now)
 
 
-@query("data_quality", EV + """, w AS (SELECT * FROM ev, now WHERE fetched_at >= t - INTERVAL 30 DAY), c AS (SELECT source, count(*) AS c FROM w GROUP BY source ORDER BY c DESC, source LIMIT 1)
+QUALITY = EV + """, w AS (SELECT * FROM ev, now WHERE fetched_at >= t - INTERVAL 30 DAY), c AS (SELECT source, count(*) AS c FROM w GROUP BY source ORDER BY c DESC, source LIMIT 1)
 SELECT (SELECT count(*) FROM w) AS events_analyzed, floor((SELECT count(*) FROM w ANTI JOIN (SELECT * FROM et WHERE topic NOT LIKE 'view.%') USING (event_id)) / CAST((SELECT count(*) FROM w) AS DOUBLE) * 100 * 10.0 + 0.5) / 10.0 AS unclassified_pct,
- source AS top_source, floor(c / CAST((SELECT count(*) FROM w) AS DOUBLE) * 100 * 10.0 + 0.5) / 10.0 AS top_source_pct FROM c""")
+ source AS top_source, floor(c / CAST((SELECT count(*) FROM w) AS DOUBLE) * 100 * 10.0 + 0.5) / 10.0 AS top_source_pct FROM c"""
+
+
+@query("data_quality", QUALITY)
 def data_quality(spark, sf):
     ev = src.events(spark, sf)
     return fc.data_quality(ev, src.event_topics(spark, sf).where(~F.col("topic").startswith("view.")), src.latest(ev))
 
 
-@query("context_titles")
+def _best(name: str, source: str) -> str:
+    return f"{name} AS (SELECT topic, list_sort(list(title)) AS titles FROM (SELECT x.topic, title, row_number() OVER (PARTITION BY x.topic ORDER BY score DESC, fetched_at DESC, event_id) AS rn FROM {source}) WHERE rn <= 3 GROUP BY topic)"
+
+
+CONTEXT = (EV + daily_sql() + CUSUM + f""", dt AS (SELECT DISTINCT topic FROM daily), lc AS (SELECT topic, max(day) AS cp FROM cus GROUP BY topic HAVING min(days_ago) > 3),
+{_best("tn", f"te x SEMI JOIN dt USING (topic), now WHERE {AT} >= t - INTERVAL 1 DAY")}, {_best("ta", f"te x JOIN lc ON lc.topic = x.topic SEMI JOIN dt ON dt.topic = x.topic WHERE abs(CAST({AT} AS DATE) - cp) <= 2")}
+SELECT topic, coalesce(array_to_string(tn.titles, '|'), '') AS titles, coalesce(array_to_string(list_sort(list_distinct(list_filter(ta.titles, lambda y: NOT coalesce(list_contains(tn.titles, y), false)))), '|'), '') AS break_titles FROM tn FULL JOIN ta USING (topic)""").replace("WITH ev", "WITH RECURSIVE ev", 1)
+
+
+@query("context_titles", CONTEXT)
 def context_titles(spark, sf):
     x = Inputs(spark, sf)
-    return fc.context_titles(x.te, x.daily.select("topic").distinct(), fc.cusum(x.daily, x.now), x.now)
+    found = fc.context_titles(x.te, x.daily.select("topic").distinct(), fc.cusum(x.daily, x.now), x.now)
+    return found.select("topic", F.array_join("titles", "|").alias("titles"), F.array_join("break_titles", "|").alias("break_titles"))
 
 
 def _outcomes(spark, sf):
@@ -355,3 +368,11 @@ def outlook_topics(spark, sf):
  FROM ch JOIN vols ON topic = from_topic WHERE active)) WHERE rn <= 3 ORDER BY cross_domain DESC, score DESC, from_topic, to_topic LIMIT 50) ORDER BY cross_domain DESC, score DESC, from_topic, to_topic LIMIT (SELECT CASE WHEN count(*) < 3 THEN 10 ELSE 5 END FROM scen)""")
 def outlook_summary(spark, sf):
     return outlook.listed(outlook.outlook(_sections(spark, sf), "summary", only=["ranked_chains"]))
+
+
+@query("outlook_data_quality", QUALITY)
+def outlook_data_quality(spark, sf):
+    """The section stays whole, though one topic's scenarios alone are asked for."""
+    x, ev = Inputs(spark, sf), src.events(spark, sf)
+    every = outlook.sections(x.te, x.daily, x.volumes, x.counts, x.now, ev, src.event_topics(spark, sf).where(~F.col("topic").startswith("view.")))
+    return outlook.outlook(every, topics=["click.t3"], only=["scenarios"])["data_quality"].rows
