@@ -185,6 +185,11 @@ def evaluate(reviewed: DataFrame, least: int = 30) -> DataFrame:
     return by.select("topic", "samples", half_up(p, 3).alias("precision"), half_up(r, 3).alias("recall"), half_up(ratio(2 * p * r, p + r), 3).alias("f1"), "false_positives", "false_negatives")
 
 
+def macro_average(evaluated: DataFrame) -> DataFrame:
+    """One row: the averages of ``evaluate`` over its topics, and how many there are."""
+    return evaluated.agg(*[half_up(F.coalesce(F.avg(c), F.lit(0.0)), 3).alias(c) for c in ("precision", "recall", "f1")], F.count("*").alias("topics"))
+
+
 def label_losses(reviewed: DataFrame, topics: int, many: int = 4) -> DataFrame:
     """One row: Hamming loss and how often ``many`` labels or more are given, rightly or not."""
     differ = F.size(F.array_except("machine", "human")) + F.size(F.array_except("human", "machine"))

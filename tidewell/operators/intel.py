@@ -14,6 +14,9 @@ from pyspark.sql.window import Window
 from tidewell.functions.scalar import acceleration, domain, half_up, moment, ratio, story
 from tidewell.operators.relational import keyset_page, top_n_per_group
 
+#: Days of data below which lifecycles and chains are doubtful, and below which they say nothing.
+LEAST_DAYS = (90, 30)
+
 
 def _since(as_of: datetime, **delta: float) -> Column:
     return moment(as_of - timedelta(**delta))
@@ -70,6 +73,28 @@ def sources(ev: DataFrame, health: DataFrame, as_of: datetime, stale_after: time
     return rows.select("source", status.alias("status"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("events_24h", "events_total")])
 
 
+def stale_sources(found: DataFrame, health: DataFrame, before: datetime | None = None) -> DataFrame:
+    """Of ``sources`` those that are stale or in error, and those whose last success lies ``before`` a time."""
+    rows = found.join(health.select("source", "last_success_at"), "source")
+    old = F.col("status") != "healthy"
+    if before is not None:
+        old = old | F.coalesce(F.col("last_success_at") < moment(before), F.lit(True))
+    return rows.where(old).select(*found.columns)
+
+
+def health_warnings(overview: DataFrame, span: DataFrame) -> DataFrame:
+    """(type, severity, value): what ``stats`` and the span of the data in days say against conclusions from them, a row for each warning."""
+    row = overview.select("unclassified_share", "top_source_share", "multi_topic_share").crossJoin(span.select("days"))  # one row each
+    least, few = LEAST_DAYS
+    age = F.when(F.col("days") < few, "critical").when(F.col("days") < least, "warning").otherwise("ok")
+    kinds = {
+        "unclassified": (level(F.col("unclassified_share"), 0.20, 0.50), F.col("unclassified_share")), "concentration": (level(F.col("top_source_share"), 0.30, 0.60), F.col("top_source_share")),
+        "data_age": (age, F.col("days").cast("double")), "over_classification": (level(F.col("multi_topic_share"), 0.10, 0.25), F.col("multi_topic_share")),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("type"), severity.alias("severity"), value.alias("value")) for k, (severity, value) in kinds.items()]))
+    return row.select(each.alias("x")).select("x.*").where("severity <> 'ok'")
+
+
 def health_of(ev: DataFrame) -> DataFrame:
     """Health rows from the events themselves; source s3 is given an error."""
     return ev.groupBy("source").agg(F.max("fetched_at").alias("last_success_at")).withColumn("last_error", F.when(F.col("source") == "s3", F.lit("timeout")))

@@ -46,6 +46,22 @@ def coverage(events: DataFrame) -> DataFrame:
     return by.withColumn("sufficient", F.col("count") >= SUFFICIENT)
 
 
+def listed(events: DataFrame, reviewed: bool | None = None, topic: str | None = None, limit: int = 20, key: str = "id") -> DataFrame:
+    """Events of a training set, with a review or without one, of a topic that people gave: 1 to 200 of them by key."""
+    rows = events
+    if reviewed is not None:
+        rows = rows.where(F.col("reviewed_at").isNotNull() == reviewed)
+    if topic is not None:
+        rows = rows.where(F.coalesce(F.array_contains("human_topics", topic), F.lit(False)))
+    return rows.orderBy(key).limit(max(1, min(limit, 200)))
+
+
+def shown(events: DataFrame, labels: DataFrame, event_id: str) -> DataFrame:
+    """One event with the history of its labels, newest first; no row if there is none of that id."""
+    mine = labels.where(F.col("event_id") == event_id).groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("at", "human_topics", "labeler", "notes")), asc=False).alias("history"))
+    return events.where(F.col("event_id") == event_id).join(mine, "event_id", "left")
+
+
 def labelled(events: DataFrame, labels: DataFrame) -> DataFrame:
     """Events after ``labels`` (event_id, human_topics, labeler, notes, at). Of several labels of an event the newest counts.
 

@@ -188,3 +188,32 @@ def json_columns(spark, sf):
     text = F.when(F.col("turn") % 2 == 0, F.concat(F.lit('["'), "role", F.lit('"]'))).otherwise(F.concat("role", F.lit("{")))
     rows = src.table(spark, sf, "conversations").select("turn", text.alias("text"))
     return rows.groupBy("turn").agg(F.count_if(jsons.is_json(F.col("text"))).alias("valid"), F.count("*").alias("total"))
+
+
+HEALTH = EV + """, hl AS (SELECT source, CASE WHEN source = 's3' THEN 'error' WHEN max(fetched_at) < t - INTERVAL 600 SECOND THEN 'stale' ELSE 'healthy' END AS status, max(fetched_at) AS last_success_at,
+count(*) FILTER (WHERE fetched_at >= t - INTERVAL 1 DAY) AS events_24h, count(*) AS events_total, count(*) FILTER (WHERE fetched_at >= t - INTERVAL 6 HOUR) AS events_in_window, t FROM ev, now GROUP BY source, t) """
+
+
+@query("sources_stale", HEALTH + "SELECT source, status, events_24h, events_total FROM hl WHERE status <> 'healthy' OR last_success_at < t - INTERVAL 120 SECOND")
+def sources_stale(spark, sf):
+    """Sources in error or without a success in the last two minutes."""
+    ev = src.events(spark, sf)
+    now, health = src.latest(ev), intel.health_of(ev)
+    return intel.stale_sources(intel.sources(ev, health, now), health, now - timedelta(minutes=2))
+
+
+@query("pack_sources", HEALTH + "SELECT source, status, events_in_window FROM hl")
+def pack_sources(spark, sf):
+    ev = src.events(spark, sf)
+    return briefing.source_health(ev, intel.health_of(ev), src.latest(ev))
+
+
+@query("health_warnings", EV + f""", per AS (SELECT event_id, count(*) AS k FROM et GROUP BY event_id), top AS (SELECT count(*) AS c FROM ev GROUP BY source ORDER BY c DESC, source LIMIT 1),
+sp AS (SELECT date_diff('microsecond', min(a), max(a)) // 86400000000 AS days FROM (SELECT CASE WHEN published_at IS NULL OR fetched_at - published_at > INTERVAL 365 DAY THEN fetched_at ELSE published_at END AS a FROM ev)),
+b AS (SELECT {half_up("count(*) FILTER (WHERE k IS NULL) / CAST(count(*) AS DOUBLE)", 4)} AS none, {half_up("count(*) FILTER (WHERE k >= 2) / CAST(count(*) AS DOUBLE)", 4)} AS many, {half_up("(SELECT c FROM top) / CAST(count(*) AS DOUBLE)", 4)} AS top FROM ev LEFT JOIN per USING (event_id)),
+w AS (SELECT 'unclassified' AS type, none AS value, 0.2 AS warn, 0.5 AS crit FROM b UNION ALL SELECT 'concentration', top, 0.3, 0.6 FROM b UNION ALL SELECT 'over_classification', many, 0.1, 0.25 FROM b UNION ALL SELECT 'data_age', -CAST(days AS DOUBLE), -90, -30 FROM sp)
+SELECT type, CASE WHEN value > crit THEN 'critical' ELSE 'warning' END AS severity, abs(value) AS value FROM w WHERE value > warn""")
+def health_warnings(spark, sf):
+    """With two topics counting as many, since events here have two at most."""
+    ev = src.events(spark, sf)
+    return intel.health_warnings(intel.stats(ev, src.event_topics(spark, sf), src.latest(ev), many=2), intel.data_span(ev))

@@ -217,13 +217,21 @@ def _reviewed(spark, sf):
 REVIEWED = "WITH rv AS (SELECT list_filter([CASE WHEN quality = 1 THEN 'quality' END, CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL) AS human, list_filter([CASE WHEN n_chars > 800 THEN 'quality' END, CASE WHEN source = 'src3' THEN 'toxic' END], lambda x: x IS NOT NULL) AS machine FROM labels JOIN documents USING (doc_id))"
 
 
-@query("label_eval", REVIEWED + f""", x AS (SELECT topic, list_contains(machine, topic) AS m, list_contains(human, topic) AS h FROM rv CROSS JOIN (VALUES ('quality'), ('toxic')) v(topic)),
+EVAL = REVIEWED + f""", x AS (SELECT topic, list_contains(machine, topic) AS m, list_contains(human, topic) AS h FROM rv CROSS JOIN (VALUES ('quality'), ('toxic')) v(topic)),
 e AS (SELECT topic, count(*) FILTER (WHERE m AND h) AS tp, count(*) FILTER (WHERE m AND NOT h) AS fp, count(*) FILTER (WHERE h AND NOT m) AS fn FROM x GROUP BY 1), p AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0.0 END AS pr, CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) ELSE 0.0 END AS re FROM e)
-SELECT topic, tp + fp + fn AS samples, {half_up('pr', 3)} AS precision, {half_up('re', 3)} AS recall, {half_up('CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0.0 END', 3)} AS f1, fp AS false_positives, fn AS false_negatives FROM p WHERE tp + fp + fn >= 30""")
+SELECT topic, tp + fp + fn AS samples, {half_up('pr', 3)} AS precision, {half_up('re', 3)} AS recall, {half_up('CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0.0 END', 3)} AS f1, fp AS false_positives, fn AS false_negatives FROM p WHERE tp + fp + fn >= 30"""
+
+
+@query("label_eval", EVAL)
 def label_eval(spark, sf):
     return cf.evaluate(_reviewed(spark, sf))
 
 
+@query("label_macro", f"SELECT {half_up('avg(precision)', 3)} AS precision, {half_up('avg(recall)', 3)} AS recall, {half_up('avg(f1)', 3)} AS f1, count(*) AS topics FROM ({EVAL})")
+def label_macro(spark, sf):
+    return cf.macro_average(cf.evaluate(_reviewed(spark, sf)))
+
+
 @query("label_losses", REVIEWED + f", l AS (SELECT len(list_filter(machine, lambda x: NOT list_contains(human, x))) + len(list_filter(human, lambda x: NOT list_contains(machine, x))) AS k, len(machine) AS nm, len(human) AS nh FROM rv) SELECT {half_up('sum(k) / (count(*) * 2.0)', 6)} AS hamming_loss, count(*) FILTER (WHERE nm >= 1) AS over_classified, count(*) FILTER (WHERE nm >= 1 AND nh < 1) AS falsely_over_classified FROM l")
 def label_losses(spark, sf):
     return cf.label_losses(_reviewed(spark, sf), 2, many=1)
@@ -278,6 +286,11 @@ def review_next(spark, sf):
     return training.next_unreviewed(_training_events(spark, sf), 25).select("id", "event_id", "title")
 
 
+@query("review_list", TRAINING + "SELECT id, event_id, title FROM tr WHERE done AND toxic = 1 ORDER BY id LIMIT 50")
+def review_list(spark, sf):
+    return training.listed(_training_events(spark, sf), reviewed=True, topic="toxic", limit=50).select("id", "event_id", "title")
+
+
 @query("review_progress", TRAINING + f"SELECT count(*) AS total, count(*) FILTER (WHERE done) AS reviewed, count(*) FILTER (WHERE NOT done) AS remaining, {half_up('count(*) FILTER (WHERE done) / CAST(count(*) AS DOUBLE)', 3)} AS pct_complete FROM tr")
 def review_progress(spark, sf):
     return training.progress(_training_events(spark, sf))
