@@ -262,3 +262,16 @@ def test_search_within_a_column(spark, tmp_path):
     assert ids("foo", among=docs.where("doc_id > 1")) == [2, 3]
     with pytest.raises(ValueError):
         search(index, "body:foo", columns=["title"])
+
+
+def test_audit_flags_of_made_up_topics(spark):
+    volume = spark.createDataFrame([("a.x", 1, 1, 1), ("a.y", 50, 50, 50), ("b.z", 9, 9, 9)], "topic string, recent long, mid long, old long")
+    overlaps = spark.createDataFrame([("a.x", "a.y", 0.6), ("b.z", "a.y", 0.2)], "topic string, other string, overlap double")
+    weights, chains = spark.createDataFrame([("a.y", 0.5)], "topic string, weight double"), spark.createDataFrame([("a.x", 2)], "topic string, cross_domain long")
+    got = {(r["topic"], r["flag"]) for r in intel.audit_flags(volume, overlaps, weights, chains).collect()}
+    assert got == {
+        ("a.x", "below_minimum_volume"), ("a.x", "domain_imbalance"), ("a.x", "high_overlap:a.y"), ("a.y", "low_learning_weight"), ("a.y", "no_cross_domain_chains"), ("a.y", "domain_imbalance"),
+        ("b.z", "no_cross_domain_chains"), ("b.z", "domain_imbalance"),
+    }
+    small = intel.health_warnings(spark.createDataFrame([(0.6, 0.1, 0.2)], "unclassified_share double, top_source_share double, multi_topic_share double"), spark.createDataFrame([(20,)], "days long"))
+    assert {(r["type"], r["severity"], r["value"]) for r in small.collect()} == {("unclassified", "critical", 0.6), ("over_classification", "warning", 0.2), ("data_age", "critical", 20.0)}

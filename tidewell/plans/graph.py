@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,33 +77,37 @@ _tables: dict[tuple[str, str, str], DataFrame] = {}
 class Graph:
     """The tables of a snapshot. Edges are made when a query first needs them and stored once an application, so each later query reads them."""
 
+    #: The snapshot that tables are stored for; those of a graph without one are not stored.
+    at: tuple[str, str] | None = None
+
     def __init__(self, spark, sf) -> None:
-        self.spark, self.sf = spark, sf
+        self.spark, self.sf, self.at = spark, sf, (spark.sparkContext.applicationId, sf)
         self.commits, self.clusters = src.commits(spark, sf), src.clusters(spark, sf)
 
     def _stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        at = self.spark.sparkContext.applicationId, self.sf, name
-        if at not in _tables:
-            _tables[at] = cut(make(), name)
-        return _tables[at]
+        if self.at is None:
+            return make()
+        if (*self.at, name) not in _tables:
+            _tables[(*self.at, name)] = cut(make(), name)
+        return _tables[(*self.at, name)]
 
-    @property
+    @cached_property
     def sem(self):
         return self._stored("semantic", lambda: g.semantic_edges(src.vectors(self.spark, self.sf)))
 
-    @property
+    @cached_property
     def dep(self):
         return self._stored("dependency", lambda: g.dependency_edges(src.imports(self.spark, self.sf)))
 
-    @property
+    @cached_property
     def co(self):
         return self._stored("cochange", lambda: g.cochange_edges(self.commits))
 
-    @property
+    @cached_property
     def edges(self):
         return self._stored("fused", lambda: g.fused_edges(self.sem, self.co, self.dep))
 
-    @property
+    @cached_property
     def between(self):
         return self._stored("betweenness", lambda: g.betweenness(self.edges))
 
