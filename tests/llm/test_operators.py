@@ -654,6 +654,20 @@ def test_quality_prefers_target(spark, odd, empty):
     assert len(res) == odd.count() and all(r["selected"] and r["log_weight"] == 0 for r in res) and quality.resampled(empty, labels).count() == 0
 
 
+def test_log_weights_equal_brute_force(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(rng.randrange(0, 12))) for _ in range(80)] + [None]
+    good = set(range(0, 80, 4))
+    labels = spark.createDataFrame([(k, 1, 0) for k in good] + [(k, 1, 1) for k in range(1, 80, 4)] + [(999, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    grams = [[int(b) for part in quality.buckets((t or "").encode()) for b in part] for t in texts]
+    assert all(len(g) == max(0, 2 * len((t or "").split()) - 1) for g, t in zip(grams, texts, strict=True))
+    raw, target = Counter(b for g in grams for b in g), Counter(b for k in good for b in grams[k])
+    chance = lambda c, b: (c[b] + 1) / (sum(c.values()) + quality.BUCKETS)
+    want = [sum(np.log(chance(target, b) / chance(raw, b)) for b in g) for g in grams]
+    got = {r["id"]: r["log_weight"] for r in quality.resampled(table(spark, texts), labels).collect()}
+    assert got == pytest.approx(dict(enumerate(want)), abs=1e-9) and got[80] == 0
+
+
 def test_threshold_is_exact(spark):
     rng = random.Random(10)
     values = [rng.gauss(0, 10) ** 3 for _ in range(5000)] + [1.5] * 3000
@@ -679,3 +693,19 @@ def test_shards_match_mixture(spark, odd, empty):
     few = sharding.stratified_shards(odd, shards=40).collect()
     assert len(few) == odd.count() == len({r["shard"] for r in few}) and {(r["size"], r["text_crc32"]) for r in few if r["id"] == 0} == {(16, 0)}
     assert sharding.stratified_shards(empty).count() == 0
+
+
+def test_shards_follow_the_whole_order(spark):
+    """Ranks by hash in each source, fractions over all, equal cuts: sorted in one place."""
+    sources = [None] * 9 + ["hot"] * 70 + [f"s{k % 4}" for k in range(44)]
+    rows = table(spark, [f"t{k % 60}" for k in range(123)], sources=sources)
+    hashes = rows.select("doc_id", "source", F.xxhash64(F.lit(42), "doc_id", F.xxhash64("text")).alias("h"), F.xxhash64(F.lit(42), "source").alias("of"), F.shiftrightunsigned(F.xxhash64(F.lit(42), F.lit("phase"), "source"), 11).alias("p")).collect()
+    order = []
+    for s in set(sources):
+        own = sorted((r for r in hashes if r["source"] == s), key=lambda r: r["h"])
+        order += [((k + 1 - (r["p"] + 0.5) / 2.0**53) / len(own), r["of"], r["doc_id"]) for k, r in enumerate(own)]
+    ids, want, at = [i for *_, i in sorted(order)], {}, 0
+    for shard in range(10):
+        for slot in range(13 if shard < 3 else 12):
+            want[ids[at]], at = (shard, slot), at + 1
+    assert {r["id"]: (r["shard"], r["slot"]) for r in sharding.stratified_shards(rows, shards=10).collect()} == want

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidewell.llm import line_dedup, shingle_join, simhash, substring_dedup
@@ -105,3 +106,30 @@ def test_substrings_and_packed_stages(spark):
     got = {r["doc_id"]: hashlib.sha256(r["text"].encode()).hexdigest() for r in kept.collect()}
     assert got == {d: w[2] for d, w in want.items()} and want[1][1] == 30
     assert {r["doc_id"] for r in corpus_pipeline.packed(spark, kept, "").collect()} == {0, 1, 2}
+
+
+def test_texts_that_a_stage_empties_go_whatever_white_space_is_left(spark):
+    rows = [(0, "same line", 0), (1, "\n\t ", 1), (2, "\n", 0), (3, "x\n", 2)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 9, n) for i, t, n in rows], "doc_id long, text string, lang string, source string, n_chars long, _n_removed int")
+    got = {r["doc_id"]: r["n_chars"] for r in corpus_pipeline._shortened(docs, "_n_removed").collect()}
+    assert got == {0: 9, 2: 1, 3: 2}
+
+
+def test_language_stage_and_the_whole_run(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(9001, None, None, None, None), (9002, "", "en", "s", 0), (9003, "123 456", None, "s", 7), (None, "12", "en", None, 2)], docs.schema)
+    given = docs.union(odd).withColumns({c: F.lit("own") for c in ("id", "h", "row", "_row", "score", "n_words")})
+    kept = corpus_pipeline.language(spark, given, "")
+    assert kept.columns == corpus_pipeline.COLUMNS
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    left = {r["doc_id"]: r["text"] for r in kept.collect()}
+    assert not left.keys() & {9001, 9002, 9003, None} and all(texts[d] == t for d, t in left.items()) and len(left) > 0.9 * len(texts)
+    given.write.parquet(f"{tmp_path}/some/documents.parquet")
+    packed = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    assert {r["doc_id"] for r in packed} <= left.keys() and len({r["doc_id"] for r in packed}) > 0.5 * len(left)
+    full = {}
+    for r in packed:
+        full[r["sequence_id"]] = full.get(r["sequence_id"], 0) + r["length"]
+    assert max(full.values()) <= 2048
+    given.where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
