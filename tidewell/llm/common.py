@@ -126,10 +126,12 @@ def text_hash(col: Column) -> Column:
 def first_rows(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Of each group of ``grouped`` (id, h, group) the row of ``docs`` with the smallest id, then text hash ``h``; null ids come last, equal rows stay once."""
     least = grouped.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("void"), "id", "h")).alias("k"))
-    least = least.select(F.col("k.id").alias("kid"), F.col("k.h").alias("kh")).distinct()
-    rows = pack(docs, id=docs[id_col], h=text_hash(docs[text_col]))
-    kept = rows.join(least, rows["id"].eqNullSafe(least["kid"]) & (rows["h"] == least["kh"]), "left_semi")
-    return kept.dropDuplicates(["id", "h"]).select(*unpacked(docs.columns))
+    # one key without nulls for the join and for equal rows, so that texts are shuffled once
+    key = lambda c: F.coalesce(c.cast("string"), F.lit("")).alias("key")
+    least = least.select("k.void", key(F.col("k.id")), "k.h").distinct()
+    rows = pack(docs, void=docs[id_col].isNull(), key=key(docs[id_col]), h=text_hash(docs[text_col]))
+    kept = rows.join(least, ["void", "key", "h"], "left_semi")
+    return kept.dropDuplicates(["void", "key", "h"]).select(*unpacked(docs.columns))
 
 
 @functools.lru_cache(maxsize=1)

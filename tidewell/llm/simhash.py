@@ -61,7 +61,10 @@ def shingle_hashes(words: list[bytes], size: int, seed: int) -> np.ndarray:
 
 
 def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
-    hashes = shingle_hashes(words_of(text), size, seed)
+    return fingerprint_of(shingle_hashes(words_of(text), size, seed))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     counts = np.zeros(64, np.int64)

@@ -166,7 +166,7 @@ def _bits(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (values & mask).astype(np.int64), (mixed(values) & mask).astype(np.int64)
 
 
-def _in_filter(values: np.ndarray, held: np.ndarray, bits: int) -> np.ndarray:
+def in_filter(values: np.ndarray, held: np.ndarray, bits: int) -> np.ndarray:
     yes = np.ones(len(values), bool)
     for at in _bits(values, bits):
         yes &= (held[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
@@ -197,8 +197,8 @@ def passages(docs: DataFrame, window: int, recurring: DataFrame, id_col: str = "
                 named = anchors(words, window)[0]
                 starts = np.nonzero(np.concatenate([[True], named[1:] != named[:-1]]))[0]
                 keys, ends = named[starts].view(np.int64), np.append(starts[1:], len(named))
-                chosen = np.nonzero(_in_filter(named[starts], mine, bits))[0]
-                frequent = _in_filter(named[starts[chosen]], hot, hot_bits)
+                chosen = np.nonzero(in_filter(named[starts], mine, bits))[0]
+                frequent = in_filter(named[starts[chosen]], hot, hot_bits)
                 if frequent.any():
                     hashes = _word_array(words)
                     own = np.stack([mixed(_rolling(hashes, window)), mixed(_rolling(mixed(hashes), window))], axis=1)
